@@ -79,12 +79,14 @@ def _prepared_queries(queries: DataFrame, genre_weights: DataFrame | None, focus
 def fuse(candidates: DataFrame, queries: DataFrame, songs: DataFrame,
          genre_weights: DataFrame | None = None, focus: str | None = None, *,
          hc: str = "handcrafted_norm", mert: str | None = "mert",
-         carry: Sequence[str] = (), layout: Mapping[str, Sequence[int]] = FOCUS) -> DataFrame:
+         carry: Sequence[str] = (), layout: Mapping[str, Sequence[int]] = FOCUS,
+         renumber: bool = True) -> DataFrame:
     """Late fusion of learned, transformer and handcrafted similarity.
 
     ``candidates``: ``query_id, id, similarity, rank``.  ``queries``: ``query_id,
     handcrafted`` and optionally ``mert, genre, focus``.  The score replaces
-    ``similarity``; ``rank`` is renewed.  Whether the transformer term counts is
+    ``similarity``; ``rank`` is renewed, or left as the tie-breaker it was with
+    ``renumber=False`` (for :func:`dedup_versions`, which saves a sort).  Whether the transformer term counts is
     decided over a query's whole candidate list.  A candidate without a
     handcrafted vector, and every candidate of a query without one, keeps the
     similarity it came with.
@@ -117,27 +119,39 @@ def fuse(candidates: DataFrame, queries: DataFrame, songs: DataFrame,
     fused = (F.col("_w.learned") * F.col("similarity") + F.col("_w.mert") * mert_sim
              + F.col("_w.handcrafted") * hc_sim)
     applies = F.coalesce(F.col("q_has_hc"), F.lit(False)) & F.col("r_hc").isNotNull()
-    order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "rank", "id")
-    return (both.withColumn("similarity", F.round(
-                F.when(applies, fused).otherwise(F.col("similarity")), 12))
-            .withColumn("rank", F.row_number().over(order))
-            .select("query_id", "id", "similarity", "rank", *carry))
+    scored = both.withColumn("similarity", F.round(
+        F.when(applies, fused).otherwise(F.col("similarity")), 12))
+    if renumber:
+        order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "rank", "id")
+        scored = scored.withColumn("rank", F.row_number().over(order))
+    return scored.select("query_id", "id", "similarity", "rank", *carry)
 
 
-def dedup_versions(ranked: DataFrame, songs: DataFrame | None = None) -> DataFrame:
-    """Keep the best ranked row per artist and base title; ranks are renewed.
+def version_key(title: Column | str = "title", artist: Column | str = "artist") -> Column:
+    """What all versions of one track share: artist and base title."""
+    return F.concat_ws("||", F.lower(F.coalesce(artist, F.lit(""))),
+                       base_title(F.coalesce(title, F.lit(""))))
 
-    ``title`` and ``artist`` come from ``ranked``, or from ``songs`` by ``id``.
+
+def with_version_key(songs: DataFrame) -> DataFrame:
+    """Songs with ``version_key``, computed once per song and not once per candidate."""
+    return songs.withColumn("version_key", version_key())
+
+
+def dedup_versions(ranked: DataFrame, songs: DataFrame | None = None, *,
+                   by_score: bool = False) -> DataFrame:
+    """Keep the best ranked row per ``version_key``; ranks are renewed.
+
+    The key is a column of ``ranked``, or is looked up in ``songs`` by ``id``.
+    With ``by_score`` the order is (similarity, rank, id), else rank alone.
     """
     named = ranked if songs is None else ranked.join(
-        songs.select("id", "title", "artist"), "id", "left")
-    key = F.concat_ws("||", F.lower(F.coalesce("artist", F.lit(""))),
-                      base_title(F.coalesce("title", F.lit(""))))
-    first = Window.partitionBy("query_id", "_key").orderBy("rank")
-    order = Window.partitionBy("query_id").orderBy("rank")
-    return (named.withColumn("_key", key)
-            .withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n", "_key")
-            .withColumn("rank", F.row_number().over(order)))
+        with_version_key(songs).select("id", "version_key"), "id", "left")
+    by = (F.desc("similarity"), F.asc("rank"), F.asc("id")) if by_score else (F.asc("rank"),)
+    first = Window.partitionBy("query_id", "version_key").orderBy(*by)
+    order = Window.partitionBy("query_id").orderBy(*by)
+    return (named.withColumn("_n", F.row_number().over(first)).where("_n = 1")
+            .drop("_n", "version_key").withColumn("rank", F.row_number().over(order)))
 
 
 def head(ranked: DataFrame, limit: int) -> DataFrame:

@@ -50,9 +50,9 @@ def similar(queries: DataFrame, songs: DataFrame, limit: int = 20, *,
         pool = (pool.join(asked.select("query_id", "exclude_ids"), "query_id")
                 .where(~F.coalesce(F.array_contains("exclude_ids", F.col("id")), F.lit(False)))
                 .drop("exclude_ids"))
-    fused = R.fuse(pool, asked, songs, genre_weights, focus,
-                   carry=("title", "artist", "learned"), layout=layout)
-    ranked = R.mmr(R.dedup_versions(fused), limit, lam=lam)
+    fused = R.fuse(pool, asked, R.with_version_key(songs), genre_weights, focus,
+                   carry=("version_key", "learned"), layout=layout, renumber=False)
+    ranked = R.mmr(R.dedup_versions(fused, by_score=True), limit, lam=lam)
     return R.min_similarity(ranked, min_sim)
 
 
@@ -72,9 +72,9 @@ def blend(pairs: DataFrame, songs: DataFrame, limit: int = 20, *,
     pool = (pool.join(asked.select("query_id", "song_a", "song_b"), "query_id")
             .where((F.col("id") != F.col("song_a")) & (F.col("id") != F.col("song_b")))
             .drop("song_a", "song_b"))
-    fused = R.fuse(pool, asked.select("query_id", "handcrafted"), songs, mert=None,
-                   carry=("title", "artist"), layout=layout)
-    ranked = R.head(R.dedup_versions(fused), limit).select("query_id", "id", "similarity", "rank")
+    fused = R.fuse(pool, asked.select("query_id", "handcrafted"), R.with_version_key(songs),
+                   mert=None, carry=("version_key",), layout=layout, renumber=False)
+    ranked = R.head(R.dedup_versions(fused, by_score=True), limit).select("query_id", "id", "similarity", "rank")
     return R.min_similarity(ranked, min_sim)
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from soundalike.functions import layout as L
+from soundalike.functions.harmonic import CAMELOT
 from soundalike.operators import feedback as FB
 from soundalike.operators import rank as R
 from soundalike.operators import results as RS
@@ -205,7 +206,7 @@ def dedup_sql(source: str, name: str = "deduped") -> str:
 def d5(spark, sf):
     songs = V.songs(spark, sf)
     q, cand = _candidates(songs)
-    fused = R.fuse(cand, q, songs, carry=("title", "artist"))
+    fused = R.fuse(cand, q, R.with_version_key(songs), carry=("version_key",))
     return shown(R.dedup_versions(fused))
 
 
@@ -413,10 +414,8 @@ def d11(spark, sf):
         "journey_id", "steps", F.round("distance", 6).alias("distance"), "genres")
 
 
-COMPAT = {c: v for c, v in __import__(
-    "soundalike.functions.harmonic", fromlist=["CAMELOT"]).CAMELOT.items()}
 CAMELOT_CTE = "wheel(k, code) AS (VALUES " + ", ".join(
-    f"('{k}', '{v}')" for k, v in COMPAT.items()) + ")"
+    f"('{k}', '{v}')" for k, v in CAMELOT.items()) + ")"
 COMPAT_CASE = """CASE WHEN {a} IS NULL OR {b} IS NULL THEN NULL
   WHEN right({a}, 1) = right({b}, 1) AND {d} <= 1 THEN 'perfect'
   WHEN (right({a}, 1) = right({b}, 1) AND {d} = 2)

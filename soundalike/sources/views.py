@@ -23,7 +23,7 @@ def songs(spark: SparkSession, sf_dir: str) -> DataFrame:
     vec = F.col("embedding").cast("array<double>")
     raw = F.slice(vec, 1, 44)
     return (
-        e.withColumn("p_partkey", F.floor(n / 3).cast("long")).join(p, "p_partkey", "left")
+        e.withColumn("p_partkey", F.expr("vec_id div 3")).join(p, "p_partkey", "left")
         .select(
             n.alias("id"),
             F.concat(F.coalesce("p_name", F.lit("untitled")),
