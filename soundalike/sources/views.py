@@ -189,3 +189,152 @@ PLAYLISTS_SQL = """playlists AS (
   FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey
           ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity) AS position
         FROM lineitem) JOIN part ON p_partkey = l_partkey)"""
+
+
+# Tables derived for the metadata, graph and upload operators.
+
+def genre_name(k: F.Column) -> F.Column:
+    return F.concat(F.when(k % 5 == 0, "Child's play ").otherwise("Genre "), k.cast("string"))
+
+
+def raw_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text columns of a raw track table, one row per part."""
+    p = table(spark, sf_dir, "part")
+    n = F.col("p_partkey")
+
+    def record(k: F.Column) -> F.Column:
+        quote = F.when(k % 5 == 0, '"').otherwise("'")
+        return F.concat(F.lit("{'genre_id': '"), k.cast("string"), F.lit("', 'genre_title': "),
+                        quote, genre_name(k), quote, F.lit(", 'genre_url': 'http://x/'}"))
+
+    literal = F.when(n % 9 == 0, "[{'genre_title': 'Broken'").otherwise(
+        F.concat(F.lit("["), record(n * 3), F.lit(", "), record(n), F.lit("]")))
+    date = F.concat(F.lit("7/4/"), (1990 + n % 30).cast("string"), F.lit(" 01:48:12 AM"))
+    return p.select(
+        F.when(n % 50 == 49, F.concat(F.lit("x"), n.cast("string"))).otherwise(
+            n.cast("string")).alias("track_id"),
+        F.when(n % 13 == 0, "").when(n % 17 == 0, F.concat(
+            F.lit('He said "go",\n'), F.col("p_name"))).otherwise(F.col("p_name")).alias("track_title"),
+        F.when(n % 19 == 0, "").otherwise(F.col("p_brand")).alias("artist_name"),
+        F.when(n % 3 == 0, "").otherwise(F.col("p_type")).alias("album_title"),
+        F.concat_ws(":", (n % 9).cast("string"), F.lpad(F.col("p_size").cast("string"), 2, "0")
+                    ).alias("track_duration"),
+        literal.alias("track_genres"),
+        F.when(n % 2 == 0, date).otherwise("").alias("track_date_recorded"),
+        date.alias("track_date_created"))
+
+
+_GENRE_SQL = "(CASE WHEN ({k}) % 5 = 0 THEN 'Child''s play ' ELSE 'Genre ' END || ({k}))"
+TRACK_META_SQL = f"""track_meta AS (
+  SELECT p_partkey AS track_id,
+    CASE WHEN p_partkey % 13 = 0 THEN '' WHEN p_partkey % 17 = 0
+      THEN 'He said "go",' || chr(10) || p_name ELSE p_name END AS track_title,
+    CASE WHEN p_partkey % 19 = 0 THEN '' ELSE p_brand END AS artist_name,
+    CASE WHEN p_partkey % 3 = 0 THEN '' ELSE p_type END AS album_title,
+    ((p_partkey % 9) * 60 + p_size)::DOUBLE AS duration_sec,
+    CASE WHEN p_partkey % 9 = 0 THEN NULL
+      WHEN p_partkey * 3 <= (SELECT max(p_partkey) FROM part)
+      THEN {_GENRE_SQL.format(k='p_partkey * 3')} ELSE {_GENRE_SQL.format(k='p_partkey')} END
+      AS sub_genre,
+    CASE WHEN p_partkey % 9 = 0 THEN NULL
+      WHEN p_partkey * 3 <= (SELECT max(p_partkey) FROM part)
+      THEN {_GENRE_SQL.format(k='p_partkey * 3 // 8')} ELSE {_GENRE_SQL.format(k='p_partkey // 8')}
+      END AS genre,
+    (1990 + p_partkey % 30)::BIGINT AS release_year
+  FROM part WHERE p_partkey % 50 <> 49)"""
+
+
+def genre_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One genre per part; eight genres share a parent."""
+    n = F.col("p_partkey")
+    return table(spark, sf_dir, "part").select(
+        n.cast("int").alias("genre_id"), genre_name(n).alias("title"),
+        F.expr("cast(p_partkey div 8 as int)").alias("top_level"))
+
+
+TAG_NAMES = ("techno", "house", "ambient", "idm", "rock", "pop", "folk", "club", "edm", "jazz")
+
+
+def tag_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ragged tab-separated tag lines, one per document."""
+    n = F.col("doc_id")
+    names = F.array(*map(F.lit, TAG_NAMES))
+    tags = [F.concat(F.lit("genre---"), F.get(names, ((n * k) % 10).cast("int"))) for k in (3, 7)]
+    num = n.cast("string")
+    return table(spark, sf_dir, "documents").select(F.when(n % 10 == 9, F.concat_ws(
+        "\t", F.concat(F.lit("track_"), num), F.lit("a"), F.lit("b"))).otherwise(F.concat_ws(
+            "\t", F.concat(F.lit("track_"), num), F.lit("a"), F.lit("b"),
+            F.concat(F.lit("14/"), num, F.lit(".mp3")),
+            F.when(n % 7 == 0, "bad").otherwise((F.col("n_chars") / 8).cast("string")),
+            tags[0], F.lit("mood---calm"), F.when(n % 2 == 0, tags[1]))).alias("value"))
+
+
+TAG_ROWS_SQL = """tag_rows AS (
+  SELECT 'track_' || doc_id AS track_id, '14/' || doc_id || '.mp3' AS path, doc_id,
+    CASE WHEN doc_id % 7 = 0 THEN 0 ELSE n_chars / 8 END AS tag_duration,
+    list_concat([names[doc_id * 3 % 10 + 1]],
+                CASE WHEN doc_id % 2 = 0 THEN [names[doc_id * 7 % 10 + 1]] ELSE [] END) AS tags
+  FROM documents, (SELECT ['techno','house','ambient','idm','rock','pop','folk','club','edm','jazz']
+                   AS names)
+  WHERE doc_id % 10 <> 9)"""
+
+
+def meta_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("doc_id")
+    num = n.cast("string")
+    return table(spark, sf_dir, "documents").select(F.concat_ws(
+        "\t", F.concat(F.lit("track_"), num), F.lit("a"), F.lit("b"),
+        F.when(n % 6 == 0, "").otherwise(F.concat_ws(" ", "source", num)), F.col("lang"),
+        F.col("source"), F.when(n % 8 == 0, "unknown").otherwise(F.concat(
+            (1995 + n % 25).cast("string"), F.lit("-12-28")))).alias("value"))
+
+
+META_ROWS_SQL = """meta_rows AS (
+  SELECT 'track_' || doc_id AS track_id,
+    CASE WHEN doc_id % 6 = 0 THEN '' ELSE source || ' ' || doc_id END AS title,
+    lang AS artist, source AS album,
+    CASE WHEN doc_id % 8 <> 0 THEN 1995 + doc_id % 25 END::BIGINT AS release_year FROM documents)"""
+
+
+def artist_graph(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """Suppliers as artists, their best-selling parts as top tracks, parts as albums."""
+    from pyspark.sql import Window
+    li = table(spark, sf_dir, "lineitem").groupBy("l_suppkey", "l_partkey").agg(
+        F.count("*").alias("n"))
+    w = Window.partitionBy("l_suppkey").orderBy(F.desc("n"), "l_partkey")
+    p = table(spark, sf_dir, "part")
+    n = F.col("p_partkey")
+    tracks = (li.withColumn("pos", F.row_number().over(w)).join(p, n == F.col("l_partkey"))
+              .select(F.col("l_suppkey").alias("artist_id"), "pos", n.alias("track_id"),
+                      F.col("p_name").alias("title"), n.alias("album_id"),
+                      F.when(n % 4 != 0, F.concat(F.lit("http://p/"), n.cast("string"))
+                             ).alias("preview")))
+    ids = F.array(F.lit(106), F.lit(129), F.lit(85), F.lit(464), F.lit(2), F.lit(113), F.lit(98))
+    albums = p.select(
+        n.alias("album_id"), F.get(ids, (n % 7).cast("int")).alias("genre_id"),
+        F.array(F.struct(F.get(ids, (n * 3 % 7 + n % 2).cast("int")).alias("id"),
+                         F.lit("x").alias("name"))).alias("genres"))
+    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("artist_id"))
+    a = F.col("artist_id")
+    related = s.select("artist_id", F.posexplode(F.array(a + 1, a * 2, F.expr("artist_id div 2"))
+                                                 ).alias("pos", "related_id"))
+    related = (related.withColumn("pos", F.col("pos") + 1)
+               .where(F.col("related_id") != a)
+               .join(s.withColumnRenamed("artist_id", "related_id"), "related_id", "left_semi"))
+    return {"artists": s, "tracks": tracks, "albums": albums, "related": related}
+
+
+GRAPH_SQL = """graph AS (
+  SELECT l_suppkey AS artist_id, row_number() OVER (
+      PARTITION BY l_suppkey ORDER BY n DESC, l_partkey) AS pos, l_partkey AS track_id, p_name AS title,
+    CASE WHEN l_partkey % 4 <> 0 THEN 'http://p/' || l_partkey END AS preview,
+    list_has_any([ids[l_partkey % 7 + 1], ids[l_partkey * 3 % 7 + l_partkey % 2 + 1]],
+                 [106, 113, 85]) AS electronic
+  FROM (SELECT l_suppkey, l_partkey, count(*) AS n FROM lineitem GROUP BY ALL)
+  JOIN part ON p_partkey = l_partkey, (SELECT [106,129,85,464,2,113,98] AS ids)),
+related AS (
+  SELECT artist_id, pos, related_id FROM (
+    SELECT s_suppkey AS artist_id, unnest([s_suppkey + 1, s_suppkey * 2, s_suppkey // 2]) AS related_id,
+      unnest([1, 2, 3]) AS pos FROM supplier)
+  WHERE related_id <> artist_id AND related_id IN (SELECT s_suppkey FROM supplier)),
+gate AS (SELECT artist_id FROM graph WHERE pos = 1 AND coalesce(electronic, false))"""
