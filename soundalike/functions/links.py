@@ -7,7 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from soundalike.functions.text import nonempty, strip
+from soundalike.functions.text import nonempty, once, strip
 from soundalike.functions.vectors import ColumnOrName, col
 
 MAX_URL_LENGTH = 2048
@@ -91,10 +91,12 @@ def deezer_id(url: ColumnOrName) -> Column:
 
 def link_id(url: ColumnOrName) -> Column:
     """Track id of a supported link, NULL where it is not a valid track link."""
-    platform = detect_platform(url)
-    found = (F.when(platform == "youtube", video_id(url))
-             .when(platform == "spotify", spotify_id(url))
-             .when(platform == "soundcloud", soundcloud_id(url))
-             .when(platform == "apple_music", apple_id(url))
-             .when(platform == "deezer", deezer_id(url)))
-    return F.when(F.length(col(url)) <= MAX_URL_LENGTH, found)
+    def found(u: Column) -> Column:
+        platform = detect_platform(u)
+        return F.when(F.length(u) <= MAX_URL_LENGTH, F.when(platform == "youtube", video_id(u))
+                      .when(platform == "spotify", spotify_id(u))
+                      .when(platform == "soundcloud", soundcloud_id(u))
+                      .when(platform == "apple_music", apple_id(u))
+                      .when(platform == "deezer", deezer_id(u)))
+
+    return once(col(url), found)

@@ -72,6 +72,15 @@ def artists_match(a: ColumnOrName, b: ColumnOrName) -> Column:
         F.lit(False))
 
 
+def once(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` evaluated one time, however often ``use`` names it.
+
+    Keeps expressions that branch on a cleaned string from being expanded branch by
+    branch into one very large generated method.
+    """
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _before(c: Column, sep: str) -> Column:
     return strip(F.substring_index(c, sep, 1))
 
@@ -83,40 +92,45 @@ def _after(c: Column, sep: str) -> Column:
 def parse_title(title: ColumnOrName, author: ColumnOrName) -> Column:
     """struct(artist, title) from ``Artist - Title`` or a plain title."""
     raw = F.coalesce(col(title), F.lit(""))
-    cleaned = strip(F.regexp_replace(raw, NOISE_BLOCK, ""))
-    split_up = cleaned.contains(" - ")
-    who = F.coalesce(nonempty(author), F.lit("Unknown"))
-    return F.struct(
-        F.when(split_up, _before(cleaned, " - ")).otherwise(strip(who)).alias("artist"),
-        F.when(split_up, _after(cleaned, " - "))
-        .otherwise(F.coalesce(nonempty(cleaned), raw)).alias("title"))
+    who = strip(F.coalesce(nonempty(author), F.lit("Unknown")))
+
+    def parts(cleaned: Column) -> Column:
+        split_up = cleaned.contains(" - ")
+        return F.struct(
+            F.when(split_up, _before(cleaned, " - ")).otherwise(who).alias("artist"),
+            F.when(split_up, _after(cleaned, " - "))
+            .otherwise(F.coalesce(nonempty(cleaned), raw)).alias("title"))
+
+    return once(strip(F.regexp_replace(raw, NOISE_BLOCK, "")), parts)
 
 
 def parse_video_title(title: ColumnOrName, author: ColumnOrName) -> Column:
     """struct(artist, title) from ``A - T``, ``A | T`` or ``T by A``."""
-    t = strip(F.regexp_replace(F.coalesce(col(title), F.lit("")), VIDEO_SUFFIX, ""))
     who = strip_topic(F.coalesce(col(author), F.lit("")))
     by = r"(?iU)^(.+?)\s+by\s+(.+)$"
-    dash, bar = t.contains(" - "), t.contains(" | ")
-    artist = (F.when(dash, _before(t, " - ")).when(bar, _before(t, " | "))
-              .when(t.rlike(by), strip(F.regexp_extract(t, by, 2))).otherwise(who))
-    name = (F.when(dash, _after(t, " - ")).when(bar, _after(t, " | "))
-            .when(t.rlike(by), strip(F.regexp_extract(t, by, 1))).otherwise(t))
-    return F.struct(artist.alias("artist"), name.alias("title"))
+
+    def parts(t: Column) -> Column:
+        dash, bar = t.contains(" - "), t.contains(" | ")
+        artist = (F.when(dash, _before(t, " - ")).when(bar, _before(t, " | "))
+                  .when(t.rlike(by), strip(F.regexp_extract(t, by, 2))).otherwise(who))
+        name = (F.when(dash, _after(t, " - ")).when(bar, _after(t, " | "))
+                .when(t.rlike(by), strip(F.regexp_extract(t, by, 1))).otherwise(t))
+        return F.struct(artist.alias("artist"), name.alias("title"))
+
+    return once(strip(F.regexp_replace(F.coalesce(col(title), F.lit("")), VIDEO_SUFFIX, "")), parts)
 
 
 def parse_duration(text: ColumnOrName) -> Column:
     """``MM:SS`` or ``HH:MM:SS`` to seconds, NULL otherwise."""
-    t = strip(text)
-    pieces = F.split(t, ":")
+    numbers = F.transform(F.split(strip(text), ":"), lambda p: F.when(
+        strip(p).rlike(r"^\d+$"), strip(p).cast("double")))
 
-    def number(i: int) -> Column:
-        return F.get(pieces, F.lit(i)).cast("double")
+    def seconds(n: Column) -> Column:
+        at = lambda i: F.get(n, F.lit(i))
+        return (F.when(F.size(n) == 2, at(0) * 60 + at(1))
+                .when(F.size(n) == 3, at(0) * 3600 + at(1) * 60 + at(2)))
 
-    two = t.rlike(r"^\s*\d+\s*:\s*\d+\s*$")
-    three = t.rlike(r"^\s*\d+\s*:\s*\d+\s*:\s*\d+\s*$")
-    return (F.when(two, number(0) * 60 + number(1))
-            .when(three, number(0) * 3600 + number(1) * 60 + number(2)))
+    return once(numbers, seconds)
 
 
 def parse_year(text: ColumnOrName) -> Column:

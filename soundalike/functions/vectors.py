@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from itertools import groupby
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -109,11 +110,6 @@ def valid_vector(v: ColumnOrName, n: int) -> Column:
         & ~F.exists(col(v), lambda x: x.isNull() | F.isnan(x)), F.lit(False))
 
 
-def category_norms(v: ColumnOrName, layout: Mapping[str, Sequence[int]] = FOCUS) -> Column:
-    """Struct of the L2 norm of each category slice."""
-    return F.struct(*[norm(gather(v, dims)).alias(name) for name, dims in layout.items()])
-
-
 def category_units(v: ColumnOrName, layout: Mapping[str, Sequence[int]] = FOCUS,
                    weights: Mapping[str, Column] | None = None) -> Column:
     """Each category slice scaled to unit length (times its weight), in place.
@@ -123,23 +119,21 @@ def category_units(v: ColumnOrName, layout: Mapping[str, Sequence[int]] = FOCUS,
     """
     width = 1 + max(i for dims in layout.values() for i in dims)
     owner = {i: name for name, dims in layout.items() for i in dims}
+    runs = [(name, len(list(group)))
+            for name, group in groupby(owner.get(i) for i in range(width))]
 
-    def factors(norms: Column) -> Column:
-        parts = []
-        for i in range(width):
-            if i not in owner:
-                parts.append(F.lit(0.0))
-                continue
-            n = norms[owner[i]]
-            w = weights[owner[i]] if weights else F.lit(1.0)
-            parts.append(F.when(n == 0, F.lit(0.0)).otherwise(w / n))
-        return F.array(*parts)
+    def factor(n: Column, name: str) -> Column:
+        w = weights[name] if weights else F.lit(1.0)
+        return F.when(n == 0, F.lit(0.0)).otherwise(w / n).alias(name)
 
-    return F.get(
-        F.transform(
-            F.array(category_norms(v, layout)),
-            lambda norms: F.zip_with(
-                col(v), factors(norms), lambda x, f: F.coalesce(x * f, F.lit(0.0)))), F.lit(0))
+    factors = F.struct(*[factor(norm(gather(v, dims)), name) for name, dims in layout.items()])
+
+    def scaled(f: Column) -> Column:
+        by_position = F.concat(*[
+            F.array_repeat(f[name] if name else F.lit(0.0), count) for name, count in runs])
+        return F.zip_with(col(v), by_position, lambda x, y: F.coalesce(x * y, F.lit(0.0)))
+
+    return F.get(F.transform(F.array(factors), scaled), F.lit(0))
 
 
 def feature_similarity(q: ColumnOrName, r: ColumnOrName,

@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from soundalike.functions.layout import FOCUS
 from soundalike.functions.text import base_title
@@ -70,7 +71,9 @@ def _prepared_queries(queries: DataFrame, genre_weights: DataFrame | None, focus
     by_category = F.coalesce(by_category, F.lit(False))
     hc, mert = F.col("handcrafted"), F.col("mert")
     return q.select(
-        "query_id", "focus", "weights", by_category.alias("by_category"),
+        "query_id", by_category.alias("by_category"),
+        fusion_weights(F.col("focus"), F.lit(True), w).alias("w_mert"),
+        fusion_weights(F.col("focus"), F.lit(False), w).alias("w_plain"),
         F.when(by_category, category_units(hc, layout, factor)).otherwise(unit(hc)).alias("q_hc"),
         F.when(F.size(mert) > 0, unit(mert)).alias("q_mert"),
         (F.size(hc) > 0).alias("q_has_hc"))
@@ -111,13 +114,13 @@ def fuse(candidates: DataFrame, queries: DataFrame, songs: DataFrame,
     pool = Window.partitionBy("query_id")
     both = both.withColumn("has_mert", F.col("q_mert").isNotNull() & F.coalesce(
         F.max(F.col("r_mert").isNotNull()).over(pool), F.lit(False)))
-    share = fusion_weights(F.col("focus"), F.col("has_mert"), F.col("weights"))
-    both = both.withColumn("_w", share)
+    share = {n: F.when(F.col("has_mert"), F.col(f"w_mert.{n}")).otherwise(F.col(f"w_plain.{n}"))
+             for n in ("learned", "mert", "handcrafted")}
     hc_sim = F.when(F.col("by_category"), dot("q_hc", "r_cat")).otherwise(dot("q_hc", "r_hc"))
     mert_sim = F.when(F.col("has_mert") & F.col("r_mert").isNotNull(),
                       dot("q_mert", "r_mert")).otherwise(F.lit(0.0))
-    fused = (F.col("_w.learned") * F.col("similarity") + F.col("_w.mert") * mert_sim
-             + F.col("_w.handcrafted") * hc_sim)
+    fused = (share["learned"] * F.col("similarity") + share["mert"] * mert_sim
+             + share["handcrafted"] * hc_sim)
     applies = F.coalesce(F.col("q_has_hc"), F.lit(False)) & F.col("r_hc").isNotNull()
     scored = both.withColumn("similarity", F.round(
         F.when(applies, fused).otherwise(F.col("similarity")), 12))
@@ -191,23 +194,28 @@ def mmr(ranked: DataFrame, limit: int, *, songs: DataFrame | None = None, vec: s
     rows = rows.select("query_id", "id", "similarity", "rank", *keep, F.col(vec).alias("_vec"))
     out = T.StructType([f for f in rows.schema.fields if f.name != "_vec"])
 
-    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("rank", kind="stable").reset_index(drop=True)
-        has = pdf["_vec"].notna().to_numpy()
-        if len(pdf) <= limit or not has.any():
-            order = list(range(min(limit, len(pdf))))
-        else:
-            width = len(pdf["_vec"][int(np.argmax(has))])
-            m = np.zeros((len(pdf), width))
-            m[has] = np.stack(pdf["_vec"][has].to_list())
+    shape = to_arrow_schema(out)
+
+    def pick(pool: pa.Table) -> pa.Table:
+        order = np.argsort(pool.column("rank").to_numpy(), kind="stable")
+        vec = pool.column("_vec").combine_chunks()
+        has = np.asarray(vec.is_valid())[order]
+        if len(order) > limit and has.any():
+            present = vec.drop_null().flatten().to_numpy(zero_copy_only=False)
+            rows = present.reshape(int(has.sum()), -1)
+            m = np.zeros((len(order), rows.shape[1]))
+            m[np.asarray(vec.is_valid())] = rows
+            m = m[order]
             norms = np.sqrt((m * m).sum(axis=1))
             m /= np.where(norms > 0, norms, 1.0)[:, None]
-            order = _mmr_picks(pdf["similarity"].to_numpy(float), m, has, limit, lam)
-        chosen = pdf.drop(columns="_vec").iloc[order].copy()
-        chosen["rank"] = np.arange(1, len(chosen) + 1)
-        return chosen
-
-    return rows.groupBy("query_id").applyInPandas(pick, out)
+            relevance = pool.column("similarity").to_numpy()[order]
+            order = order[_mmr_picks(relevance, m, has, limit, lam)]
+        order = order[:limit]
+        chosen = pool.select(shape.names).take(pa.array(order))
+        ranks = pa.array(np.arange(1, len(order) + 1), type=shape.field("rank").type)
+        return chosen.set_column(chosen.schema.get_field_index("rank"), "rank", ranks).cast(shape)
+
+    return rows.groupBy("query_id").applyInArrow(pick, out)
 
 
 def min_similarity(ranked: DataFrame, floor: float = MIN_SIMILARITY) -> DataFrame:

@@ -189,11 +189,10 @@ TITLE_FORMS = (
 
 def _noisy(spark, sf):
     p = V.table(spark, sf, "part")
-    form = F.lit(None).cast("string")
-    for i, f in enumerate(TITLE_FORMS):
-        made = F.replace(F.replace(F.lit(f), F.lit("{t}"), F.col("p_name")), F.lit("{a}"),
-                         F.col("p_brand"))
-        form = F.when(F.col("p_partkey") % len(TITLE_FORMS) == i, made).otherwise(form)
+    pattern = F.get(F.array(*map(F.lit, TITLE_FORMS)),
+                    (F.col("p_partkey") % len(TITLE_FORMS)).cast("int"))
+    form = F.replace(F.replace(pattern, F.lit("{t}"), F.col("p_name")), F.lit("{a}"),
+                     F.col("p_brand"))
     author = F.concat(F.col("p_brand"), F.when(F.col("p_partkey") % 3 == 0, " - Topic").otherwise(""))
     return p.select("p_partkey", form.alias("raw"), author.alias("author"), "p_brand", "p_name",
                     "p_type")

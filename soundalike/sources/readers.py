@@ -77,7 +77,16 @@ def read_fma_subset(spark: SparkSession, path: str, subset: str = "small") -> Da
     """
     raw = (spark.read.option("header", False).option("multiLine", True).option("quote", '"')
            .option("escape", '"').csv(path))
-    group, name = raw.limit(2).collect()  # the two header rows
+    cells = F.array(*[F.col(c).cast("string") for c in raw.columns])
+
+    def header(*names: str):
+        """The header row with these names; found by content, since files have no order."""
+        has = F.lit(True)
+        for n in names:
+            has = has & F.array_contains(cells, n)
+        return raw.where(has).first()
+
+    group, name = header("set", "track"), header("subset", "genre_top")
     where = {(g, n): c for c, g, n in zip(raw.columns, group, name)}
     first = raw.columns[0]
     return (raw.withColumn("track_id", F.col(first).try_cast("long"))
