@@ -33,6 +33,14 @@ def genre_focus_weights(votes: DataFrame, songs: DataFrame, min_votes: int = 20)
         F.col("id").alias("query_song_id"), "genre")
     per = (counted.join(genres, "query_song_id")
            .groupBy("genre", "focus_active").agg(F.sum("n").alias("vote_count")))
+    return weights_from_votes(per, min_votes)
+
+
+def weights_from_votes(per: DataFrame, min_votes: int = 20) -> DataFrame:
+    """E4, last step: ``genre, focus_active, vote_count`` -> shares of well-voted genres.
+
+    A genre has one row per focus category, so the window groups are tiny.
+    """
     total = F.sum("vote_count").over(Window.partitionBy("genre"))
     return (per.withColumn("_total", total).where(F.col("_total") >= min_votes)
             .select("genre", F.col("focus_active").alias("focus_category"),

@@ -2,7 +2,8 @@
 
 from importlib import import_module
 
-QUERY_MODULES = ("retrieval_queries", "function_queries", "catalog_queries")
+QUERY_MODULES = ("retrieval_queries", "function_queries", "catalog_queries",
+                 "streaming_queries")
 
 
 def load_queries() -> tuple[dict, dict]:
