@@ -85,14 +85,17 @@ def k4(spark, sf):
         F.date_format("updated_at", TIME).alias("updated_at"))
 
 
-@query("k5_stalled_stream")
+@query("k5_stalled_stream", "WITH " + STATE_SQL + """, last AS (SELECT max(updated_at) AS t FROM state)
+SELECT job_id::VARCHAR AS job_id, coalesce(status = 'processing' AND updated_at
+    + INTERVAL 300 SECOND < t, false) AS stalled,
+  CASE WHEN status = 'processing' AND updated_at + INTERVAL 300 SECOND < t THEN 'failed' ELSE status
+  END AS status FROM state, last""")
 def k5(spark, sf):
-    """Status reports of all jobs; stalls would follow on the wall clock."""
-    out, cp = _paths(spark, "k5")
+    """Jobs silent on event time once the stream has been read to its end."""
     events = V.job_events(_streams(spark), sf).select(
-        F.col("job_id").cast("string").alias("job_id"), "status", "updated_at")
-    ST.write_versions(ST.stream_stalled_jobs(events), out, cp, "update").awaitTermination()
-    return spark.read.parquet(out).select("job_id", "status", "stalled")
+        F.col("job_id").cast("string").alias("job_id"), "status", "seq", "updated_at")
+    return _versions(spark, ST.stream_stalled_jobs(events, clock="event"), "k5", ["job_id"]).select(
+        "job_id", "status", "stalled")
 
 
 @query("k7_recommend_stream", """

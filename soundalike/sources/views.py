@@ -84,7 +84,7 @@ def feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.get(F.array(*map(F.lit, FOCI)), (k % 6).cast("int")).alias("focus_active"),
         F.concat(F.lit("10.0.0."), (F.col("user_id") % 250).cast("string")).alias("ip"),
         F.when(F.col("user_id") % 2 == 0, "control").otherwise("treatment").alias("ab_group"),
-        F.col("ts").alias("created_at")).where(F.col("rating").isNotNull()))
+        F.col("ts").cast("timestamp").alias("created_at")).where(F.col("rating").isNotNull()))
 
 
 FEEDBACK_SQL = """feedback AS (
@@ -118,7 +118,7 @@ def clicks(spark: SparkSession, sf_dir: str) -> DataFrame:
             "result_song_id"),
         k.cast("int").alias("result_rank"),
         F.when(F.col("user_id") % 2 == 0, "control").otherwise("treatment").alias("ab_group"),
-        action.alias("action"), F.col("ts").alias("created_at"))
+        action.alias("action"), F.col("ts").cast("timestamp").alias("created_at"))
 
 
 CLICKS_SQL = """clicks AS (
@@ -144,7 +144,7 @@ def job_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(n % 4 == 0, F.concat(F.lit("/jobs/"), n.cast("string"))).alias("audio_path"),
         F.when(status == "completed", F.concat(F.lit("r"), n.cast("string"))).alias("result"),
         F.when(n % 11 == 0, "decode error").alias("last_error"),
-        F.col("o_orderdate").alias("updated_at"))
+        F.col("o_orderdate").cast("timestamp").alias("updated_at"))
 
 
 JOB_EVENTS_SQL = """job_events AS (

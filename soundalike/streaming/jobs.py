@@ -125,7 +125,9 @@ def stream_stalled_jobs(events: DataFrame, after_sec: int = STALL_AFTER_SEC,
 
     State per job is its last status and time.  A later real update is reported as
     it comes and so replaces the stall.  ``clock="event"`` measures silence on event
-    time behind a watermark instead of the wall clock.
+    time behind a watermark instead of the wall clock.  The wall clock needs a
+    running query (``processingTime`` trigger): it always has one more batch to run,
+    so ``availableNow`` would not end.
     """
     on_event = clock == "event"
     source = events.withWatermark("updated_at", watermark) if on_event else events
@@ -142,7 +144,8 @@ def stream_stalled_jobs(events: DataFrame, after_sec: int = STALL_AFTER_SEC,
             return
         last = state.get if state.exists else None
         for pdf in batches:
-            row = pdf.sort_values("updated_at", kind="stable").iloc[-1]
+            by = ["updated_at", "seq"] if "seq" in pdf else ["updated_at"]
+            row = pdf.sort_values(by, kind="stable").iloc[-1]
             at = row["updated_at"].value // 1000
             if last is None or at >= last[1]:
                 last = (row["status"], at)
