@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from soundalike.functions import links, text
+from soundalike.session import cut
 
 GRAM = 3
 TITLE_POOL = 10
@@ -51,6 +52,30 @@ def _containing(needles: DataFrame, haystack: DataFrame) -> DataFrame:
             .select("needle", "hay"))
 
 
+def _both_contained(asked: DataFrame, hits: DataFrame, artist_hits: DataFrame, pairs: DataFrame
+                    ) -> DataFrame:
+    """Lowest id per (qt, qa) among songs whose title and artist contain them.
+
+    Two exact routes, chosen per request by the rows they would touch: over all
+    artists of the matching titles, or over the matching titles and matching
+    artists.  So neither a title nor an artist with a large share of the rows is
+    paired with everything.
+    """
+    width = pairs.groupBy("lt").agg(F.count("*").alias("n"))
+    t_cost = hits.join(width, "lt").groupBy("qt").agg(
+        F.sum("n").alias("rows"), F.count("*").alias("titles"))
+    a_cost = artist_hits.groupBy("qa").agg(F.count("*").alias("artists"))
+    routed = cut(asked.join(t_cost, "qt").join(a_cost, "qa").select(
+        "qt", "qa", (F.col("rows") <= F.col("titles") * F.col("artists")).alias("by_title")))
+    by_title = (routed.where("by_title").join(hits, "qt").join(pairs, "lt")
+                .where(F.col("la").contains(F.col("qa"))))
+    by_both = (routed.where("NOT by_title").join(hits, "qt").join(artist_hits, "qa")
+               .join(pairs, ["lt", "la"]))
+    cols = ("qt", "qa", "id")
+    return (by_title.select(*cols).unionByName(by_both.select(*cols))
+            .groupBy("qt", "qa").agg(F.min("id").alias("id1")))
+
+
 def _names(songs: DataFrame) -> DataFrame:
     return songs.select("id", F.lower("title").alias("lt"), F.lower("artist").alias("la"), "artist")
 
@@ -79,10 +104,12 @@ def identify(requests: DataFrame, songs: DataFrame, *, clean: bool = True) -> Da
     hits = _containing(needles, titles).withColumnsRenamed({"needle": "qt", "hay": "lt"})
 
     # Tier 1: lowest id per (title, artist) is enough, since the test sees only names.
+    hits = cut(hits)
     pairs = songs_.groupBy("lt", "la").agg(F.min("id").alias("id"))
-    tier1 = (asked.where("qt != '' AND qa != ''").join(hits, "qt").join(pairs, "lt")
-             .where(F.col("la").contains(F.col("qa")))
-             .groupBy("qt", "qa").agg(F.min("id").alias("id1")))
+    artists = songs_.where(F.col("la") != "").select(F.col("la").alias("hay")).distinct()
+    who = asked.where("qa != ''").select(F.col("qa").alias("needle")).distinct()
+    artist_hits = cut(_containing(who, artists).withColumnsRenamed({"needle": "qa", "hay": "la"}))
+    tier1 = _both_contained(asked.where("qt != '' AND qa != ''"), hits, artist_hits, pairs)
 
     # Tier 2: the ten lowest ids among all songs whose title contains the request.
     per_title = Window.partitionBy("lt").orderBy("id")
@@ -97,12 +124,9 @@ def identify(requests: DataFrame, songs: DataFrame, *, clean: bool = True) -> Da
              .groupBy("qt", "qa").agg(F.min("id").alias("id2")))
 
     # Tier 3: artist only.
-    artists = songs_.where(F.col("la") != "").groupBy("la").agg(F.min("id").alias("id3"))
-    lone = asked.where("qt = '' AND qa != ''").select(F.col("qa").alias("needle")).distinct()
-    tier3 = (_containing(lone, artists.select(F.col("la").alias("hay")))
-             .join(artists, F.col("la") == F.col("hay")).groupBy("needle")
-             .agg(F.min("id3").alias("id3"))
-             .select(F.lit("").alias("qt"), F.col("needle").alias("qa"), "id3"))
+    by_artist = songs_.groupBy("la").agg(F.min("id").alias("id3"))
+    tier3 = (asked.where("qt = '' AND qa != ''").join(artist_hits, "qa").join(by_artist, "la")
+             .groupBy("qt", "qa").agg(F.min("id3").alias("id3")))
 
     found = (asked.join(tier1, ["qt", "qa"], "left").join(tier2, ["qt", "qa"], "left")
              .join(tier3, ["qt", "qa"], "left"))

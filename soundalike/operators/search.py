@@ -37,7 +37,7 @@ DIGITS = 12
 MAX_SCAN_QUERIES = 4096
 MAX_SCAN_BYTES = 32 << 20
 MAX_PIVOTS = 1024
-BLOCK_ROWS = 8192
+BLOCK_ROWS = 16384
 ANGLE_SLACK = 1e-6
 
 
@@ -187,16 +187,28 @@ def _home_cells(angles: np.ndarray, counts: np.ndarray, need: int, probes: int |
     return take
 
 
+def _without_surplus_copies(cat: DataFrame, k: int) -> DataFrame:
+    """Drop rows that cannot be among the k best: all but the k smallest ids of equal vectors.
+
+    Hashes that occur more than ``k`` times are found on narrow, pre-aggregated
+    rows; only the rows of such groups are ranked, and they are cut map-side first.
+    """
+    cat = cat.withColumn("_h", F.xxhash64("vec"))
+    crowded = cut(cat.groupBy("_h").agg(F.count("*").alias("n")).where(F.col("n") > k).select("_h"))
+    copies = Window.partitionBy("_h", "vec").orderBy("id")
+    first = (cat.join(crowded, "_h", "left_semi").withColumn("_n", F.row_number().over(copies))
+             .where(F.col("_n") <= k).drop("_n"))
+    return cat.join(crowded, "_h", "left_anti").unionByName(first).drop("_h")
+
+
 def _cells(queries: DataFrame, cat: DataFrame, k: int, out: T.StructType, *,
            n_pivots: int, block_rows: int, probes: int | None) -> DataFrame:
     spark = cat.sparkSession
     q_type, id_type, x_type = (out[c].dataType for c in ("query_id", "id", "extra"))
-    vec_type = T.ArrayType(T.DoubleType())
+    vec_type = cat.schema["vec"].dataType  # float vectors travel as float
+    queries = queries.withColumn("_h", F.xxhash64("vec"))
 
-    # Only the k smallest ids of a group of copies can be among the k best.
-    copies = Window.partitionBy("vec").orderBy("id")
-    cat = (cat.withColumn("_copy", F.row_number().over(copies))
-           .where(F.col("_copy") <= k).drop("_copy"))
+    cat = _without_surplus_copies(cat, k)
     pivots = _pivots(cat, n_pivots)
     if not len(pivots):
         return spark.createDataFrame([], out)
@@ -217,8 +229,7 @@ def _cells(queries: DataFrame, cat: DataFrame, k: int, out: T.StructType, *,
             cell = angles.argmin(axis=1)
             kept = batch.filter(pa.array(ok))
             yield pa.RecordBatch.from_arrays([
-                kept.column("id"), kept.column("extra"),
-                pa.array(list(v), type=assigned_arrow.field("vec").type),
+                kept.column("id"), kept.column("extra"), kept.column("vec"),
                 pa.array(cell, type=pa.int32()),
                 pa.array(angles[np.arange(len(v)), cell])], schema=assigned_arrow)
 
@@ -231,9 +242,10 @@ def _cells(queries: DataFrame, cat: DataFrame, k: int, out: T.StructType, *,
     cell_ref = spark.sparkContext.broadcast((counts, radius))
 
     # Copies of a query vector are searched once.
-    reps = cut(queries.groupBy("vec").agg(F.min("query_id").alias("rep")))
+    reps = cut(queries.groupBy("_h", "vec").agg(F.min("query_id").alias("rep")))
+    q_vec_type = queries.schema["vec"].dataType
     probe_schema = T.StructType([
-        T.StructField("rep", q_type), T.StructField("vec", vec_type),
+        T.StructField("rep", q_type), T.StructField("vec", q_vec_type),
         T.StructField("floor", T.DoubleType()),
         T.StructField("cells", T.ArrayType(T.IntegerType()))])
     probe_arrow = to_arrow_schema(probe_schema)
@@ -256,8 +268,7 @@ def _cells(queries: DataFrame, cat: DataFrame, k: int, out: T.StructType, *,
                 chosen &= counts_[None, :] > 0
                 lists = [np.nonzero(row)[0].astype(np.int32) for row in chosen]
                 yield pa.RecordBatch.from_arrays([
-                    kept.column("rep"), pa.array(list(v), type=probe_arrow.field("vec").type),
-                    kept.column("floor"),
+                    kept.column("rep"), kept.column("vec"), kept.column("floor"),
                     pa.array(lists, type=probe_arrow.field("cells").type)], schema=probe_arrow)
         return run
 
@@ -267,7 +278,7 @@ def _cells(queries: DataFrame, cat: DataFrame, k: int, out: T.StructType, *,
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
             return hits_arrow.empty_table()
-        q, v = _matrix(left.column("vec")), _matrix(right.column("vec"))
+        q, v = _units(_matrix(left.column("vec")))[0], _units(_matrix(right.column("vec")))[0]
         ids, extra = _values(right.column("id")), _values(right.column("extra"))
         q_ids, floor = _values(left.column("rep")), _values(left.column("floor"))
         floor = np.where(np.isnan(floor), -np.inf, floor)
@@ -297,7 +308,7 @@ def _cells(queries: DataFrame, cat: DataFrame, k: int, out: T.StructType, *,
         keys = ("cell", "block", "q_block")
         return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(score, hits)
 
-    no_floor = reps.withColumn("floor", F.lit(None).cast("double"))
+    no_floor = reps.select("rep", "vec", F.lit(None).cast("double").alias("floor"))
     first = visit(cut(no_floor.mapInArrow(visits(False), probe_schema)))
     found = best_per_query(first, k)
     if probes is None:
@@ -309,7 +320,7 @@ def _cells(queries: DataFrame, cat: DataFrame, k: int, out: T.StructType, *,
         second = visit(cut(rest.mapInArrow(visits(True), probe_schema)))
         found = best_per_query(found.drop("rank").unionByName(second), k)
     by_rep = found.drop("rank").withColumnRenamed("query_id", "rep")
-    owners = queries.join(reps, "vec").select("query_id", "rep")
+    owners = queries.join(reps, ["_h", "vec"]).select("query_id", "rep")
     return owners.join(by_rep, "rep").select("query_id", "id", "similarity", "extra")
 
 
@@ -333,13 +344,10 @@ def nearest(queries: DataFrame, songs: DataFrame, k: int, *, vec: str = "learned
     that apply after the pool is fixed.  Choosing the strategy runs one bounded
     action on ``queries``.
     """
-    def doubles(c: str) -> F.Column:
-        return F.col(c).cast("array<double>")
-
     q = queries.where(F.col(query_vec).isNotNull()).select(
-        "query_id", doubles(query_vec).alias("vec"))
+        "query_id", F.col(query_vec).alias("vec"))
     cat = songs.where(F.col(vec).isNotNull()).select(
-        "id", F.col(extra).alias("extra"), doubles(vec).alias("vec"))
+        "id", F.col(extra).alias("extra"), F.col(vec).alias("vec"))
     out = _hits_schema(q.schema["query_id"].dataType, cat.schema["id"].dataType,
                        cat.schema["extra"].dataType)
     if probes is not None:

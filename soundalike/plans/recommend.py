@@ -15,6 +15,7 @@ from soundalike.session import cut
 
 OVERFETCH = 3
 MAX_EXTRA = 50
+MIN_SEEDS, MAX_SEEDS = 2, 5
 
 
 def _with_song(queries: DataFrame, songs: DataFrame, key: str = "song_id") -> DataFrame:
@@ -106,7 +107,11 @@ def append_missing(first: DataFrame, more: DataFrame, limit: int) -> DataFrame:
 
 def vibe(seed_sets: DataFrame, songs: DataFrame, limit: int = 20, *, per_seed: int = 100,
          min_sim: float = R.MIN_SIMILARITY, **search) -> DataFrame:
-    """Songs close to several seeds.  ``seed_sets``: ``query_id, song_ids`` (2-5 ids)."""
+    """Songs close to several seeds.  ``seed_sets``: ``query_id, song_ids``.
+
+    Sets of fewer than two or more than five ids are not valid and give no rows.
+    """
+    seed_sets = seed_sets.where(F.size("song_ids").between(MIN_SEEDS, MAX_SEEDS))
     seeds = seed_sets.select(
         "query_id", F.size("song_ids").alias("n"),
         F.posexplode("song_ids").alias("pos", "song_id"))
@@ -125,14 +130,16 @@ def vibe(seed_sets: DataFrame, songs: DataFrame, limit: int = 20, *, per_seed: i
     common = (common.withColumn("rank", F.row_number().over(order))
               .select("query_id", "id", "similarity", "rank"))
 
+    # At most five vectors per set, so averaging them is a row-wise expression.
+    total = F.aggregate(
+        F.slice("vs", 2, MAX_SEEDS), F.get("vs", F.lit(0)),
+        lambda s, v: F.zip_with(s, v, lambda x, y: x + y))
     centres = (seeds.join(vectors, "song_id")
-               .select("query_id", F.posexplode("vector").alias("i", "x"))
-               .groupBy("query_id", "i").agg(F.avg("x").alias("x"))
-               .groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("i", "x"))).alias("e"))
-               .select("query_id", F.col("e.x").alias("vector"))
+               .groupBy("query_id").agg(F.collect_list("vector").alias("vs"))
+               .select("query_id", F.transform(total, lambda x: x / F.size("vs")).alias("vector"))
                .join(seed_sets, "query_id")
                .withColumn("fetch", F.lit(limit) + F.size(F.array_distinct("song_ids"))))
-    fallback = (top_k(centres, songs, limit + 5, match_count="fetch", **search)
+    fallback = (top_k(centres, songs, limit + MAX_SEEDS, match_count="fetch", **search)
                 .join(seed_sets, "query_id").where(not_seed).drop("song_ids"))
     merged = append_missing(common, fallback, limit)
     ranked = R.head(R.dedup_versions(merged, songs), limit)
