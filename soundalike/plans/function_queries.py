@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from soundalike.functions import harmonic as H
 from soundalike.functions import layout as L
 from soundalike.functions import links as LK
+from soundalike.functions import sql as SQL
 from soundalike.functions import text as X
 from soundalike.functions import vectors as C
 from soundalike.operators import feedback as FB
@@ -561,3 +562,15 @@ SELECT session_hash, id, n FROM (SELECT *, row_number() OVER (
 def g4(spark, sf):
     return PL.recent_per_session(V.clicks(spark, sf)).select(
         "session_hash", "id", F.col("n").cast("long").alias("n"))
+
+
+@query("l_sql_functions", "WITH " + CAMELOT_CTE + f"""
+SELECT a.id, round(list_cosine_similarity(a.learned, b.learned), 6) AS cosine,
+  {BASE_TITLE.format('a.title')} AS base, code {PAIRS} LEFT JOIN wheel ON k = a.musical_key""")
+def l_sql(spark, sf):
+    SQL.register(spark)
+    a, b = V.songs(spark, sf), V.songs(spark, sf)
+    return spark.sql("""
+        SELECT a.id, round(cosine_similarity(a.learned, b.learned), 6) AS cosine,
+          base_title(a.title) AS base, camelot(a.musical_key) AS code
+        FROM {a} a JOIN {b} b ON b.id = a.id + 1""", a=a, b=b)
