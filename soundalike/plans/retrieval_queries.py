@@ -405,7 +405,34 @@ def d10(spark, sf):
     return shown(S.nearest_for_new(fresh, songs))
 
 
-@query("d11_journeys")
+def step_sql(prev: str, step: int, limit: int = 5) -> str:
+    """The next song of every walk: the best fused candidate that was not visited."""
+    k, t = limit * 3 + step, f"t{step}"
+    return f"""{t}p AS (
+      SELECT w.journey_id, w.visited, w.song_id, q.mert AS q_mert, q.handcrafted_norm AS q_hc,
+        b.id, b.bpm, b.mert, b.handcrafted_norm,
+        round(list_cosine_similarity(q.learned, b.learned), 12) AS similarity
+      FROM {prev} w JOIN songs q ON q.id = w.song_id CROSS JOIN songs b),
+    {t}pool AS (SELECT *, row_number() OVER (PARTITION BY journey_id ORDER BY similarity DESC, id) AS pr
+      FROM {t}p),
+    {t}kept AS (SELECT *, row_number() OVER (PARTITION BY journey_id ORDER BY similarity DESC, id) AS rank
+      FROM {t}pool WHERE pr <= {k * 5} AND id <> song_id AND bpm BETWEEN 0 AND 999),
+    {t}c AS (SELECT *, q_mert IS NOT NULL AND bool_or(mert IS NOT NULL) OVER (PARTITION BY journey_id) AS m,
+        list_cosine_similarity(q_hc, handcrafted_norm) AS hc,
+        coalesce(list_cosine_similarity(q_mert, mert), 0) AS ms
+      FROM {t}kept WHERE rank <= {k} AND NOT list_contains(visited, id)),
+    {t}s AS (SELECT *, round(CASE WHEN m THEN 0.65 * similarity + 0.15 * ms + 0.2 * hc
+        ELSE 0.8 * similarity + 0.2 * hc END, 12) AS score FROM {t}c),
+    {t} AS (SELECT journey_id, id AS song_id, score, list_append(visited, id) AS visited FROM {t}s
+      QUALIFY row_number() OVER (PARTITION BY journey_id ORDER BY score DESC, rank, id) = 1
+        AND score >= 0.1)"""
+
+
+@query("d11_journeys", "WITH t0 AS (SELECT id AS journey_id, id AS song_id, 0 AS score, [id] AS visited FROM songs), "
+       + step_sql("t0", 1) + ", " + step_sql("t1", 2) + """
+SELECT journey_id, count(*) AS steps, round(sum(1 - score), 6) AS distance, count(DISTINCT genre) AS genres
+FROM (SELECT journey_id, song_id, score FROM t0 UNION ALL SELECT journey_id, song_id, score FROM t1
+  UNION ALL SELECT journey_id, song_id, score FROM t2) JOIN songs ON id = song_id GROUP BY journey_id""")
 def d11(spark, sf):
     songs = V.songs(spark, sf)
     starts = songs.select(F.col("id").alias("journey_id"), F.col("id").alias("song_id"))
