@@ -205,7 +205,7 @@ def a11(spark, sf):
 @query("a12_stats_versions", "WITH " + STATS_CTE + """
 SELECT i, round(m, 6) AS mean, round(s, 6) AS std FROM st""")
 def a12(spark, sf):
-    songs = V.songs(spark, sf)
+    songs = V.vectors(spark, sf)
     path = scratch_path(spark, "stats")
     SK.write_stats(ST.fit_stats(songs, "handcrafted_norm"), path)  # an older version
     SK.write_stats(ST.fit_stats(songs), path)
@@ -241,7 +241,7 @@ SELECT seq, deezer_id, title, coalesce(source, 'unknown') AS source, 'complete'
 FROM fresh""")
 def j2(spark, sf):
     good, _ = RU.validate(_incoming(spark, sf), RU.song_rules())
-    return K.import_new(V.songs(spark, sf), good).select(
+    return K.import_new(V.vectors(spark, sf), good).select(
         "seq", "deezer_id", "title", "source", "metadata_status")
 
 
@@ -251,7 +251,7 @@ SELECT (SELECT count(*) FROM incoming) AS attempted,
   (SELECT count(*) FROM fresh) AS inserted,
   (SELECT count(*) FROM valid) - (SELECT count(*) FROM fresh) AS skipped""")
 def a10(spark, sf):
-    return K.import_report(V.songs(spark, sf), _incoming(spark, sf))
+    return K.import_report(V.vectors(spark, sf), _incoming(spark, sf))
 
 
 # -------------------------------------------------------- listing and filters (B, G)
@@ -291,12 +291,12 @@ def b4(spark, sf):
 
 @query("b5_genres", "SELECT DISTINCT genre FROM songs WHERE genre IS NOT NULL")
 def b5(spark, sf):
-    return LS.genres(V.songs(spark, sf))
+    return LS.genres(V.vectors(spark, sf))
 
 
 @query("b6_bpm_range", "SELECT id, bpm FROM songs WHERE bpm BETWEEN 0 AND 999")
 def b6(spark, sf):
-    return V.songs(spark, sf).where(F.col("bpm").between(0, 999)).select("id", "bpm")
+    return V.vectors(spark, sf).where(F.col("bpm").between(0, 999)).select("id", "bpm")
 
 
 @query("b7_exclusions", """
@@ -304,13 +304,13 @@ SELECT id FROM songs WHERE id IS DISTINCT FROM 7
   AND id NOT IN (SELECT result_song_id FROM feedback WHERE rating = -1)""")
 def b7(spark, sf):
     bad = V.feedback(spark, sf).where("rating = -1").select(F.col("result_song_id").alias("id"))
-    songs = V.songs(spark, sf).where(~F.col("id").eqNullSafe(7))
+    songs = V.vectors(spark, sf).where(~F.col("id").eqNullSafe(7))
     return K.pending(songs, bad, "id").select("id")
 
 
 @query("b9_not_failed", "SELECT id FROM songs WHERE metadata_status <> 'failed'")
 def b9(spark, sf):
-    return LS.not_failed(V.songs(spark, sf)).select("id")
+    return LS.not_failed(V.vectors(spark, sf)).select("id")
 
 
 @query("b10_literal_contains", """
@@ -449,7 +449,7 @@ def b19(spark, sf):
 @query("b20_valid_vectors", "SELECT id FROM songs WHERE len(learned) = 64 AND id % 3 <> 0")
 def b20(spark, sf):
     v = F.when(F.col("id") % 3 == 0, F.slice("learned", 1, 10)).otherwise(F.col("learned"))
-    return V.songs(spark, sf).where(valid_vector(v, 64)).select("id")
+    return V.vectors(spark, sf).where(valid_vector(v, 64)).select("id")
 
 
 @query("b21_artist_gate", """
@@ -494,7 +494,7 @@ def g3(spark, sf):
 @query("e1_fit_stats", "WITH " + STATS_CTE + """
 SELECT i, round(m, 6) AS mean, round(s, 6) AS std, n FROM st""")
 def e1(spark, sf):
-    s = ST.fit_stats(V.songs(spark, sf))
+    s = ST.fit_stats(V.vectors(spark, sf))
     e = s.select("n_songs", F.posexplode(F.arrays_zip("mean", "std")).alias("i", "e"))
     return e.select((F.col("i") + 1).cast("long").alias("i"), F.round("e.mean", 6).alias("mean"),
                     F.round("e.std", 6).alias("std"), F.col("n_songs").alias("n"))
@@ -525,12 +525,12 @@ def e3(spark, sf):
 
 @query("e4_genre_focus_weights", "WITH " + WEIGHTS_CTE + " SELECT * FROM weights")
 def e4(spark, sf):
-    return FB.genre_focus_weights(V.feedback(spark, sf), V.songs(spark, sf))
+    return FB.genre_focus_weights(V.feedback(spark, sf), V.vectors(spark, sf))
 
 
 @query("e5_list_weights", "WITH " + WEIGHTS_CTE + " SELECT * FROM weights WHERE genre = 'g1'")
 def e5(spark, sf):
-    w = FB.genre_focus_weights(V.feedback(spark, sf), V.songs(spark, sf))
+    w = FB.genre_focus_weights(V.feedback(spark, sf), V.vectors(spark, sf))
     return FB.list_weights(w, "g1")
 
 
@@ -560,7 +560,7 @@ hits AS (SELECT signal, q, own, count(*) FILTER (genre = own) / 10 AS p
 @query("e7_precision_at_10", "WITH " + HITS_SQL + """
 SELECT signal, round(avg(p), 6) AS precision, count(*) AS count FROM hits GROUP BY ALL""")
 def e7(spark, sf):
-    songs = V.songs(spark, sf)
+    songs = V.vectors(spark, sf)
     parts = [E.precision_at_k(songs, s) for s in ("learned", "handcrafted", "fused")]
     return K.unify(*parts).withColumn("precision", F.round("precision", 6))
 
@@ -569,7 +569,7 @@ def e7(spark, sf):
 SELECT own AS genre, round(avg(p), 6) AS precision, count(*) AS count FROM hits
 WHERE signal = 'fused' GROUP BY ALL HAVING count(*) >= 2""")
 def e8(spark, sf):
-    return E.precision_at_k(V.songs(spark, sf), "fused", by="genre").withColumn(
+    return E.precision_at_k(V.vectors(spark, sf), "fused", by="genre").withColumn(
         "precision", F.round("precision", 6))
 
 
@@ -578,7 +578,7 @@ WITH g AS (SELECT count(DISTINCT genre) AS n FROM songs)
 SELECT round(1 / n, 6) AS baseline, CASE WHEN 1 / n > 0.5 THEN 'go' ELSE 'review' END AS verdict
 FROM g""")
 def e9(spark, sf):
-    base = E.random_baseline(V.songs(spark, sf))
+    base = E.random_baseline(V.vectors(spark, sf))
     out = E.verdict(base.withColumnRenamed("baseline", "precision"))
     return out.select(F.round("precision", 6).alias("baseline"), "verdict")
 
@@ -640,7 +640,7 @@ def e10(spark, sf):
 SELECT count(*) AS rows, count(genre) AS genre, count(bpm) AS bpm, count(mert) AS mert,
   count(deezer_id) AS deezer_id FROM songs""")
 def e11(spark, sf):
-    return ST.coverage(V.songs(spark, sf), ("genre", "bpm", "mert", "deezer_id"))
+    return ST.coverage(V.vectors(spark, sf), ("genre", "bpm", "mert", "deezer_id"))
 
 
 def _vector_results(songs):
@@ -676,7 +676,7 @@ sims AS (SELECT a.id AS id_a, b.id AS id_b, list_cosine_similarity(a.learned, b.
 SELECT count(*) AS pairs, round(avg(s), 6) AS mean, round(stddev_pop(s), 6) AS std,
   round(min(s), 6) AS min, round(max(s), 6) AS max, round(median(s), 6) AS median FROM sims""")
 def e13(spark, sf):
-    sims = E.pair_similarities(E.pair_sample(V.songs(spark, sf)))
+    sims = E.pair_similarities(E.pair_sample(V.vectors(spark, sf)))
     p = E.similarity_profile(sims)
     return p.select("pairs", *[F.round(c, 6).alias(c) for c in ("mean", "std", "min", "max", "median")])
 
@@ -685,7 +685,7 @@ def e13(spark, sf):
 SELECT round(quantile_cont(s, 0.05), 6) AS p5, round(quantile_cont(s, 0.25), 6) AS p25,
   round(quantile_cont(s, 0.75), 6) AS p75, round(quantile_cont(s, 0.95), 6) AS p95 FROM sims""")
 def e14(spark, sf):
-    sims = E.pair_similarities(E.pair_sample(V.songs(spark, sf)))
+    sims = E.pair_similarities(E.pair_sample(V.vectors(spark, sf)))
     p = E.similarity_profile(sims)
     return p.select(*[F.round(c, 6).alias(c) for c in ("p5", "p25", "p75", "p95")])
 
@@ -700,24 +700,24 @@ SELECT i AS bin, lower::DOUBLE AS lower, upper::DOUBLE AS upper, count(s) AS cou
 FROM b LEFT JOIN sims ON s >= lower AND (s < upper OR (i = {len(EDGES) - 2} AND s = upper))
 GROUP BY ALL""")
 def e15(spark, sf):
-    sims = E.pair_similarities(E.pair_sample(V.songs(spark, sf)))
+    sims = E.pair_similarities(E.pair_sample(V.vectors(spark, sf)))
     out = E.histogram(sims, "sim_learned", EDGES)
     return longs(out.withColumn("share", F.round("share", 6)), "bin")
 
 
 @query("e16_pca_profile")
 def e16(spark, sf):
-    return E.pca_profile(E.pca_ratios(V.songs(spark, sf)))
+    return E.pca_profile(E.pca_ratios(V.vectors(spark, sf)))
 
 
 @query("e17_variance_ratios")
 def e17(spark, sf):
-    return E.pca_ratios(V.songs(spark, sf))
+    return E.pca_ratios(V.vectors(spark, sf))
 
 
 @query("e18_silhouette")
 def e18(spark, sf):
-    return E.silhouette(V.songs(spark, sf))
+    return E.silhouette(V.vectors(spark, sf))
 
 
 @query("e19_spearman", "WITH " + PAIR_SQL.format(n=2000, where="mert IS NOT NULL") + """,
@@ -725,7 +725,7 @@ ranked AS (SELECT rank() OVER (ORDER BY s) + (count(*) OVER (PARTITION BY s) - 1
     rank() OVER (ORDER BY t) + (count(*) OVER (PARTITION BY t) - 1) / 2 AS rt FROM sims)
 SELECT count(*) AS pairs, round(corr(rs, rt), 6) AS rho FROM ranked""")
 def e19(spark, sf):
-    both = V.songs(spark, sf).where(F.col("mert").isNotNull())
+    both = V.vectors(spark, sf).where(F.col("mert").isNotNull())
     sims = E.pair_similarities(E.pair_sample(both, 2000, columns=("learned", "mert")),
                                ("learned", "mert"))
     rho = E.spearman(sims, "sim_learned", "sim_mert")
@@ -734,19 +734,19 @@ def e19(spark, sf):
 
 @query("e20_compare_spaces")
 def e20(spark, sf):
-    return E.compare_spaces(V.songs(spark, sf), "mert", "learned")
+    return E.compare_spaces(V.vectors(spark, sf), "mert", "learned")
 
 
 @query("e22_sample", "SELECT id FROM songs ORDER BY md5(id || ':42'), id LIMIT 100")
 def e22(spark, sf):
-    return E.sample_songs(V.songs(spark, sf), 100).select("id")
+    return E.sample_songs(V.vectors(spark, sf), 100).select("id")
 
 
 @query("e23_stratified_sample", """
 SELECT id, genre FROM songs WHERE genre IS NOT NULL
 QUALIFY row_number() OVER (PARTITION BY genre ORDER BY md5(id || ':42'), id) <= 10""")
 def e23(spark, sf):
-    return E.stratified_sample(V.songs(spark, sf), 10).select("id", "genre")
+    return E.stratified_sample(V.vectors(spark, sf), 10).select("id", "genre")
 
 
 @query("e24_canary", """
@@ -754,7 +754,7 @@ SELECT a.id AS id_a, b.id AS id_b, round(list_cosine_similarity(a.learned, b.lea
   list_cosine_similarity(a.learned, b.learned) > 0.1 AS healthy
 FROM songs a JOIN songs b ON b.id = a.id + 1""")
 def e24(spark, sf):
-    songs = V.songs(spark, sf)
+    songs = V.vectors(spark, sf)
     n = F.col("id")
     pairs = songs.select(n.alias("id_a"), (n + 1).alias("id_b")).join(
         songs.select(n.alias("id_b")), "id_b", "left_semi")
@@ -767,7 +767,7 @@ def e24(spark, sf):
 SELECT genre, rating, count(*) AS n FROM feedback JOIN songs s ON s.id = query_song_id GROUP BY ALL""")
 def f2(spark, sf):
     votes = V.feedback(spark, sf).groupBy("query_song_id", "rating").agg(F.count("*").alias("n"))
-    genres = V.songs(spark, sf).select(F.col("id").alias("query_song_id"), "genre")
+    genres = V.vectors(spark, sf).select(F.col("id").alias("query_song_id"), "genre")
     return longs(votes.join(genres, "query_song_id").groupBy("genre", "rating").agg(
         F.sum("n").alias("n")), "rating")
 
@@ -875,7 +875,7 @@ def f5(spark, sf):
 SELECT seq, deezer_id FROM incoming WHERE deezer_id IS NOT NULL AND deezer_id NOT IN (
   SELECT deezer_id FROM songs WHERE deezer_id IS NOT NULL)""")
 def f6(spark, sf):
-    known = V.songs(spark, sf).where(F.col("deezer_id").isNotNull())
+    known = V.vectors(spark, sf).where(F.col("deezer_id").isNotNull())
     rows = _incoming(spark, sf).where(F.col("deezer_id").isNotNull())
     return K.pending(rows, known, "deezer_id").select("seq", "deezer_id")
 
@@ -911,7 +911,7 @@ def h4(spark, sf):
 
 @query("h5_common_ids", "SELECT id FROM songs WHERE mert IS NOT NULL AND deezer_id IS NOT NULL")
 def h5(spark, sf):
-    songs = V.songs(spark, sf)
+    songs = V.vectors(spark, sf)
     return E.common_ids(songs.where(F.col("mert").isNotNull()),
                         songs.where(F.col("deezer_id").isNotNull()))
 
@@ -925,7 +925,7 @@ def j3(spark, sf):
     updates = V.table(spark, sf, "events").select(
         F.col("user_id").alias("id"), F.concat(F.lit("u"), F.col("event_type")).alias("genre"),
         F.col("event_id").alias("seq"))
-    return K.apply_genres(V.songs(spark, sf), updates).select("id", "genre")
+    return K.apply_genres(V.vectors(spark, sf), updates).select("id", "genre")
 
 
 @query("j4_f8_backfill_external_id", "WITH " + MAPPING_CTE + """,
@@ -958,7 +958,7 @@ def j5(spark, sf):
 SELECT id, {digest_sql('CASE WHEN mert IS NOT NULL THEN mert WHEN id % 7 <> 0 AND id % 5 <> 0 '
                        'AND id % 3 <> 0 AND id % 11 <> 0 THEN learned END')} AS mert FROM songs""")
 def j6(spark, sf):
-    songs = V.songs(spark, sf)
+    songs = V.vectors(spark, sf)
     done = songs.where("id % 11 = 0").select("id")
     return K.update_vectors(songs, _vector_results(songs), "mert", done).select(
         "id", digest("mert").alias("mert"))
@@ -967,7 +967,7 @@ def j6(spark, sf):
 @query("j8_renormalise", "WITH " + STATS_CTE + """
 SELECT id, round(sum((x - m) / s * i), 6) AS v FROM cells JOIN st USING (i) GROUP BY id""")
 def j8(spark, sf):
-    return ST.renormalise(V.songs(spark, sf)).select("id", digest("handcrafted_norm").alias("v"))
+    return ST.renormalise(V.vectors(spark, sf)).select("id", digest("handcrafted_norm").alias("v"))
 
 
 @query("j9_f14_expand_catalog", """
@@ -994,7 +994,7 @@ SELECT artist_id, track_id FROM graph WHERE pos <= 10 AND preview IS NOT NULL
   AND track_id NOT IN (SELECT deezer_id FROM songs WHERE deezer_id IS NOT NULL)""")
 def j9_one(spark, sf):
     g = V.artist_graph(spark, sf)
-    return EX.new_tracks_of_artist(g["artists"], g["tracks"], V.songs(spark, sf)).select(
+    return EX.new_tracks_of_artist(g["artists"], g["tracks"], V.vectors(spark, sf)).select(
         "artist_id", "track_id")
 
 
@@ -1015,7 +1015,7 @@ SELECT deezer_id, CASE WHEN seen THEN 'processed' WHEN n > 1000 THEN 'beyond_lim
 def j10(spark, sf):
     done = V.table(spark, sf, "events").where("event_type = 'view'").select(
         F.col("event_id").alias("deezer_id"))
-    return K.feed(_work(spark, sf), V.songs(spark, sf), done, 1000).select("deezer_id", "outcome")
+    return K.feed(_work(spark, sf), V.vectors(spark, sf), done, 1000).select("deezer_id", "outcome")
 
 
 REQ_CTE = NOISY_CTE + rf""", req0 AS (SELECT p_partkey AS request_id, p_partkey,

@@ -63,7 +63,7 @@ SELECT id, {digest_sql('[handcrafted_norm[41], handcrafted_norm[44]]')} AS rhyth
     AS kept FROM songs""")
 def c3(spark, sf):
     h = "handcrafted_norm"
-    return V.songs(spark, sf).select(
+    return V.vectors(spark, sf).select(
         "id", digest(C.gather(h, L.FOCUS["rhythm"])).alias("rhythm"),
         digest(C.gather(h, L.FOCUS["harmony"])).alias("harmony"),
         F.size(C.gather(h, (0, 99))).cast("long").alias("kept"))
@@ -71,7 +71,7 @@ def c3(spark, sf):
 
 @query("c4_parse_vector", f"SELECT id, {digest_sql('learned')} AS v FROM songs")
 def c4(spark, sf):
-    text = V.songs(spark, sf).select("id", F.to_json("learned").alias("t"))
+    text = V.vectors(spark, sf).select("id", F.to_json("learned").alias("t"))
     return text.select("id", digest(C.parse_vector("t")).alias("v"))
 
 
@@ -89,7 +89,7 @@ MEAN_SQL = """SELECT {key}, round(sum(x * i), 6) AS v FROM (
 
 @query("c6_mean_vector", MEAN_SQL.format(key="genre"))
 def c6(spark, sf):
-    return ST.mean_vector(V.songs(spark, sf), ["genre"], "learned").select(
+    return ST.mean_vector(V.vectors(spark, sf), ["genre"], "learned").select(
         "genre", digest("vector").alias("v"))
 
 
@@ -105,7 +105,7 @@ FOLD_SQL = "list_transform(range(0, 12), lambda i: {v}[3*i+1] + {v}[3*i+2] + {v}
 
 @query("c8_fold_chroma", f"SELECT id, {digest_sql(FOLD_SQL.format(v='learned'))} AS v FROM songs")
 def c8(spark, sf):
-    return V.songs(spark, sf).select(
+    return V.vectors(spark, sf).select(
         "id", digest(C.fold_chroma(F.slice("learned", 1, 36))).alias("v"))
 
 
@@ -118,7 +118,7 @@ def c9(spark, sf):
     cov = F.transform(mean, lambda x: F.transform(mean, lambda y: x * y))
     vec = C.assemble(mean, cov, F.slice("learned", 1, 36),
                      [F.get("learned", F.lit(i)) for i in range(58, 64)])
-    return V.songs(spark, sf).select("id", digest(vec).alias("v"))
+    return V.vectors(spark, sf).select("id", digest(vec).alias("v"))
 
 
 STATS_CTE = """cells AS (SELECT id, unnest(handcrafted_raw) AS x, unnest(range(1, 45)) AS i FROM songs),
@@ -129,7 +129,7 @@ STATS_CTE = """cells AS (SELECT id, unnest(handcrafted_raw) AS x, unnest(range(1
 @query("c10_zscore", "WITH " + STATS_CTE + """
 SELECT id, round(sum((x - m) / s * i), 6) AS v FROM cells JOIN st USING (i) GROUP BY id""")
 def c10(spark, sf):
-    songs = V.songs(spark, sf)
+    songs = V.vectors(spark, sf)
     out = ST.normalised(songs, ST.fit_stats(songs))
     return out.select("id", digest("handcrafted_norm").alias("v"))
 
@@ -144,7 +144,7 @@ SELECT a.id, round(list_cosine_similarity({_A}, {_B}), 6) AS whole,
     f"w_{c} / (" + " + ".join(f"w_{x}" for x in L.FOCUS) + f") * {category_cosine(c, _A, _B)}"
     for c in L.FOCUS) + f" END, 6) AS weighted {PAIRS} LEFT JOIN wide ON wide.genre = a.genre")
 def c11(spark, sf):
-    songs = V.songs(spark, sf)
+    songs = V.vectors(spark, sf)
     maps = R.weight_maps(FB.genre_focus_weights(V.feedback(spark, sf), songs))
     pairs = song_pairs(spark, sf).withColumn("genre", F.col("a_genre")).join(maps, "genre", "left")
     a, b = "a_handcrafted_norm", "b_handcrafted_norm"
@@ -158,7 +158,7 @@ def c11(spark, sf):
     'list_transform(handcrafted_norm, lambda x: x / sqrt(list_dot_product(handcrafted_norm, handcrafted_norm)))')}
   AS v FROM songs""")
 def c12(spark, sf):
-    return V.songs(spark, sf).select("id", digest(C.unit("handcrafted_norm")).alias("v"))
+    return V.vectors(spark, sf).select("id", digest(C.unit("handcrafted_norm")).alias("v"))
 
 
 @query("c13_grouped_similarity", "SELECT a.id, round(" + " + ".join(
@@ -177,7 +177,7 @@ def c14(spark, sf):
     v = (F.when(F.col("id") % 7 == 0, F.slice("learned", 1, 60))
          .when(F.col("id") % 11 == 0, F.transform("learned", lambda x, i: F.when(
              i == 5, F.lit(float("nan"))).otherwise(x))).otherwise(F.col("learned")))
-    return V.songs(spark, sf).select("id", C.valid_vector(v, 64).alias("ok"))
+    return V.vectors(spark, sf).select("id", C.valid_vector(v, 64).alias("ok"))
 
 
 # --------------------------------------------------------------------- text (I)
@@ -460,7 +460,7 @@ def i16(spark, sf):
 @query("i17_camelot", "WITH " + CAMELOT_CTE + """
 SELECT id, code FROM songs LEFT JOIN wheel ON k = musical_key""")
 def i17(spark, sf):
-    return V.songs(spark, sf).select("id", H.camelot("musical_key").alias("code"))
+    return V.vectors(spark, sf).select("id", H.camelot("musical_key").alias("code"))
 
 
 @query("i18_harmonic_compatibility", "WITH " + CAMELOT_CTE + f"""

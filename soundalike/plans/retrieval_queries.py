@@ -48,7 +48,7 @@ FINAL = "SELECT query_id, id, round(similarity, 6) AS similarity, rank::BIGINT A
 
 @query("d1_top_k", "WITH " + pool_sql(20) + FINAL + "cand")
 def d1(spark, sf):
-    songs = V.songs(spark, sf)
+    songs = V.vectors(spark, sf)
     return shown(S.top_k(self_queries(songs), songs, 20, exclude="query_id"))
 
 
@@ -62,7 +62,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DES
       FROM pairs)
 """ + FINAL + "r WHERE rank <= 20")
 def d2(spark, sf):
-    songs = V.songs(spark, sf)
+    songs = V.vectors(spark, sf)
     return shown(S.top_k(self_queries(songs), songs, 20, exclude="query_id",
                          min_bpm=80, max_bpm=160, filter_mode="pre"))
 
@@ -142,7 +142,7 @@ SELECT s.id, m.has_mert, round(CASE WHEN total IS NULL THEN CASE WHEN has_mert T
 FROM songs s CROSS JOIN (VALUES (true), (false)) m(has_mert)
 LEFT JOIN wide ON wide.genre = s.genre""")
 def d3(spark, sf):
-    songs = V.songs(spark, sf)
+    songs = V.vectors(spark, sf)
     maps = R.weight_maps(genre_weights(spark, sf, songs))
     both = songs.select("id", "genre", F.explode(F.array(F.lit(True), F.lit(False))).alias(
         "has_mert")).join(maps, "genre", "left")
@@ -160,7 +160,7 @@ def _candidates(songs, k=60):
 @query("d4_late_fusion", "WITH " + WEIGHTS_CTE + ", " + pool_sql(60) + ", "
        + fused_sql(None, True) + FINAL + "fused")
 def d4(spark, sf):
-    songs = V.songs(spark, sf)
+    songs = V.vectors(spark, sf)
     q, cand = _candidates(songs)
     return shown(R.fuse(cand, q, songs, genre_weights(spark, sf, songs)))
 
@@ -168,14 +168,14 @@ def d4(spark, sf):
 @query("d4_late_fusion_plain", "WITH " + pool_sql(60) + ", " + fused_sql(None, False)
        + FINAL + "fused")
 def d4_plain(spark, sf):
-    songs = V.songs(spark, sf)
+    songs = V.vectors(spark, sf)
     q, cand = _candidates(songs)
     return shown(R.fuse(cand, q, songs))
 
 
 def _focused(focus):
     def run(spark, sf):
-        songs = V.songs(spark, sf)
+        songs = V.vectors(spark, sf)
         q, cand = _candidates(songs)
         return shown(R.fuse(cand, q, songs, focus=focus))
     return run
@@ -238,7 +238,7 @@ def mmr_sql(source: str, limit: int, lam: float = 0.7, name: str = "diverse") ->
        "cand AS (SELECT c.*, s.learned FROM cand0 c JOIN songs s ON s.id = c.id), "
        + mmr_sql("cand", 20) + FINAL + "diverse")
 def d6(spark, sf):
-    songs = V.songs(spark, sf)
+    songs = V.vectors(spark, sf)
     _, cand = _candidates(songs)
     return shown(R.mmr(cand, 20, songs=songs))
 
@@ -274,7 +274,7 @@ def d7_excluding(spark, sf):
 
 @query("b8_min_similarity", "WITH " + pool_sql(20) + FINAL + "cand WHERE similarity >= 0.3")
 def b8(spark, sf):
-    _, cand = _candidates(V.songs(spark, sf), 20)
+    _, cand = _candidates(V.vectors(spark, sf), 20)
     return shown(R.min_similarity(cand))
 
 
@@ -366,7 +366,7 @@ def d9(spark, sf):
 @query("h1_common_of_lists", "WITH " + LISTS_SQL.format(k=40) + """
 SELECT query_id, id, round(similarity, 6) AS similarity FROM common""")
 def h1(spark, sf):
-    songs = V.songs(spark, sf)
+    songs = V.vectors(spark, sf)
     seeds = _seed_sets(songs).select("query_id", "song_ids",
                                      F.posexplode("song_ids").alias("pos", "song_id"))
     lists = S.top_k(self_queries(songs), songs, 40).withColumnRenamed("query_id", "song_id")
@@ -384,7 +384,7 @@ r AS (SELECT query_id, id, similarity, tier,
   row_number() OVER (PARTITION BY query_id ORDER BY tier, rank, id) AS rank FROM m)
 """ + FINAL + "r WHERE tier = 0 OR rank <= 8")
 def h2(spark, sf):
-    _, cand = _candidates(V.songs(spark, sf), 12)
+    _, cand = _candidates(V.vectors(spark, sf), 12)
     return shown(P.append_missing(R.min_similarity(cand), cand, 8))
 
 
@@ -400,7 +400,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DES
   FROM pool WHERE pr <= 100 AND id <> query_id AND bpm BETWEEN 0 AND 999)
 """ + FINAL + "r WHERE rank <= 20")
 def d10(spark, sf):
-    songs = V.songs(spark, sf)
+    songs = V.vectors(spark, sf)
     fresh = songs.where(F.col("created_at") >= F.lit("2024-01-02").cast("timestamp"))
     return shown(S.nearest_for_new(fresh, songs))
 
@@ -468,7 +468,7 @@ SELECT c.query_id, c.id, wr.code AS camelot, {compat_sql('wq.code', 'wr.code')}
 FROM cand c JOIN songs q ON q.id = c.query_id JOIN songs s ON s.id = c.id
 LEFT JOIN wheel wq ON wq.k = q.musical_key LEFT JOIN wheel wr ON wr.k = s.musical_key""")
 def d12(spark, sf):
-    songs = V.songs(spark, sf)
+    songs = V.vectors(spark, sf)
     _, cand = _candidates(songs, 20)
     return RS.harmonic(cand, songs).select(
         "query_id", "id", "camelot", "compatibility", "bpm_match", "bpm_diff")
@@ -481,7 +481,7 @@ SELECT query_id, id, CASE WHEN hi - lo > 0.001
 FROM (SELECT *, min(similarity) OVER (PARTITION BY query_id) AS lo,
         max(similarity) OVER (PARTITION BY query_id) AS hi FROM cand)""")
 def d13(spark, sf):
-    _, cand = _candidates(V.songs(spark, sf), 20)
+    _, cand = _candidates(V.vectors(spark, sf), 20)
     return RS.display_score(cand).select("query_id", "id", "display")
 
 
@@ -490,7 +490,7 @@ SELECT query_id, id, CASE WHEN similarity * 2.2 >= 0.9 THEN 'very similar'
   WHEN similarity * 2.2 >= 0.7 THEN 'similar' ELSE 'distant' END AS label FROM cand""")
 def d14(spark, sf):
     # Random vectors are far apart; the score is scaled so that all labels occur.
-    _, cand = _candidates(V.songs(spark, sf), 20)
+    _, cand = _candidates(V.vectors(spark, sf), 20)
     return cand.select("query_id", "id",
                        RS.similarity_label(F.col("similarity") * 2.2).alias("label"))
 
@@ -514,7 +514,7 @@ RADAR_CTE = "radar AS (SELECT id, " + ", ".join(
 
 @query("e21_radar", "WITH " + RADAR_CTE + " SELECT * FROM radar")
 def e21(spark, sf):
-    return RS.radar(V.songs(spark, sf))
+    return RS.radar(V.vectors(spark, sf))
 
 
 @query("d15_explain", "WITH " + RADAR_CTE + ", " + pool_sql(20) + " SELECT c.query_id, c.id, "
@@ -525,7 +525,7 @@ def e21(spark, sf):
            f"CASE WHEN round(abs(a.{x} - b.{x}), 9) < 0.15 THEN '{x}' END" for x in L.FOCUS)
        + ") AS alike FROM cand c JOIN radar a ON a.id = c.query_id JOIN radar b ON b.id = c.id")
 def d15(spark, sf):
-    songs = V.songs(spark, sf)
+    songs = V.vectors(spark, sf)
     _, cand = _candidates(songs, 20)
     return RS.explain(cand, RS.radar(songs)).select(
         "query_id", "id", *L.FOCUS, F.array_join("alike", ",").alias("alike"))
@@ -533,7 +533,7 @@ def d15(spark, sf):
 
 @query("d16_approximate_recall")
 def d16(spark, sf):
-    songs = V.songs(spark, sf)
+    songs = V.vectors(spark, sf)
     q = self_queries(songs)
     exact = S.top_k(q, songs, 10, exclude="query_id", filter_mode="pre")
     approx = S.top_k(q, songs, 10, exclude="query_id", filter_mode="pre", method="approx",
@@ -544,7 +544,7 @@ def d16(spark, sf):
 @query("d1_top_k_cells", "WITH " + pool_sql(20) + FINAL + "cand")
 def d1_cells(spark, sf):
     """The shuffle strategy of the exact search: same rows as the broadcast one."""
-    songs = V.songs(spark, sf)
+    songs = V.vectors(spark, sf)
     return shown(S.top_k(self_queries(songs), songs, 20, exclude="query_id", strategy="cells",
                          n_pivots=4, block_rows=1024))
 
@@ -554,7 +554,7 @@ SELECT c.query_id, c.id, round(c.similarity, 6) AS similarity, c.rank::BIGINT AS
 FROM cand c JOIN songs s ON s.id = c.id JOIN wheel w ON w.k = s.musical_key
 WHERE s.bpm BETWEEN 90 AND 150 AND w.code IN ('8A', '8B', '9A', '7A') AND c.similarity >= 0.2""")
 def d17(spark, sf):
-    songs = V.songs(spark, sf)
+    songs = V.vectors(spark, sf)
     _, cand = _candidates(songs, 20)
     return shown(RS.filter_results(cand, songs, min_bpm=90, max_bpm=150,
                                    codes=("8A", "8B", "9A", "7A"), min_sim=0.2))

@@ -71,7 +71,7 @@ def k3(spark, sf):
 @query("k3_genre_weights_stream", "WITH " + WEIGHTS_CTE + " SELECT * FROM weights")
 def k3_weights(spark, sf):
     votes = V.feedback(_streams(spark), sf)
-    counts = ST.stream_focus_votes(votes, V.songs(spark, sf))
+    counts = ST.stream_focus_votes(votes, V.vectors(spark, sf))
     return FB.weights_from_votes(_versions(spark, counts, "k3w", ["genre", "focus_active"]))
 
 
@@ -112,7 +112,7 @@ def k7(spark, sf):
     out, cp = _paths(spark, "k7")
     arriving = V.table(_streams(spark), sf, "embeddings").select(
         F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("learned"))
-    catalogue = ST.Refreshed(lambda: V.songs(spark, sf))
+    catalogue = ST.Refreshed(lambda: V.vectors(spark, sf))
     ST.stream_recommend(arriving, catalogue, out, cp, 10).awaitTermination()
     return spark.read.parquet(out).select(
         "query_id", "id", F.round("similarity", 6).alias("similarity"),
@@ -162,9 +162,9 @@ def k6(spark, sf):
     """Clicks joined per micro-batch with the weight table as it is at that time."""
     out, cp = _paths(spark, "k6")
     table = scratch_path(spark, "weights")
-    FB.genre_focus_weights(V.feedback(spark, sf), V.songs(spark, sf)).write.parquet(table)
+    FB.genre_focus_weights(V.feedback(spark, sf), V.vectors(spark, sf)).write.parquet(table)
     weights = ST.Refreshed(lambda: spark.read.parquet(table))
-    genres = V.songs(spark, sf).select(F.col("id").alias("query_song_id"), "genre")
+    genres = V.vectors(spark, sf).select(F.col("id").alias("query_song_id"), "genre")
 
     def each(batch, batch_id):
         (batch.join(genres, "query_song_id").join(weights.get(), "genre")

@@ -12,25 +12,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def songs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Catalogue: one song per embedding, three versions per part name."""
+def songs(spark: SparkSession, sf_dir: str, named: bool = True) -> DataFrame:
+    """Catalogue: one song per embedding, three versions per part name.
+
+    With ``named=False`` title, artist and album are left out, and with them the join.
+    """
     e = table(spark, sf_dir, "embeddings")
-    p = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type")
     n = F.col("vec_id")
     third = n % 3
+    names = []
+    if named:
+        p = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type")
+        e = e.withColumn("p_partkey", F.expr("vec_id div 3")).join(p, "p_partkey", "left")
+        names = [
+            F.concat(F.coalesce("p_name", F.lit("untitled")),
+                     F.when(third == 0, " (Extended Mix)").when(third == 1, " - Radio Edit")
+                     .otherwise("")).alias("title"),
+            F.coalesce("p_brand", F.lit("Unknown")).alias("artist"),
+            F.col("p_type").alias("album")]
     key = F.concat_ws(" ", F.get(F.array(*map(F.lit, TONICS)), (n % 12).cast("int")),
                       F.when(n % 24 < 12, "major").otherwise("minor"))
     vec = F.col("embedding").cast("array<double>")
     raw = F.slice(vec, 1, 44)
     return (
-        e.withColumn("p_partkey", F.expr("vec_id div 3")).join(p, "p_partkey", "left")
-        .select(
-            n.alias("id"),
-            F.concat(F.coalesce("p_name", F.lit("untitled")),
-                     F.when(third == 0, " (Extended Mix)").when(third == 1, " - Radio Edit")
-                     .otherwise("")).alias("title"),
-            F.coalesce("p_brand", F.lit("Unknown")).alias("artist"),
-            F.col("p_type").alias("album"),
+        e.select(
+            n.alias("id"), *names,
             (F.lit(120.0) + n % 240).alias("duration_sec"),
             F.when(n % 37 != 0, F.lit(60.0) + n % 140).alias("bpm"),
             key.alias("musical_key"),
@@ -45,6 +51,11 @@ def songs(spark: SparkSession, sf_dir: str) -> DataFrame:
              ).alias("created_at")))
 
 
+def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The catalogue without names."""
+    return songs(spark, sf_dir, named=False)
+
+
 SONGS_SQL = """songs AS (
   SELECT vec_id AS id,
     coalesce(p_name, 'untitled') || CASE vec_id % 3 WHEN 0 THEN ' (Extended Mix)'

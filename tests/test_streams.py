@@ -3,7 +3,6 @@
 from datetime import datetime, timedelta
 
 import pytest
-from pyspark.sql import functions as F
 
 from soundalike.operators import feedback as FB
 from soundalike.operators import jobs as JB
