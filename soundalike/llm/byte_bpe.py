@@ -25,7 +25,7 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterable, Iterator
-from functools import cached_property, lru_cache
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +33,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from soundalike.llm.common import need, query, table
+from soundalike.llm.common import need, per_process, query, table
 
 #: Pre-tokens of up to so many characters are remembered; the table is emptied above so many of them.
 REMEMBERED_CHARS = 48
@@ -262,9 +262,8 @@ class ByteBpe:
         return b"".join(map(self.tokens.__getitem__, ids))
 
 
-@lru_cache(maxsize=2)
 def vocabulary(path: str, pattern: str) -> ByteBpe:
-    return ByteBpe(path, pattern)
+    return per_process(f"bpe {path} {pattern}", lambda: ByteBpe(path, pattern))
 
 
 def _columns(batch: pa.RecordBatch, without: set[str]) -> tuple[list, list[str]]:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import sys
+import types
 import uuid
 from collections.abc import Callable
 
@@ -59,3 +61,12 @@ def need(df: DataFrame, *columns: str) -> None:
     missing = [c for c in columns if c not in df.columns]
     if missing:
         raise ValueError(f"columns {missing} are missing; there are {df.columns}")
+
+
+def per_process(key: str, make: Callable[[], object]):
+    """A value made once per Python process; task functions are shipped by value and would forget it."""
+    name = "soundalike_process_cache"
+    held = sys.modules.setdefault(name, types.ModuleType(name)).__dict__
+    if key not in held:
+        held[key] = make()
+    return held[key]

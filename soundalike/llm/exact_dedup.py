@@ -43,13 +43,16 @@ def _places(hashed: Column, blocks: int) -> tuple[Column, list[Column]]:
              F.pmod(F.shiftrightunsigned(again, 32), F.lit(BLOCK_BITS)).cast("int")])
 
 
-def repeat_filter(hashes: DataFrame, column: str, rows: int) -> tuple[DataFrame, int]:
-    """The filter of positions that more than one row has set: (block, bits), and its number of blocks."""
+def repeat_filter(hashes: DataFrame, column: str, rows: int, least: int = 2) -> tuple[DataFrame, int]:
+    """The filter of positions that ``least`` rows or more have set: (block, bits), and its number of blocks.
+
+    With ``least`` = 1 it is an ordinary Bloom filter of the hashes.
+    """
     blocks = max(1, min(MAX_BLOCKS, -(-rows * BITS_PER_ROW // BLOCK_BITS)))
     block, places = _places(F.col(column), blocks)
     # A row sets a position once, also where its two positions are the same.
     marks = hashes.select(block.alias("block"), F.explode(F.array_distinct(F.array(*places))).alias("place"))
-    twice = marks.groupBy("block", "place").count().where("count > 1")
+    twice = marks.groupBy("block", "place").count().where(F.col("count") >= least)
     return twice.groupBy("block").agg(F.bitmap_construct_agg("place").alias("bits")), blocks
 
 
@@ -59,7 +62,7 @@ def _is_set(bits: Column, place: Column) -> Column:
 
 
 def maybe_repeated(df: DataFrame, column: str, bloom: DataFrame, blocks: int, mark: str) -> DataFrame:
-    """``df`` with a boolean ``mark``: false only for hashes that occur once."""
+    """``df`` with a boolean ``mark``: false only for hashes that are surely not in the filter."""
     b, bits = private("block"), private("bits")
     block, places = _places(F.col(column), blocks)
     # At most MAX_BLOCKS rows of 4 KB: the bound is proven, whatever the number of documents.

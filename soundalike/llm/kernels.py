@@ -7,6 +7,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
+from soundalike.llm.common import per_process
+
 #: Texts are worked on in blocks of about so many characters, long ones in pieces of so many bytes.
 BLOCK = 1_000_000
 PIECE = 1 << 20
@@ -15,7 +17,6 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _BASE = 0x9E3779B97F4A7C15
 _BASE_INVERSE = pow(_BASE, -1, 1 << 64)
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -27,20 +28,21 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse, modulo 2**64."""
-    size = max(2 * PIECE, n)
-    if size in _powers:
-        return _powers[size]
+def _make_powers(size: int) -> tuple[np.ndarray, np.ndarray]:
     up, down = np.full(size, _BASE, "u8"), np.full(size, _BASE_INVERSE, "u8")
     up[0] = down[0] = 1
     np.cumprod(up, out=up)
     np.cumprod(down, out=down)
-    if size == 2 * PIECE:
-        _powers[size] = up, down
     return up, down
 
 
+def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse, modulo 2**64, at least ``n`` of them."""
+    if n > 2 * PIECE:
+        return _make_powers(n)
+    return per_process("powers", lambda: _make_powers(2 * PIECE))
+
+
 def _piece_words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes and start bytes of the words in ``data``, which ends in white space."""
     gap = _SPACE[data]
