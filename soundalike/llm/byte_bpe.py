@@ -321,30 +321,36 @@ def decode(docs: DataFrame, path: str, pattern: str, ids_col: str = "ids", out_c
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str, text_col: str = "text",
-               carried: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+               carried: tuple[str, ...] = ("doc_id",), with_ids: bool = False) -> DataFrame:
     """Encode and decode in one pass: carried columns, n_tokens, ids_sha256, decoded_sha256, exact.
 
-    The ids and the decoded bytes of a text stay in the task; only their digests leave it.
+    The decoded bytes of a text stay in the task, and so do the ids unless ``with_ids`` adds them as ``ids``.
     """
     need(docs, text_col, *carried)
     docs = docs.select(*carried, F.col(text_col).alias("__text"))
     kinds = ", ".join(f"`{n}` {docs.schema[n].dataType.simpleString()}" for n in carried)
     schema = f"{kinds}, n_tokens bigint, ids_sha256 string, decoded_sha256 string, exact boolean"
+    if with_ids:
+        schema += ", ids array<int>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = vocabulary(path, pattern)
         for batch in batches:
-            rows = []
             for part, texts in blocks(batch, "__text"):
-                for text, packed in zip(texts, bpe.encode_packed(texts)):
+                rows, ids = [], bpe.encode_packed(texts)
+                for text, packed in zip(texts, ids):
                     back = bpe.decode_bytes(np.frombuffer(packed, "<u4").tolist())
                     rows.append((len(packed) // 4, hashlib.sha256(packed).hexdigest(),
                                  hashlib.sha256(back).hexdigest(), back == text.encode("utf-8")))
-            n, ids, decoded, exact = zip(*rows) if rows else ((), (), (), ())
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(i) for i in range(len(carried))), pa.array(n, pa.int64()), pa.array(ids, pa.string()),
-                 pa.array(decoded, pa.string()), pa.array(exact, pa.bool_())],
-                names=[*carried, "n_tokens", "ids_sha256", "decoded_sha256", "exact"])
+                n, digests, decoded, exact = zip(*rows)
+                arrays = [*part.columns[:-1], pa.array(n, pa.int64()), pa.array(digests, pa.string()),
+                          pa.array(decoded, pa.string()), pa.array(exact, pa.bool_())]
+                names = [*carried, "n_tokens", "ids_sha256", "decoded_sha256", "exact"]
+                if with_ids:
+                    flat = pa.array(np.frombuffer(b"".join(ids), "<i4"))
+                    arrays.append(pa.ListArray.from_arrays(pa.array(np.cumsum([0, *n]), pa.int32()), flat))
+                    names.append("ids")
+                yield pa.RecordBatch.from_arrays(arrays, names=names)
     return docs.mapInArrow(run, schema)
 
 
