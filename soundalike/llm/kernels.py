@@ -96,6 +96,18 @@ def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(hashes) if hashes else np.zeros(0, "u8")), counts
 
 
+def full_windows(hashes: np.ndarray, counts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Windows of ``width`` words inside one text each: their hashes, first words and texts."""
+    many = max(0, len(hashes) - width + 1)
+    joined = np.zeros(many, "u8")
+    for j in range(width):
+        joined += hashes[j:j + many] * np.uint64(2 * j + 3)
+        joined = mix(joined)
+    text = np.repeat(np.arange(len(counts)), counts)[:many]
+    first = np.flatnonzero(np.arange(many) + width <= np.cumsum(counts)[text])
+    return joined[first], first, text[first]
+
+
 def windows(hashes: np.ndarray, counts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all windows of ``width`` words, by text, and the number of them per text.
 
@@ -103,14 +115,7 @@ def windows(hashes: np.ndarray, counts: np.ndarray, width: int) -> tuple[np.ndar
     """
     ends = np.cumsum(counts)
     n = np.where(counts >= width, counts - width + 1, 0)
-    many = max(0, len(hashes) - width + 1)
-    joined = np.zeros(many, "u8")
-    for j in range(width):
-        joined += hashes[j:j + many] * np.uint64(2 * j + 3)
-        joined = mix(joined)
-    text = np.repeat(np.arange(len(counts)), counts)[:many]
-    inside = np.arange(many) + width <= ends[text]
-    full = joined[inside]
+    full = full_windows(hashes, counts, width)[0]
     short = np.flatnonzero((counts > 0) & (counts < width))
     if not len(short):
         return full, n
