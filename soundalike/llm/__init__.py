@@ -3,7 +3,7 @@
 from importlib import import_module
 
 #: One module per operator; each registers its query, and its SQL where SQL can say it.
-QUERY_MODULES: list[str] = ["exact_dedup", "mixing", "chat_format", "byte_bpe", "quality_classifier", "near_dedup", "quality_rules"]
+QUERY_MODULES: list[str] = ["exact_dedup", "mixing", "chat_format", "byte_bpe", "quality_classifier", "near_dedup", "quality_rules", "language_id"]
 
 
 def load_queries() -> tuple[dict, dict]:
