@@ -14,8 +14,25 @@ from pyspark.sql import functions as F
 from soundalike.functions import text as X
 from soundalike.operators.listing import first_per_key, genre_backlog, year_passes
 from soundalike.operators.rules import song_rules, validate
+from soundalike.session import cut
 
+# Titles of songs without metadata.
 FALLBACK_TITLE = "FMA Track "
+FALLBACK_TAGGED_TITLE = "Jamendo "
+FALLBACK_UPLOAD_TITLE = "Upload "
+
+
+def one_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str] = ()) -> DataFrame:
+    """One row per key: the first by ``order``, or without one the smallest of the other columns.
+
+    Update joins go through this, so a repeated key never multiplies the rows it is joined to.
+    """
+    if order:
+        return first_per_key(df, list(keys), list(order))
+    rest = [c for c in df.columns if c not in keys]
+    if not rest:
+        return df.distinct()
+    return df.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("_r")).select(*keys, "_r.*")
 
 
 # --------------------------------------------------------------- metadata to songs
@@ -87,6 +104,13 @@ def _song_columns(source: str, genre: Column, title: Column, artist: Column, alb
         genre.alias("genre"), F.col("release_year")]
 
 
+def _last_row(meta: DataFrame) -> DataFrame:
+    if "row_no" not in meta.columns:
+        return one_per_key(meta, ["track_id"])
+    rest = [c for c in meta.columns if c != "track_id"]
+    return meta.groupBy("track_id").agg(F.max_by(F.struct(*rest), "row_no").alias("_r")).select("track_id", "_r.*")
+
+
 def _status(title: str) -> Column:
     return F.when(X.nonempty(title).isNull(), "partial").otherwise("complete")
 
@@ -94,9 +118,10 @@ def _status(title: str) -> Column:
 def fma_songs(features: DataFrame, meta: DataFrame) -> DataFrame:
     """Features of tracks with their metadata; rows without metadata get defaults.
 
-    ``features``: ``track_id, duration`` and the feature columns.
+    ``features``: ``track_id, duration`` and the feature columns.  Of several metadata rows of one
+    track the last one counts (``row_no``, where there is one).
     """
-    both = features.join(meta, "track_id", "left")
+    both = features.join(_last_row(meta), "track_id", "left")
     fallback = F.concat(F.lit(FALLBACK_TITLE), F.col("track_id").cast("string"))
     return both.select("track_id", *_song_columns(
         "fma", F.col("genre"), F.coalesce(X.nonempty("track_title"), fallback),
@@ -106,8 +131,9 @@ def fma_songs(features: DataFrame, meta: DataFrame) -> DataFrame:
 
 def jamendo_songs(features: DataFrame, meta: DataFrame, tags: DataFrame) -> DataFrame:
     """I26 for the tagged source.  ``tags``: ``track_id, tag_duration, genre``."""
-    both = features.join(meta, "track_id", "left").join(tags, "track_id", "left")
-    fallback = F.concat(F.lit("Jamendo "), F.col("track_id").cast("string"))
+    both = features.join(_last_row(meta), "track_id", "left").join(
+        one_per_key(tags, ["track_id"]), "track_id", "left")
+    fallback = F.concat(F.lit(FALLBACK_TAGGED_TITLE), F.col("track_id").cast("string"))
     return both.select("track_id", *_song_columns(
         "jamendo", F.coalesce("genre", F.lit(X.FALLBACK_GENRE)),
         F.coalesce(X.nonempty("title"), fallback),
@@ -154,16 +180,41 @@ def import_new(existing: DataFrame, incoming: DataFrame, *, keys: Sequence[str]
                order: Sequence[str] = ("seq",)) -> DataFrame:
     """The incoming rows to append.  A row that repeats a unique key is left out.
 
-    The first row per key (by ``order``) wins; a NULL key never conflicts and such
-    rows take no part in a shuffle on that key.
+    The first row per key (by ``order``) wins; with several keys a row is only blocked by
+    a row that is itself taken.  A NULL key never conflicts and such rows take no part in a
+    shuffle on that key.
     """
     rows = with_import_defaults(incoming)
     for key in keys:
         keyless = rows.where(F.col(key).isNull())
-        keyed = first_per_key(rows.where(F.col(key).isNotNull()), [key], order)
-        keyed = pending(keyed, existing.where(F.col(key).isNotNull()), key)
-        rows = keyless.unionByName(keyed)
-    return rows
+        keyed = rows.where(F.col(key).isNotNull())
+        if len(keys) == 1:
+            keyed = first_per_key(keyed, [key], order)
+        rows = keyless.unionByName(pending(keyed, existing.where(F.col(key).isNotNull()), key))
+    return rows if len(keys) == 1 else _accepted(rows, keys, order)
+
+
+def _accepted(rows: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Rows that an insert loop in ``order`` would take: only an accepted row blocks another one.
+
+    Every round takes the rows that come first under all their keys and removes what conflicts with them.
+    The first row that is left is always taken, and chains of conflicts are short, so rounds are few.
+    """
+    rest = cut(rows.withColumn("_place", F.struct(*order, F.monotonically_increasing_id())))
+    taken = None
+    while not rest.isEmpty():
+        head = rest
+        for key in keys:
+            lead = rest.where(F.col(key).isNotNull()).groupBy(key).agg(F.min("_place").alias("_lead"))
+            head = head.join(lead, key, "left").where(
+                F.col("_lead").isNull() | (F.col("_lead") == F.col("_place"))).drop("_lead")
+        head = cut(head.select(*rest.columns))
+        taken = head if taken is None else taken.unionByName(head)
+        rest = rest.join(head.select("_place"), "_place", "left_anti")
+        for key in keys:
+            rest = rest.join(head.where(F.col(key).isNotNull()).select(key), key, "left_anti")
+        rest = cut(rest.select(*head.columns))
+    return (rest if taken is None else taken).drop("_place").select(*rows.columns)
 
 
 def import_report(existing: DataFrame, incoming: DataFrame, **kw) -> DataFrame:
@@ -195,9 +246,12 @@ def feed(work: DataFrame, existing: DataFrame, processed: DataFrame | None = Non
         seen = F.coalesce("_done", F.lit(False))
     todo = rows.withColumn("_seen", seen)
     if limit is not None:
-        chosen = (todo.where(~F.col("_seen")).select(order).orderBy(order).limit(limit)
-                  .withColumn("_in", F.lit(True)))
-        todo = todo.join(chosen, order, "left")
+        # Items are told apart by position and key together; either may be missing or repeated.
+        chosen = (todo.where(~F.col("_seen")).select(F.col(order).alias("_pos"), F.col(key).alias("_key"))
+                  .distinct().orderBy(F.col("_pos").asc_nulls_last(), F.col("_key").asc_nulls_last())
+                  .limit(limit).withColumn("_in", F.lit(True)))
+        todo = todo.join(chosen, F.col(order).eqNullSafe(F.col("_pos"))
+                         & F.col(key).eqNullSafe(F.col("_key")), "left").drop("_pos", "_key")
     else:
         todo = todo.withColumn("_in", F.lit(True))
     known = existing.where(F.col(key).isNotNull()).select(key).distinct().withColumn(
@@ -248,8 +302,9 @@ def backfill_external_id(songs: DataFrame, mapping: DataFrame,
 
 def album_genres(tracks: DataFrame, albums: DataFrame) -> DataFrame:
     """``deezer_id, album_id, new_genre`` through the track's album."""
-    labelled = albums.select("album_id", X.album_genre("genre_id", "genres").alias("g"))
-    return (tracks.select("deezer_id", "album_id").join(labelled, "album_id", "left")
+    labelled = one_per_key(albums.select("album_id", X.album_genre("genre_id", "genres").alias("g")), ["album_id"])
+    of_track = one_per_key(tracks.select("deezer_id", "album_id"), ["deezer_id"])
+    return (of_track.join(labelled, "album_id", "left")
             .select("deezer_id", "album_id",
                     F.coalesce("g", F.lit(X.FALLBACK_GENRE)).alias("new_genre")))
 
@@ -267,8 +322,12 @@ def backfill_genre(songs: DataFrame, tracks: DataFrame, albums: DataFrame,
 
 def update_vectors(songs: DataFrame, vectors: DataFrame, column: str = "mert",
                    processed: DataFrame | None = None) -> DataFrame:
-    """Songs with the supplied ``vector`` where theirs is missing; processed ids are left."""
-    new = vectors.select("id", F.col("vector").alias("_new"))
+    """Songs with the supplied ``vector`` where theirs is missing; processed ids are left.
+
+    Of several vectors of one song the smallest counts.
+    """
+    new = one_per_key(vectors.where(F.col("vector").isNotNull()).select(
+        "id", F.col("vector").alias("_new")), ["id"])
     if processed is not None:
         new = pending(new, processed, "id")
     return songs.join(new, "id", "left").withColumn(
@@ -280,8 +339,10 @@ def vector_outcomes(backlog: DataFrame, results: DataFrame, processed: DataFrame
 
     ``results``: ``id, vector, error``.
     """
-    rows = backlog.join(processed.select("id").withColumn("_p", F.lit(True)), "id", "left").join(
-        results, "id", "left")
+    done = processed.select("id").distinct().withColumn("_p", F.lit(True))
+    best = results.groupBy("id").agg(F.min_by(
+        F.struct("vector", "error"), F.struct(F.col("vector").isNull(), "error")).alias("_r"))
+    rows = backlog.join(done, "id", "left").join(best.select("id", "_r.*"), "id", "left")
     outcome = (F.when(F.col("_p").isNotNull(), "skipped")
                .when(F.col("error") == "no_preview", "no_preview")
                .when(F.col("vector").isNull(), "failed").otherwise("extracted"))
@@ -302,7 +363,7 @@ def classify(songs: DataFrame, meta: DataFrame, keep: Iterable[str] = ("Electron
     placeholder = F.concat(F.lit(FALLBACK_TITLE), F.col("track_id").cast("string"))
     by_title = (meta.groupBy(F.coalesce(X.nonempty("track_title"), placeholder).alias("title"))
                 .agg(F.min_by(fields, "row_no").alias("_t")))
-    by_id = meta.select(F.col("track_id").alias("_tid"), fields.alias("_i"))
+    by_id = meta.groupBy(F.col("track_id").alias("_tid")).agg(F.max_by(fields, "row_no").alias("_i"))
     number = F.regexp_extract("title", rf"^{FALLBACK_TITLE}(\d+)$", 1)
     both = (songs.withColumn("_tid", X.nonempty(number).cast("long"))
             .join(by_id, "_tid", "left").join(by_title, "title", "left"))
@@ -339,13 +400,14 @@ def enrich(uploads: DataFrame, resolved: DataFrame) -> DataFrame:
     """Uploads overlaid with resolved metadata, else placeholder title and artist.
 
     ``uploads``: ``job_id`` (text) and feature columns; ``resolved``: ``job_id,
-    recording_id, title, artist, album``.
+    recording_id, title, artist, album``.  Of several answers to one job the smallest
+    recording id counts.
     """
-    r = resolved.select("job_id", "recording_id", *[
+    r = one_per_key(resolved, ["job_id"], ["recording_id"]).select("job_id", "recording_id", *[
         X.nonempty(c).alias(f"_{c}") for c in ("title", "artist", "album")])
     return (uploads.join(r, "job_id", "left")
             .withColumn("title", F.coalesce("_title", F.concat(
-                F.lit("Upload "), F.substring("job_id", 1, 8))))
+                F.lit(FALLBACK_UPLOAD_TITLE), F.substring("job_id", 1, 8))))
             .withColumn("artist", F.coalesce("_artist", F.lit("Unknown")))
             .withColumn("album", F.col("_album"))
             .withColumn("metadata_status", F.lit("uploaded"))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from soundalike.functions.vectors import cosine, unit
 from soundalike.operators.search import nearest
+from soundalike.session import cut
 
 # Edges of the similarity histogram.
 HISTOGRAM_EDGES = (0.8, 0.85, 0.9, 0.92, 0.94, 0.96, 0.98, 1.0)
@@ -126,6 +127,27 @@ def pair_sample(songs: DataFrame, n_pairs: int = 5000, n_songs: int = 3000, seed
         *[f"{x}_b" for x in columns])
 
 
+def song_pairs(songs: DataFrame, rounds: int = 10, buckets: int = 64, seed: int = 42,
+               columns: Sequence[str] = ("learned",)) -> DataFrame:
+    """E13 over all songs: every song meets ``rounds`` random others, whatever the size of the table.
+
+    In each round songs are dealt to ``buckets`` by hash, and each is paired with the next one of its bucket in
+    hash order, the last with the first.  Only ids and hashes are sorted; vectors are joined to the pairs.
+    """
+    have = songs.where(F.col(columns[0]).isNotNull())
+    dealt = have.select("id", F.explode(F.sequence(F.lit(1), F.lit(rounds))).alias("r")).withColumn(
+        "h", F.md5(F.concat_ws(":", F.col("id").cast("string"), F.lit(str(seed)), F.col("r").cast("string"))))
+    bucket = F.conv(F.substring("h", 1, 4), 16, 10).cast("long") % buckets
+    w = Window.partitionBy("r", bucket).orderBy("h", "id")
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    pairs = dealt.select(F.col("id").alias("id_a"), F.coalesce(
+        F.lead("id").over(w), F.first("id").over(whole)).alias("id_b")).where("id_a <> id_b")
+    for side in "ab":
+        pairs = pairs.join(have.select(F.col("id").alias(f"id_{side}"), *[
+            F.col(x).alias(f"{x}_{side}") for x in columns]), f"id_{side}")
+    return pairs
+
+
 def pair_similarities(pairs: DataFrame, columns: Sequence[str] = ("learned",)) -> DataFrame:
     return pairs.select("id_a", "id_b", *[
         cosine(f"{x}_a", f"{x}_b").alias(f"sim_{x}") for x in columns])
@@ -133,15 +155,51 @@ def pair_similarities(pairs: DataFrame, columns: Sequence[str] = ("learned",)) -
 
 # ---------------------------------------------------------------------- description
 
+PROFILE = {"p5": 0.05, "p25": 0.25, "median": 0.5, "p75": 0.75, "p95": 0.95}
+PROFILE_BINS = 1 << 16
+
+
+def percentiles(df: DataFrame, c: str, shares: Sequence[float]) -> list[float | None]:
+    """Exact, interpolated percentiles of any number of rows.
+
+    Rows are counted in ``PROFILE_BINS`` equal bins of their range, which is what the driver sees; only the bins
+    that hold a wanted rank are then sorted, each by itself.
+    """
+    low, high, n = df.agg(F.min(c), F.max(c), F.count(c)).first()
+    if not n:
+        return [None] * len(shares)
+    if low == high:
+        return [float(low)] * len(shares)
+    ranks = [(n - 1) * p for p in shares]
+    wanted = sorted({int(k) for r in ranks for k in (np.floor(r), np.ceil(r))})
+    place = F.least(F.lit(PROFILE_BINS - 1), F.floor((F.col(c) - low) / (high - low) * PROFILE_BINS).cast("int"))
+    binned = df.where(F.col(c).isNotNull()).select(F.col(c).alias("v"), place.alias("bin"))
+    counts = dict(binned.groupBy("bin").count().collect())
+    bins = sorted(counts)
+    ends = np.cumsum([counts[b] for b in bins])
+    rows = []
+    for k in wanted:
+        i = int(np.searchsorted(ends, k, side="right"))
+        rows.append((bins[i], k - int(ends[i] - counts[bins[i]]), k))
+    asked = df.sparkSession.createDataFrame(rows, "bin int, nth long, k long")
+    ties = binned.join(F.broadcast(asked.select("bin").distinct()), "bin").groupBy("bin", "v").count()
+    upto = Window.partitionBy("bin").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = ties.withColumn("end", F.sum("count").over(upto))
+    hit = ranked.join(F.broadcast(asked), "bin").where(
+        (F.col("nth") < F.col("end")) & (F.col("nth") >= F.col("end") - F.col("count")))
+    value = {r["k"]: float(r["v"]) for r in hit.select("k", "v").collect()}
+    return [value[int(np.floor(r))] + (r - np.floor(r)) * (value[int(np.ceil(r))] - value[int(np.floor(r))])
+            for r in ranks]
+
+
 def similarity_profile(sims: DataFrame, c: str = "sim_learned") -> DataFrame:
-    """Spread of a bounded sample of similarities (exact, interpolated percentiles)."""
-    p = F.percentile(c, F.array(*[F.lit(x) for x in (0.05, 0.25, 0.5, 0.75, 0.95)]))
-    return sims.agg(
+    """Spread of similarities, of all rows; percentiles are exact and interpolated."""
+    held = cut(sims.select(c))
+    found = percentiles(held, c, list(PROFILE.values()))
+    return held.agg(
         F.count(c).alias("pairs"), F.avg(c).alias("mean"), F.stddev_pop(c).alias("std"),
-        F.min(c).alias("min"), F.max(c).alias("max"), p.alias("_p")).select(
-        "pairs", "mean", "std", "min", "max",
-        *[F.get("_p", F.lit(i)).alias(n)
-          for i, n in enumerate(("p5", "p25", "median", "p75", "p95"))])
+        F.min(c).alias("min"), F.max(c).alias("max")).select(
+        "*", *[F.lit(x).cast("double").alias(n) for n, x in zip(PROFILE, found)])
 
 
 def histogram(df: DataFrame, c: str, edges: Sequence[float] = HISTOGRAM_EDGES) -> DataFrame:
@@ -162,12 +220,18 @@ def histogram(df: DataFrame, c: str, edges: Sequence[float] = HISTOGRAM_EDGES) -
         F.coalesce("share", F.lit(0.0)).alias("share"))
 
 
-def pca_ratios(songs: DataFrame, vec: str = "learned", k: int = 50) -> DataFrame:
-    """Explained variance ratio of the leading components (``pc, ratio, cumulative``)."""
-    data = songs.where(F.col(vec).isNotNull()).select(array_to_vector(vec).alias("v"))
-    width = data.first()["v"].size
-    model = PCA(k=min(k, width), inputCol="v", outputCol="p").fit(data)
-    rows = [(i + 1, float(r)) for i, r in enumerate(model.explainedVariance)]
+def pca_ratios(songs: DataFrame, vec: str = "learned", k: int | None = None) -> DataFrame:
+    """Explained variance ratio of the components, all or the first ``k`` (``pc, ratio, cumulative``).
+
+    Vectors are as long as the longest; others take no part.  No vectors, no rows.
+    """
+    have = songs.where(F.col(vec).isNotNull())
+    width = have.agg(F.max(F.size(vec))).first()[0] or 0
+    rows = []
+    if width:
+        data = have.where(F.size(vec) == width).select(array_to_vector(vec).alias("v"))
+        model = PCA(k=min(k or width, width), inputCol="v", outputCol="p").fit(data)
+        rows = [(i + 1, float(r)) for i, r in enumerate(model.explainedVariance)]
     out = songs.sparkSession.createDataFrame(rows, "pc int, ratio double")
     running = Window.orderBy("pc")  # at most k rows
     return out.withColumn("cumulative", F.sum("ratio").over(running))
@@ -185,9 +249,53 @@ def pca_profile(ratios: DataFrame) -> DataFrame:
         F.exp(-F.sum(F.col("ratio") * F.log(F.col("ratio") + 1e-10))).alias("effective_dim"))
 
 
-def silhouette(songs: DataFrame, label: str = "genre", vec: str = "learned",
-               max_rows: int = 2000, seed: int = 42) -> DataFrame:
-    """Euclidean silhouette of labels in the plane of the first two components.
+def plane(songs: DataFrame, label: str = "genre", vec: str = "learned") -> DataFrame:
+    """All songs in the plane of their first two components: ``id, label, x, y``."""
+    data = songs.where(F.col(vec).isNotNull()).select(
+        "id", F.coalesce(label, F.lit("Unknown")).alias("label"), array_to_vector(vec).alias("v"))
+    p = PCA(k=2, inputCol="v", outputCol="p").fit(data).transform(data).withColumn("p", vector_to_array("p"))
+    return p.select("id", "label", F.col("p")[0].alias("x"), F.col("p")[1].alias("y"))
+
+
+def silhouette_of(points: DataFrame) -> DataFrame:
+    """Silhouette on squared distances of all points (``label, x, y``).
+
+    The mean squared distance of a point to a label follows from the label's count, sum and sum of squares, so
+    two passes serve any number of points.  The sums of all labels, one small row each, go along with every point.
+    """
+    x, y = F.col("x"), F.col("y")
+    per = points.groupBy("label").agg(F.count("*").alias("n"), F.sum("x").alias("sx"), F.sum("y").alias("sy"),
+                                      F.sum(x * x + y * y).alias("ss"))
+    every = per.agg(F.collect_list(F.struct("label", "n", "sx", "sy", "ss")).alias("every"))
+    own_label = F.col("label")
+
+    def total(s: Column) -> Column:
+        return (x * x + y * y) * s["n"] + s["ss"] - 2 * (x * s["sx"] + y * s["sy"])
+    both = points.withColumn("every", every.scalar())
+    own = F.element_at(F.filter("every", lambda s: s["label"] == own_label), 1)
+    a = F.greatest(F.lit(0.0), total(own)) / F.greatest(own["n"] - 1, F.lit(1))
+    b = F.array_min(F.transform(F.filter("every", lambda s: s["label"] != own_label),
+                                lambda s: F.greatest(F.lit(0.0), total(s)) / s["n"]))
+    top = F.greatest(a, b)
+    s = F.when((own["n"] > 1) & b.isNotNull() & (top > 0), (b - a) / top).otherwise(0.0)
+    out = both.select("label", s.alias("s")).agg(
+        F.count("*").alias("rows"), F.count_distinct("label").alias("labels"), F.avg("s").alias("silhouette"))
+    return _judged(out)
+
+
+def _judged(out: DataFrame) -> DataFrame:
+    return out.withColumn("verdict", F.when(F.col("silhouette") < 0.1, "not separated")
+                          .when(F.col("silhouette") < 0.3, "weak").otherwise("clear"))
+
+
+def silhouette(songs: DataFrame, label: str = "genre", vec: str = "learned") -> DataFrame:
+    """Silhouette of labels in the plane of the first two components, over all songs."""
+    return silhouette_of(plane(songs, label, vec))
+
+
+def sample_silhouette(songs: DataFrame, max_rows: int, label: str = "genre", vec: str = "learned",
+                      seed: int = 42) -> DataFrame:
+    """E18 on a sample: Euclidean silhouette of labels in the plane of the first two components.
 
     The plane comes from all songs; the score from a sample of at most
     ``max_rows`` (that bound is what makes sharing the sample with every task
@@ -230,8 +338,7 @@ def silhouette(songs: DataFrame, label: str = "genre", vec: str = "learned",
     scored = points.select("label", "p").mapInArrow(score, "label string, s double")
     out = scored.agg(F.count("*").alias("rows"), F.count_distinct("label").alias("labels"),
                      F.avg("s").alias("silhouette"))
-    return out.withColumn("verdict", F.when(F.col("silhouette") < 0.1, "not separated")
-                          .when(F.col("silhouette") < 0.3, "weak").otherwise("clear"))
+    return _judged(out)
 
 
 def spearman(df: DataFrame, a: str, b: str) -> float:
@@ -258,11 +365,10 @@ def compare_models(rho: float, std_new: float, std_old: float, effective_dim: fl
     }
 
 
-def compare_spaces(songs: DataFrame, new: str, old: str, n_pairs: int = 2000,
-                   n_songs: int = 3000, seed: int = 42) -> DataFrame:
-    """One row that compares two vector spaces over the songs that have both."""
+def compare_spaces(songs: DataFrame, new: str, old: str, rounds: int = 10, seed: int = 42) -> DataFrame:
+    """One row that compares two vector spaces over all songs that have both."""
     both = songs.where(F.col(new).isNotNull() & F.col(old).isNotNull())
-    sims = pair_similarities(pair_sample(both, n_pairs, n_songs, seed, (new, old)), (new, old))
+    sims = cut(pair_similarities(song_pairs(both, rounds, seed=seed, columns=(new, old)), (new, old)))
     rho = spearman(sims, f"sim_{new}", f"sim_{old}")
     spread = sims.agg(F.count("*").alias("n"), F.stddev_pop(f"sim_{new}").alias("a"),
                       F.stddev_pop(f"sim_{old}").alias("b")).first()

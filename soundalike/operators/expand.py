@@ -24,14 +24,20 @@ def resolve_artists(names: DataFrame, candidates: DataFrame) -> DataFrame:
                     F.col("b.artist_name").alias("artist_name")))
 
 
+def _first(listed: DataFrame, n: int | None) -> DataFrame:
+    return listed if n is None else listed.where(F.col("pos") <= n)
+
+
 def reach_artists(seeds: DataFrame, related: DataFrame, top_tracks: DataFrame, albums: DataFrame,
-                  depth: int = 1, fan: int = 20) -> DataFrame:
+                  depth: int = 1, fan: int | None = None) -> DataFrame:
     """artists within ``depth`` steps of the seeds, each with its smallest ``depth``.
 
+    Of an artist's related artists the first ``fan`` count, all of them without it.
+
     Seeds are never gated; a related artist must pass the genre gate.  One frontier
     join and one anti-join per round; rounds are checkpointed.
     """
-    edges = related.where(F.col("pos") <= fan).select("artist_id", "related_id")
+    edges = _first(related, fan).select("artist_id", "related_id")
     targets = edges.select(F.col("related_id").alias("artist_id")).distinct()
     gate = electronic_artists(targets, top_tracks, albums)
     seen = cut(seeds.select("artist_id").distinct().withColumn("depth", F.lit(0)))
@@ -46,7 +52,7 @@ def reach_artists(seeds: DataFrame, related: DataFrame, top_tracks: DataFrame, a
 
 
 def expand_catalog(seeds: DataFrame, related: DataFrame, top_tracks: DataFrame, albums: DataFrame,
-                   depth: int = 1, top: int = 50, fan: int = 20) -> DataFrame:
+                   depth: int = 1, top: int | None = None, fan: int | None = None) -> DataFrame:
     """Tracks with a preview of all reached artists, each track once.
 
     ``top_tracks``: ``artist_id, pos, track_id, title, album_id, preview``;
@@ -54,17 +60,17 @@ def expand_catalog(seeds: DataFrame, related: DataFrame, top_tracks: DataFrame,
     artists goes to the one reached first (depth, then artist id).
     """
     artists = reach_artists(seeds, related, top_tracks, albums, depth, fan)
-    listed = top_tracks.where((F.col("pos") <= top) & nonempty("preview").isNotNull()
+    listed = _first(top_tracks, top).where(nonempty("preview").isNotNull()
                               & F.col("track_id").isNotNull())
     return first_per_key(listed.join(artists, "artist_id"), ["track_id"],
                          ["depth", "artist_id", "pos"])
 
 
 def new_tracks_of_artist(artists: DataFrame, top_tracks: DataFrame, songs: DataFrame,
-                         per_artist: int = 10) -> DataFrame:
+                         per_artist: int | None = None) -> DataFrame:
     """J9, one-artist form: top tracks with a preview that the catalogue does not have yet."""
-    listed = top_tracks.join(artists.select("artist_id"), "artist_id", "left_semi").where(
-        (F.col("pos") <= per_artist) & nonempty("preview").isNotNull())
+    listed = _first(top_tracks, per_artist).join(
+        artists.select("artist_id"), "artist_id", "left_semi").where(nonempty("preview").isNotNull())
     known = songs.where(F.col("deezer_id").isNotNull()).select(
         F.col("deezer_id").alias("track_id"))
     return listed.join(known, "track_id", "left_anti")

@@ -16,7 +16,6 @@ from soundalike.functions import links, text
 from soundalike.session import cut
 
 GRAM = 3
-TITLE_POOL = 10
 
 
 def _grams(c: Column, n: int | Column) -> Column:
@@ -80,13 +79,14 @@ def _names(songs: DataFrame) -> DataFrame:
     return songs.select("id", F.lower("title").alias("lt"), F.lower("artist").alias("la"), "artist")
 
 
-def identify(requests: DataFrame, songs: DataFrame, *, clean: bool = True) -> DataFrame:
+def identify(requests: DataFrame, songs: DataFrame, *, clean: bool = True,
+             title_pool: int | None = None) -> DataFrame:
     """The catalogue song of every request, or none.
 
     ``requests``: ``request_id, artist, title`` (parsed).  Tiers: (1) artist and
-    title both contained; (2) title contained, of the first ten such songs the
-    first whose artist matches, or the first of all when the request names no
-    artist; (3) artist contained, only when the request has no title.  First means
+    title both contained; (2) title contained, of the first ``title_pool`` such songs
+    (all without it) the first whose artist matches, or the first of all when the
+    request names no artist; (3) artist contained, only when the request has no title.  First means
     lowest id.  Result: ``request_id, song_id, tier, matched, needs_ingest``.
     """
     req = requests.select(
@@ -111,13 +111,17 @@ def identify(requests: DataFrame, songs: DataFrame, *, clean: bool = True) -> Da
     artist_hits = cut(_containing(who, artists).withColumnsRenamed({"needle": "qa", "hay": "la"}))
     tier1 = _both_contained(asked.where("qt != '' AND qa != ''"), hits, artist_hits, pairs)
 
-    # Tier 2: the ten lowest ids among all songs whose title contains the request.
-    per_title = Window.partitionBy("lt").orderBy("id")
-    firsts = (songs_.withColumn("n", F.row_number().over(per_title))
-              .where(F.col("n") <= TITLE_POOL).drop("n"))
-    per_needle = Window.partitionBy("qt").orderBy("id")
-    pool = (hits.join(firsts, "lt").withColumn("n", F.row_number().over(per_needle))
-            .where(F.col("n") <= TITLE_POOL))
+    # Tier 2: the test sees only names, so without a pool the lowest id per (title, artist) is enough.
+    if title_pool is None:
+        firsts = songs_.groupBy("lt", "artist").agg(F.min("id").alias("id"))
+        pool = hits.join(firsts, "lt")
+    else:
+        per_title = Window.partitionBy("lt").orderBy("id")
+        firsts = (songs_.withColumn("n", F.row_number().over(per_title))
+                  .where(F.col("n") <= title_pool).drop("n"))
+        per_needle = Window.partitionBy("qt").orderBy("id")
+        pool = (hits.join(firsts, "lt").withColumn("n", F.row_number().over(per_needle))
+                .where(F.col("n") <= title_pool))
     fits = (F.col("qa") == "") | text.artists_match(
         text.clean_artist("qa"), text.clean_artist("artist"))
     tier2 = (asked.where("qt != ''").join(pool, "qt").where(fits)
@@ -155,10 +159,10 @@ def parse_requests(requests: DataFrame) -> DataFrame:
                     F.col("_p.title").alias("title")))
 
 
-def identify_links(requests: DataFrame, songs: DataFrame) -> DataFrame:
+def identify_links(requests: DataFrame, songs: DataFrame, **kw) -> DataFrame:
     """Parsed and resolved requests; only rows with a valid link are looked up."""
     parsed = parse_requests(requests)
-    found = identify(parsed.where(F.col("link").isNotNull()), songs)
+    found = identify(parsed.where(F.col("link").isNotNull()), songs, **kw)
     return parsed.join(found, "request_id", "left").select(
         "request_id", "platform", "link", "artist", "title", "song_id", "tier",
         F.coalesce("matched", F.lit(False)).alias("matched"),

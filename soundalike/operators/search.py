@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from soundalike.functions.vectors import valid_vector
 from soundalike.session import cut
 
 DIGITS = 12
@@ -49,6 +50,8 @@ def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     n = len(arr)
     if n == 0:
         return np.zeros((0, 0))
+    if arr.null_count or len(np.unique(np.diff(arr.offsets.to_numpy()))) > 1:
+        raise ValueError("vectors of different lengths in one search")
     flat = arr.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
     return flat.reshape(n, -1)
 
@@ -336,9 +339,13 @@ def best_per_query(hits: DataFrame, k: int | str) -> DataFrame:
 def nearest(queries: DataFrame, songs: DataFrame, k: int, *, vec: str = "learned",
             query_vec: str = "vector", extra: str = "bpm", strategy: str = "auto",
             probes: int | None = None, n_pivots: int | None = None,
-            block_rows: int = BLOCK_ROWS, max_scan_queries: int = MAX_SCAN_QUERIES) -> DataFrame:
+            block_rows: int = BLOCK_ROWS, max_scan_queries: int = MAX_SCAN_QUERIES,
+            dim: int | None = None) -> DataFrame:
     """The ``k`` songs of highest cosine similarity for each row of ``queries``.
 
+    Vectors have ``dim`` elements, by default as many as the longest query; rows of another
+    length, or with a missing or NaN element, are not searched (:func:`rejected` counts them).
+
     ``queries``: ``query_id``, a vector.  Result: ``query_id, id, similarity,
     extra, rank``; ``extra`` is one catalogue column carried along for filters
     that apply after the pool is fixed.  Choosing the strategy runs one bounded
@@ -348,6 +355,9 @@ def nearest(queries: DataFrame, songs: DataFrame, k: int, *, vec: str = "learned
         "query_id", F.col(query_vec).alias("vec"))
     cat = songs.where(F.col(vec).isNotNull()).select(
         "id", F.col(extra).alias("extra"), F.col(vec).alias("vec"))
+    if dim is None:
+        dim = q.agg(F.max(F.size("vec"))).first()[0] or 0
+    q, cat = (x.where(valid_vector("vec", dim)) for x in (q, cat))
     out = _hits_schema(q.schema["query_id"].dataType, cat.schema["id"].dataType,
                        cat.schema["extra"].dataType)
     if probes is not None:
@@ -377,22 +387,21 @@ def top_k(queries: DataFrame, songs: DataFrame, k: int = 20, *, vec: str = "lear
     """Top-k search with tempo filter.  Result: ``query_id, id, similarity, rank``.
 
     ``filter_mode="post"`` fixes a pool of ``pool_factor * k`` first and filters it,
-    ``"pre"`` filters the catalogue (also dropping failed rows) and applies ``cap``
-    (100 by default).  ``exclude`` names a column of ``queries`` with an id that
+    ``"pre"`` filters the catalogue (also dropping failed rows) first; ``cap`` bounds
+    ``k``.  ``exclude`` names a column of ``queries`` with an id that
     must not be returned; ``"query_id"`` excludes the query itself.
     ``match_count`` names a column with a smaller k per query.
     """
     if method == "approx":
         search["probes"] = probes
     in_range = F.col("bpm").between(min_bpm, max_bpm)
+    if cap is not None:
+        k = min(k, cap)
     if filter_mode == "pre":
-        k = min(k, 100 if cap is None else cap)
         songs = songs.where(in_range & (F.col("metadata_status") != "failed"))
         pool = nearest(queries, songs, k + (1 if exclude else 0), vec=vec, query_vec=query_vec,
                        **search)
     else:
-        if cap is not None:
-            k = min(k, cap)
         pool = nearest(queries, songs, k * pool_factor, vec=vec, query_vec=query_vec, **search)
         pool = pool.where(F.col("extra").between(min_bpm, max_bpm))
     wanted = [c for c in {exclude, match_count} - {None, "query_id"}]
@@ -406,6 +415,13 @@ def top_k(queries: DataFrame, songs: DataFrame, k: int = 20, *, vec: str = "lear
     return ranked.select("query_id", "id", "similarity", "rank")
 
 
+def rejected(songs: DataFrame, dim: int, vec: str = "learned") -> DataFrame:
+    """Rows that a search over vectors of ``dim`` elements leaves out, by reason."""
+    reason = (F.when(F.col(vec).isNull(), "missing").when(F.size(vec) != dim, "length")
+              .when(~valid_vector(vec, dim), "element"))
+    return songs.select(reason.alias("reason")).where("reason is not null").groupBy("reason").count()
+
+
 def nearest_for_new(new_songs: DataFrame, songs: DataFrame, k: int = 20, **search) -> DataFrame:
     """The k nearest songs of newly arrived songs, themselves excluded."""
     queries = new_songs.select(F.col("id").alias("query_id"), F.col("learned").alias("vector"))

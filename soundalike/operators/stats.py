@@ -11,7 +11,6 @@ from soundalike.functions.layout import HANDCRAFTED_DIM
 from soundalike.functions.vectors import zscore
 
 STD_FLOOR = 1e-10
-MAX_WIDE = 128
 
 
 def _floored(std: F.Column, mode: str) -> F.Column:
@@ -28,28 +27,22 @@ def fit_stats(songs: DataFrame, vec: str = "handcrafted_raw", dim: int = HANDCRA
               floor_mode: str = "greatest") -> DataFrame:
     """One row ``mean, std, dim, n_songs`` with population deviations.
 
-    Up to a moderate width this is one pass with one partial row per task; wider
-    vectors go through (position, value) rows, which also combine map-side.
+    Vectors of another length than ``dim`` take no part, in any position; :func:`rejected_widths`
+    counts them.  One way for all widths: (position, value) rows, summed map-side.
     """
-    rows = songs.where(F.col(vec).isNotNull())
-    if dim <= MAX_WIDE:
-        x = [F.get(F.col(vec), F.lit(i)) for i in range(dim)]
-        wide = rows.agg(
-            F.count("*").alias("n"),
-            *[F.avg(x[i]).alias(f"m{i}") for i in range(dim)],
-            *[F.stddev_pop(x[i]).alias(f"s{i}") for i in range(dim)])
-        return wide.select(
-            F.array(*[f"m{i}" for i in range(dim)]).alias("mean"),
-            F.array(*[_floored(F.col(f"s{i}"), floor_mode) for i in range(dim)]).alias("std"),
-            F.lit(dim).alias("dim"), F.col("n").alias("n_songs"))
-    per = (rows.select(F.posexplode(vec).alias("i", "x")).where(F.col("i") < dim)
-           .groupBy("i").agg(F.avg("x").alias("m"), F.stddev_pop("x").alias("s"),
-                             F.count("*").alias("n")))
-    packed = per.agg(F.sort_array(F.collect_list(F.struct("i", "m", "s", "n"))).alias("e"))
+    per = (songs.where(F.size(vec) == dim).select(F.posexplode(vec).alias("i", "x"))
+           .groupBy("i").agg(F.avg("x").alias("m"), F.stddev_pop("x").alias("s"), F.count("*").alias("n")))
+    packed = per.agg(F.sort_array(F.collect_list(F.struct("i", "m", "s", "n"))).alias("e"))  # dim rows
     return packed.select(
         F.col("e.m").alias("mean"),
         F.transform("e.s", lambda s: _floored(s, floor_mode)).alias("std"),
-        F.lit(dim).alias("dim"), F.array_max("e.n").alias("n_songs"))
+        F.lit(dim).alias("dim"), F.coalesce(F.array_max("e.n"), F.lit(0)).alias("n_songs"))
+
+
+def rejected_widths(songs: DataFrame, vec: str = "handcrafted_raw", dim: int = HANDCRAFTED_DIM) -> DataFrame:
+    """Rows per length of the vectors that :func:`fit_stats` leaves out."""
+    return (songs.where(F.col(vec).isNotNull() & (F.size(vec) != dim))
+            .groupBy(F.size(vec).alias("width")).agg(F.count("*").alias("count")))
 
 
 def normalised(songs: DataFrame, stats: DataFrame, vec: str = "handcrafted_raw",

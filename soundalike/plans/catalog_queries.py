@@ -583,6 +583,14 @@ def e9(spark, sf):
     return out.select(F.round("precision", 6).alias("baseline"), "verdict")
 
 
+@query("e9_fused_verdict", "WITH " + HITS_SQL + """
+SELECT round(avg(p), 6) AS precision, CASE WHEN avg(p) > 0.5 THEN 'go' ELSE 'review' END AS verdict
+FROM hits WHERE signal = 'fused'""")
+def e9_fused(spark, sf):
+    out = E.verdict(E.precision_at_k(V.vectors(spark, sf), "fused"))
+    return out.select(F.round("precision", 6).alias("precision"), "verdict")
+
+
 def _fma_catalog(spark, sf):
     """Songs of the catalogue that once came from the raw track table."""
     n = F.col("p_partkey")
@@ -661,31 +669,29 @@ def e12(spark, sf):
         LS.vector_backlog(songs), _vector_results(songs), done))
 
 
-PAIR_SQL = """sampled AS (SELECT *, row_number() OVER (ORDER BY md5(id || ':42'), id) - 1 AS pos
-    FROM songs WHERE {where} QUALIFY pos < 3000),
-sized AS (SELECT *, count(*) OVER () AS m FROM sampled),
-shifted AS (SELECT *, unnest(range(1, greatest(1, ceil({n} / m)::BIGINT) + 1)) AS r FROM sized),
-shot AS (SELECT *, (pos + 1 + ('0x' || substr(md5(r || '/42'), 1, 8))::BIGINT % (m - 1)) % m AS other
-  FROM shifted WHERE (r - 1) * m + pos < least({n}, m * (m - 1) // 2)),
-sims AS (SELECT a.id AS id_a, b.id AS id_b, list_cosine_similarity(a.learned, b.learned) AS s,
+PAIR_SQL = """dealt AS (SELECT id, r, md5(id || ':42:' || r) AS h
+    FROM songs, (SELECT unnest(range(1, 11)) AS r) WHERE {where}),
+met AS (SELECT id AS id_a, coalesce(lead(id) OVER w, first_value(id) OVER w) AS id_b FROM dealt
+  WINDOW w AS (PARTITION BY r, ('0x' || substr(h, 1, 4))::BIGINT % 64 ORDER BY h, id)),
+sims AS (SELECT id_a, id_b, list_cosine_similarity(a.learned, b.learned) AS s,
     list_cosine_similarity(a.mert, b.mert) AS t
-  FROM shot a JOIN sized b ON b.pos = a.other)"""
+  FROM met JOIN songs a ON a.id = id_a JOIN songs b ON b.id = id_b WHERE id_a <> id_b)"""
 
 
-@query("e13_similarity_profile", "WITH " + PAIR_SQL.format(n=5000, where="true") + """
+@query("e13_similarity_profile", "WITH " + PAIR_SQL.format(where="true") + """
 SELECT count(*) AS pairs, round(avg(s), 6) AS mean, round(stddev_pop(s), 6) AS std,
   round(min(s), 6) AS min, round(max(s), 6) AS max, round(median(s), 6) AS median FROM sims""")
 def e13(spark, sf):
-    sims = E.pair_similarities(E.pair_sample(V.vectors(spark, sf)))
+    sims = E.pair_similarities(E.song_pairs(V.vectors(spark, sf)))
     p = E.similarity_profile(sims)
     return p.select("pairs", *[F.round(c, 6).alias(c) for c in ("mean", "std", "min", "max", "median")])
 
 
-@query("e14_percentiles", "WITH " + PAIR_SQL.format(n=5000, where="true") + """
+@query("e14_percentiles", "WITH " + PAIR_SQL.format(where="true") + """
 SELECT round(quantile_cont(s, 0.05), 6) AS p5, round(quantile_cont(s, 0.25), 6) AS p25,
   round(quantile_cont(s, 0.75), 6) AS p75, round(quantile_cont(s, 0.95), 6) AS p95 FROM sims""")
 def e14(spark, sf):
-    sims = E.pair_similarities(E.pair_sample(V.vectors(spark, sf)))
+    sims = E.pair_similarities(E.song_pairs(V.vectors(spark, sf)))
     p = E.similarity_profile(sims)
     return p.select(*[F.round(c, 6).alias(c) for c in ("p5", "p25", "p75", "p95")])
 
@@ -693,14 +699,14 @@ def e14(spark, sf):
 EDGES = (-0.3, -0.15, -0.05, 0.0, 0.02, 0.05, 0.15, 0.3)
 
 
-@query("e15_histogram", "WITH " + PAIR_SQL.format(n=5000, where="true") + f""",
+@query("e15_histogram", "WITH " + PAIR_SQL.format(where="true") + f""",
 b AS (SELECT i, {list(EDGES)}[i + 1] AS lower, {list(EDGES)}[i + 2] AS upper FROM range({len(EDGES) - 1}) r(i))
 SELECT i AS bin, lower::DOUBLE AS lower, upper::DOUBLE AS upper, count(s) AS count,
   round(count(s) / (SELECT count(*) FROM sims), 6) AS share
 FROM b LEFT JOIN sims ON s >= lower AND (s < upper OR (i = {len(EDGES) - 2} AND s = upper))
 GROUP BY ALL""")
 def e15(spark, sf):
-    sims = E.pair_similarities(E.pair_sample(V.vectors(spark, sf)))
+    sims = E.pair_similarities(E.song_pairs(V.vectors(spark, sf)))
     out = E.histogram(sims, "sim_learned", EDGES)
     return longs(out.withColumn("share", F.round("share", 6)), "bin")
 
@@ -720,14 +726,28 @@ def e18(spark, sf):
     return E.silhouette(V.vectors(spark, sf))
 
 
-@query("e19_spearman", "WITH " + PAIR_SQL.format(n=2000, where="mert IS NOT NULL") + """,
+@query("e18_silhouette_of_points", """
+WITH p AS (SELECT id, coalesce(genre, 'Unknown') AS label, learned[1] AS x, learned[2] AS y FROM songs),
+d AS (SELECT a.id, a.label, b.label AS other, sum((a.x - b.x) ** 2 + (a.y - b.y) ** 2) AS total,
+    count(*) FILTER (a.id <> b.id) AS n FROM p a CROSS JOIN p b GROUP BY ALL),
+v AS (SELECT id, label, max(total / greatest(n, 1)) FILTER (other = label) AS a,
+    min(total / n) FILTER (other <> label) AS b, max(n) FILTER (other = label) AS own FROM d GROUP BY ALL)
+SELECT count(*) AS rows, count(DISTINCT label) AS labels,
+  round(avg(CASE WHEN own > 0 AND greatest(a, b) > 0 THEN (b - a) / greatest(a, b) ELSE 0 END), 6) AS silhouette
+FROM v""")
+def e18_points(spark, sf):
+    points = V.vectors(spark, sf).select("id", F.coalesce("genre", F.lit("Unknown")).alias("label"),
+                                         F.col("learned")[0].alias("x"), F.col("learned")[1].alias("y"))
+    return E.silhouette_of(points).select("rows", "labels", F.round("silhouette", 6).alias("silhouette"))
+
+
+@query("e19_spearman", "WITH " + PAIR_SQL.format(where="mert IS NOT NULL") + """,
 ranked AS (SELECT rank() OVER (ORDER BY s) + (count(*) OVER (PARTITION BY s) - 1) / 2 AS rs,
     rank() OVER (ORDER BY t) + (count(*) OVER (PARTITION BY t) - 1) / 2 AS rt FROM sims)
 SELECT count(*) AS pairs, round(corr(rs, rt), 6) AS rho FROM ranked""")
 def e19(spark, sf):
     both = V.vectors(spark, sf).where(F.col("mert").isNotNull())
-    sims = E.pair_similarities(E.pair_sample(both, 2000, columns=("learned", "mert")),
-                               ("learned", "mert"))
+    sims = E.pair_similarities(E.song_pairs(both, columns=("learned", "mert")), ("learned", "mert"))
     rho = E.spearman(sims, "sim_learned", "sim_mert")
     return sims.agg(F.count("*").alias("pairs"), F.round(F.lit(rho), 6).alias("rho"))
 
@@ -985,7 +1005,7 @@ def j9(spark, sf):
     g = V.artist_graph(spark, sf)
     seeds = V.table(spark, sf, "supplier").where("s_nationkey = 3").select(
         F.col("s_suppkey").alias("artist_id"))
-    out = EX.expand_catalog(seeds, g["related"], g["tracks"], g["albums"], depth=2)
+    out = EX.expand_catalog(seeds, g["related"], g["tracks"], g["albums"], depth=2, top=50, fan=20)
     return longs(out.select("track_id", "artist_id", "depth", "title"), "depth")
 
 
@@ -994,7 +1014,7 @@ SELECT artist_id, track_id FROM graph WHERE pos <= 10 AND preview IS NOT NULL
   AND track_id NOT IN (SELECT deezer_id FROM songs WHERE deezer_id IS NOT NULL)""")
 def j9_one(spark, sf):
     g = V.artist_graph(spark, sf)
-    return EX.new_tracks_of_artist(g["artists"], g["tracks"], V.vectors(spark, sf)).select(
+    return EX.new_tracks_of_artist(g["artists"], g["tracks"], V.vectors(spark, sf), 10).select(
         "artist_id", "track_id")
 
 
@@ -1064,7 +1084,7 @@ def f9(spark, sf):
     parsed = _requests(spark, sf).withColumn(
         "p", X.parse_video_title("raw_title", "author")).select(
         "request_id", F.col("p.artist").alias("artist"), F.col("p.title").alias("title"))
-    return longs(ID.identify(parsed, V.songs(spark, sf)), "tier")
+    return longs(ID.identify(parsed, V.songs(spark, sf), title_pool=10), "tier")
 
 
 @query("j11_identify_links", "WITH " + REQ_CTE + """
@@ -1074,7 +1094,7 @@ SELECT request_id, CASE WHEN request_id % 10 <> 9 THEN 'youtube' END AS platform
   request_id % 10 <> 9 AND song_id IS NOT NULL AS matched,
   request_id % 10 <> 9 AND song_id IS NULL AND qt <> '' AND qa <> '' AS needs_ingest FROM found""")
 def j11(spark, sf):
-    out = ID.identify_links(_requests(spark, sf), V.songs(spark, sf))
+    out = ID.identify_links(_requests(spark, sf), V.songs(spark, sf), title_pool=10)
     return longs(out.select("request_id", "platform", "song_id", "tier", "matched", "needs_ingest"),
                  "tier")
 

@@ -14,7 +14,6 @@ from soundalike.operators.search import top_k
 from soundalike.session import cut
 
 OVERFETCH = 3
-MAX_EXTRA = 50
 MIN_SEEDS, MAX_SEEDS = 2, 5
 
 
@@ -29,22 +28,27 @@ def similar(queries: DataFrame, songs: DataFrame, limit: int = 20, *,
             min_bpm: float = 0, max_bpm: float = 999, focus: str | None = None,
             genre_weights: DataFrame | None = None, min_sim: float = R.MIN_SIMILARITY,
             lam: float = R.MMR_LAMBDA, layout: Mapping[str, Sequence[int]] = FOCUS,
-            method: str = "exact", **search) -> DataFrame:
+            method: str = "exact", max_extra: int | None = None, **search) -> DataFrame:
     """Similar songs for every row of ``queries``.
 
+    The pool grows by one song for every excluded id, so lists stay full; ``max_extra`` bounds that.
+
     ``queries``: ``query_id, song_id`` and optionally ``exclude_ids`` (array) and
     ``focus``.  Result: ``query_id, id, similarity, rank``; ``rank`` is the order
     after diversification.
     """
     asked = _with_song(queries, songs)
     excluding = "exclude_ids" in queries.columns
-    extra = F.least(F.lit(MAX_EXTRA), F.size(F.array_distinct(F.coalesce(
-        F.col("exclude_ids"), F.expr("slice(array(song_id), 1, 0)"))))) if excluding else None
     count = None
     if excluding:
+        extra = F.size(F.array_distinct(F.coalesce(
+            F.col("exclude_ids"), F.expr("slice(array(song_id), 1, 0)"))))
+        if max_extra is None:
+            max_extra = asked.agg(F.max(extra)).first()[0] or 0
+        extra = F.least(F.lit(max_extra), extra)
         asked = asked.withColumn("fetch", (F.lit(limit * OVERFETCH) + extra).cast("int"))
         count = "fetch"
-    pool = top_k(asked, songs, limit * OVERFETCH + (MAX_EXTRA if excluding else 0),
+    pool = top_k(asked, songs, limit * OVERFETCH + (max_extra if excluding else 0),
                  min_bpm=min_bpm, max_bpm=max_bpm, exclude="song_id", match_count=count,
                  method=method, **search)
     if excluding:
@@ -109,7 +113,8 @@ def vibe(seed_sets: DataFrame, songs: DataFrame, limit: int = 20, *, per_seed: i
          min_sim: float = R.MIN_SIMILARITY, **search) -> DataFrame:
     """Songs close to several seeds.  ``seed_sets``: ``query_id, song_ids``.
 
-    Sets of fewer than two or more than five ids are not valid and give no rows.
+    Sets of fewer than two or more than five ids are not valid and give no rows;
+    :func:`invalid_sets` returns them with the reason.
     """
     seed_sets = seed_sets.where(F.size("song_ids").between(MIN_SEEDS, MAX_SEEDS))
     seeds = seed_sets.select(
@@ -146,6 +151,14 @@ def vibe(seed_sets: DataFrame, songs: DataFrame, limit: int = 20, *, per_seed: i
     return R.min_similarity(ranked.select("query_id", "id", "similarity", "rank"), min_sim)
 
 
+def invalid_sets(seed_sets: DataFrame) -> DataFrame:
+    """Seed sets that :func:`vibe` does not answer: ``query_id, reason``."""
+    n = F.size("song_ids")
+    reason = (F.when(F.col("song_ids").isNull(), "no_seeds").when(n < MIN_SEEDS, "too_few")
+              .when(n > MAX_SEEDS, "too_many"))
+    return seed_sets.select("query_id", reason.alias("reason")).where("reason is not null")
+
+
 def journeys(starts: DataFrame, songs: DataFrame, steps: int, *, fanout: int = 5,
              **kw) -> DataFrame:
     """Greedy walks.  ``starts``: ``journey_id, song_id``.

@@ -333,7 +333,7 @@ common AS (SELECT query_id, id, min(similarity) AS similarity, min(pos * 1000 +
   FROM lists GROUP BY ALL HAVING count(*) >= 2)"""
 
 
-@query("d9_vibe", "WITH " + LISTS_SQL.format(k=40) + """,
+@query("d9_vibe", "WITH " + LISTS_SQL.format(k=100) + """,
 c AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, first, id) AS rank
   FROM common),
 centres AS (SELECT query_id, list(x ORDER BY i) AS v FROM (
@@ -360,16 +360,16 @@ named AS (SELECT m.query_id, m.id, m.similarity, r AS rank, s.title, s.artist, s
        + dedup_sql("named") + FINAL + "deduped WHERE rank <= 20")
 def d9(spark, sf):
     songs = V.songs(spark, sf)
-    return shown(P.vibe(_seed_sets(songs), songs, 20, per_seed=40, min_sim=ANY))
+    return shown(P.vibe(_seed_sets(songs), songs, 20, per_seed=100, min_sim=ANY))
 
 
-@query("h1_common_of_lists", "WITH " + LISTS_SQL.format(k=40) + """
+@query("h1_common_of_lists", "WITH " + LISTS_SQL.format(k=100) + """
 SELECT query_id, id, round(similarity, 6) AS similarity FROM common""")
 def h1(spark, sf):
     songs = V.vectors(spark, sf)
     seeds = _seed_sets(songs).select("query_id", "song_ids",
                                      F.posexplode("song_ids").alias("pos", "song_id"))
-    lists = S.top_k(self_queries(songs), songs, 40).withColumnRenamed("query_id", "song_id")
+    lists = S.top_k(self_queries(songs), songs, 100).withColumnRenamed("query_id", "song_id")
     joined = (seeds.join(lists, "song_id").where(~F.array_contains("song_ids", F.col("id")))
               .withColumn("needed", F.lit(2)))
     return P.intersect_lists(joined).select(

@@ -94,7 +94,7 @@ def k5(spark, sf):
     """Jobs silent on event time once the stream has been read to its end."""
     events = V.job_events(_streams(spark), sf).select(
         F.col("job_id").cast("string").alias("job_id"), "status", "seq", "updated_at")
-    return _versions(spark, ST.stream_stalled_jobs(events, clock="event"), "k5", ["job_id"]).select(
+    return _versions(spark, ST.stream_stalled_jobs(events, clock="event", watermark="0 seconds"), "k5", ["job_id"]).select(
         "job_id", "status", "stalled")
 
 
@@ -106,14 +106,14 @@ WITH pairs AS (
 pool AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS pr
   FROM pairs),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS rank
-  FROM pool WHERE pr <= 50 AND id <> query_id AND bpm BETWEEN 0 AND 999)
-""" + FINAL + "r WHERE rank <= 10")
+  FROM pool WHERE pr <= 100 AND id <> query_id AND bpm BETWEEN 0 AND 999)
+""" + FINAL + "r WHERE rank <= 20")
 def k7(spark, sf):
     out, cp = _paths(spark, "k7")
     arriving = V.table(_streams(spark), sf, "embeddings").select(
         F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("learned"))
     catalogue = ST.Refreshed(lambda: V.vectors(spark, sf))
-    ST.stream_recommend(arriving, catalogue, out, cp, 10).awaitTermination()
+    ST.stream_recommend(arriving, catalogue, out, cp).awaitTermination()
     return spark.read.parquet(out).select(
         "query_id", "id", F.round("similarity", 6).alias("similarity"),
         F.col("rank").cast("long").alias("rank"))
@@ -124,19 +124,22 @@ SELECT strftime(date_trunc('hour', created_at), '%Y-%m-%d %H:%M:%S') AS window_s
   substr(sha256(ip), 1, 16) AS ip_hash, count(*) AS events FROM feedback GROUP BY ALL""")
 def k8(spark, sf):
     votes = ST.feedback_events(V.feedback(_streams(spark), sf))
-    counts = ST.stream_windowed_counts(votes, ["ip_hash"])
+    counts = ST.stream_windowed_counts(votes, ["ip_hash"], "10 minutes")
     return _versions(spark, counts, "k8", ["window_start", "window_end", "ip_hash"]).select(
         F.date_format("window_start", TIME).alias("window_start"), "ip_hash", "events")
 
 
 @query("k9_ab_windows", """
 SELECT strftime(date_trunc('day', created_at), '%Y-%m-%d') AS day, ab_group, action,
-  count(*) AS event_count FROM clicks GROUP BY ALL""")
+  count(*) AS event_count, count(DISTINCT session_hash) AS unique_sessions,
+  min(created_at)::DATE::VARCHAR AS first_event, max(created_at)::DATE::VARCHAR AS last_event
+FROM clicks GROUP BY ALL""")
 def k9(spark, sf):
-    summary = ST.stream_ab_summary(V.clicks(_streams(spark), sf))
-    keys = ["window_start", "ab_group", "action"]
-    return _versions(spark, summary, "k9", keys).select(
-        F.date_format("window_start", "yyyy-MM-dd").alias("day"), "ab_group", "action", "event_count")
+    sessions = ST.stream_ab_sessions(V.clicks(_streams(spark), sf), "10 minutes")
+    return ST.ab_windows(_versions(spark, sessions, "k9", ST.AB_KEYS)).select(
+        F.date_format("window_start", "yyyy-MM-dd").alias("day"), "ab_group", "action", "event_count",
+        "unique_sessions", F.col("first_event").cast("string").alias("first_event"),
+        F.col("last_event").cast("string").alias("last_event"))
 
 
 @query("k9_sessions", """
@@ -149,9 +152,9 @@ SELECT session_hash, strftime(min(created_at), '%Y-%m-%d %H:%M:%S') AS started,
 FROM s GROUP BY session_hash, n""")
 def k9_sessions(spark, sf):
     out, cp = _paths(spark, "k9s")
-    ST.write_versions(ST.stream_sessions(V.clicks(_streams(spark), sf)), out, cp, "complete"
-                      ).awaitTermination()
-    return ST.current(spark, out, ["session_hash", "started"]).select(
+    ST.write_versions(ST.stream_sessions(V.clicks(_streams(spark), sf), "10 minutes"), out, cp,
+                      "complete").awaitTermination()
+    return ST.last_batch(spark, out).select(
         "session_hash", F.date_format("started", TIME).alias("started"), "events")
 
 
@@ -166,10 +169,9 @@ def k6(spark, sf):
     weights = ST.Refreshed(lambda: spark.read.parquet(table))
     genres = V.vectors(spark, sf).select(F.col("id").alias("query_song_id"), "genre")
 
-    def each(batch, batch_id):
-        (batch.join(genres, "query_song_id").join(weights.get(), "genre")
-         .select("id", "focus_category", "weight")
-         .write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}"))
+    def join(batch, value):
+        return (batch.join(genres, "query_song_id").join(value, "genre")
+                .select("id", "focus_category", "weight"))
 
-    ST._start(V.clicks(_streams(spark), sf), each, cp).awaitTermination()
+    ST.stream_beside(V.clicks(_streams(spark), sf), weights, join, out, cp).awaitTermination()
     return spark.read.parquet(out).select("id", "focus_category", "weight")

@@ -48,6 +48,8 @@ def shared_dir(spark: SparkSession) -> str:
         return configured.rstrip("/")
     current = sc.getCheckpointDir()
     if current is None:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         current = tempfile.mkdtemp(prefix="soundalike-")
         sc.setCheckpointDir(current)
         current = sc.getCheckpointDir()

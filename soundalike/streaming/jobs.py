@@ -21,6 +21,7 @@ from soundalike.operators import feedback as FB
 from soundalike.operators import rules as RU
 from soundalike.operators.jobs import STALL_AFTER_SEC, job_state
 from soundalike.operators.search import nearest_for_new
+from soundalike.session import cut
 
 WEIGHT_TTL_SEC = 300
 
@@ -52,17 +53,60 @@ def write_versions(df: DataFrame, path: str, checkpoint: str, mode: str = "updat
     return _start(df, each, checkpoint, mode, **trigger)
 
 
+SNAPSHOT = "upto"
+
+
+def _folders(spark: SparkSession, path: str, name: str) -> list[int]:
+    """Numbers of the folders ``name=n`` below ``path``, read through Spark's file system."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(at):
+        return []
+    names = [s.getPath().getName() for s in fs.listStatus(at)]
+    return sorted(int(n.split("=")[1]) for n in names if n.startswith(f"{name}="))
+
+
 def current(spark: SparkSession, path: str, keys: Sequence[str]) -> DataFrame:
-    """Newest version of every key written by :func:`write_versions`."""
-    versions = spark.read.parquet(path)
+    """Newest version of every key written by :func:`write_versions`.
+
+    Reads the newest snapshot of :func:`compact`, if there is one, and the micro-batches after it.
+    """
+    folded = f"{path}_snapshots"
+    upto = max(_folders(spark, folded, SNAPSHOT), default=None)
+    if upto is None:
+        versions = spark.read.parquet(path)
+    else:
+        versions = spark.read.parquet(f"{folded}/{SNAPSHOT}={upto}").withColumn("batch_id", F.lit(upto))
+        newer = [f"{path}/batch_id={n}" for n in _folders(spark, path, "batch_id") if n > upto]
+        if newer:
+            versions = versions.unionByName(spark.read.option("basePath", path).parquet(*newer))
     rest = [c for c in versions.columns if c not in (*keys, "batch_id")]
     return (versions.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch_id").alias("v"))
             .select(*keys, "v.*"))
 
 
-def compact(spark: SparkSession, path: str, keys: Sequence[str], target: str) -> None:
-    """Write the current rows as one snapshot."""
-    current(spark, path, keys).write.mode("overwrite").parquet(target)
+def compact(spark: SparkSession, path: str, keys: Sequence[str]) -> None:
+    """Fold all finished micro-batches into a snapshot, which :func:`current` then starts from.
+
+    The snapshot is a new folder named by the last micro-batch in it; nothing that is being read is touched,
+    and folders up to that number may be removed at any later time.
+    """
+    done = _folders(spark, path, "batch_id")
+    if done:
+        current(spark, path, keys).write.mode("overwrite").parquet(
+            f"{path}_snapshots/{SNAPSHOT}={done[-1]}")
+
+
+def last_batch(spark: SparkSession, path: str) -> DataFrame:
+    """The newest micro-batch alone: in complete mode it is the whole result."""
+    return spark.read.parquet(f"{path}/batch_id={_folders(spark, path, 'batch_id')[-1]}")
+
+
+def late_rows(query: StreamingQuery) -> int:
+    """Rows that a watermark has dropped, over the progress reports that are kept."""
+    return sum(op.get("numRowsDroppedByWatermark", 0)
+               for report in query.recentProgress for op in report.get("stateOperators", []))
 
 
 # ------------------------------------------------------------- K1, K2: event intake
@@ -120,23 +164,27 @@ STALL_OUT = "job_id string, status string, updated_at timestamp, stalled boolean
 
 
 def stream_stalled_jobs(events: DataFrame, after_sec: int = STALL_AFTER_SEC,
-                        clock: str = "processing", watermark: str = "0 seconds") -> DataFrame:
+                        clock: str = "processing", watermark: str | None = None) -> DataFrame:
     """K5: status changes, plus a ``stalled`` report once a job has been silent too long.
 
     State per job is its last status and time.  A later real update is reported as
     it comes and so replaces the stall.  ``clock="event"`` measures silence on event
-    time behind a watermark instead of the wall clock.  The wall clock needs a
+    time behind ``watermark`` instead of the wall clock; the caller says how late events
+    may be, and :func:`late_rows` counts what came later.  Events of one instant are
+    ordered by ``seq`` where there is one, across micro-batches too.  The wall clock needs a
     running query (``processingTime`` trigger): it always has one more batch to run,
     so ``availableNow`` would not end.
     """
     on_event = clock == "event"
+    if on_event and watermark is None:
+        raise ValueError("event time needs a watermark: how late may events be?")
     source = events.withWatermark("updated_at", watermark) if on_event else events
     wait_ms = after_sec * 1000
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState
              ) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
-            status, at = state.get
+            status, at, _ = state.get
             state.remove()
             yield pd.DataFrame({
                 "job_id": [str(key[0])], "status": ["failed"],
@@ -146,9 +194,9 @@ def stream_stalled_jobs(events: DataFrame, after_sec: int = STALL_AFTER_SEC,
         for pdf in batches:
             by = ["updated_at", "seq"] if "seq" in pdf else ["updated_at"]
             row = pdf.sort_values(by, kind="stable").iloc[-1]
-            at = row["updated_at"].value // 1000
-            if last is None or at >= last[1]:
-                last = (row["status"], at)
+            at, seq = row["updated_at"].value // 1000, int(row["seq"]) if "seq" in pdf else 0
+            if last is None or (at, seq) >= (last[1], last[2]):
+                last = (row["status"], at, seq)
         if last is None:
             return
         if last[0] == "processing":
@@ -166,7 +214,7 @@ def stream_stalled_jobs(events: DataFrame, after_sec: int = STALL_AFTER_SEC,
     timeout = (GroupStateTimeout.EventTimeTimeout if on_event
                else GroupStateTimeout.ProcessingTimeTimeout)
     return source.groupBy("job_id").applyInPandasWithState(
-        step, STALL_OUT, "status string, at long", "update", timeout)
+        step, STALL_OUT, "status string, at long, seq long", "update", timeout)
 
 
 # ------------------------------------------------------- K6, K7: serving side inputs
@@ -174,8 +222,9 @@ def stream_stalled_jobs(events: DataFrame, after_sec: int = STALL_AFTER_SEC,
 class Refreshed:
     """K6: a side input that is re-read at most every ``ttl_sec`` seconds.
 
-    A failing reload keeps the previous value and is not retried before the next
-    interval.  Used inside ``foreachBatch``, i.e. on the driver.
+    The value is materialised on reading, so a source that fails does so here: the
+    previous value stays and the source is not tried again before the next interval.
+    Used inside ``foreachBatch``, i.e. on the driver.
     """
 
     def __init__(self, load: Callable[[], DataFrame], ttl_sec: float = WEIGHT_TTL_SEC,
@@ -189,7 +238,7 @@ class Refreshed:
         if self._at is None or now - self._at > self._ttl:
             self._at = now
             try:
-                self._value = self._load()
+                self._value = cut(self._load())
             except Exception:  # noqa: BLE001 - any source error keeps the old value
                 pass
         return self._value
@@ -197,40 +246,72 @@ class Refreshed:
 
 def stream_recommend(new_songs: DataFrame, catalogue: Refreshed, path: str, checkpoint: str,
                      k: int = 20, **trigger) -> StreamingQuery:
-    """K7: the k nearest catalogue songs of every song that arrives."""
+    """K7: the k nearest catalogue songs of every song that arrives.
+
+    Without a catalogue the micro-batch fails and is tried again; it is never passed over.
+    """
     def each(batch: DataFrame, batch_id: int) -> None:
         songs = catalogue.get()
-        if songs is not None:
-            nearest_for_new(batch, songs, k).write.mode("overwrite").parquet(
-                f"{path}/batch_id={batch_id}")
+        if songs is None:
+            raise RuntimeError("no catalogue could be read yet")
+        batch.persist()
+        nearest_for_new(batch, songs, k).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        batch.unpersist()
     return _start(new_songs, each, checkpoint, **trigger)
 
 
+def stream_beside(stream: DataFrame, side: Refreshed, join: Callable[[DataFrame, DataFrame], DataFrame],
+                  path: str, checkpoint: str, **trigger) -> StreamingQuery:
+    """K6: every micro-batch joined with the side input as it is at that time."""
+    def each(batch: DataFrame, batch_id: int) -> None:
+        value = side.get()
+        if value is None:
+            raise RuntimeError("the side input could not be read yet")
+        join(batch, value).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+    return _start(stream, each, checkpoint, **trigger)
+
+
 # ------------------------------------------------------------- K8, K9: event rates
 
-def stream_windowed_counts(stream: DataFrame, keys: Sequence[str | Column], window: str = "1 hour",
-                           watermark: str = "10 minutes", ts: str = "created_at") -> DataFrame:
-    """K8: events per key and tumbling window; late rows are dropped behind the watermark."""
+def stream_windowed_counts(stream: DataFrame, keys: Sequence[str | Column], watermark: str,
+                           window: str = "1 hour", ts: str = "created_at") -> DataFrame:
+    """K8: events per key and tumbling window.
+
+    ``watermark`` says how late events may be; :func:`late_rows` counts what came later.
+    """
     return (stream.withWatermark(ts, watermark).groupBy(F.window(ts, window).alias("w"), *keys)
             .agg(F.count("*").alias("events"))
             .select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"),
                     *keys, "events"))
 
 
-def stream_ab_summary(stream: DataFrame, window: str = "1 day", watermark: str = "10 minutes",
-                      ts: str = "created_at") -> DataFrame:
-    """K9: E6 per tumbling window, distinct sessions estimated (state of constant size)."""
+AB_KEYS = ("window_start", "ab_group", "action", "session_hash")
+
+
+def stream_ab_sessions(stream: DataFrame, watermark: str, window: str = "1 day",
+                       ts: str = "created_at") -> DataFrame:
+    """K9: events of every session per tumbling window, group and action; see :func:`ab_windows`."""
     return (stream.withWatermark(ts, watermark)
-            .groupBy(F.window(ts, window).alias("w"), "ab_group", "action")
-            .agg(F.count("*").alias("event_count"),
-                 F.approx_count_distinct("session_hash", 0.02).alias("unique_sessions"))
-            .select(F.col("w.start").alias("window_start"), "ab_group", "action", "event_count",
-                    "unique_sessions"))
+            .groupBy(F.window(ts, window).alias("w"), "ab_group", "action", "session_hash")
+            .agg(F.count("*").alias("events"), F.min(ts).alias("first"), F.max(ts).alias("last"))
+            .select(F.col("w.start").alias("window_start"), "ab_group", "action", "session_hash", "events",
+                    "first", "last"))
+
 
+def ab_windows(sessions: DataFrame) -> DataFrame:
+    """K9: E6 per window from the current rows of :func:`stream_ab_sessions`; sessions are counted exactly."""
+    return sessions.groupBy("window_start", "ab_group", "action").agg(
+        F.sum("events").alias("event_count"), F.count("*").alias("unique_sessions"),
+        F.to_date(F.min("first")).alias("first_event"), F.to_date(F.max("last")).alias("last_event"))
 
-def stream_sessions(stream: DataFrame, gap: str = "30 minutes", watermark: str = "10 minutes",
+
+def stream_sessions(stream: DataFrame, watermark: str, gap: str = "30 minutes",
                     ts: str = "created_at") -> DataFrame:
-    """K9: visits of a session hash, closed after ``gap`` without an event."""
+    """K9: visits of a session hash, closed after ``gap`` without an event.
+
+    A later event can change the start of a visit, so versions by start would leave stale visits.  In append
+    mode only closed visits come out; in complete mode :func:`last_batch` is the whole result.
+    """
     return (stream.withWatermark(ts, watermark)
             .groupBy(F.session_window(ts, gap).alias("w"), "session_hash")
             .agg(F.count("*").alias("events"))

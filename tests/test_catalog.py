@@ -167,7 +167,7 @@ def test_expand_catalog(spark):
     assert rows(two, "track_id", "depth") == [(100, 0), (300, 1), (500, 2)]
 
 
-def brute_identify(reqs, songs):
+def brute_identify(reqs, songs, title_pool):
     def words(x):
         return {w for w in x.split() if len(w) >= 3}
 
@@ -180,7 +180,7 @@ def brute_identify(reqs, songs):
         if a and t:
             hit = next((s[0] for s in ordered if a in s[2].lower() and t in s[1].lower()), None)
         if hit is None and t:
-            pool = [s for s in ordered if t in s[1].lower()][:10]
+            pool = [s for s in ordered if t in s[1].lower()][:title_pool]
             hit = next((s[0] for s in pool if not a or match(a, s[2].strip().lower())), None)
         if hit is None and a and not t:
             hit = next((s[0] for s in ordered if a in s[2].lower()), None)
@@ -188,7 +188,8 @@ def brute_identify(reqs, songs):
     return out
 
 
-def test_identify_matches_brute_force(spark):
+@pytest.mark.parametrize("pool", [10, None])
+def test_identify_matches_brute_force(spark, pool):
     rng = random.Random(4)
     bits = ["red", "re", "a", "ab", "blue moon", "x", "moon", "%", "_", "the the", "é", "untitled"]
     name = lambda: " ".join(rng.choice(bits) for _ in range(rng.randint(1, 3)))
@@ -196,8 +197,8 @@ def test_identify_matches_brute_force(spark):
     reqs = [(i, "" if rng.random() < .2 else name(), "" if rng.random() < .2 else
              ("untitled" if i % 3 == 0 else name())) for i in range(150)]
     got = ID.identify(spark.createDataFrame(reqs, "request_id long, artist string, title string"),
-                      spark.createDataFrame(songs, "id long, title string, artist string"), clean=False)
-    assert {r.request_id: r.song_id for r in got.collect()} == brute_identify(reqs, songs)
+                      spark.createDataFrame(songs, "id long, title string, artist string"), clean=False, title_pool=pool)
+    assert {r.request_id: r.song_id for r in got.collect()} == brute_identify(reqs, songs, pool)
 
 
 def test_jobs(spark):
@@ -274,10 +275,88 @@ def test_silhouette_against_brute_force(spark):
         a = d[same].mean()
         b = min(d[lab == c].mean() for c in set(lab) if c != lab[i])
         scores.append((b - a) / max(a, b))
-    got = E.silhouette(df).first()
+    got = E.sample_silhouette(df, 2000).first()
     assert got.silhouette == pytest.approx(float(np.mean(scores))) and got.labels == 3
 
 
+def test_silhouette_of_all_points(spark):
+    rng = np.random.default_rng(3)
+    pts = [(i, "abc"[i % 3], float(rng.normal() + i % 3), float(rng.normal())) for i in range(50)] + [(99, "lone", 9.0, 9.0)]
+    xy, lab = np.array([p[2:] for p in pts]), np.array([p[1] for p in pts])
+    scores = []
+    for i in range(len(pts)):
+        d = ((xy - xy[i]) ** 2).sum(1)
+        same = (lab == lab[i]) & (np.arange(len(pts)) != i)
+        a = d[same].mean() if same.any() else 0
+        b = min(d[lab == c].mean() for c in set(lab) - {lab[i]})
+        scores.append((b - a) / max(a, b) if same.any() else 0.0)
+    got = E.silhouette_of(spark.createDataFrame(pts, "id long, label string, x double, y double")).first()
+    assert got.silhouette == pytest.approx(float(np.mean(scores))) and (got.rows, got.labels) == (51, 4)
+
+
+@pytest.mark.parametrize("values", [[1.0], [2.0] * 9, [0.0, 1.0], list(np.random.default_rng(5).normal(size=999)),
+                                    [0.0] * 500 + [1e9] + [0.5] * 3])
+def test_percentiles(spark, values):
+    df = spark.createDataFrame([(float(v),) for v in values] + [(None,)], "v double")
+    shares = [0.0, 0.05, 0.25, 0.5, 0.95, 1.0]
+    assert E.percentiles(df, "v", shares) == pytest.approx([float(np.quantile(values, p)) for p in shares])
+
+
+def test_song_pairs_cover_all_songs(spark):
+    df = spark.range(300).select("id", F.array(F.col("id").cast("double"), F.lit(1.0)).alias("learned"))
+    pairs = E.song_pairs(df, rounds=3, buckets=8).collect()
+    assert len(pairs) == 900 and all(p.id_a != p.id_b for p in pairs)
+    assert len({p.id_a for p in pairs}) == 300 and all(p.learned_b[0] == p.id_b for p in pairs)
+    assert E.song_pairs(df.limit(0)).count() == 0
+
+
+def test_pca_of_nothing(spark):
+    assert E.pca_ratios(spark.createDataFrame([], "id long, learned array<double>")).count() == 0
+
+
+def test_stats_leave_out_other_widths(spark):
+    v = spark.createDataFrame([([1.0, 2.0],), ([3.0, 2.0],), ([9.0],), ([1.0, 1.0, 7.0],), (None,)],
+                              "handcrafted_raw array<double>")
+    s = ST.fit_stats(v, dim=2).first()
+    assert (s.mean, s.n_songs) == ([2.0, 2.0], 2)
+    assert rows(ST.rejected_widths(v, dim=2), "width", "count") == [(1, 1), (3, 1)]
+
+
+def test_repeated_keys_do_not_multiply_rows(spark):
+    songs = spark.createDataFrame([(1, None), (2, [5.0])], "id long, mert array<double>")
+    vecs = spark.createDataFrame([(1, [2.0]), (1, [1.0]), (2, [9.0])], "id long, vector array<double>")
+    assert rows(K.update_vectors(songs, vecs), "id", "mert") == [(1, [1.0]), (2, [5.0])]
+    results = spark.createDataFrame([(1, None, "no_preview"), (1, [1.0], None)], "id long, vector array<double>, error string")
+    done = spark.createDataFrame([(2,), (2,)], "id long")
+    assert rows(K.vector_outcomes(songs, results, done), "id", "outcome") == [(1, "extracted"), (2, "skipped")]
+    up = spark.createDataFrame([("j1",)], "job_id string")
+    found = spark.createDataFrame([("j1", "b", "T2", "A", None), ("j1", "a", "T1", "A", None)],
+                                  "job_id string, recording_id string, title string, artist string, album string")
+    assert rows(K.enrich(up, found), "title") == [("T1",)]
+    meta = spark.createDataFrame([(7, "X", "Pop", None, 2001, 1), (7, "X", "Electronic", None, 2005, 2)],
+                                 "track_id long, track_title string, genre string, sub_genre string, release_year int, row_no long")
+    named = spark.createDataFrame([(1, "FMA Track 7")], "id long, title string")
+    assert rows(K.classify(named, meta), "id", "new_genre", "verdict") == [(1, "Electronic", "keep")]
+
+
+@pytest.mark.parametrize("order", [[0, 1, 2], [2, 1, 0]])
+def test_import_over_several_keys(spark, order):
+    given = [(1, 1, 1), (2, 2, 1), (3, 2, 3), (4, None, 3), (5, None, None)]
+    incoming = spark.createDataFrame(given, "seq long, deezer_id long, musicbrainz_id long")
+    existing = spark.createDataFrame([(50, 50)], "deezer_id long, musicbrainz_id long")
+    out = K.import_new(existing, incoming, keys=("deezer_id", "musicbrainz_id"))
+    assert rows(out, "seq") == [(1,), (3,), (5,)]  # 2 is blocked by 1, so it does not block 3
+
+
+def test_feed_positions_may_repeat_or_be_missing(spark):
+    work = spark.createDataFrame([(1, 10, "u"), (1, 11, "u"), (2, 12, "u"), (None, 13, "u")],
+                                 "pos long, deezer_id long, preview_url string")
+    none = spark.createDataFrame([], "deezer_id long")
+    got = rows(K.feed(work, none, limit=2), "deezer_id", "outcome")
+    assert got == [(10, "queued"), (11, "queued"), (12, "beyond_limit"), (13, "beyond_limit")]
+    assert [r[1] for r in rows(K.feed(work, none, limit=4), "deezer_id", "outcome")] == ["queued"] * 4
+
+
 def test_pca_profile(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(200, 4)) * np.array([5, 2, 1, 0.1])

@@ -306,3 +306,14 @@ def test_one_exchange_after_fusion(spark):
     plan = plan_of(P.similar(asked, songs, 5))
     tail = plan[:plan.index("Join")]
     assert "Exchange" not in tail and "FlatMapGroupsInArrow" in tail
+
+
+@pytest.mark.parametrize("strategy", ["scan", "cells"])
+def test_vectors_of_other_lengths_are_not_searched(spark, strategy):
+    songs = spark.createDataFrame(
+        [(1, [1.0, 0.0], 1.0), (2, [1.0], 1.0), (3, [1.0, 0.0, 5.0], 1.0), (4, [0.0, float("nan")], 1.0), (5, [1.0, 1.0], 1.0),
+         (6, None, 1.0)], "id long, learned array<double>, bpm double")
+    queries = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0])], "query_id long, vector array<double>")
+    got = S.nearest(queries, songs, 5, strategy=strategy).collect()
+    assert sorted((r.query_id, r.id) for r in got) == [(1, 1), (1, 5)]
+    assert {r.reason: r["count"] for r in S.rejected(songs, 2).collect()} == {"length": 2, "element": 1, "missing": 1}
