@@ -60,7 +60,10 @@ def _prepared_queries(queries: DataFrame, genre_weights: DataFrame | None, focus
     if genre_weights is None:
         q = q.withColumn("weights", empty)
     else:
-        q = q.join(weight_maps(genre_weights), "genre", "left").withColumn(
+        # Genres are few and unevenly used: ids and weights meet on them, the queries' vectors do not.
+        maps = (q.select("query_id", "genre").join(weight_maps(genre_weights), "genre")
+                .select("query_id", "weights"))
+        q = q.join(maps, "query_id", "left").withColumn(
             "weights", F.when(F.col("focus").isNull(), F.col("weights")))
     w = F.col("weights")
     shares = normalised_weights(w, layout)
@@ -111,17 +114,21 @@ def fuse(candidates: DataFrame, queries: DataFrame, songs: DataFrame,
     q = _prepared_queries(queries, genre_weights, focus, layout)
     both = candidates.join(vectors, "id", "left").join(q, "query_id", "left")
 
+    # The vectors end here: what the window below buffers per query is a few numbers per candidate.
+    both = both.select(
+        "query_id", "id", "similarity", "rank", *carry, "w_mert", "w_plain", "q_has_hc",
+        F.when(F.col("by_category"), dot("q_hc", "r_cat")).otherwise(dot("q_hc", "r_hc")).alias("hc_sim"),
+        dot("q_mert", "r_mert").alias("mert_sim"), F.col("r_hc").isNotNull().alias("r_has_hc"),
+        F.col("r_mert").isNotNull().alias("r_has_mert"), F.col("q_mert").isNotNull().alias("q_has_mert"))
     pool = Window.partitionBy("query_id")
-    both = both.withColumn("has_mert", F.col("q_mert").isNotNull() & F.coalesce(
-        F.max(F.col("r_mert").isNotNull()).over(pool), F.lit(False)))
+    both = both.withColumn("has_mert", F.col("q_has_mert") & F.coalesce(
+        F.max("r_has_mert").over(pool), F.lit(False)))
     share = {n: F.when(F.col("has_mert"), F.col(f"w_mert.{n}")).otherwise(F.col(f"w_plain.{n}"))
              for n in ("learned", "mert", "handcrafted")}
-    hc_sim = F.when(F.col("by_category"), dot("q_hc", "r_cat")).otherwise(dot("q_hc", "r_hc"))
-    mert_sim = F.when(F.col("has_mert") & F.col("r_mert").isNotNull(),
-                      dot("q_mert", "r_mert")).otherwise(F.lit(0.0))
+    mert_sim = F.when(F.col("has_mert") & F.col("r_has_mert"), F.col("mert_sim")).otherwise(F.lit(0.0))
     fused = (share["learned"] * F.col("similarity") + share["mert"] * mert_sim
-             + share["handcrafted"] * hc_sim)
-    applies = F.coalesce(F.col("q_has_hc"), F.lit(False)) & F.col("r_hc").isNotNull()
+             + share["handcrafted"] * F.col("hc_sim"))
+    applies = F.coalesce(F.col("q_has_hc"), F.lit(False)) & F.col("r_has_hc")
     scored = both.withColumn("similarity", F.round(
         F.when(applies, fused).otherwise(F.col("similarity")), 12))
     if renumber:

@@ -128,17 +128,24 @@ def a5(spark, sf):
     return RD.read_fma_subset(spark, path)
 
 
+def _written(lines, name):
+    """Lines written as one text table, for the file readers."""
+    path = scratch_path(lines.sparkSession, name)
+    lines.select("value").write.text(path)
+    return path
+
+
 @query("a6_tag_tsv", """
 SELECT track_id, path, tag_duration::DOUBLE AS tag_duration, array_to_string(tags, ',') AS tags
 FROM tag_rows""")
 def a6(spark, sf):
-    return RD.jamendo_tags(V.tag_lines(spark, sf)).select(
+    return RD.read_jamendo_tags(spark, _written(V.tag_lines(spark, sf), "tags")).select(
         "track_id", "path", "tag_duration", F.array_join("tags", ",").alias("tags"))
 
 
 @query("a7_meta_tsv", "SELECT * FROM meta_rows")
 def a7(spark, sf):
-    return longs(RD.jamendo_meta(V.meta_lines(spark, sf)), "release_year")
+    return longs(RD.read_jamendo_meta(spark, _written(V.meta_lines(spark, sf), "meta")), "release_year")
 
 
 @query("a8_track_list_json", """
@@ -245,6 +252,20 @@ def j2(spark, sf):
         "seq", "deezer_id", "title", "source", "metadata_status")
 
 
+@query("a10_append", "WITH " + INCOMING_CTE + """
+SELECT id, deezer_id, title FROM songs
+UNION ALL SELECT NULL, deezer_id, title FROM fresh""")
+def a10_append(spark, sf):
+    """An import appended to the stored catalogue, which is then read back."""
+    path = scratch_path(spark, "catalogue")
+    songs = V.vectors(spark, sf)
+    SK.append_songs(V.songs(spark, sf).select("id", "deezer_id", "title"), path)
+    good, _ = RU.validate(_incoming(spark, sf), RU.song_rules())
+    new = K.import_new(songs, good).select(F.lit(None).cast("long").alias("id"), "deezer_id", "title")
+    SK.append_songs(new, path)
+    return spark.read.parquet(path)
+
+
 @query("a10_import_report", "WITH " + INCOMING_CTE + """
 SELECT (SELECT count(*) FROM incoming) AS attempted,
   (SELECT count(*) FROM incoming) - (SELECT count(*) FROM valid) AS rejected,
@@ -721,6 +742,19 @@ def e17(spark, sf):
     return E.pca_ratios(V.vectors(spark, sf))
 
 
+@query("e17_ratio_sums", """
+WITH x AS (SELECT id, i, v - avg(v) OVER (PARTITION BY i) AS v FROM (
+    SELECT id, unnest(learned) AS v, unnest(range(len(learned))) AS i FROM songs)),
+c AS (SELECT a.i AS i, b.i AS j, sum(a.v * b.v) AS c FROM x a JOIN x b USING (id) GROUP BY ALL),
+t AS (SELECT sum(c) FILTER (i = j) AS trace, sum(c * c) AS squares FROM c)
+SELECT 1.0::DOUBLE AS total, round(squares / (trace * trace), 6) AS squares FROM t""")
+def e17_sums(spark, sf):
+    """Ratios of all components: they sum to one, their squares to the covariance's norm over its trace squared."""
+    ratios = E.pca_ratios(V.vectors(spark, sf))
+    return ratios.agg(F.round(F.sum("ratio"), 6).alias("total"),
+                      F.round(F.sum(F.col("ratio") * F.col("ratio")), 6).alias("squares"))
+
+
 @query("e18_silhouette")
 def e18(spark, sf):
     return E.silhouette(V.vectors(spark, sf))
@@ -757,6 +791,19 @@ def e20(spark, sf):
     return E.compare_spaces(V.vectors(spark, sf), "mert", "learned")
 
 
+@query("e20_agreement", "WITH " + PAIR_SQL.format(where="mert IS NOT NULL") + """,
+ranked AS (SELECT *, rank() OVER (ORDER BY s) + (count(*) OVER (PARTITION BY s) - 1) / 2 AS rs,
+    rank() OVER (ORDER BY t) + (count(*) OVER (PARTITION BY t) - 1) / 2 AS rt FROM sims),
+n AS (SELECT count(*) AS pairs, corr(rs, rt) AS rho, stddev_pop(t) AS a, stddev_pop(s) AS b FROM ranked)
+SELECT pairs, round(rho, 6) AS rho, round(a, 6) AS std_new, round(b, 6) AS std_old,
+  CASE WHEN rho > 0.7 THEN 'strong' WHEN rho > 0.4 THEN 'moderate' ELSE 'weak' END AS agreement,
+  a > b * 1.2 AS better_spread, rho < 0.5 AS complementary, a <= b * 0.8 AS worse_spread FROM n""")
+def e20_agreement(spark, sf):
+    out = E.compare_spaces(V.vectors(spark, sf), "mert", "learned")
+    return out.select("pairs", *[F.round(c, 6).alias(c) for c in ("rho", "std_new", "std_old")],
+                      "agreement", "better_spread", "complementary", "worse_spread")
+
+
 @query("e22_sample", "SELECT id FROM songs ORDER BY md5(id || ':42'), id LIMIT 100")
 def e22(spark, sf):
     return E.sample_songs(V.vectors(spark, sf), 100).select("id")

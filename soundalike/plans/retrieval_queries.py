@@ -532,15 +532,39 @@ def d15(spark, sf):
 
 
 @query("d16_approximate_recall")
-def d16(spark, sf):
+def d16(spark, sf, probes=4):
     songs = V.vectors(spark, sf)
     q = self_queries(songs)
     exact = S.top_k(q, songs, 10, exclude="query_id", filter_mode="pre")
     approx = S.top_k(q, songs, 10, exclude="query_id", filter_mode="pre", method="approx",
-                     probes=4, n_pivots=8)
+                     probes=probes, n_pivots=8)
     return S.recall(approx, exact)
 
 
+@query("d16_recall_target", "SELECT count(*) * 10 AS exact_hits, true AS reached FROM songs")
+def d16_target(spark, sf):
+    """Seven of eight cells find at least nine of ten exact hits, also in vectors without clusters."""
+    r = d16(spark, sf, 7)
+    return r.select("exact_hits", (F.col("recall") >= 0.9).alias("reached"))
+
+
+@query("d1_mixed_lengths", """
+WITH v AS (SELECT id, bpm, CASE WHEN id % 7 = 0 THEN learned[1:60] ELSE learned END AS learned FROM songs),
+pairs AS (SELECT a.id AS query_id, b.id, round(list_cosine_similarity(a.learned, b.learned), 12) AS similarity
+  FROM songs a CROSS JOIN v b WHERE len(b.learned) = 64 AND b.id % 11 <> 0 AND b.bpm IS NOT NULL AND a.id <> b.id
+    AND a.id % 7 <> 0 AND a.id % 11 <> 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS rank FROM pairs)
+""" + FINAL + "r WHERE rank <= 20")
+def d1_mixed(spark, sf):
+    """Every seventh vector is shortened and every eleventh has a NaN; they take no part."""
+    n = F.col("id")
+    v = F.col("learned")
+    broken = V.vectors(spark, sf).withColumn("learned", F.when(n % 7 == 0, F.slice(v, 1, 60)).when(
+        n % 11 == 0, F.concat(F.array(F.lit(float("nan"))), F.slice(v, 2, 63))).otherwise(v))
+    return shown(S.top_k(self_queries(broken), broken, 20, exclude="query_id", max_bpm=1e9, min_bpm=-1e9,
+                         filter_mode="post", strategy="cells", n_pivots=4))
+
+
 @query("d1_top_k_cells", "WITH " + pool_sql(20) + FINAL + "cand")
 def d1_cells(spark, sf):
     """The shuffle strategy of the exact search: same rows as the broadcast one."""
