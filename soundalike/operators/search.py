@@ -198,6 +198,8 @@ def _without_surplus_copies(cat: DataFrame, k: int) -> DataFrame:
     """
     cat = cat.withColumn("_h", F.xxhash64("vec"))
     crowded = cut(cat.groupBy("_h").agg(F.count("*").alias("n")).where(F.col("n") > k).select("_h"))
+    if crowded.isEmpty():
+        return cat.drop("_h")
     copies = Window.partitionBy("_h", "vec").orderBy("id")
     first = (cat.join(crowded, "_h", "left_semi").withColumn("_n", F.row_number().over(copies))
              .where(F.col("_n") <= k).drop("_n"))

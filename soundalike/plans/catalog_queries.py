@@ -1065,7 +1065,7 @@ def j9_one(spark, sf):
         "artist_id", "track_id")
 
 
-def _work(spark, sf):
+def work_list(spark, sf):
     n = F.col("p_partkey")
     return V.table(spark, sf, "part").select(
         n.alias("pos"), (n + 1200).alias("deezer_id"),
@@ -1082,7 +1082,7 @@ SELECT deezer_id, CASE WHEN seen THEN 'processed' WHEN n > 1000 THEN 'beyond_lim
 def j10(spark, sf):
     done = V.table(spark, sf, "events").where("event_type = 'view'").select(
         F.col("event_id").alias("deezer_id"))
-    return K.feed(_work(spark, sf), V.vectors(spark, sf), done, 1000).select("deezer_id", "outcome")
+    return K.feed(work_list(spark, sf), V.vectors(spark, sf), done, 1000).select("deezer_id", "outcome")
 
 
 REQ_CTE = NOISY_CTE + rf""", req0 AS (SELECT p_partkey AS request_id, p_partkey,

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from soundalike.operators import feedback as FB
 from soundalike.operators import rules as RU
-from soundalike.plans.catalog_queries import STATE_SQL, STATS_SQL, TIME, reasons_sql
+from soundalike.plans.catalog_queries import STATE_SQL, STATS_SQL, TIME, reasons_sql, work_list
 from soundalike.plans.registry import query
 from soundalike.plans.retrieval_queries import FINAL, WEIGHTS_CTE
 from soundalike.session import scratch_path
@@ -119,6 +119,17 @@ def k7(spark, sf):
         F.col("rank").cast("long").alias("rank"))
 
 
+@query("j10_feed_stream", """
+SELECT p_partkey + 1200 AS deezer_id, CASE WHEN (p_partkey + 1200) IN (
+    SELECT deezer_id FROM songs WHERE deezer_id IS NOT NULL) THEN 'skipped'
+  WHEN p_partkey % 4 <> 0 THEN 'queued' ELSE 'failed' END AS outcome FROM part""")
+def j10_stream(spark, sf):
+    """The ledger of a work list that is read to its end as a stream."""
+    out, cp = _paths(spark, "j10")
+    ST.stream_feed(work_list(_streams(spark), sf), V.vectors(spark, sf), out, out + "-ledger", cp).awaitTermination()
+    return spark.read.parquet(out + "-ledger").select("deezer_id", "outcome")
+
+
 @query("k8_events_per_source", """
 SELECT strftime(date_trunc('hour', created_at), '%Y-%m-%d %H:%M:%S') AS window_start,
   substr(sha256(ip), 1, 16) AS ip_hash, count(*) AS events FROM feedback GROUP BY ALL""")

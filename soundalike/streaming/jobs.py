@@ -19,6 +19,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from soundalike.functions.text import pseudonym
 from soundalike.operators import feedback as FB
 from soundalike.operators import rules as RU
+from soundalike.operators.catalog import feed
 from soundalike.operators.jobs import STALL_AFTER_SEC, job_state
 from soundalike.operators.search import nearest_for_new
 from soundalike.session import cut
@@ -271,6 +272,28 @@ def stream_beside(stream: DataFrame, side: Refreshed, join: Callable[[DataFrame,
     return _start(stream, each, checkpoint, **trigger)
 
 
+# ------------------------------------------------------------------- J10: work feed
+
+def stream_feed(work: DataFrame, existing: DataFrame, path: str, ledger: str, checkpoint: str,
+                key: str = "deezer_id", **trigger) -> StreamingQuery:
+    """Outcomes of a work list as it grows, and a ledger of what has been dealt with.
+
+    An item of an earlier micro-batch is ``processed``.  The ledger is written after the outcomes, a folder per
+    micro-batch; a replayed batch reads the folders before it only, so it comes out the same.
+    """
+    def each(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        earlier = [f"{ledger}/batch_id={n}" for n in _folders(spark, ledger, "batch_id") if n < batch_id]
+        done = spark.read.parquet(*earlier).select(key) if earlier else None
+        batch.persist()
+        out = feed(batch, existing, done, key=key)
+        out.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        out.where(F.col("outcome") != "processed").select(key, "outcome").distinct().write.mode(
+            "overwrite").parquet(f"{ledger}/batch_id={batch_id}")
+        batch.unpersist()
+    return _start(work, each, checkpoint, **trigger)
+
+
 # ------------------------------------------------------------- K8, K9: event rates
 
 def stream_windowed_counts(stream: DataFrame, keys: Sequence[str | Column], watermark: str,

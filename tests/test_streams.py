@@ -184,3 +184,21 @@ def test_refreshed_keeps_value_on_error(spark):
     assert second is not first
     now[0] = 700
     assert side.get() is second and side.get() is second and len(calls) == 3
+
+
+@pytest.mark.parametrize("files", [1, 3])
+def test_feed_stream_keeps_a_ledger(spark, tmp_path, files):
+    rows = [(i, 10 + i % 8, "u" if i % 3 else None) for i in range(8)]
+    schema = "pos long, deezer_id long, preview_url string"
+    write_in_files(spark, rows, schema, tmp_path / "in", files)
+    known = spark.createDataFrame([(10,), (11,)], "deezer_id long")
+    out, ledger, cp = (str(tmp_path / x) for x in ("out", "ledger", "cp"))
+
+    def run():
+        ST.stream_feed(ST.read_table_stream(spark, str(tmp_path / "in"), 1), known, out, ledger, cp).awaitTermination()
+        return sorted((r.deezer_id, r.outcome) for r in spark.read.parquet(ledger).collect())
+    want = sorted((10 + i, "skipped" if i < 2 else "queued" if i % 3 else "failed") for i in range(8))
+    assert run() == want
+    spark.createDataFrame(rows[:4], schema).write.mode("append").parquet(str(tmp_path / "in"))
+    assert run() == want  # known items are not dealt with again
+    assert spark.read.parquet(out).where("outcome = 'processed'").count() == 4
