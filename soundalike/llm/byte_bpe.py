@@ -33,7 +33,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from soundalike.llm.common import need, per_process, query, table
+from soundalike.llm.common import bounded, need, per_process, query, table
 
 #: Pre-tokens of up to so many characters are remembered; the table is emptied above so many of them.
 REMEMBERED_CHARS = 48
@@ -299,7 +299,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", ids
                 ids = [np.frombuffer(x, "<u4").astype("i8") for x in bpe.encode_packed(texts)]
                 yield pa.RecordBatch.from_arrays(
                     [*arrays, pa.array(ids, pa.list_(pa.int64()))], names=[*names, ids_col])
-    return docs.mapInArrow(run, schema)
+    return docs.transform(bounded).mapInArrow(run, schema)
 
 
 def decode(docs: DataFrame, path: str, pattern: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
@@ -317,7 +317,7 @@ def decode(docs: DataFrame, path: str, pattern: str, ids_col: str = "ids", out_c
                         for x in part.column(part.schema.get_field_index(ids_col))]
                 yield pa.RecordBatch.from_arrays(
                     [*arrays, pa.array(data, pa.binary())], names=[*names, out_col])
-    return docs.mapInArrow(run, schema)
+    return docs.transform(bounded).mapInArrow(run, schema)
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str, text_col: str = "text",
@@ -351,7 +351,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str, text_col: str = "text",
                     arrays.append(pa.ListArray.from_arrays(pa.array(np.cumsum([0, *n]), pa.int32()), flat))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(arrays, names=names)
-    return docs.mapInArrow(run, schema)
+    return docs.transform(bounded).mapInArrow(run, schema)
 
 
 def default_vocabulary() -> tuple[str, str]:

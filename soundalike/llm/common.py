@@ -46,6 +46,24 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows and bytes of a batch that goes to Python and back; texts are long, and Spark's default counts rows only.
+BATCH_BOUNDS = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "2000"),
+                "spark.sql.execution.arrow.maxBytesPerBatch": (None, str(8 << 20))}
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """``df``, in a session whose Arrow batches are bounded in bytes, too.
+
+    Only settings that still have Spark's default are changed; results do not depend on them.
+    """
+    conf = df.sparkSession.conf
+    for key, (default, value) in BATCH_BOUNDS.items():
+        now = conf.get(key, None)
+        if now is None or now == default or default is None and int(now) > 1 << 28:
+            conf.set(key, value)
+    return df
+
+
 def private(name: str) -> str:
     """A column name that no input table carries."""
     return f"__{name}_{uuid.uuid4().hex[:8]}"

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from soundalike.llm.common import need, private, query, stored, table
+from soundalike.llm.common import bounded, need, private, query, stored, table
 from soundalike.llm.kernels import text_blocks
 
 FEWEST_PAGES = 8
@@ -230,7 +230,7 @@ def style_tree(pages: DataFrame, html_col: str = "html", url_col: str = "url") -
                 kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)],
                                                  names=["host", "path", "page", "n", "block"])
-    seen = stored(rows.mapInArrow(run, "host string, path bigint, page bigint, n bigint, block bigint").distinct(),
+    seen = stored(rows.transform(bounded).mapInArrow(run, "host string, path bigint, page bigint, n bigint, block bigint").distinct(),
                   "style-nodes")
     node = ("host", "path")
     per_page = seen.select(*node, "page", "n").distinct()
@@ -274,7 +274,7 @@ def extract(pages: DataFrame, html_col: str = "html", url_col: str = "url", text
                 yield pa.RecordBatch.from_arrays(
                     [*(part.column(part.schema.get_field_index(x)) for x in names), pa.array(out, pa.string())],
                     names=[*names, text_col])
-    return rows.mapInArrow(run, schema)
+    return rows.transform(bounded).mapInArrow(run, schema)
 
 
 @query("op8_html_extract")

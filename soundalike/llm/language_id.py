@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from soundalike.llm.common import need, query, table
+from soundalike.llm.common import bounded, need, query, table
 from soundalike.llm.kernels import text_blocks
 
 PER_LANGUAGE = 300
@@ -186,7 +186,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
                     [pa.array(c, t) for c, t in zip(zip(*out), (pa.string(), pa.string(), pa.int32(), pa.binary(),
                                                                 pa.binary()))],
                     names=["id", "lang", "k", "at", "share"])
-    found = chosen.select("id", "lang", "text").mapInArrow(
+    found = chosen.select("id", "lang", "text").transform(bounded).mapInArrow(
         bags, "id string, lang string, k int, at binary, share binary").toArrow().to_pylist()
     found.sort(key=lambda r: (r["id"], r["k"], r["lang"], r["at"]))
     languages = sorted({r["lang"] for r in found})
@@ -216,7 +216,7 @@ def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> D
                 yield pa.RecordBatch.from_arrays(
                     [*part.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rejected)],
                     names=[*part.schema.names, "lang_pred", "score", "rejected"])
-    return base.mapInArrow(run, schema)
+    return base.transform(bounded).mapInArrow(run, schema)
 
 
 @query("op5_language_id")

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from soundalike.llm.common import need, per_process, private, query, stored, table
+from soundalike.llm.common import bounded, need, per_process, private, query, stored, table
 from soundalike.llm.components import components
 from soundalike.llm.exact_dedup import maybe_repeated, repeat_filter
 from soundalike.llm.kernels import mix, text_blocks, windows, word_hashes
@@ -96,7 +96,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def shingle_weights(docs: DataFrame) -> np.ndarray:
     """Weight of a shingle by hashed counter, from all documents."""
-    counted = docs.select("text").mapInArrow(_count, "counter int, n bigint").groupBy("counter").agg(
+    counted = docs.select("text").transform(bounded).mapInArrow(_count, "counter int, n bigint").groupBy("counter").agg(
         F.sum("n").alias("n")).toArrow()  # DF_BUCKETS rows at most
     n_docs = max(1, docs.count())
     share = np.full(DF_BUCKETS, RAREST)
@@ -294,13 +294,13 @@ def links(keyed: DataFrame, signed: DataFrame, weight_of) -> DataFrame:
     bloom, blocks = repeat_filter(wanted.select("k1"), "k1", wanted.count(), 1)
     texts = maybe_repeated(keyed, "k1", bloom, blocks, "hit").where("hit").drop("hit")
     vectors = stored(texts.join(wanted, ["k1", "k2"]).dropDuplicates(["node"]).select("node", "text")
-                     .mapInArrow(lambda b: _vectors(b, weight_of), "node bigint, vec binary"), "near-vectors")
+                     .transform(bounded).mapInArrow(lambda b: _vectors(b, weight_of), "node bigint, vec binary"), "near-vectors")
 
     stars = shared.join(centers, "bucket").where("node <> center").select(
         F.col("center").alias("a"), F.col("node").alias("b")).distinct()
     with_b = stars.join(vectors.select(F.col("node").alias("b"), F.col("vec").alias("vec_b")), "b")
     both = with_b.join(vectors.select(F.col("node").alias("a"), F.col("vec").alias("vec_a")), "a")
-    first = stored(both.select("a", "b", "vec_a", "vec_b").mapInArrow(_verify, "a bigint, b bigint"), "near-links")
+    first = stored(both.select("a", "b", "vec_a", "vec_b").transform(bounded).mapInArrow(_verify, "a bigint, b bigint"), "near-links")
 
     labels = components(first)
     state = shared.select("bucket", "node").join(labels, "node", "left").select(
@@ -327,7 +327,7 @@ def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     keyed = _keyed(docs, id_col, text_col)
     weight_of = _shared_table(docs.sparkSession, shingle_weights(keyed))
     kind = docs.schema[id_col].dataType.simpleString()
-    signed = stored(keyed.mapInArrow(
+    signed = stored(keyed.transform(bounded).mapInArrow(
         lambda b: _sign(b, weight_of), f"id {kind}, k1 bigint, k2 bigint, node bigint, buckets array<bigint>"),
         "near-signed")
     rows = stored(signed.select("id", "k1", "k2", "node", F.monotonically_increasing_id().alias("row")),

@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from soundalike.llm.common import need, query, table
+from soundalike.llm.common import bounded, need, query, table
 from soundalike.llm.kernels import full_windows, text_blocks, word_hashes
 
 MOST_LOST_PERCENT = 50
@@ -136,7 +136,7 @@ def apply_rules(docs: DataFrame, text_col: str = "text") -> DataFrame:
                 columns = zip(*_judge([t or "" for t in texts]))
                 made = [pa.array(c, kind[x.split()[1]]) for c, x in zip(columns, RESULT.split(", "))]
                 yield pa.RecordBatch.from_arrays([*part.columns, *made], names=[*part.schema.names, *NAMES])
-    return base.mapInArrow(run, schema)
+    return base.transform(bounded).mapInArrow(run, schema)
 
 
 def _sql_count(pattern: str, column: str = "line") -> str:
