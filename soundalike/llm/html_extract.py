@@ -7,14 +7,15 @@ ids, as a page's markup is styled by them.  For the nodes that hold text the tre
   that block, where ``m`` pages have the node; blocks that all pages share make it 0, blocks of one page 1;
 * presentation: the entropy, in units of ``log_m``, of how many blocks the node has from page to page.
 
-``importance = CONTENT * content + (1 - CONTENT) * presentation``.  On nodes with at least ``FEWEST_PAGES``
-different pages, branches whose nodes all fall below ``LEAST`` are removed from each page.  Equal pages count
-once, so copies do not make a text look like a template.
+``seen = CONTENT * content + (1 - CONTENT) * presentation``, on nodes with at least ``FEWEST_PAGES`` different
+pages, bounded by ``BOUNDS``.  Equal pages count once, so copies do not make a text look like a template.
 
-What elements say about themselves comes first: scripts, navigation, footers, forms and the like, and elements
-whose role, class or id names such a part, are branches of importance 0; text inside ``article`` or ``main``
-that no such element encloses has importance 1.  A page with an ``article`` or ``main`` has its text in it; of
-others the whole body is read, and there the tree decides.
+What elements say about themselves is the prior of a node's importance, whose odds are multiplied by those of
+what the tree has seen; nodes below ``LEAST`` are removed from each page.  Text inside ``article`` or ``main``
+has the prior ``INSIDE``, so there a node goes if nearly all pages share its text; text of pages without these
+has an even one, and the tree decides alone.  Scripts, navigation, footers, forms and the like, elements whose
+role, class or id names such a part, and what stands outside ``article`` or ``main`` on a page that has one,
+have a prior that nothing within ``BOUNDS`` lifts above ``LEAST``.
 
 Defined results: null or empty html gives an empty text.  Pages without a host are not merged with others.
 Unclosed elements, stray end tags and truncated pages are read as far as they go.  Repeated rows are extracted
@@ -40,6 +41,9 @@ from soundalike.llm.kernels import text_blocks
 FEWEST_PAGES = 8
 LEAST = 0.2
 CONTENT = 0.9
+#: Prior importance of text inside article or main and of text on pages without these.
+INSIDE, OPEN = 0.9, 0.5
+BOUNDS = (0.01, 0.95)
 
 TAG = re.compile(
     r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)"""
@@ -97,8 +101,16 @@ class Page:
     blocks: list[Block] = field(default_factory=list)
     has_main: bool = False
 
-    def text(self, low: frozenset[int] = frozenset()) -> str:
-        return "\n".join(b.text for b in self.blocks if b.declared or not self.has_main and b.path not in low)
+    def text(self, seen: dict[int, float] | None = None) -> str:
+        """Text of the blocks that stay, given what the tree has seen of the nodes of this host."""
+        return "\n".join(b.text for b in self.blocks if (b.declared or not self.has_main) and importance(
+            INSIDE if b.declared else OPEN, (seen or {}).get(b.path, 0.5)) >= LEAST)
+
+
+def importance(prior: float, seen: float) -> float:
+    """Odds of the prior times odds of what the tree has seen, as a share."""
+    seen = min(max(seen, BOUNDS[0]), BOUNDS[1])
+    return prior * seen / (prior * seen + (1 - prior) * (1 - seen))
 
 
 def _names(value: str) -> set[str]:
@@ -209,7 +221,7 @@ def _signed(x: int) -> int:
 
 
 def style_tree(pages: DataFrame, html_col: str = "html", url_col: str = "url") -> DataFrame:
-    """(host, path, pages, importance) of the nodes whose importance is not declared."""
+    """(host, path, pages, seen) of all nodes with text, those inside article or main included."""
     rows = pages.select(host_of(url_col).alias("host"), F.col(html_col).alias("html")).where(
         "host is not null and html is not null").withColumn("page", F.xxhash64("html"))
 
@@ -220,7 +232,7 @@ def style_tree(pages: DataFrame, html_col: str = "html", url_col: str = "url") -
                 for host, page, source in zip(part.column(0).to_pylist(), part.column(2).to_pylist(), texts):
                     parsed = parse(source or "")
                     nodes: dict[int, list[str]] = {}
-                    for b in [] if parsed.has_main else parsed.blocks:
+                    for b in parsed.blocks:
                         nodes.setdefault(b.path, []).append(b.text)
                     for path, held in nodes.items():
                         for text in set(held):
@@ -230,13 +242,13 @@ def style_tree(pages: DataFrame, html_col: str = "html", url_col: str = "url") -
                 kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)],
                                                  names=["host", "path", "page", "n", "block"])
-    seen = stored(rows.transform(bounded).mapInArrow(run, "host string, path bigint, page bigint, n bigint, block bigint").distinct(),
+    found = stored(rows.transform(bounded).mapInArrow(run, "host string, path bigint, page bigint, n bigint, block bigint").distinct(),
                   "style-nodes")
     node = ("host", "path")
-    per_page = seen.select(*node, "page", "n").distinct()
+    per_page = found.select(*node, "page", "n").distinct()
     shapes = per_page.groupBy(*node, "n").agg(F.count(F.lit(1)).alias("k"))
     shapes = shapes.groupBy(*node).agg(F.sum("k").alias("pages"), F.sum(F.col("k") * F.log("k")).alias("klogk"))
-    blocks = seen.groupBy(*node, "block").agg(F.count(F.lit(1)).alias("k"))
+    blocks = found.groupBy(*node, "block").agg(F.count(F.lit(1)).alias("k"))
     blocks = blocks.groupBy(*node).agg(F.avg(F.log("k")).alias("shared"))
     m = F.log("pages")
     # Entropy of counts k that sum to m: log m - sum(k log k) / m.
@@ -244,7 +256,7 @@ def style_tree(pages: DataFrame, html_col: str = "html", url_col: str = "url") -
     content = F.lit(1.0) - F.col("shared") / m
     return shapes.join(blocks, list(node)).select(
         *node, "pages", F.when(F.col("pages") > 1, CONTENT * content + (1 - CONTENT) * presentation
-                               ).otherwise(1.0).alias("importance"))
+                               ).otherwise(1.0).alias("seen"))
 
 
 def extract(pages: DataFrame, html_col: str = "html", url_col: str = "url", text_col: str = "text") -> DataFrame:
@@ -255,8 +267,8 @@ def extract(pages: DataFrame, html_col: str = "html", url_col: str = "url", text
     """
     need(pages, html_col, url_col)
     tree = style_tree(pages, html_col, url_col)
-    low = stored(tree.where((F.col("pages") >= FEWEST_PAGES) & (F.col("importance") < LEAST)).groupBy("host").agg(
-        F.collect_set("path").alias("low")), "style-low")
+    low = stored(tree.where((F.col("pages") >= FEWEST_PAGES) & (F.col("seen") < LEAST)).groupBy("host").agg(
+        F.map_from_entries(F.collect_list(F.struct("path", "seen"))).alias("low")), "style-low")
     host, paths = private("host"), private("low")
     base = pages.drop(text_col) if text_col != html_col else pages
     rows = base.withColumn(host, host_of(url_col)).join(
@@ -269,8 +281,8 @@ def extract(pages: DataFrame, html_col: str = "html", url_col: str = "url", text
             for part, texts in text_blocks(batch, html_col):
                 names = [x for x in part.schema.names if x not in (paths, text_col)]
                 known = part.column(part.schema.get_field_index(paths)).to_pylist()
-                out = [parse(source or "").text(frozenset(p % (1 << 64) for p in gone or ()))
-                       for source, gone in zip(texts, known)]
+                out = [parse(source or "").text({p % (1 << 64): x for p, x in seen or ()})
+                       for source, seen in zip(texts, known)]
                 yield pa.RecordBatch.from_arrays(
                     [*(part.column(part.schema.get_field_index(x)) for x in names), pa.array(out, pa.string())],
                     names=[*names, text_col])

@@ -296,6 +296,14 @@ def test_style_tree_removes_templates_only(spark):
     assert got[100] == "Same words." and got[200] == "alone" and got[201] == "" and got[202] == ""
 
 
+def test_style_tree_reaches_into_articles(spark):
+    rows = [(i, f"http://a.example/{i}", f"<body><article><h1>Title {i}</h1><div class='box'>Same words everywhere.</div>"
+             f"<p>Only {i} has this {i * 7}.</p><p>Half share this {i % 2}.</p></article></body>") for i in range(40)]
+    got = {r.page_id: r.text for r in H.extract(
+        spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"Title {i}\nOnly {i} has this {i * 7}.\nHalf share this {i % 2}." for i in range(40)}
+
+
 def test_pages_awkward(spark):
     empty = spark.createDataFrame([], "page_id long, url string, html string, text string, host string, path int")
     assert H.extract(empty).count() == 0
