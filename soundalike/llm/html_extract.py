@@ -7,15 +7,20 @@ ids, as a page's markup is styled by them.  For the nodes that hold text the tre
   that block, where ``m`` pages have the node; blocks that all pages share make it 0, blocks of one page 1;
 * presentation: the entropy, in units of ``log_m``, of how many blocks the node has from page to page.
 
-``seen = CONTENT * content + (1 - CONTENT) * presentation``, on nodes with at least ``FEWEST_PAGES`` different
-pages, bounded by ``BOUNDS``.  Equal pages count once, so copies do not make a text look like a template.
+``CONTENT * content + (1 - CONTENT) * presentation`` is averaged with one half, which weighs as much as
+``DOUBT`` pages, so it is defined from one page on, and bounded by ``BOUNDS``.  Equal pages count once, so copies
+do not make a text look like a template.
 
 What elements say about themselves is the prior of a node's importance, whose odds are multiplied by those of
 what the tree has seen; nodes below ``LEAST`` are removed from each page.  Text inside ``article`` or ``main``
-has the prior ``INSIDE``, so there a node goes if nearly all pages share its text; text of pages without these
-has an even one, and the tree decides alone.  Scripts, navigation, footers, forms and the like, elements whose
-role, class or id names such a part, and what stands outside ``article`` or ``main`` on a page that has one,
-have a prior that nothing within ``BOUNDS`` lifts above ``LEAST``.
+has the prior ``INSIDE``, so there a node goes if nearly all of ten pages or more share its text; text of pages
+without these has an even one, and the tree decides alone.  Blocks with a class or id of ``MAYBE_NAMES`` have the
+prior ``NAMED``: they go unless the tree finds other text on page after page.  Scripts, navigation, footers,
+forms and the like, elements with a role, class or id of ``NOISE_NAMES``, and what stands outside ``article`` or
+``main`` on a page that has one, have a prior that nothing within ``BOUNDS`` lifts above ``LEAST``.
+
+A name counts as a whole class or id, not as a part of one; never on ``article``, ``main`` or a heading, and not
+for an ``article`` or ``main`` inside the named element that is the page's own, not one within another.
 
 Defined results: null or empty html gives an empty text.  Pages without a host are not merged with others.
 Unclosed elements, stray end tags and truncated pages are read as far as they go.  Repeated rows are extracted
@@ -38,12 +43,12 @@ from pyspark.sql import functions as F
 from soundalike.llm.common import bounded, need, private, query, stored, table
 from soundalike.llm.kernels import text_blocks
 
-FEWEST_PAGES = 8
 LEAST = 0.2
 CONTENT = 0.9
-#: Prior importance of text inside article or main and of text on pages without these.
-INSIDE, OPEN = 0.9, 0.5
+#: Prior importance of text inside article or main, of text on pages without these, and of MAYBE_NAMES.
+INSIDE, OPEN, NAMED = 0.9, 0.5, 0.1
 BOUNDS = (0.01, 0.95)
+DOUBT = 0.5
 
 TAG = re.compile(
     r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)"""
@@ -60,13 +65,17 @@ NOISE_TAGS = frozenset("""aside audio button canvas dialog embed fieldset footer
 noembed noframes noscript object script search select style svg template textarea title video""".split())
 NOISE_ROLES = frozenset("""alert alertdialog banner complementary contentinfo dialog form menu menubar navigation
 search toolbar""".split())
-#: Words of a class or id that name a part that is not the article.
-NOISE_NAMES = frozenset("""ad ads advert advertisement advertising adverts adsense adslot alert banner breadcrumb
-breadcrumbs comment comments consent cookie cookies copyright disqus footer gdpr login masthead menu modal nav
-navbar navigation newsletter notice notices notification overlay pager pagination popup promo promotion related
-replies respond share sharing sidebar signup skip social sponsor sponsored subscribe toolbar topbar widget""".split())
-#: Of these, names that also occur on wrappers of the article, as in "with-sidebar": an article inside counts.
-LAYOUT_NAMES = frozenset("banner masthead menu nav navbar sidebar toolbar topbar widget".split())
+#: Classes and ids, without "-" and "_", that say that a part is not the article.
+NOISE_NAMES = frozenset("""ad adbanner ads adsense adslot adunit advert advertisement advertising adverts breadcrumb
+breadcrumbs comment commentlist comments commentsection consent cookie cookiebanner cookiebar cookieconsent
+cookienotice cookies disqus footer gdpr login masthead menu modal nav navbar navigation navmenu newsletter
+newslettersignup pager pagination popup promo promotion relatedarticles relatedposts respond sharebuttons sharing
+sidebar sidebarad signup sitefooter siteheader sitenav skiplink socialshare sponsor sponsored subscribe toolbar
+topbar""".split())
+#: Names that may also be part of an article.
+MAYBE_NAMES = frozenset("""alert banner copyright header notice notices notification overlay related replies share
+skip social widget""".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Elements that are closed by the start of any of these.
 CLOSED_BY = {
     "p": BLOCKS - {"option", "optgroup", "legend", "caption", "head", "title"},
@@ -84,7 +93,7 @@ NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 class Element:
     tag: str
     path: int
-    noise: int  # 0, 1 by a name of the layout, 2
+    noise: int  # 0, 1 by a name that may be wrong, 2 by a name or as a form, 3 by its tag, role or style
     declared: bool
     block: bool
 
@@ -93,6 +102,7 @@ class Element:
 class Block:
     path: int
     declared: bool
+    named: bool
     text: str
 
 
@@ -104,7 +114,7 @@ class Page:
     def text(self, seen: dict[int, float] | None = None) -> str:
         """Text of the blocks that stay, given what the tree has seen of the nodes of this host."""
         return "\n".join(b.text for b in self.blocks if (b.declared or not self.has_main) and importance(
-            INSIDE if b.declared else OPEN, (seen or {}).get(b.path, 0.5)) >= LEAST)
+            NAMED if b.named else INSIDE if b.declared else OPEN, (seen or {}).get(b.path, 0.5)) >= LEAST)
 
 
 def importance(prior: float, seen: float) -> float:
@@ -119,24 +129,25 @@ def _names(value: str) -> set[str]:
 
 def _facts(tag: str, attributes: str, inside: bool) -> tuple[str, int, bool]:
     """Style label of an element, how far it names itself noise, and whether it is main content."""
-    noise = 2 if tag in NOISE_TAGS or tag == "header" and not inside else 0
+    noise = 2 if tag == "form" else 3 if tag in NOISE_TAGS or tag == "header" and not inside else 0
     main = tag in ("article", "main")
     if not attributes or "=" not in attributes and "hidden" not in attributes:
         return tag, noise, main
     got = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(attributes)}
-    names = _names(html.unescape(f"{got.get('class', '')} {got.get('id', '')}"))
+    said = html.unescape(f"{got.get('class', '')} {got.get('id', '')}")
     role = got.get("role", "").lower()
     main = main or role == "main"
-    if tag not in ("html", "body", "main"):
-        said = names & NOISE_NAMES
-        if said - LAYOUT_NAMES or role in NOISE_ROLES and not (role == "banner" and inside):
-            noise = 2
-        elif said and not main or "header" in names and not inside and not main:
-            noise = max(noise, 1)
+    if role in NOISE_ROLES and tag not in ("html", "body", "main") and not (role == "banner" and inside):
+        noise = max(noise, 2 if role == "form" else 3)
+    if not main and tag not in HEADINGS and tag not in ("html", "body"):
+        whole = {x.replace("-", "").replace("_", "").lower() for x in said.split()}
+        # A name that may be wrong is for the tree to confirm, which knows blocks only.
+        maybe = tag in BLOCKS and whole & MAYBE_NAMES - ({"header"} if inside else set())
+        noise = max(noise, 2 if whole & NOISE_NAMES else 1 if maybe else 0)
     if ("hidden" in got or got.get("aria-hidden", "").lower() == "true"
             or "display:none" in got.get("style", "").replace(" ", "").lower()):
-        noise = 2
-    return f"{tag}.{' '.join(sorted(names))}", noise, main
+        noise = 3
+    return f"{tag}.{' '.join(sorted(_names(said)))}", noise, main
 
 
 def parse(source: str) -> Page:
@@ -151,7 +162,7 @@ def parse(source: str) -> Page:
             held.clear()
             if words:
                 around = next(e for e in reversed(stack) if e.block)
-                page.blocks.append(Block(around.path, around.declared, " ".join(words)))
+                page.blocks.append(Block(around.path, around.declared, around.noise == 1, " ".join(words)))
 
     def close(tag: str, fences: frozenset[str]) -> None:
         for i in range(len(stack) - 1, 0, -1):
@@ -167,14 +178,14 @@ def parse(source: str) -> Page:
     while at < n:
         m = TAG.search(source, at)
         upto = m.start() if m else n
-        if upto > at and not stack[-1].noise:
+        if upto > at and stack[-1].noise < 2:
             held.append(html.unescape(source[at:upto]))
         if not m:
             break
         at = m.end()
         tag = (m[2] or m[5] or "").lower()
         if not tag:
-            if source.startswith("<![CDATA[", m.start()) and not stack[-1].noise:
+            if source.startswith("<![CDATA[", m.start()) and stack[-1].noise < 2:
                 held.append(source[m.start() + 9:at].removesuffix("]]>"))
             continue
         block = tag in BLOCKS
@@ -201,7 +212,7 @@ def parse(source: str) -> Page:
             continue
         if attributes and attributes.rstrip().endswith("/") and tag in ("svg", "path", "use"):
             continue
-        noise = max(noise, 0 if main and top.noise == 1 else top.noise)
+        noise = max(noise, 0 if main and top.noise < 3 and not top.declared else top.noise)
         main = main and not noise
         page.has_main |= main
         path = xxhash.xxh64_intdigest(label, seed=top.path) if block else top.path
@@ -221,7 +232,7 @@ def _signed(x: int) -> int:
 
 
 def style_tree(pages: DataFrame, html_col: str = "html", url_col: str = "url") -> DataFrame:
-    """(host, path, pages, seen) of all nodes with text, those inside article or main included."""
+    """(host, path, pages, named, seen) of all nodes with text, those inside article or main included."""
     rows = pages.select(host_of(url_col).alias("host"), F.col(html_col).alias("html")).where(
         "host is not null and html is not null").withColumn("page", F.xxhash64("html"))
 
@@ -234,40 +245,43 @@ def style_tree(pages: DataFrame, html_col: str = "html", url_col: str = "url") -
                     nodes: dict[int, list[str]] = {}
                     for b in parsed.blocks:
                         nodes.setdefault(b.path, []).append(b.text)
+                    named = {b.path for b in parsed.blocks if b.named}
                     for path, held in nodes.items():
                         for text in set(held):
                             out.append((host, _signed(path), page, len(held),
-                                        _signed(xxhash.xxh64_intdigest(text))))
-                columns = zip(*out) if out else ((),) * 5
-                kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
+                                        _signed(xxhash.xxh64_intdigest(text)), path in named))
+                columns = zip(*out) if out else ((),) * 6
+                kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)],
-                                                 names=["host", "path", "page", "n", "block"])
-    found = stored(rows.transform(bounded).mapInArrow(run, "host string, path bigint, page bigint, n bigint, block bigint").distinct(),
-                  "style-nodes")
+                                                 names=["host", "path", "page", "n", "block", "named"])
+    found = stored(rows.transform(bounded).mapInArrow(
+        run, "host string, path bigint, page bigint, n bigint, block bigint, named boolean").distinct(), "style-nodes")
     node = ("host", "path")
-    per_page = found.select(*node, "page", "n").distinct()
-    shapes = per_page.groupBy(*node, "n").agg(F.count(F.lit(1)).alias("k"))
-    shapes = shapes.groupBy(*node).agg(F.sum("k").alias("pages"), F.sum(F.col("k") * F.log("k")).alias("klogk"))
+    per_page = found.select(*node, "page", "n", "named").distinct()
+    shapes = per_page.groupBy(*node, "n").agg(F.count(F.lit(1)).alias("k"), F.max("named").alias("named"))
+    shapes = shapes.groupBy(*node).agg(F.sum("k").alias("pages"), F.sum(F.col("k") * F.log("k")).alias("klogk"),
+                                       F.max("named").alias("named"))
     blocks = found.groupBy(*node, "block").agg(F.count(F.lit(1)).alias("k"))
     blocks = blocks.groupBy(*node).agg(F.avg(F.log("k")).alias("shared"))
     m = F.log("pages")
     # Entropy of counts k that sum to m: log m - sum(k log k) / m.
     presentation = (m - F.col("klogk") / F.col("pages")) / m
     content = F.lit(1.0) - F.col("shared") / m
+    more = F.col("pages") - 1
+    found = F.when(more > 0, CONTENT * content + (1 - CONTENT) * presentation).otherwise(0.0)
     return shapes.join(blocks, list(node)).select(
-        *node, "pages", F.when(F.col("pages") > 1, CONTENT * content + (1 - CONTENT) * presentation
-                               ).otherwise(1.0).alias("seen"))
+        *node, "pages", "named", ((found * more + 0.5 * DOUBT) / (more + DOUBT)).alias("seen"))
 
 
 def extract(pages: DataFrame, html_col: str = "html", url_col: str = "url", text_col: str = "text") -> DataFrame:
     """``pages`` with their main text.
 
-    Low branches of a host are few beside its pages.  They are written first; Spark then broadcasts them by
-    the size of the files, or else joins by host and splits the large ones.
+    Low branches and lifted names of a host are few beside its pages.  They are written first; Spark then
+    broadcasts them by the size of the files, or else joins by host and splits the large ones.
     """
     need(pages, html_col, url_col)
     tree = style_tree(pages, html_col, url_col)
-    low = stored(tree.where((F.col("pages") >= FEWEST_PAGES) & (F.col("seen") < LEAST)).groupBy("host").agg(
+    low = stored(tree.where((F.col("seen") < LEAST) | F.col("named") & (F.col("seen") > 0.5)).groupBy("host").agg(
         F.map_from_entries(F.collect_list(F.struct("path", "seen"))).alias("low")), "style-low")
     host, paths = private("host"), private("low")
     base = pages.drop(text_col) if text_col != html_col else pages

@@ -304,6 +304,27 @@ def test_style_tree_reaches_into_articles(spark):
     assert got == {i: f"Title {i}\nOnly {i} has this {i * 7}.\nHalf share this {i % 2}." for i in range(40)}
 
 
+@pytest.mark.parametrize("source, want", [
+    ("<article class='post comments-open'><h1>T</h1><p>x</article>", "T\nx"),
+    ("<div class='has-share-buttons'><article><p>x</article></div>", "x"),
+    ("<div class='share'><article><p>x</article></div><div class='share'>no</div>", "x"),
+    ("<article><h2 id='related-work'>R</h2><h2 id='related'>S</h2><section id='social-notice'><p>x</section></article>", "R\nS\nx"),
+    ("<article><p>x<div class='comments'><article>no</article></div></article>", "x"),
+    ("<form><main><p>x</main><p>no</form>", "x")])
+def test_names_count_whole_and_spare_articles(source, want):
+    assert H.parse(source).text() == want
+
+
+def test_small_hosts_and_names_by_the_tree(spark):
+    rows = [(10 * m + i, f"http://h{m}.example/{i}", f"<div class='slot'>Home News About</div><div class='notice'>Same "
+             f"notice.</div><div class='related'>Work {i} of others.</div><div class='story'>Only {i} has this.</div>")
+            for m in (2, 3, 7) for i in range(m)]
+    got = {r.page_id: r.text for r in H.extract(
+        spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[20] == "Only 0 has this." or got[20] == "Work 0 of others.\nOnly 0 has this."
+    assert got[75] == "Work 5 of others.\nOnly 5 has this."
+
+
 def test_pages_awkward(spark):
     empty = spark.createDataFrame([], "page_id long, url string, html string, text string, host string, path int")
     assert H.extract(empty).count() == 0
