@@ -167,6 +167,23 @@ def test_quality_awkward(awkward, nothing):
     assert Q.accepted(nothing).count() == 0
 
 
+def test_short_and_unspaced_texts_are_judged():
+    r = np.random.default_rng(2)
+    good = [" ".join("".join(r.choice(list("abdeil"), 5)) for _ in range(n)).capitalize() + "." for n in r.integers(2, 30, 300)]
+    junk = [" ".join("".join(r.choice(list("abdeil"), 4)) + r.choice(["***", ".###", "&&&"]) for _ in range(n))
+            for n in r.integers(2, 20, 60)]
+    stats, words, features = Q.describe([*good, *junk])
+    votes = Q.vote(stats, words)
+    combos, counts = np.unique(votes, axis=0, return_counts=True)
+    scorer = Q.Scorer.fit(features, Q.WeakModel.fit(combos, counts.astype(float)).posterior(votes))
+    stats, words, features = Q.describe(["That*** atly.###", "abid*** leda&&&", "That atly.", "", " \n", "#", "ab***" * 200_000])
+    p, votes = scorer.score(features), Q.vote(stats, words)
+    assert (p[:2] < scorer.threshold).all() and (p[2:5] >= scorer.threshold).all()
+    assert (features[[0, 1, 2, 5, 6]].any(1)).all() and not features[3:5].any()
+    assert (votes[[0, 1, 5, 6]] == 0).any(1).all() and (votes[3:5] == 2).all()
+    assert (votes[6] == 0).sum() == 3 and p[6] < p[3]  # below what a text without words gets
+
+
 # ---------------------------------------------------------------------- languages
 
 def test_language_held_out_accuracy(documents):
