@@ -254,6 +254,23 @@ def test_network_adds_and_keeps_recall():
     assert S.CharNet.fit([], others).threshold > 1  # without findings nothing is added
 
 
+def test_threshold_keeps_recall_below_one_half():
+    p, truth = np.array([0.1] * 10 + [0.2] * 10 + [0.4] * 20 + [0.9] * 20), np.array([0.0] * 10 + [1] * 10 + [0] * 20 + [1] * 20)
+    t = S.chosen_threshold(p, truth)
+    assert t == 0.2 and (p[truth == 1] >= t).mean() >= S.RECALL
+
+
+def test_whole_runs_and_what_patterns_leave_are_read():
+    text = "x " + "".join(f"a{i}B" for i in range(30)) + "MIDDLE9" + "".join(f"c{i}D" for i in range(30)) + " y"
+    (run,) = S.long_runs(text)
+    assert any("MIDDLE9" in w[S.BEFORE:S.BEFORE + S.INSIDE] for w in S.read_windows(text, *run))
+    assert set(range(*run)) <= {i for a in range(run[0], run[1]) for w in S.read_windows(text, *run)
+                                if text.find(w[S.BEFORE:S.BEFORE + S.INSIDE]) == a for i in range(a, a + S.INSIDE)}
+    text = "q " + "0123456789abcdef" * 2 + "_Second9SecretGoesHere"
+    runs = S.long_runs(text)
+    assert S.candidates(text, runs, S.base_spans(text, runs)) == [(2, 34, True), (34, len(text), False)]
+
+
 def test_gradients():
     net = S.CharNet.random(1)
     rng = np.random.default_rng(4)
