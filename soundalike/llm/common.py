@@ -5,7 +5,7 @@ from __future__ import annotations
 import sys
 import types
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -64,6 +64,21 @@ def bounded(df: DataFrame) -> DataFrame:
     return df
 
 
+def hash_blocks(df: DataFrame, keys: Sequence[str], width: Column, most: int) -> int:
+    """A number of hash blocks of different ``keys``, none of which has over ``most`` bytes beyond one row of it.
+
+    Rows of a block are those of equal ``pmod(xxhash64(*keys), number)``.
+    """
+    total, widest = df.agg(F.sum(width), F.max(width)).first()
+    n = max(1, -(-int(total or 0) // most))
+    while n > 1:
+        part = F.pmod(F.xxhash64(*keys), F.lit(n))
+        if df.groupBy(part.alias("p")).agg(F.sum(width).alias("b")).agg(F.max("b")).first()[0] <= most + widest:
+            break
+        n *= 2
+    return n
+
+
 def private(name: str) -> str:
     """A column name that no input table carries."""
     return f"__{name}_{uuid.uuid4().hex[:8]}"

@@ -31,7 +31,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from soundalike.llm.common import bounded, need, query, stored, table
+from soundalike.llm.common import bounded, hash_blocks, need, query, stored, table
+from soundalike.llm.kernels import LEAST, NO_ID, Best
 from soundalike.session import scratch_path
 
 #: Segments per level of the summaries.
@@ -41,8 +42,6 @@ BLOCK_BYTES = 16 << 20
 ANCHOR_ROWS, TABLE_ROWS = 256, 4096
 #: Share of the product of two lengths by which rounded summaries may be off.
 SLACK = 1e-5
-NO_ID = np.iinfo("i8").max
-LEAST = np.iinfo("i8").min
 
 
 def levels(dim: int) -> list[int]:
@@ -119,27 +118,6 @@ class Block:
         self.length = np.sqrt((self.vectors ** 2).sum(axis=1))
 
 
-class Best:
-    """The ``k`` best rows of each of ``n`` queries so far: highest score, then smallest id."""
-
-    def __init__(self, n: int, k: int):
-        self.k = k
-        self.scores, self.ids = np.full((n, k), LEAST), np.full((n, k), NO_ID)
-
-    def add(self, who: np.ndarray, scores: np.ndarray, ids: np.ndarray) -> None:
-        if not len(who):
-            return
-        asked = np.unique(who)
-        who = np.concatenate([np.repeat(asked, self.k), who])
-        scores = np.concatenate([self.scores[asked].ravel(), scores])
-        ids = np.concatenate([self.ids[asked].ravel(), ids])
-        order = np.lexsort((ids, ~scores, who))  # ~x orders like -x and never overflows
-        who, scores, ids = who[order], scores[order], ids[order]
-        first = np.searchsorted(who, asked)
-        take = (first[:, None] + np.arange(self.k)).ravel()
-        self.scores[asked], self.ids[asked] = scores[take].reshape(-1, self.k), ids[take].reshape(-1, self.k)
-
-
 def _bounds(level: int, dim: int, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Products of means and of deviations, summed over the segments of a level."""
     at = 2 * sum(levels(dim)[:level])
@@ -263,18 +241,6 @@ def _ranked(hits: DataFrame, k: int) -> DataFrame:
     return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def _blocks_of(anchors: DataFrame) -> int:
-    """Number of hash blocks of anchors, none of which has more than BLOCK_BYTES of vectors."""
-    width = F.size("vec") * 8 + 64
-    n = max(1, -(-int(anchors.agg(F.sum(width)).first()[0] or 0) // BLOCK_BYTES))
-    while n > 1:
-        part = F.pmod(F.xxhash64("id", "label", "vec"), F.lit(n))
-        if anchors.groupBy(part.alias("p")).agg(F.sum(width).alias("b")).agg(F.max("b")).first()[0] <= BLOCK_BYTES:
-            break
-        n *= 2
-    return n
-
-
 def mine(rows: DataFrame, anchors: Column, id_col: str = "id", label_col: str = "label", vec_col: str = "vec", *,
          scale: float = 1.0, positives: int = 5, negatives: int = 3, low: int = 50, high: int = 95) -> DataFrame:
     """Hard negatives of each anchor and positive.
@@ -287,11 +253,12 @@ def mine(rows: DataFrame, anchors: Column, id_col: str = "id", label_col: str =
     spark = rows.sparkSession
     made = prepared(rows, anchors, id_col, label_col, vec_col, scale)
     asked = stored(made.where("anchor").select("id", "label", "vec").distinct(), "anchors")
-    parts = _blocks_of(asked)
+    keys = ("id", "label", "vec")
+    parts = hash_blocks(asked, keys, F.size("vec") * 8 + 64, BLOCK_BYTES)
     path = scratch_path(spark, "llm-hard-negatives")
     found_as = "anchor_id long, positive_id long, rank int, negative_id long, positive_score long, negative_score long"
     for p in range(parts):
-        block = asked.where(F.pmod(F.xxhash64("id", "label", "vec"), F.lit(parts)) == p).toArrow()
+        block = asked.where(F.pmod(F.xxhash64(*keys), F.lit(parts)) == p).toArrow()
         if block.num_rows:
             _mine_block(made, block.combine_chunks(), positives, negatives, low, high).write.mode("append").parquet(path)
     done = (spark.read.schema(found_as).parquet(path) if asked.count() else spark.createDataFrame([], found_as))

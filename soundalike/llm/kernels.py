@@ -147,3 +147,29 @@ def text_blocks(batch: pa.RecordBatch, column: str) -> Iterator[tuple[pa.RecordB
         size += length
     if held:
         yield batch.slice(start, len(held)), held
+
+
+#: Places of a top-k that nothing has filled; null ids count as the largest.
+NO_ID = np.iinfo("i8").max
+LEAST = np.iinfo("i8").min
+
+
+class Best:
+    """The ``k`` best rows of each of ``n`` queries so far: highest score, then smallest id."""
+
+    def __init__(self, n: int, k: int):
+        self.k = k
+        self.scores, self.ids = np.full((n, k), LEAST), np.full((n, k), NO_ID)
+
+    def add(self, who: np.ndarray, scores: np.ndarray, ids: np.ndarray) -> None:
+        if not len(who):
+            return
+        asked = np.unique(who)
+        who = np.concatenate([np.repeat(asked, self.k), who])
+        scores = np.concatenate([self.scores[asked].ravel(), scores])
+        ids = np.concatenate([self.ids[asked].ravel(), ids])
+        order = np.lexsort((ids, ~scores, who))  # ~x orders like -x and never overflows
+        who, scores, ids = who[order], scores[order], ids[order]
+        first = np.searchsorted(who, asked)
+        take = (first[:, None] + np.arange(self.k)).ravel()
+        self.scores[asked], self.ids[asked] = scores[take].reshape(-1, self.k), ids[take].reshape(-1, self.k)
