@@ -4,7 +4,8 @@ from importlib import import_module
 
 #: One module per operator; each registers its query, and its SQL where SQL can say it.
 QUERY_MODULES: list[str] = ["exact_dedup", "mixing", "chat_format", "byte_bpe", "quality_classifier", "near_dedup",
-                            "quality_rules", "language_id", "secret_scan", "html_extract", "hard_negatives", "lexical_search"]
+                            "quality_rules", "language_id", "secret_scan", "html_extract", "hard_negatives", "lexical_search",
+                            "jaccard_join"]
 
 
 def load_queries() -> tuple[dict, dict]:
