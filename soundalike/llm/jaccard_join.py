@@ -12,10 +12,11 @@ Regions are made around pivots twice, and all filters are triangle inequalities:
    ``e = 1 - t``.  Every pair is together in the later one of its two regions.  Regions are split on until they
    are small or a split no longer helps; those are joined block against block.
 
-Before any set travels, 64 pivot sets (all shingles of one hash class) give each document a short vector of
-intersection sizes, which the symmetric difference bounds too: members without a possible partner leave their
-region.  First every member of a region is compared with one of it, and members linked by that are connected; later
-steps look at pairs in different components only, and groups return a forest of links, never all pairs.
+Before any set travels, 64 pivot sets (all shingles of one hash class; 1,024 for long texts) give each document a
+short vector of intersection sizes, whose distance the symmetric difference bounds: members without a possible
+partner leave their region.  First each document is compared with one member of its regions, and members linked by
+that are connected; later steps look at pairs in different components only, and groups return a forest of links,
+never all pairs.
 
 Equal sets are one node from the start, so copies are compared once, whatever their number.  Frequencies are hashed
 counts over all documents; they decide the order of pivots and nothing else, so the join is exact with any.
@@ -45,8 +46,9 @@ WIDTH = 3
 PERCENT = 90
 #: Hashed counts of shingles, collected and broadcast: 2 MB whatever the input.
 COUNTERS = 1 << 18
-#: Pivot sets of the short vectors.
-CLASSES = 64
+#: Pivot sets of the short vectors: so many, and for sets of LONG or more shingles so many as parts of those.
+CLASSES, FINE = 64, 1024
+LONG = 1024
 #: Regions of up to so many members are joined without further pivots; of larger ones, members per pivot.
 LEAF = 512
 PIVOTS = 32
@@ -106,11 +108,15 @@ def first_shingles(found: np.ndarray, frequency: np.ndarray, percent: int) -> np
     return found[np.lexsort((found, frequency[_counter(found)]))[:most]]
 
 
-def short_vectors(found: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+def short_vectors(found: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
     """Intersection sizes with the pivot sets, cut at 65,535 (which brings no two sets further apart)."""
-    text = np.repeat(np.arange(len(sizes)), sizes)
-    place = text * CLASSES + (mix(found) >> np.uint64(58)).astype("i8")
-    return np.minimum(np.bincount(place, minlength=len(sizes) * CLASSES), 65535).astype("<u2").reshape(-1, CLASSES)
+    place = (mix(found) >> np.uint64(54)).astype("i8")
+    out = []
+    for n, end in zip(sizes, np.cumsum(sizes)):
+        part = np.bincount(place[end - n:end], minlength=FINE)
+        part = part if n >= LONG else part.reshape(CLASSES, -1).sum(axis=1)
+        out.append(np.minimum(part, 65535).astype("<u2"))
+    return out
 
 
 def _sign(batches: Iterator[pa.RecordBatch], frequency, percent: int) -> Iterator[pa.RecordBatch]:
@@ -138,11 +144,37 @@ def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 # ------------------------------------------------------------------- comparisons in a task
 
-def may_link(a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarray, percent: int) -> np.ndarray:
-    """Pairs that sizes and short vectors do not rule out; arrays of equal length, or broadcastable."""
-    apart = np.abs(a.astype("i4") - b.astype("i4")).sum(axis=-1)
-    return ((100 + percent) * apart <= (100 - percent) * (size_a + size_b)) & (
-        100 * np.minimum(size_a, size_b) >= percent * np.maximum(size_a, size_b))
+class Shorts:
+    """Short vectors of a column."""
+
+    def __init__(self, column: pa.Array):
+        ends = np.frombuffer(column.buffers()[1], "<i4")[column.offset:column.offset + len(column) + 1]
+        data = np.frombuffer(column.buffers()[2] or b"", "<u2")
+        width = np.diff(ends) // 2
+        self.long = width == FINE
+        self.place = np.zeros(len(width), "i8")
+        at = ends[:-1].astype("i8") // 2
+        self.fine = data[at[self.long][:, None] + np.arange(FINE)]
+        self.place[self.long] = np.arange(self.long.sum())
+        self.coarse = np.empty((len(width), CLASSES), "i4")
+        self.coarse[~self.long] = data[at[~self.long][:, None] + np.arange(CLASSES)]
+        self.coarse[self.long] = self.fine.reshape(-1, CLASSES, FINE // CLASSES).sum(axis=2)
+
+
+def may_link(a: Shorts, b: Shorts, i: np.ndarray, j: np.ndarray, size_a: np.ndarray, size_b: np.ndarray, percent: int
+             ) -> np.ndarray:
+    """Which pairs (i of a, j of b) sizes and short vectors do not rule out."""
+    ok = 100 * np.minimum(size_a, size_b) >= percent * np.maximum(size_a, size_b)
+    most = (100 - percent) * (size_a + size_b)
+    for wide in (False, True):
+        some = np.flatnonzero(ok)
+        if wide:
+            some = some[a.long[i[some]] & b.long[j[some]]]
+        for part in np.array_split(some, -(-len(some) // (1024 if wide else 16384))) if len(some) else []:
+            x, y = ((a.fine[a.place[i[part]]], b.fine[b.place[j[part]]]) if wide
+                    else (a.coarse[i[part]], b.coarse[j[part]]))
+            ok[part] = (100 + percent) * np.abs(x.astype("i4") - y).sum(axis=1) <= most[part]
+    return ok
 
 
 def common(a: np.ndarray, b: np.ndarray) -> int:
@@ -178,10 +210,6 @@ def common_matrix(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray
     return out.astype("i8")
 
 
-def _shorts(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), "<u2").reshape(-1, CLASSES)
-
-
 def _sides(group: pa.Table) -> tuple[pa.Table, int, bool]:
     """Rows by side, the number of rows of the first, and whether the block meets itself."""
     group = group.take(pc.sort_indices(group["side"]))
@@ -207,16 +235,16 @@ def _partners(percent: int):
     """Members of a block that a member of another component may be linked with."""
     def run(group: pa.Table) -> pa.Table:
         group, n, alone = _sides(group)
-        short, size = _shorts(group["short"]), group["size"].to_numpy()
+        short, size = Shorts(group["short"].combine_chunks()), group["size"].to_numpy()
         comp = group["comp"].to_numpy()
         some = np.zeros(group.num_rows, bool)
         others = np.arange(group.num_rows) if alone else np.arange(n, group.num_rows)
-        for at in range(0, n if len(others) else 0, 64):
-            a = np.arange(at, min(at + 64, n))
-            hit = may_link(short[a][:, None], short[others][None], size[a][:, None], size[others], percent)
-            hit &= comp[a][:, None] != comp[others]
-            some[a] |= hit.any(axis=1)
-            some[others] |= hit.any(axis=0)
+        for at in range(0, n, 64):
+            i, j = (x.ravel() for x in np.meshgrid(np.arange(at, min(at + 64, n)), others, indexing="ij"))
+            apart = (comp[i] != comp[j]) & (i < j)
+            i, j = i[apart], j[apart]
+            hit = may_link(short, short, i, j, size[i], size[j], percent)
+            some[i[hit]] = some[j[hit]] = True
         return group.select(["region", "node", "size", "comp"]).filter(pa.array(some))
     return run
 
@@ -269,9 +297,10 @@ def _possible(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                ok = may_link(_shorts(batch.column(2)), _shorts(batch.column(3)), batch.column(4).to_numpy(),
-                              batch.column(5).to_numpy(), percent)
-                yield batch.select(["a", "b"]).filter(pa.array(ok))
+                every = np.arange(batch.num_rows)
+                ok = may_link(Shorts(batch.column(2)), Shorts(batch.column(3)), every, every,
+                              batch.column(4).to_numpy(), batch.column(5).to_numpy(), percent)
+                yield batch.select(["a", "b", "two", "company"]).filter(pa.array(ok))
     return run
 
 
@@ -352,17 +381,23 @@ def linked_nodes(keyed: DataFrame, signed: DataFrame, percent: int, leaf: int =
     facts = nodes.select("node", "size", "short", F.col("rep.k1").alias("k1"), F.col("rep.k2").alias("k2"))
     regions = _regions(nodes)
 
-    # Every member of a region against the one with most company in all its regions.
+    # Pairs that are alone in a region, and every other node against the one of its centers with most company.
     company = regions.groupBy("node").agg(F.sum("n").alias("company"))
     centers = regions.join(company, "node").groupBy("region").agg(
-        F.max(F.struct("company", "node")).alias("best")).select("region", F.col("best.node").alias("center"))
-    stars = regions.join(centers, "region").where("node <> center").select(
-        F.col("center").alias("a"), F.col("node").alias("b")).distinct()
+        F.max(F.struct("company", "node")).alias("best")).select(
+        "region", F.col("best.node").alias("center"), F.col("best.company").alias("company"))
+    stars = regions.join(centers, "region").where("node <> center").groupBy(
+        F.col("center").alias("a"), F.col("node").alias("b")).agg(
+        (F.min("n") == 2).alias("two"), F.first("company").alias("company"))
     known = facts.select("node", "short", "size")
-    stars = stars.join(known.select(*(F.col(c).alias(n) for c, n in zip(known.columns, ("a", "short_a", "size_a")))), "a")
-    stars = stars.join(known.select(*(F.col(c).alias(n) for c, n in zip(known.columns, ("b", "short_b", "size_b")))), "b")
-    stars = stored(stars.select("a", "b", "short_a", "short_b", "size_a", "size_b").transform(bounded).mapInArrow(
-        _possible(percent), "a bigint, b bigint"), "jaccard-stars")
+    for side in "ab":
+        stars = stars.join(known.select(F.col("node").alias(side), F.col("short").alias(f"short_{side}"),
+                                        F.col("size").alias(f"size_{side}")), side)
+    stars = stored(stars.select("a", "b", "short_a", "short_b", "size_a", "size_b", "two", "company").transform(
+        bounded).mapInArrow(_possible(percent), "a bigint, b bigint, two boolean, company bigint"), "jaccard-stars")
+    best = stars.where("not two").groupBy("b").agg(F.max(F.struct("company", "a")).alias("best"))
+    stars = stored(stars.where("two").select("a", "b").unionByName(best.select(F.col("best.a").alias("a"), "b")),
+                   "jaccard-stars")
     keys = facts.select("node", "k1", "k2")
     sets = _sets(keyed, keys.join(stars.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node"))
     both = stars.join(sets.select(F.col("node").alias("b"), F.col("vec").alias("vec_b")), "b")

@@ -298,7 +298,9 @@ def test_join_on_registered_table(spark, documents):
     assert joined(documents) == plain_components(rows)
 
 
-def test_filters_lose_no_link():
+@pytest.mark.parametrize("long", [10, 270, 1024])
+def test_filters_lose_no_link(long, monkeypatch):
+    monkeypatch.setattr(J, "LONG", long)
     r = random.Random(1)
     body = [w.lower() for w in prose(4, 300)]
     texts = []
@@ -310,14 +312,14 @@ def test_filters_lose_no_link():
     found, sizes, _ = J.sets_of(texts)
     ends = np.cumsum(sizes)
     sets = [found[e - n:e] for e, n in zip(ends, sizes)]
-    short = J.short_vectors(found, sizes)
+    short = J.Shorts(pa.array([x.tobytes() for x in J.short_vectors(found, sizes)], pa.binary()))
     frequency = np.random.default_rng(0).integers(0, 5, J.COUNTERS)
     some = 0
     for i in range(len(sets)):
         for j in range(i):
             if J.links(J.common(sets[i], sets[j]), sizes[i], sizes[j], 90):
                 some += 1
-                assert J.may_link(short[i], short[j], sizes[i], sizes[j], 90)
+                assert J.may_link(short, short, np.array([i]), np.array([j]), sizes[[i]], sizes[[j]], 90).all()
                 assert set(J.first_shingles(sets[i], frequency, 90)) & set(J.first_shingles(sets[j], frequency, 90))
     assert some > 10
     shared = J.common_matrix(sets, sets)
