@@ -29,6 +29,7 @@ long texts are read whole; groups are bounded in bytes.  Empty tables give no ro
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,8 +45,8 @@ from soundalike.llm.kernels import mix, text_blocks, windows, word_hashes
 
 WIDTH = 3
 PERCENT = 90
-#: Hashed counts of shingles, collected and broadcast: 2 MB whatever the input.
-COUNTERS = 1 << 18
+#: Hashed counts of shingles, collected and broadcast: 8 MB whatever the input.
+COUNTERS = 1 << 20
 #: Pivot sets of the short vectors: so many, and for sets of LONG or more shingles so many as parts of those.
 CLASSES, FINE = 64, 1024
 LONG = 1024
@@ -300,7 +301,7 @@ def _possible(percent: int):
                 every = np.arange(batch.num_rows)
                 ok = may_link(Shorts(batch.column(2)), Shorts(batch.column(3)), every, every,
                               batch.column(4).to_numpy(), batch.column(5).to_numpy(), percent)
-                yield batch.select(["a", "b", "two", "company"]).filter(pa.array(ok))
+                yield batch.select(["a", "b"]).filter(pa.array(ok))
     return run
 
 
@@ -308,7 +309,7 @@ def _regions(nodes: DataFrame) -> DataFrame:
     """Regions of two or more nodes with different members: (region, n, node)."""
     rows = nodes.select("node", F.explode("regions").alias("region"))
     crowd = rows.groupBy("region").agg(
-        F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("members")).where("n > 1")
+        F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("node")).alias("members")).where("n > 1")
     # Documents that share one shingle often share many; one region of each kind is enough.
     crowd = crowd.groupBy("n", "members").agg(F.min("region").alias("region"))
     return stored(rows.join(crowd.select("region", "n"), "region"), "jaccard-regions")
@@ -368,6 +369,20 @@ def _open(members: DataFrame, *more: str) -> DataFrame:
     return members.join(sizes.select("region", "n"), "region")
 
 
+def _of_like_size(members: DataFrame, percent: int) -> DataFrame:
+    """Members with another component's member of like size in their region.
+
+    The empty set is the pivot: its distances are the sizes, and classes of sizes are the rings around it.  Linked
+    sets are in the same ring or in neighbouring ones.
+    """
+    members = members.withColumn("ring", F.floor(F.log("size") / (math.log(100 / percent) * (1 + 1e-9))).cast("int"))
+    rings = members.groupBy("region", "ring").agg(F.min("comp").alias("low"), F.max("comp").alias("high"))
+    near = rings.select("region", F.explode(F.array(F.col("ring") - 1, "ring", F.col("ring") + 1)).alias("ring"),
+                        "low", "high").groupBy("region", "ring").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    kept = near.where("low <> high").select("region", "ring")
+    return members.join(kept, ["region", "ring"], "left_semi").drop("ring")
+
+
 def _joined(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return stored(_placed(members.select("region", "node", "size", "comp")).join(sets, "node").groupBy(
         "region", "i", "j").applyInArrow(_leaf(percent), "a bigint, b bigint"), "jaccard-links")
@@ -379,25 +394,26 @@ def linked_nodes(keyed: DataFrame, signed: DataFrame, percent: int, leaf: int =
         F.min(F.struct("k1", "k2")).alias("rep"), F.first("size").alias("size"), F.first("short").alias("short"),
         F.first("regions").alias("regions")), "jaccard-nodes")
     facts = nodes.select("node", "size", "short", F.col("rep.k1").alias("k1"), F.col("rep.k2").alias("k2"))
+    sizes = facts.select("node", "size")
     regions = _regions(nodes)
 
-    # Pairs that are alone in a region, and every other node against the one of its centers with most company.
+    # Pairs that are alone in a region, and every node against the center that it meets most often.
     company = regions.groupBy("node").agg(F.sum("n").alias("company"))
     centers = regions.join(company, "node").groupBy("region").agg(
-        F.max(F.struct("company", "node")).alias("best")).select(
-        "region", F.col("best.node").alias("center"), F.col("best.company").alias("company"))
-    stars = regions.join(centers, "region").where("node <> center").groupBy(
+        F.max(F.struct("company", "node")).alias("best")).select("region", F.col("best.node").alias("center"))
+    stars = stored(regions.join(centers, "region").where("node <> center").groupBy(
         F.col("center").alias("a"), F.col("node").alias("b")).agg(
-        (F.min("n") == 2).alias("two"), F.first("company").alias("company"))
+        F.max(F.col("n") == 2).alias("two"), F.count(F.lit(1)).alias("met")), "jaccard-met")
+    best = stars.where("not two").groupBy("b").agg(F.max(F.struct("met", "a")).alias("best"))
+    stars = stars.where("two").select("a", "b").unionByName(best.select(F.col("best.a").alias("a"), "b"))
     known = facts.select("node", "short", "size")
     for side in "ab":
-        stars = stars.join(known.select(F.col("node").alias(side), F.col("short").alias(f"short_{side}"),
-                                        F.col("size").alias(f"size_{side}")), side)
-    stars = stored(stars.select("a", "b", "short_a", "short_b", "size_a", "size_b", "two", "company").transform(
-        bounded).mapInArrow(_possible(percent), "a bigint, b bigint, two boolean, company bigint"), "jaccard-stars")
-    best = stars.where("not two").groupBy("b").agg(F.max(F.struct("company", "a")).alias("best"))
-    stars = stored(stars.where("two").select("a", "b").unionByName(best.select(F.col("best.a").alias("a"), "b")),
-                   "jaccard-stars")
+        stars = stars.join(sizes.select(F.col("node").alias(side), F.col("size").alias(f"size_{side}")), side)
+    stars = stars.where(100 * F.least("size_a", "size_b") >= percent * F.greatest("size_a", "size_b"))
+    for side in "ab":
+        stars = stars.join(known.select(F.col("node").alias(side), F.col("short").alias(f"short_{side}")), side)
+    stars = stored(stars.select("a", "b", "short_a", "short_b", "size_a", "size_b").transform(bounded).mapInArrow(
+        _possible(percent), "a bigint, b bigint"), "jaccard-stars")
     keys = facts.select("node", "k1", "k2")
     sets = _sets(keyed, keys.join(stars.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node"))
     both = stars.join(sets.select(F.col("node").alias("b"), F.col("vec").alias("vec_b")), "b")
@@ -407,8 +423,9 @@ def linked_nodes(keyed: DataFrame, signed: DataFrame, percent: int, leaf: int =
 
     # What pivots of one shingle have left together and not connected; two members have met already.
     state = regions.where("n > 2").select("region", "node").join(components(first), "node", "left").join(
-        known, "node").select("region", "node", F.coalesce("root", "node").alias("comp"), "size", "short")
-    rest = _placed(_open(state).drop("n")).groupBy("region", "i", "j").applyInArrow(
+        sizes, "node").select("region", "node", F.coalesce("root", "node").alias("comp"), "size")
+    state = _of_like_size(stored(_open(state).drop("n"), "jaccard-state"), percent)
+    rest = _placed(state).join(facts.select("node", "short"), "node").groupBy("region", "i", "j").applyInArrow(
         _partners(percent), "region long, node long, size long, comp long")
     rest = stored(_open(rest.distinct()), "jaccard-rest")
     done = [first]
