@@ -45,8 +45,8 @@ from soundalike.llm.kernels import mix, text_blocks, windows, word_hashes
 
 WIDTH = 3
 PERCENT = 90
-#: Hashed counts of shingles, collected and broadcast: 8 MB whatever the input.
-COUNTERS = 1 << 20
+#: Hashed counts of shingles and of words, collected and broadcast: 10 MB whatever the input.
+COUNTERS, WORD_BITS = 1 << 18, 20
 #: Pivot sets of the short vectors: so many, and for sets of LONG or more shingles so many as parts of those.
 CLASSES, FINE = 64, 1024
 LONG = 1024
@@ -60,20 +60,30 @@ COLUMNS = 8192
 
 # ------------------------------------------------------------------------------- sets
 
-def sets_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Different shingles of all texts in order, their number per text, and a hash of each set (0: empty)."""
+def sets_of(texts: list[str | None], order=None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray | None]:
+    """Different shingles of all texts in order, their number per text, a hash of each set (0: empty), their places.
+
+    Places are given for an ``Order``: the lower, the rarer a shingle is.
+    """
     hashes, counts = word_hashes([t or "" for t in texts])
     found, per = windows(hashes, counts, WIDTH)
-    parts, sizes, at = [np.zeros(0, "u8")], np.zeros(len(texts), "i8"), 0
-    nodes = np.zeros(len(texts), "u8")
+    if order is not None:
+        words = order.words[_word_counter(hashes)]
+        words = sum(words[j:len(words) - WIDTH + 1 + j] for j in range(WIDTH))
+    starts = np.cumsum(counts) - counts
+    parts, places, at = [np.zeros(0, "u8")], [np.zeros(0, "i8")], 0
+    sizes, nodes = np.zeros(len(texts), "i8"), np.zeros(len(texts), "u8")
     for i, n in enumerate(per):
         if n:
-            part = np.unique(found[at:at + n])
+            part, first = np.unique(found[at:at + n], return_index=True)
             parts.append(part)
             sizes[i] = len(part)
             nodes[i] = mix(np.array([np.add.reduce(mix(part ^ np.uint64(0x5DEECE66D)))]))[0] or 1
+            if order is not None:
+                level = order.levels[_counter(part)].astype("i8") << 32
+                places.append(level + words[starts[i] + first] if counts[i] >= WIDTH else level)
             at += n
-    return np.concatenate(parts), sizes, nodes
+    return np.concatenate(parts), sizes, nodes, None if order is None else np.concatenate(places)
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
@@ -86,27 +96,48 @@ def _counter(found: np.ndarray) -> np.ndarray:
     return (found % np.uint64(COUNTERS)).astype("i8")
 
 
+def _word_counter(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(64 - WORD_BITS)).astype("i8")
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(COUNTERS, "i8")
+    total, words = np.zeros(COUNTERS, "i8"), np.zeros(1 << WORD_BITS, "i8")
     for _, texts in _texts(batches):
-        total += np.bincount(_counter(sets_of(texts)[0]), minlength=COUNTERS)
-    hit = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(hit.astype("i4")), pa.array(total[hit])], names=["counter", "n"])
+        hashes, counts = word_hashes([t or "" for t in texts])
+        np.add.at(words, _word_counter(hashes), 1)
+        total += np.bincount(_counter(windows(hashes, counts, WIDTH)[0]), minlength=COUNTERS)
+    every = np.concatenate([total, words])
+    hit = np.flatnonzero(every)
+    yield pa.RecordBatch.from_arrays([pa.array(hit.astype("i4")), pa.array(every[hit])], names=["counter", "n"])
+
 
+class Order:
+    """The global order of shingles, from rare to frequent.
 
-def frequencies(keyed: DataFrame) -> np.ndarray:
-    """Hashed counts of shingles, from all documents."""
+    Shingles whose own count stands out come last, by powers of two.  Most counts do not, as the rare shingles of a
+    large corpus fill every counter; those are ordered by the frequency of their words.
+    """
+
+    def __init__(self, counts: np.ndarray):
+        own, words = counts[:COUNTERS], counts[COUNTERS:]
+        usual = 1.5 * max(1.0, own.mean())
+        self.levels = np.floor(np.log2(np.maximum(1.0, own / usual))).astype("u1")
+        self.words = np.round(64 * np.log2(words + 1.0)).astype("i4")
+
+
+def shingle_order(keyed: DataFrame) -> Order:
+    """The order by hashed counts, from all documents."""
     counted = keyed.select("text").transform(bounded).mapInArrow(_count, "counter int, n bigint").groupBy("counter").agg(
-        F.sum("n").alias("n")).toArrow()  # COUNTERS rows at most
-    n = np.zeros(COUNTERS, "i8")
+        F.sum("n").alias("n")).toArrow()  # a row per counter at most
+    n = np.zeros(COUNTERS + (1 << WORD_BITS), "i8")
     n[counted["counter"].to_numpy()] = counted["n"].to_numpy()
-    return n
+    return Order(n)
 
 
-def first_shingles(found: np.ndarray, frequency: np.ndarray, percent: int) -> np.ndarray:
+def first_shingles(found: np.ndarray, place: np.ndarray, percent: int) -> np.ndarray:
     """The shingles of a set whose regions can hold a partner: those before which few enough others stand."""
     most = len(found) * (100 - percent) // 100 + 1
-    return found[np.lexsort((found, frequency[_counter(found)]))[:most]]
+    return found[np.lexsort((found, place))[:most]]
 
 
 def short_vectors(found: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
@@ -120,12 +151,12 @@ def short_vectors(found: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def _sign(batches: Iterator[pa.RecordBatch], frequency, percent: int) -> Iterator[pa.RecordBatch]:
+def _sign(batches: Iterator[pa.RecordBatch], order, percent: int) -> Iterator[pa.RecordBatch]:
     for part, texts in _texts(batches):
-        found, sizes, nodes = sets_of(texts)
+        found, sizes, nodes, place = sets_of(texts, order.value)
         short = short_vectors(found, sizes)
         ends = np.cumsum(sizes)
-        regions = [first_shingles(found[b - n:b], frequency.value, percent).view("i8") if n else None
+        regions = [first_shingles(found[b - n:b], place[b - n:b], percent).view("i8") if n else None
                    for b, n in zip(ends, sizes)]
         yield pa.RecordBatch.from_arrays(
             [*(part.column(part.schema.get_field_index(c)) for c in ("id", "k1", "k2")), pa.array(nodes.view("i8")),
@@ -136,7 +167,7 @@ def _sign(batches: Iterator[pa.RecordBatch], frequency, percent: int) -> Iterato
 
 def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part, texts in _texts(batches):
-        found, sizes, _ = sets_of(texts)
+        found, sizes, _, _ = sets_of(texts)
         ends = np.cumsum(sizes)
         yield pa.RecordBatch.from_arrays(
             [part.column(part.schema.get_field_index("node")),
@@ -306,13 +337,24 @@ def _possible(percent: int):
 
 
 def _regions(nodes: DataFrame) -> DataFrame:
-    """Regions of two or more nodes with different members: (region, n, node)."""
+    """Regions of two or more nodes with different members: (region, n, node).
+
+    Members of regions of two or three follow from what is aggregated; only rows of larger regions, by a Bloom filter,
+    are shuffled once more.  Documents that share one shingle often share many: one region of each kind is enough.
+    """
     rows = nodes.select("node", F.explode("regions").alias("region"))
-    crowd = rows.groupBy("region").agg(
-        F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("node")).alias("members")).where("n > 1")
-    # Documents that share one shingle often share many; one region of each kind is enough.
-    crowd = crowd.groupBy("n", "members").agg(F.min("region").alias("region"))
-    return stored(rows.join(crowd.select("region", "n"), "region"), "jaccard-regions")
+    crowd = stored(rows.groupBy("region").agg(
+        F.count(F.lit(1)).alias("n"), F.min("node").alias("low"), F.max("node").alias("high"),
+        F.bit_xor("node").alias("all")).where("n > 1"), "jaccard-crowd")
+    middle = F.when(F.col("n") == 3, F.col("all").bitwiseXOR(F.col("low")).bitwiseXOR(F.col("high")))
+    few = crowd.where("n <= 3").select("n", "low", "high", middle.alias("middle")).distinct().select(
+        F.xxhash64("low", "middle", "high").alias("region"), "n",
+        F.explode(F.filter(F.array("low", "middle", "high"), lambda x: x.isNotNull())).alias("node"))
+    many = stored(crowd.where("n > 3").groupBy("n", "low", "high", "all").agg(F.min("region").alias("region")).select(
+        "region", "n"), "jaccard-many")
+    bloom, blocks = repeat_filter(many, "region", many.count(), 1)
+    met = maybe_repeated(rows, "region", bloom, blocks, "hit").where("hit").select("region", "node").join(many, "region")
+    return stored(few.unionByName(met.select("region", "n", "node")), "jaccard-regions")
 
 
 def _sets(keyed: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -454,10 +496,10 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, per
     i, t = F.col(id_col), F.col(text_col)
     keyed = docs.select(i.alias("id"), t.alias("text"), F.xxhash64(i, t).alias("k1"),
                         F.xxhash64(F.lit(1), i, t).alias("k2"))
-    frequency = docs.sparkSession.sparkContext.broadcast(frequencies(keyed))
+    order = docs.sparkSession.sparkContext.broadcast(shingle_order(keyed))
     kind = docs.schema[id_col].dataType.simpleString()
     signed = stored(keyed.transform(bounded).mapInArrow(
-        lambda b: _sign(b, frequency, percent),
+        lambda b: _sign(b, order, percent),
         f"id {kind}, k1 bigint, k2 bigint, node bigint, size bigint, short binary, regions array<bigint>"), "jaccard-signed")
     labels = components(linked_nodes(keyed, signed, percent, leaf))
     # Names are found on nodes, so copies meet their component's name by one narrow join.

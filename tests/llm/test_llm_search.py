@@ -309,18 +309,19 @@ def test_filters_lose_no_link(long, monkeypatch):
         for _ in range(k // 4):
             words[r.randrange(len(words))] = f"new{r.random()}"
         texts.append(" ".join(words[:300 - k]))
-    found, sizes, _ = J.sets_of(texts)
+    counts = np.random.default_rng(0).integers(0, 90, J.COUNTERS + (1 << J.WORD_BITS))
+    found, sizes, _, place = J.sets_of(texts, J.Order(counts))
     ends = np.cumsum(sizes)
     sets = [found[e - n:e] for e, n in zip(ends, sizes)]
     short = J.Shorts(pa.array([x.tobytes() for x in J.short_vectors(found, sizes)], pa.binary()))
-    frequency = np.random.default_rng(0).integers(0, 5, J.COUNTERS)
+    places = [place[e - n:e] for e, n in zip(ends, sizes)]
     some = 0
     for i in range(len(sets)):
         for j in range(i):
             if J.links(J.common(sets[i], sets[j]), sizes[i], sizes[j], 90):
                 some += 1
                 assert J.may_link(short, short, np.array([i]), np.array([j]), sizes[[i]], sizes[[j]], 90).all()
-                assert set(J.first_shingles(sets[i], frequency, 90)) & set(J.first_shingles(sets[j], frequency, 90))
+                assert set(J.first_shingles(sets[i], places[i], 90)) & set(J.first_shingles(sets[j], places[j], 90))
     assert some > 10
     shared = J.common_matrix(sets, sets)
     assert all(shared[i, j] == J.common(sets[i], sets[j]) for i in range(len(sets)) for j in range(len(sets)))
