@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import sys
 import types
-import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -80,8 +79,8 @@ def hash_blocks(df: DataFrame, keys: Sequence[str], width: Column, most: int) ->
 
 
 def private(name: str) -> str:
-    """A column name that no input table carries."""
-    return f"__{name}_{uuid.uuid4().hex[:8]}"
+    """A column name that no input table carries; the same in every run, so plans can be compared."""
+    return f"__soundalike_{name}"
 
 
 def text_of(column: str | Column) -> Column:

@@ -63,7 +63,7 @@ def _is_set(bits: Column, place: Column) -> Column:
 
 def maybe_repeated(df: DataFrame, column: str, bloom: DataFrame, blocks: int, mark: str) -> DataFrame:
     """``df`` with a boolean ``mark``: false only for hashes that are surely not in the filter."""
-    b, bits = private("block"), private("bits")
+    b, bits = private(f"block_{mark}"), private(f"bits_{mark}")
     block, places = _places(F.col(column), blocks)
     # At most MAX_BLOCKS rows of 4 KB: the bound is proven, whatever the number of documents.
     small = F.broadcast(bloom.select(F.col("block").alias(b), F.col("bits").alias(bits)))

@@ -353,7 +353,7 @@ def _regions(nodes: DataFrame) -> DataFrame:
     many = stored(crowd.where("n > 3").groupBy("n", "low", "high", "all").agg(F.min("region").alias("region")).select(
         "region", "n"), "jaccard-many")
     bloom, blocks = repeat_filter(many, "region", many.count(), 1)
-    met = maybe_repeated(rows, "region", bloom, blocks, "hit").where("hit").select("region", "node").join(many, "region")
+    met = maybe_repeated(rows, "region", bloom, blocks, "met").where("met").select("region", "node").join(many, "region")
     return stored(few.unionByName(met.select("region", "n", "node")), "jaccard-regions")
 
 
