@@ -89,21 +89,41 @@ def spans_text(spans: str) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["start"], s["end"])), ",")
 
 
-def neighbours(conversations: DataFrame) -> DataFrame:
-    """Conversations 2k and 2k + 1 as the chosen and the rejected side of pair k.
+def reply_pairs(conversations: DataFrame) -> DataFrame:
+    """Pairs that share a context, one per conversation, as the tables hold no preferences.
 
-    The tables hold no preferences; this pairing puts every conversation into one pair.
+    Chosen is a conversation up to its last assistant turn; rejected has the same context, then the last reply of
+    its neighbour (2k of 2k + 1 and the other way round).  A conversation without an assistant turn is whole on
+    both sides; without a reply of the neighbour the rejected side ends with the context.
     """
-    return conversations.select(
-        F.floor(F.col("conv_id") / 2).alias("pair_id"), (F.pmod("conv_id", F.lit(2)) == 0).alias("chosen"),
-        "turn", "role", "text")
+    turns = conversations.where("conv_id IS NOT NULL").select(
+        F.col("conv_id").alias("pair_id"), "turn", F.coalesce("role", F.lit("user")).alias("role"),
+        text_of("text").alias("text"))
+    place = F.struct(F.col("turn").isNull().alias("no_turn"), "turn", "role", "text")
+    last = turns.where(F.col("role") == TRAINED).groupBy("pair_id").agg(F.max(place).alias("last"))
+    other = last.select(F.col("pair_id").bitwiseXOR(F.lit(1)).alias("pair_id"), F.col("last.text").alias("reply"))
+    # One row per conversation: where its context ends, and the neighbour's reply.
+    ends = last.join(other, "pair_id", "left")
+    met = turns.withColumn("place", place).join(ends, "pair_id", "left")
+    context = met.where(F.col("last").isNull() | (F.col("place") < F.col("last")))
+    both = context.select("pair_id", F.explode(F.array(F.lit(True), F.lit(False))).alias("chosen"), "turn", "role", "text")
+    end = F.explode(F.array(F.struct(F.lit(True).alias("chosen"), F.col("last.text").alias("text")),
+                            F.struct(F.lit(False).alias("chosen"), F.col("reply").alias("text")))).alias("end")
+    replies = ends.select("pair_id", F.col("last.turn").alias("turn"), end).where("end.text IS NOT NULL")
+    return both.unionByName(replies.select("pair_id", "end.chosen", "turn", F.lit(TRAINED).alias("role"), "end.text"))
 
 
 @query("op10_chat_format", """
-WITH t AS (SELECT conv_id // 2 AS pair_id, conv_id % 2 = 0 AS side, turn,
-                  replace(replace(coalesce(role, 'user'), '<|', '< |'), '|>', '| >') AS role,
-                  replace(replace(coalesce(text, ''), '<|', '< |'), '|>', '| >') AS text
+WITH c AS (SELECT conv_id AS pair_id, turn, coalesce(role, 'user') AS role, coalesce(text, '') AS text,
+                  row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS LAST, coalesce(role, 'user'), coalesce(text, '')) AS pos
            FROM conversations WHERE conv_id IS NOT NULL),
+z AS (SELECT * FROM c WHERE role = 'assistant' QUALIFY pos = max(pos) OVER (PARTITION BY pair_id)),
+s AS (SELECT c.pair_id, side, c.turn, c.role, c.text FROM c LEFT JOIN z USING (pair_id), (VALUES (true), (false)) v(side)
+      WHERE z.pos IS NULL OR c.pos < z.pos
+      UNION ALL SELECT pair_id, true, turn, role, text FROM z
+      UNION ALL SELECT z.pair_id, false, z.turn, z.role, o.text FROM z JOIN z o ON o.pair_id = xor(z.pair_id, 1)),
+t AS (SELECT pair_id, side, turn, replace(replace(role, '<|', '< |'), '|>', '| >') AS role,
+             replace(replace(text, '<|', '< |'), '|>', '| >') AS text FROM s),
 p AS (SELECT *, row_number() OVER (PARTITION BY pair_id, side ORDER BY turn NULLS LAST, role, text) AS pos FROM t),
 q AS (SELECT pair_id, pos, max(CASE WHEN side THEN role END) AS ra, max(CASE WHEN side THEN text END) AS ta,
              max(CASE WHEN NOT side THEN role END) AS rb, max(CASE WHEN NOT side THEN text END) AS tb
@@ -128,6 +148,6 @@ SELECT pair_id,
   AND coalesce(any_value(role) FILTER (WHERE NOT side AND pos = n + 1) = 'assistant', false) AS usable
 FROM y GROUP BY pair_id""")
 def op10(spark, sf_dir):
-    pairs = format_pairs(neighbours(table(spark, sf_dir, "conversations")))
+    pairs = format_pairs(reply_pairs(table(spark, sf_dir, "conversations")))
     return pairs.withColumn("chosen_spans", spans_text("chosen_spans")).withColumn(
         "rejected_spans", spans_text("rejected_spans"))

@@ -28,10 +28,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from soundalike.llm.common import bounded, need, query, table
+from soundalike.llm.common import bounded, need, query, stored, table
 from soundalike.llm.kernels import text_blocks
 
 PER_LANGUAGE = 300
+#: More languages than this are refused: the sample and the table of scores have a part for each.
+MOST_LANGUAGES = 256
 BUCKETS = 1 << 15
 DIMENSIONS = 16
 LENGTHS = (2, 3, 4)
@@ -159,19 +161,27 @@ def held_out(id_col: str = "doc_id"):
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
         per_language: int = PER_LANGUAGE) -> LanguageModel:
-    """Model of a bounded sample: ``per_language`` rows of each language with the lowest hash of their id."""
+    """Model of a bounded sample: ``per_language`` different texts of each language with the lowest hash.
+
+    Rows are hashed with their text, so rows that share an id are rows of their own, and a row that is repeated
+    counts once.  Keys of the sample are broadcast, texts that are not in it are not shuffled.
+    """
     need(docs, id_col, text_col, lang_col)
     rows = docs.where(F.col(id_col).isNotNull() & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()
-                      & ~held_out(id_col))
-    narrow = rows.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.pmod(
-        F.xxhash64(F.col(id_col)), F.lit(1 << 40)).alias("h"))
+                      & ~held_out(id_col)).select(
+        F.col(lang_col).alias("lang"), F.col(text_col).alias("text"),
+        F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(1 << 40)).alias("h"))
+    narrow = stored(rows.select("lang", "h").distinct(), "language-keys")
     # Three times the wanted rows pass on average; the lowest hashes are among them, and no task ranks a language.
     share = narrow.groupBy("lang").agg((F.lit(3.0 * per_language * (1 << 40)) / F.count("*")).alias("below"))
-    keys = narrow.join(share, "lang").where(F.col("h") < F.col("below")).withColumn(
-        "nth", F.row_number().over(Window.partitionBy("lang").orderBy("h", "id"))
-    ).where(F.col("nth") <= per_language).select("id").distinct()
-    chosen = rows.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"),
-                         F.col(text_col).alias("text")).join(keys, "id")
+    found_languages = share.limit(MOST_LANGUAGES + 1).count()
+    if found_languages > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} different values in {lang_col}")
+    keys = narrow.join(F.broadcast(share), "lang").where(F.col("h") < F.col("below")).withColumn(
+        "nth", F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    ).where(F.col("nth") <= per_language).select("lang", "h")
+    # At most per_language keys for each of MOST_LANGUAGES languages.
+    chosen = rows.join(F.broadcast(keys), ["lang", "h"]).dropDuplicates(["lang", "h"])
 
     def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -181,21 +191,20 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
                     lines = [x for x in text.split("\n") if x.strip()]
                     for k, piece in enumerate([text, *lines[len(text) % max(1, len(lines)):][:1]]):
                         at, share = _bag(piece)
-                        out.append((str(i), lang, k, at.tobytes(), share.tobytes()))
+                        out.append((i, lang, k, at.tobytes(), share.tobytes()))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(zip(*out), (pa.string(), pa.string(), pa.int32(), pa.binary(),
+                    [pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.string(), pa.int32(), pa.binary(),
                                                                 pa.binary()))],
-                    names=["id", "lang", "k", "at", "share"])
-    found = chosen.select("id", "lang", "text").transform(bounded).mapInArrow(
-        bags, "id string, lang string, k int, at binary, share binary").toArrow().to_pylist()
-    found.sort(key=lambda r: (r["id"], r["k"], r["lang"], r["at"]))
+                    names=["h", "lang", "k", "at", "share"])
+    found = chosen.select("h", "lang", "text").transform(bounded).mapInArrow(
+        bags, "h long, lang string, k int, at binary, share binary").toArrow().to_pylist()
+    found.sort(key=lambda r: (r["h"], r["k"], r["lang"]))
     languages = sorted({r["lang"] for r in found})
     if not languages:
         return LanguageModel([], np.zeros((BUCKETS, 0), "f4"), np.zeros(0, "f4"))
     truth = np.array([languages.index(r["lang"]) for r in found])
-    ids = sorted({r["id"] for r in found})
-    place = {x: n for n, x in enumerate(ids)}
-    apart = np.array([place[r["id"]] % 5 == 0 for r in found])
+    place = {x: n for n, x in enumerate(sorted({r["h"] for r in found}))}
+    apart = np.array([place[r["h"]] % 5 == 0 for r in found])
     return train([(np.frombuffer(r["at"], "u2"), np.frombuffer(r["share"], "f4")) for r in found], truth,
                  languages, apart)
 

@@ -8,7 +8,8 @@ group of near copies the shared shingles are frequent and the edits rare, and a
 many times over.
 
 Each text gets ``BANDS * ROWS`` samples whose chance of agreeing between two texts is their weighted Jaccard
-similarity.  Texts that agree on all rows of a band share a bucket.  Two rounds of exact verification follow:
+similarity, and ``PLAIN_BANDS * ROWS`` of which it is that of the plain sets: both arms of the rule below have
+candidates.  Texts that agree on all rows of a band share a bucket.  Two rounds of exact verification follow:
 
 1. every text of a bucket against one text of it, the one with most company in all its buckets;
 2. in buckets whose texts are not yet all connected, every text against every other in another component, in
@@ -42,6 +43,8 @@ from soundalike.llm.kernels import mix, text_blocks, windows, word_hashes
 WIDTH = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 16, 4
+#: Further bands over the plain sets, for pairs that only their plain similarity links.
+PLAIN_BANDS = 10
 #: Hashed counters of document frequencies; they are collected and broadcast, 2 MB whatever the input.
 DF_BUCKETS = 1 << 18
 #: Shares of documents below this one weigh the same.
@@ -130,6 +133,27 @@ def samples(found: np.ndarray, weights: np.ndarray, sizes: np.ndarray) -> np.nda
     return out
 
 
+def plain_samples(found: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Minima of hashed shingles, one row per text that has shingles; how often a shingle occurs does not count."""
+    sizes = sizes[sizes > 0]
+    starts = np.cumsum(sizes) - sizes
+    out = np.empty((len(sizes), PLAIN_BANDS * ROWS), "u8")
+    for k in range(PLAIN_BANDS * ROWS):
+        # Shingles are hashes already; an odd factor, the high half folded down and another one order them anew.
+        x = found * np.uint64(2 * (k * 0x2545F4914F6CDD1D % (1 << 62)) + 0x9E3779B1)
+        out[:, k] = np.minimum.reduceat((x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93), starts)
+    return out
+
+
+def buckets_of(drawn: np.ndarray, bands: int, first: int) -> np.ndarray:
+    """One bucket per band of ``ROWS`` samples; bands are numbered from ``first``."""
+    drawn = drawn.reshape(-1, bands, ROWS)
+    joined = np.zeros(drawn.shape[:2], "u8") + np.arange(first, first + bands, dtype="u8")
+    for j in range(ROWS):
+        joined = mix(joined * np.uint64(31) ^ drawn[:, :, j])
+    return joined
+
+
 def _sign(batches: Iterator[pa.RecordBatch], weight_of) -> Iterator[pa.RecordBatch]:
     names = ["id", "k1", "k2"]
     for batch in batches:
@@ -138,10 +162,8 @@ def _sign(batches: Iterator[pa.RecordBatch], weight_of) -> Iterator[pa.RecordBat
             buckets = [None] * len(texts)
             if len(found):
                 weight = weight_of()[(found % np.uint64(DF_BUCKETS)).astype("i8")]
-                drawn = samples(found, weight * times, sizes).reshape(-1, BANDS, ROWS)
-                joined = np.zeros(drawn.shape[:2], "u8") + np.arange(BANDS, dtype="u8")
-                for j in range(ROWS):
-                    joined = mix(joined * np.uint64(31) ^ drawn[:, :, j])
+                joined = np.concatenate([buckets_of(samples(found, weight * times, sizes), BANDS, 0),
+                                         buckets_of(plain_samples(found, sizes), PLAIN_BANDS, BANDS)], axis=1)
                 for i, row in zip(np.flatnonzero(sizes), joined.view("i8")):
                     buckets[i] = row
             yield pa.RecordBatch.from_arrays(

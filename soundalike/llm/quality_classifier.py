@@ -252,9 +252,10 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample:
     found = votes.groupBy("votes").count().collect()  # at most 3 ** len(LABELLERS) rows
     matrix = np.array([[int(c) for c in r["votes"]] for r in found]).reshape(-1, len(LABELLERS))
     weak = WeakModel.fit(matrix, np.array([r["count"] for r in found], float))
-    chosen = votes.orderBy("id_hash").limit(sample).select("id_hash").distinct()
-    lines = (rows.join(F.broadcast(chosen), "id_hash").transform(bounded).mapInArrow(lambda b: _votes(b, True), VOTES)
-             .orderBy("id_hash").limit(sample).collect())
+    # Repeated rows count once in the sample, which is bounded and broadcast.
+    chosen = votes.select("id_hash").distinct().orderBy("id_hash").limit(sample)
+    lines = sorted(rows.join(F.broadcast(chosen), "id_hash").dropDuplicates(["id_hash"]).transform(bounded).mapInArrow(
+        lambda b: _votes(b, True), VOTES).collect(), key=lambda r: r["id_hash"])
     features = np.array([np.frombuffer(r["features"], "<f2") for r in lines], "f4").reshape(-1, FEATURES)
     target = weak.posterior(np.array([[int(c) for c in r["votes"]] for r in lines]).reshape(
         -1, len(LABELLERS))) if lines else np.zeros(0)

@@ -35,7 +35,8 @@ BOILERPLATE_WORDS = 40
 SYMBOLS = r"[#*$%&|<>]"
 SEPARATORS = r"[|»›•·]"
 SHOUTED = r"[!?]{2,}"
-SENTENCE_END = r"""[.!?…:;]["'”»)\]]*([\x20\x09-\x0D]|$)"""
+#: Ends of sentences in Latin, Greek, Indic, Arabic, Ethiopic, Armenian, Khmer, Burmese and CJK texts.
+SENTENCE_END = r"""[.!?…:;।॥؟۔؛።፧։។៕၊။。！？；：｡]["'”»)\]」』】）]*([\x20\x09-\x0D]|$)"""
 BOILERPLATE = ("all rights reserved|privacy policy|terms of (use|service)|use of cookies|uses cookies"
                "|accept cookies|cookie settings|enable javascript|javascript is disabled|sign in to"
                "|log in to|subscribe to our|newsletter|copyright [0-9]{4}|licensed under|released under the"

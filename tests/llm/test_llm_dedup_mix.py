@@ -177,6 +177,27 @@ def test_block_kernel_equals_pairwise():
     assert hit.tolist() == want and hit.any()
 
 
+def test_repeated_passages_have_candidates(spark):
+    """One side repeats 200 of 600 words 15 times more: only the plain similarity links the pair."""
+    rows = []
+    for k in range(40):
+        rng = np.random.default_rng(k)
+        body = [f"w{x}" for x in rng.integers(0, 5000, 600)]
+        rows += [(2 * k, " ".join(body)), (2 * k + 1, " ".join(body[:400] + body[200:400] * 15 + body[400:]))]
+    got = {r.doc_id: r.class_id for r in N.decisions(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(got[2 * k + 1] == 2 * k for k in range(40)) >= 38
+
+
+def test_plain_samples_estimate_plain_similarity():
+    rng = np.random.default_rng(3)
+    agree = []
+    for _ in range(30):
+        h = np.sort(rng.integers(0, 2**63, 500).astype("u8"))
+        s = N.plain_samples(np.concatenate((h[:450], h[50:])), np.array([450, 450]))
+        agree.append((s[0] == s[1]).mean())
+    assert abs(np.mean(agree) - 0.8) < 0.03
+
+
 def test_samples_estimate_weighted_similarity():
     rng = np.random.default_rng(2)
     h = rng.integers(0, 2**63, 400).astype("u8")

@@ -121,6 +121,11 @@ def test_line_rules():
     assert (lines, dup, faults["navigation"], left) == (3, 1, 1, "Good line one.\n\nGood line one.")
 
 
+@pytest.mark.parametrize("line", ["यह एक वाक्य है।", "هل هذه جملة؟", "这是一个句子。", "これは文です！", "これは「文です。」", "ይህ ዓረፍተ ነገር ነው።", "Full stop."])
+def test_sentence_ends_of_other_scripts(line):
+    assert R.line_fault(line) is None
+
+
 def test_rules_keep_clean_documents(spark, documents):
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     got = R.apply_rules(documents).join(labels, "doc_id")
@@ -167,6 +172,15 @@ def test_quality_awkward(awkward, nothing):
     assert Q.accepted(nothing).count() == 0
 
 
+def test_repeated_rows_count_once_in_the_sample(spark, documents, monkeypatch):
+    sizes = []
+    fit = Q.Scorer.fit
+    monkeypatch.setattr(Q.Scorer, "fit", classmethod(lambda cls, f, t: (sizes.append(len(f)), fit(f, t, rounds=1))[1]))
+    some = documents.select("doc_id", "text").limit(150)
+    Q.fit(some.unionByName(spark.createDataFrame([(1, "copy of a row")] * 900, some.schema)), sample=120)
+    assert sizes == [120]
+
+
 def test_short_and_unspaced_texts_are_judged():
     r = np.random.default_rng(2)
     good = [" ".join("".join(r.choice(list("abdeil"), 5)) for _ in range(n)).capitalize() + "." for n in r.integers(2, 30, 300)]
@@ -207,6 +221,38 @@ def test_language_awkward(awkward, nothing, documents):
     assert L.identify(nothing, model).count() == 0
 
 
+def test_languages_of_repeated_ids(spark):
+    """Rows that share an id are all learnt from, each once; a repeated row does not crowd out others."""
+    shared = next(i for i in range(99) if zlib.crc32(str(i).encode()) % 3 != 1)
+    a = [(shared, f"the reading of book {i} and the other things we like", "en") for i in range(300)]
+    b = [(1000 + 3 * i, f"das lesen von buch {i} und die anderen dinge die wir mögen", "de") for i in range(300)]
+    rows = spark.createDataFrame(a + b + b[:1] * 500, "doc_id long, text string, lang string")
+    model = L.fit(rows)
+    assert model.languages == ["de", "en"]
+    got = {r.text: r.lang_pred for r in L.identify(rows, model).collect()}
+    assert sum(got[t] == lang for _, t, lang in a + b) >= 598
+    many = spark.range(300).select(F.col("id").alias("doc_id"), F.lit("text").alias("text"), F.concat(
+        F.lit("l"), "id").alias("lang"))
+    with pytest.raises(ValueError):
+        L.fit(many.unionByName(many.withColumn("doc_id", F.col("doc_id") + 1000)).unionByName(
+            many.withColumn("doc_id", F.col("doc_id") + 5000)))
+
+
+def test_language_scores_equal_plain():
+    model = L.train([(np.array([1, 5], "u2"), np.array([0.5, 0.5], "f4")), (np.array([2, 9], "u2"), np.array([0.5, 0.5], "f4"))] * 20,
+                    np.array([0, 1] * 20), ["de", "en"], np.array([False] * 40))
+    texts = ["The quick brown fox", "der schnelle Fuchs", "x"]
+    lang, score, _ = model.predict(texts)
+    for t, n, s in zip(texts, lang, score):
+        at, share = L._bag(t)
+        z = np.zeros(2)
+        for b, w in zip(at, share):
+            z += w * model.table[b]
+        z = (z + model.bias) / model.temperature
+        p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        assert n == ["de", "en"][int(p.argmax())] and abs(s - p.max()) < 1e-5
+
+
 def test_subwords_do_not_depend_on_the_block():
     texts = ["Ab c", "", "élan vital", "x"]
     buckets, counts = L.subwords(texts)
@@ -386,8 +432,31 @@ def test_chat(spark):
     assert got[4].chosen == "<|user|>\na<|end|>\n<|user|>\ntie<|end|>\n"
 
 
+def test_pairs_share_their_context(spark):
+    long = "word " * 200_000
+    rows = [(2, 0, "system", "s", "x", 1), (2, 1, "user", "hi", "x", 1), (2, 2, "assistant", "first", "x", 1), (2, 3, "user", "more", None, 1),
+            (2, 4, "assistant", "mine", "x", 1), (2, 5, "user", "bye", "x", 1), (3, 0, "user", "q", "x", 1),
+            (3, 1, "assistant", "theirs", "x", 1), (4, 0, "user", "no reply", "x", 1), (5, 0, None, None, "x", 1), (5, 1, "assistant", long, "x", 1),
+            (6, 0, "assistant", "alone", "x", 1), (None, 0, "user", "nobody", "x", 1)]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, chosen string, pair_id int")
+    got = {r.pair_id: r for r in C.format_pairs(C.reply_pairs(turns)).collect()}
+    assert set(got) == {2, 3, 4, 5, 6}
+    assert got[2].prefix_turns == 4 and got[2].usable and got[2].prompt.endswith("<|user|>\nmore<|end|>\n")
+    assert (got[2].chosen, got[2].rejected) == ("<|assistant|>\nmine<|end|>\n", "<|assistant|>\ntheirs<|end|>\n")
+    assert got[3].rejected == "<|assistant|>\nmine<|end|>\n" and got[3].usable
+    assert got[4].chosen == got[4].rejected == "" and not got[4].usable
+    assert len(got[5].chosen) == len(long) + 22 and got[5].rejected == "" and got[5].prompt == "<|user|>\n<|end|>\n"
+    assert got[6].prompt == "" and not got[6].usable
+    assert C.format_pairs(C.reply_pairs(turns.limit(0))).count() == 0
+
+
+def test_registered_pairs_have_prompts(spark):
+    got = C.op10(spark, SF).collect()
+    assert all(r.prompt for r in got if r.prefix_turns) and sum(r.usable for r in got) > len(got) // 2
+
+
 def test_chat_plan_is_native(spark):
-    df = C.format_pairs(C.neighbours(spark.read.parquet(f"{SF}/conversations.parquet")))
+    df = C.format_pairs(C.reply_pairs(spark.read.parquet(f"{SF}/conversations.parquet")))
     assert not re.search("Python|Pandas|Arrow", df._jdf.queryExecution().executedPlan().toString())
     assert df.limit(0).count() == 0
 
