@@ -24,6 +24,8 @@ are never returned.
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -37,7 +39,8 @@ from soundalike.session import cut
 DIGITS = 12
 MAX_SCAN_QUERIES = 4096
 MAX_SCAN_BYTES = 32 << 20
-MAX_PIVOTS = 1024
+MAX_PIVOTS = 16384
+ANGLE_ROWS = 1024
 BLOCK_ROWS = 16384
 ANGLE_SLACK = 1e-6
 
@@ -176,14 +179,9 @@ def _angles(q: np.ndarray, p: np.ndarray) -> np.ndarray:
     return np.arccos(np.clip(q @ p.T, -1.0, 1.0))
 
 
-def _home_cells(angles: np.ndarray, counts: np.ndarray, need: int, probes: int | None
-                ) -> np.ndarray:
-    """Mask of the nearest cells: a number of them, or enough to hold ``need`` rows."""
+def _home_cells(angles: np.ndarray, counts: np.ndarray, need: int) -> np.ndarray:
+    """Mask of the nearest cells, enough to hold ``need`` rows."""
     order = np.argsort(angles, axis=1, kind="stable")
-    if probes is not None:
-        take = np.zeros(angles.shape, dtype=bool)
-        np.put_along_axis(take, order[:, :probes], True, axis=1)
-        return take
     before = np.cumsum(counts[order], axis=1) - counts[order]
     take = np.zeros(angles.shape, dtype=bool)
     np.put_along_axis(take, order, before < need, axis=1)
@@ -207,7 +205,7 @@ def _without_surplus_copies(cat: DataFrame, k: int) -> DataFrame:
 
 
 def _cells(queries: DataFrame, cat: DataFrame, k: int, out: T.StructType, *,
-           n_pivots: int, block_rows: int, probes: int | None) -> DataFrame:
+           n_pivots: int, block_rows: int) -> DataFrame:
     spark = cat.sparkSession
     q_type, id_type, x_type = (out[c].dataType for c in ("query_id", "id", "extra"))
     vec_type = cat.schema["vec"].dataType  # float vectors travel as float
@@ -230,13 +228,13 @@ def _cells(queries: DataFrame, cat: DataFrame, k: int, out: T.StructType, *,
             v, ok = _units(_matrix(batch.column("vec")))
             if not len(v):
                 continue
-            angles = _angles(v, pivot_ref.value)
-            cell = angles.argmin(axis=1)
+            cell = np.concatenate([(v[a:a + ANGLE_ROWS] @ pivot_ref.value.T).argmax(axis=1)
+                                   for a in range(0, len(v), ANGLE_ROWS)])
+            angle = np.arccos(np.clip(np.einsum("ij,ij->i", v, pivot_ref.value[cell]), -1.0, 1.0))
             kept = batch.filter(pa.array(ok))
             yield pa.RecordBatch.from_arrays([
                 kept.column("id"), kept.column("extra"), kept.column("vec"),
-                pa.array(cell, type=pa.int32()),
-                pa.array(angles[np.arange(len(v)), cell])], schema=assigned_arrow)
+                pa.array(cell, type=pa.int32()), pa.array(angle)], schema=assigned_arrow)
 
     members = cut(cat.mapInArrow(assign, assigned))
     stats = members.groupBy("cell").agg(
@@ -258,13 +256,13 @@ def _cells(queries: DataFrame, cat: DataFrame, k: int, out: T.StructType, *,
     def visits(second: bool):
         def run(batches):
             counts_, radius_ = cell_ref.value
-            for batch in batches:
+            for batch in (b.slice(a, ANGLE_ROWS) for b in batches for a in range(0, b.num_rows, ANGLE_ROWS)):
                 v, ok = _units(_matrix(batch.column("vec")))
                 if not len(v):
                     continue
                 kept = batch.filter(pa.array(ok))
                 angles = _angles(v, pivot_ref.value)
-                chosen = _home_cells(angles, counts_, k, probes)
+                chosen = _home_cells(angles, counts_, k)
                 if second:
                     floor = _values(kept.column("floor"))
                     reach = np.arccos(np.clip(floor, -1.0, 1.0)) + ANGLE_SLACK
@@ -315,15 +313,13 @@ def _cells(queries: DataFrame, cat: DataFrame, k: int, out: T.StructType, *,
 
     no_floor = reps.select("rep", "vec", F.lit(None).cast("double").alias("floor"))
     first = visit(cut(no_floor.mapInArrow(visits(False), probe_schema)))
-    found = best_per_query(first, k)
-    if probes is None:
-        found = cut(found)
-        floors = (found.groupBy("query_id").agg(
-            F.when(F.count("*") >= k, F.min("similarity")).alias("floor"))
-            .withColumnRenamed("query_id", "rep"))
-        rest = reps.join(floors, "rep", "left").select("vec", "rep", "floor")
-        second = visit(cut(rest.mapInArrow(visits(True), probe_schema)))
-        found = best_per_query(found.drop("rank").unionByName(second), k)
+    found = cut(best_per_query(first, k))
+    floors = (found.groupBy("query_id").agg(
+        F.when(F.count("*") >= k, F.min("similarity")).alias("floor"))
+        .withColumnRenamed("query_id", "rep"))
+    rest = reps.join(floors, "rep", "left").select("vec", "rep", "floor")
+    second = visit(cut(rest.mapInArrow(visits(True), probe_schema)))
+    found = best_per_query(found.drop("rank").unionByName(second), k)
     by_rep = found.drop("rank").withColumnRenamed("query_id", "rep")
     owners = queries.join(reps, ["_h", "vec"]).select("query_id", "rep")
     return owners.join(by_rep, "rep").select("query_id", "id", "similarity", "extra")
@@ -340,9 +336,8 @@ def best_per_query(hits: DataFrame, k: int | str) -> DataFrame:
 
 def nearest(queries: DataFrame, songs: DataFrame, k: int, *, vec: str = "learned",
             query_vec: str = "vector", extra: str = "bpm", strategy: str = "auto",
-            probes: int | None = None, n_pivots: int | None = None,
-            block_rows: int = BLOCK_ROWS, max_scan_queries: int = MAX_SCAN_QUERIES,
-            dim: int | None = None) -> DataFrame:
+            n_pivots: int | None = None, block_rows: int = BLOCK_ROWS,
+            max_scan_queries: int = MAX_SCAN_QUERIES, dim: int | None = None) -> DataFrame:
     """The ``k`` songs of highest cosine similarity for each row of ``queries``.
 
     Vectors have ``dim`` elements, by default as many as the longest query; rows of another
@@ -357,54 +352,70 @@ def nearest(queries: DataFrame, songs: DataFrame, k: int, *, vec: str = "learned
         "query_id", F.col(query_vec).alias("vec"))
     cat = songs.where(F.col(vec).isNotNull()).select(
         "id", F.col(extra).alias("extra"), F.col(vec).alias("vec"))
-    if dim is None:
-        dim = q.agg(F.max(F.size("vec"))).first()[0] or 0
-    q, cat = (x.where(valid_vector("vec", dim)) for x in (q, cat))
     out = _hits_schema(q.schema["query_id"].dataType, cat.schema["id"].dataType,
                        cat.schema["extra"].dataType)
-    if probes is not None:
-        strategy = "cells"
     if strategy in ("auto", "scan"):
         head = q.limit(max_scan_queries + 1).toArrow()
         fits = head.num_rows <= max_scan_queries and head.nbytes <= MAX_SCAN_BYTES
         if strategy == "scan" and not fits:
             raise ValueError("too many queries for the scan strategy; use 'cells'")
         if fits:
+            head, dim = _of_length(head.combine_chunks(), dim)
             m, ok = _units(_matrix(head.column("vec")))
             if not len(m):
                 return best_per_query(songs.sparkSession.createDataFrame([], out), k)
-            hits = _scan(_values(head.column("query_id"))[ok], m, cat, k, out)
+            hits = _scan(_values(head.column("query_id"))[ok], m, cat.where(valid_vector("vec", dim)), k, out)
             return best_per_query(hits, k)
+    if dim is None:
+        dim = q.agg(F.max(F.size("vec"))).first()[0] or 0
+    # The catalogue is read once; all steps of the search start from its narrow copy.
+    q, cat = q.where(valid_vector("vec", dim)), cut(cat.where(valid_vector("vec", dim)))
     if n_pivots is None:
         n_pivots = int(min(MAX_PIVOTS, max(1, cat.count() // BLOCK_ROWS)))
-    return best_per_query(
-        _cells(q, cat, k, out, n_pivots=n_pivots, block_rows=block_rows, probes=probes), k)
+    return best_per_query(_cells(q, cat, k, out, n_pivots=n_pivots, block_rows=block_rows), k)
+
+
+def _of_length(head: pa.Table, dim: int | None) -> tuple[pa.Table, int]:
+    """Rows of a bounded query block whose vectors are whole and have ``dim`` (the most) elements."""
+    if not head.num_rows:
+        return head, dim or 0
+    vec = head.column("vec").combine_chunks()
+    sizes = vec.value_lengths().to_numpy(zero_copy_only=False)
+    dim = int(sizes.max()) if dim is None else dim
+    flat = vec.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False)
+    bad = np.concatenate(([0], np.cumsum(np.isnan(flat))))
+    ends = np.cumsum(sizes).astype(int)
+    keep = (sizes == dim) & (bad[ends] == bad[ends - sizes.astype(int)])
+    return head.filter(pa.array(keep)), dim
 
 
 def top_k(queries: DataFrame, songs: DataFrame, k: int = 20, *, vec: str = "learned",
           query_vec: str = "vector", min_bpm: float = 0, max_bpm: float = 999,
           exclude: str | None = None, match_count: str | None = None,
           filter_mode: str = "post", pool_factor: int = 5, cap: int | None = None,
-          method: str = "exact", probes: int = 8, **search) -> DataFrame:
+          method: str = "exact", target: float = 0.9, **search) -> DataFrame:
     """Top-k search with tempo filter.  Result: ``query_id, id, similarity, rank``.
 
     ``filter_mode="post"`` fixes a pool of ``pool_factor * k`` first and filters it,
     ``"pre"`` filters the catalogue (also dropping failed rows) first; ``cap`` bounds
     ``k``.  ``exclude`` names a column of ``queries`` with an id that
     must not be returned; ``"query_id"`` excludes the query itself.
-    ``match_count`` names a column with a smaller k per query.
+    ``match_count`` names a column with a smaller k per query.  ``method="approx"`` finds the share
+    ``target`` of the exact pool or more, at whatever effort that takes (:mod:`.approximate`).
     """
     if method == "approx":
-        search["probes"] = probes
+        from soundalike.operators import approximate
+        find = functools.partial(approximate.nearest, target=target)
+    else:
+        find = nearest
     in_range = F.col("bpm").between(min_bpm, max_bpm)
     if cap is not None:
         k = min(k, cap)
     if filter_mode == "pre":
         songs = songs.where(in_range & (F.col("metadata_status") != "failed"))
-        pool = nearest(queries, songs, k + (1 if exclude else 0), vec=vec, query_vec=query_vec,
-                       **search)
+        pool = find(queries, songs, k + (1 if exclude else 0), vec=vec, query_vec=query_vec, **search)
     else:
-        pool = nearest(queries, songs, k * pool_factor, vec=vec, query_vec=query_vec, **search)
+        pool = find(queries, songs, k * pool_factor, vec=vec, query_vec=query_vec, **search)
         pool = pool.where(F.col("extra").between(min_bpm, max_bpm))
     wanted = [c for c in {exclude, match_count} - {None, "query_id"}]
     if wanted:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from soundalike.functions.layout import FOCUS
 from soundalike.operators import rank as R
+from soundalike.operators import approximate as A
 from soundalike.operators import search as S
 from soundalike.plans import recommend as P
 
@@ -115,15 +116,35 @@ def test_prefilter_caps_and_drops_failed(spark):
         assert [i for i, _ in got[r[0]]] == want
 
 
-def test_approximate_recall_is_reported(spark):
-    songs = spark.createDataFrame(catalogue(200), SCHEMA)
-    q = as_queries(songs)
-    exact = S.top_k(q, songs, 5, exclude="query_id")
-    approx = S.top_k(q, songs, 5, exclude="query_id", method="approx", probes=3, n_pivots=6)
+@pytest.mark.parametrize("n,dim,target", [(250, 8, 0.9), (2500, 24, 0.9), (900, 16, 0.6)])
+def test_approximate_search_reaches_its_target(spark, n, dim, target):
+    r = np.random.default_rng(n)
+    v = r.normal(size=(n, dim)) + 1.5 * r.normal(size=(20, dim))[np.arange(n) % 20]
+    songs = spark.createDataFrame([(i, x.tolist(), 100.0, "ok") for i, x in enumerate(v)],
+                                  "id long, learned array<double>, bpm double, metadata_status string").repartition(4)
+    q = songs.select(F.col("id").alias("query_id"), F.col("learned").alias("vector")).where("id % 3 = 0")
+    plans = []
+    approx = A.nearest(q, songs, 8, target=target, plans=plans)
+    exact = S.nearest(q, songs, 8)
     row = S.recall(approx, exact).first()
-    assert 0.5 < row.recall <= 1 and row.exact_hits == exact.count()
-    full = S.top_k(q, songs, 5, exclude="query_id", method="approx", probes=6, n_pivots=6)
-    assert S.recall(full, exact).first().recall == 1
+    assert row.recall >= target and plans[0].recall >= target and row.exact_hits == 8 * -(-n // 3)
+    scores = {(x.query_id, x.id): x.similarity for x in exact.collect()}
+    assert all(abs(scores.get((x.query_id, x.id), x.similarity) - x.similarity) < 1e-9 for x in approx.collect())
+    if n > 2000:  # effort follows the target, and is a part of the catalogue
+        low = []
+        A.nearest(q, songs, 8, target=0.5, plans=low).count()
+        assert low[0].probes <= plans[0].probes < n ** 0.5 and plans[0].short < n / 4
+
+
+def test_approximate_search_of_awkward_rows(spark, monkeypatch):
+    monkeypatch.setattr(A, "QUERY_BLOCK", 3)
+    songs = spark.createDataFrame(
+        [(i, [float(i % 5), 1.0, float(i)], 1.0) for i in range(30)] + [(100, None, 1.0), (101, [0.0] * 3, 1.0), (102, [1.0], 1.0),
+         (103, [float("nan")] * 3, 1.0)], "id long, learned array<double>, bpm double")
+    q = songs.select(F.col("id").alias("query_id"), F.col("learned").alias("vector"))
+    got = A.nearest(q, songs, 50, target=1.0)
+    assert sorted(map(tuple, got.select("query_id", "id").collect())) == sorted((a, b) for a in range(30) for b in range(30))
+    assert A.nearest(q, songs.limit(0), 5).count() == 0 and A.nearest(q.limit(0), songs, 5, dim=3).count() == 0
 
 
 # ------------------------------------------------------------- fusion, MMR, plans
