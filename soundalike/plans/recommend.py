@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from soundalike.functions.layout import FOCUS
 from soundalike.functions.vectors import midpoint
 from soundalike.operators import rank as R
-from soundalike.operators.search import top_k
+from soundalike.operators.search import nearest, top_k
 from soundalike.session import cut
 
 OVERFETCH = 3
@@ -160,23 +160,49 @@ def invalid_sets(seed_sets: DataFrame) -> DataFrame:
 
 
 def journeys(starts: DataFrame, songs: DataFrame, steps: int, *, fanout: int = 5,
-             **kw) -> DataFrame:
+             min_bpm: float = 0, max_bpm: float = 999, focus: str | None = None,
+             genre_weights: DataFrame | None = None, min_sim: float = R.MIN_SIMILARITY,
+             layout: Mapping[str, Sequence[int]] = FOCUS, pool_factor: int = 5, **search) -> DataFrame:
     """Greedy walks.  ``starts``: ``journey_id, song_id``.
 
-    Every step takes the first similar song (``similar`` with ``limit=fanout``)
-    that the walk has not visited.  Result: ``journey_id, step, song_id,
-    similarity``.  Each round is checkpointed, so the plan does not grow.
+    Every step takes the first similar song (``similar`` with ``limit=fanout``) that the walk has not visited.
+    Result: ``journey_id, step, song_id, similarity``.
+
+    Walks go over a graph: the nearest songs of a song are searched once, when the first walk reaches it, whatever
+    the number of walks and steps that meet there.  A step is a join of the walks with the graph, then the
+    fusion of what each has not visited; the first of a diversified list is the best fused one, so neither
+    versions nor diversity need to be worked out.  Each round is checkpointed, so the plan does not grow.
     """
+    most = fanout * OVERFETCH + steps  # a walk of n steps leaves out n songs and asks for as many more
+    facts = songs.select("id", "handcrafted_norm", "mert", "genre")
     state = starts.select(
         "journey_id", F.lit(0).alias("step"), "song_id", F.lit(0.0).alias("similarity"),
         F.array("song_id").alias("visited"))
-    trail = [state.drop("visited")]
+    trail, graph, known = [state.drop("visited")], None, None
     for step in range(1, steps + 1):
-        queries = state.select(F.col("journey_id").alias("query_id"), "song_id",
-                               F.col("visited").alias("exclude_ids"))
-        found = similar(queries, songs, fanout, **kw)
-        first = Window.partitionBy("query_id").orderBy("rank")
-        chosen = (found.withColumn("_n", F.row_number().over(first)).where("_n = 1")
+        reached = state.select("song_id").distinct()
+        fresh = cut(reached if known is None else reached.join(known, "song_id", "left_anti"))
+        if not fresh.isEmpty():
+            asked = songs.select(F.col("id").alias("song_id"), F.col("learned").alias("vector")).join(fresh, "song_id")
+            near = nearest(asked.withColumnRenamed("song_id", "query_id"), songs, most * pool_factor, **search)
+            near = cut(near.where(F.col("extra").between(min_bpm, max_bpm) & (F.col("id") != F.col("query_id"))).select(
+                F.col("query_id").alias("song_id"), "id", "similarity", "rank"))
+            graph = near if graph is None else graph.unionByName(near)
+            known = fresh if known is None else known.unionByName(fresh)
+        if graph is None:
+            break
+        wanted = F.lit(fanout * OVERFETCH) + F.size(F.array_distinct("visited"))
+        walk = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id")
+        pool = (state.select(F.col("journey_id").alias("query_id"), "song_id", "visited", wanted.alias("wanted"))
+                .join(graph, "song_id").where(F.col("rank") <= F.col("wanted") * pool_factor)
+                .withColumn("rank", F.row_number().over(walk)).where(F.col("rank") <= F.col("wanted"))
+                .where(~F.array_contains("visited", F.col("id"))).select("query_id", "id", "similarity", "rank"))
+        queries = state.select(F.col("journey_id").alias("query_id"), "song_id").join(
+            facts.select(F.col("id").alias("song_id"), F.col("handcrafted_norm").alias("handcrafted"), "mert", "genre"), "song_id")
+        fused = R.fuse(pool, queries, songs, genre_weights, focus, layout=layout, renumber=False)
+        first = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "rank", "id")
+        chosen = (fused.withColumn("n", F.row_number().over(first)).where("n = 1")
+                  .where(F.col("similarity") >= min_sim)
                   .select(F.col("query_id").alias("journey_id"), F.col("id").alias("next"),
                           F.col("similarity").alias("sim")))
         state = cut(state.join(chosen, "journey_id").select(

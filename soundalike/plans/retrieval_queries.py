@@ -428,15 +428,18 @@ def step_sql(prev: str, step: int, limit: int = 5) -> str:
         AND score >= 0.1)"""
 
 
+WALK = 5
+
+
 @query("d11_journeys", "WITH t0 AS (SELECT id AS journey_id, id AS song_id, 0 AS score, [id] AS visited FROM songs), "
-       + step_sql("t0", 1) + ", " + step_sql("t1", 2) + """
+       + ", ".join(step_sql(f"t{i}", i + 1) for i in range(WALK)) + """
 SELECT journey_id, count(*) AS steps, round(sum(1 - score), 6) AS distance, count(DISTINCT genre) AS genres
-FROM (SELECT journey_id, song_id, score FROM t0 UNION ALL SELECT journey_id, song_id, score FROM t1
-  UNION ALL SELECT journey_id, song_id, score FROM t2) JOIN songs ON id = song_id GROUP BY journey_id""")
+FROM (""" + " UNION ALL ".join(f"SELECT journey_id, song_id, score FROM t{i}" for i in range(WALK + 1)) + """)
+JOIN songs ON id = song_id GROUP BY journey_id""")
 def d11(spark, sf):
     songs = V.songs(spark, sf)
     starts = songs.select(F.col("id").alias("journey_id"), F.col("id").alias("song_id"))
-    path = P.journeys(starts, songs, 2, min_sim=0.1)
+    path = P.journeys(starts, songs, WALK, min_sim=0.1)
     return P.journey_stats(path, songs).select(
         "journey_id", "steps", F.round("distance", 6).alias("distance"), "genres")
 
@@ -553,7 +556,7 @@ def d16_target(spark, sf):
     more = songs.withColumn("t", turn).withColumn("learned", F.when(F.col("t") == 0, F.col("learned")).otherwise(
         F.concat(F.slice("learned", F.col("t") * 7 + 1, F.size("learned") - F.col("t") * 7),
                  F.slice("learned", F.lit(1), F.col("t") * 7)))).withColumn(
-        "id", F.col("id") + F.col("t") * 1_000_000_000).drop("t")
+        "id", F.col("id") + F.col("t").cast("long") * 1_000_000_000).drop("t")
     asked = self_queries(songs)
     return measured(asked, songs).select(F.lit(1).alias("times"), "*").unionByName(
         measured(asked, more).select(F.lit(6).alias("times"), "*"))
