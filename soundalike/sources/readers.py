@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from soundalike import schemas
 from soundalike.functions.text import nonempty, strip
 from soundalike.functions.vectors import parse_vector, valid_vector
+from soundalike.sources import csv_records
 
 TAG_PREFIX = "genre---"
 RAW_TRACK_FIELDS = ("track_title", "artist_name", "album_title", "track_duration",
@@ -48,52 +49,50 @@ def read_features_jsonl(spark: SparkSession, path: str, *, learned_dim: int = 20
 
 
 def read_fma_tracks(spark: SparkSession, path: str) -> DataFrame:
-    """A2: quoted, possibly multi-line CSV; rows without an integer id are dropped.
+    """A2: quoted, possibly multi-line CSV of any size; rows without an integer id are dropped.
 
-    Columns are picked by header name.
+    Columns are picked by name from the header of their own file, which must have ``track_id``; other absent
+    columns are empty.
     """
-    raw = (spark.read.option("header", True).option("multiLine", True).option("quote", '"')
-           .option("escape", '"').option("encoding", "UTF-8").csv(path))
-    present = set(raw.columns)
-    text = {f: strip(F.coalesce(F.col(f), F.lit(""))) if f in present else F.lit("")
-            for f in RAW_TRACK_FIELDS}
-    return (raw.withColumn("track_id", strip("track_id").try_cast("long"))
-            .where(F.col("track_id").isNotNull())
-            .select("track_id", *[c.alias(f) for f, c in text.items()]))
+    rows = csv_records.read(spark, path, need=("track_id",))
+    text = [strip(F.coalesce(csv_records.value(f), F.lit(""))).alias(f) for f in RAW_TRACK_FIELDS]
+    return rows.select(strip(csv_records.value("track_id")).try_cast("long").alias("track_id"), *text).where(
+        F.col("track_id").isNotNull())
+
+
+def dropped_tracks(spark: SparkSession, path: str) -> DataFrame:
+    """A2: rows that :func:`read_fma_tracks` leaves out, per file."""
+    rows = csv_records.read(spark, path, need=("track_id",))
+    bad = strip(csv_records.value("track_id")).try_cast("long").isNull()
+    return rows.where(bad).groupBy("file").agg(F.count("*").alias("dropped"))
 
 
 def read_fma_genres(spark: SparkSession, path: str) -> DataFrame:
-    """A4: ``genre_id, title, top_level``."""
-    raw = (spark.read.option("header", True).option("quote", '"').option("escape", '"')
-           .csv(path))
-    return raw.select(F.col("genre_id").cast("int").alias("genre_id"), "title",
-                      F.col("top_level").cast("int").alias("top_level"))
+    """A4: ``genre_id, title, top_level``, by the header of each file; rows without an integer id are dropped."""
+    rows = csv_records.read(spark, path, need=("genre_id", "title", "top_level"))
+    number = {c: strip(csv_records.value(c)).try_cast("int").alias(c) for c in ("genre_id", "top_level")}
+    return rows.select(number["genre_id"], csv_records.value("title").alias("title"), number["top_level"]).where(
+        F.col("genre_id").isNotNull())
 
 
 def read_fma_subset(spark: SparkSession, path: str, subset: str = "small") -> DataFrame:
-    """A5: tracks of one subset that have a top genre, from the file with a two-row header.
+    """A5: tracks of one subset that have a top genre, from files with a two-row header.
 
-    The two header rows name (group, field) of each column.
+    The two header rows name (group, field) of each column.  A file may continue another one, whose header then
+    counts for both; where no header has the columns, or files without one could continue several, it raises.
     """
-    raw = (spark.read.option("header", False).option("multiLine", True).option("quote", '"')
-           .option("escape", '"').csv(path))
-    cells = F.array(*[F.col(c).cast("string") for c in raw.columns])
-
-    def header(*names: str):
-        """The header row with these names; found by content, since files have no order."""
-        has = F.lit(True)
-        for n in names:
-            has = has & F.array_contains(cells, n)
-        return raw.where(has).first()
-
-    group, name = header("set", "track"), header("subset", "genre_top")
-    where = {(g, n): c for c, g, n in zip(raw.columns, group, name)}
-    first = raw.columns[0]
-    return (raw.withColumn("track_id", F.col(first).try_cast("long"))
-            .where(F.col("track_id").isNotNull()
-                   & (F.col(where["set", "subset"]) == subset)
-                   & nonempty(where["track", "genre_top"]).isNotNull())
-            .select("track_id", F.col(where["track", "genre_top"]).alias("genre_top")))
+    rows = csv_records.read(spark, path, header_rows=2, need=("set", "track", "subset", "genre_top"),
+                            shared=True)
+
+    def value(group: str, field: str) -> Column:
+        both = F.arrays_zip(F.get("headers", F.lit(0)).alias("g"), F.get("headers", F.lit(1)).alias("f"))
+        here = F.transform(both, lambda x: F.coalesce(F.concat_ws("|", F.trim(x["g"]), F.trim(x["f"])), F.lit("")))
+        return F.get("cells", F.array_position(here, f"{group}|{field}").cast("int") - 1)
+
+    return (rows.select(F.get("cells", F.lit(0)).try_cast("long").alias("track_id"), value("set", "subset").alias("subset"),
+                        value("track", "genre_top").alias("genre_top"))
+            .where(F.col("track_id").isNotNull() & (F.col("subset") == subset) & nonempty("genre_top").isNotNull())
+            .select("track_id", "genre_top"))
 
 
 def jamendo_tags(lines: DataFrame) -> DataFrame:

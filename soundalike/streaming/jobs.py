@@ -161,6 +161,8 @@ def stream_job_state(events: DataFrame) -> DataFrame:
     return job_state(events)
 
 
+#: An absent time or number; it is before every other, as in :func:`job_state`.
+NOTHING = -(1 << 62)
 STALL_OUT = "job_id string, status string, updated_at timestamp, stalled boolean"
 
 
@@ -172,7 +174,8 @@ def stream_stalled_jobs(events: DataFrame, after_sec: int = STALL_AFTER_SEC,
     it comes and so replaces the stall.  ``clock="event"`` measures silence on event
     time behind ``watermark`` instead of the wall clock; the caller says how late events
     may be, and :func:`late_rows` counts what came later.  Events of one instant are
-    ordered by ``seq`` where there is one, across micro-batches too.  The wall clock needs a
+    ordered by ``seq`` where there is one, across micro-batches too; an event without a time
+    or ``seq`` is before every event that has one.  The wall clock needs a
     running query (``processingTime`` trigger): it always has one more batch to run,
     so ``availableNow`` would not end.
     """
@@ -191,26 +194,29 @@ def stream_stalled_jobs(events: DataFrame, after_sec: int = STALL_AFTER_SEC,
                 "job_id": [str(key[0])], "status": ["failed"],
                 "updated_at": [pd.Timestamp(at, unit="us")], "stalled": [True]})
             return
-        last = state.get if state.exists else None
+        last = tuple(state.get) if state.exists else None
         for pdf in batches:
-            by = ["updated_at", "seq"] if "seq" in pdf else ["updated_at"]
-            row = pdf.sort_values(by, kind="stable").iloc[-1]
-            at, seq = row["updated_at"].value // 1000, int(row["seq"]) if "seq" in pdf else 0
-            if last is None or (at, seq) >= (last[1], last[2]):
-                last = (row["status"], at, seq)
+            times = [NOTHING if pd.isna(t) else pd.Timestamp(t).value // 1000 for t in pdf["updated_at"]]
+            seqs = [NOTHING if pd.isna(x) else int(x) for x in pdf["seq"]] if "seq" in pdf else [0] * len(pdf)
+            for status, at, seq in zip(pdf["status"], times, seqs):
+                if last is None or (at, seq) >= last[1:]:
+                    last = (None if pd.isna(status) else status, at, seq)
         if last is None:
             return
         if last[0] == "processing":
             state.update(last)
-            if on_event:
+            if last[1] == NOTHING:
+                pass  # without a time there is no silence to measure
+            elif on_event:
                 due = last[1] // 1000 + wait_ms
                 state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
             else:
                 state.setTimeoutDuration(wait_ms)
         elif state.exists:
             state.remove()
+        time_ = pd.NaT if last[1] == NOTHING else pd.Timestamp(last[1], unit="us")
         yield pd.DataFrame({"job_id": [str(key[0])], "status": [last[0]],
-                            "updated_at": [pd.Timestamp(last[1], unit="us")], "stalled": [False]})
+                            "updated_at": pd.Series([time_], dtype="datetime64[ns]"), "stalled": [False]})
 
     timeout = (GroupStateTimeout.EventTimeTimeout if on_event
                else GroupStateTimeout.ProcessingTimeTimeout)

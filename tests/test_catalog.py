@@ -61,6 +61,43 @@ def test_two_row_header(spark, tmp_path):
         (10, "Pop"), (2, "Rock")]
 
 
+def test_csv_files_of_any_size_and_column_order(spark, tmp_path):
+    """Records are found across ranges of a file, and each file is read by its own header."""
+    want = []
+    for n, order in enumerate((["track_id", "track_title", "artist_name"], ["track_title", "track_id", "artist_name"])):
+        lines = [",".join(order) + "\r\n"]
+        for i in range(4000):
+            row = {"track_id": str(n * 10000 + i), "artist_name": f"a, {i}",
+                   "track_title": f'say ""{i}""\nline two\n\nline "" four' if i % 7 == 0 else f"t{i}"}
+            lines.append(",".join(f'"{row[c]}"' if c != "track_id" else row[c] for c in order) + "\r\n")
+            want.append((int(row["track_id"]), row["track_title"].replace('""', '"'), row["artist_name"]))
+        (tmp_path / f"f{n}.csv").write_bytes((b"\xef\xbb\xbf" if n else b"") + "".join(lines).encode())
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        t = RD.read_fma_tracks(spark, str(tmp_path))
+        got = sorted(map(tuple, t.select("track_id", "track_title", "artist_name").collect()))
+        ranges = RD.csv_records._lines(spark, str(tmp_path)).rdd.getNumPartitions()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert got == sorted(want) and ranges > 10
+
+
+def test_csv_without_a_column(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("track_id,track_title\n1,x\nno,y\n")
+    assert rows(RD.read_fma_tracks(spark, str(tmp_path)), "track_id", "track_title", "artist_name") == [(1, "x", "")]
+    assert RD.dropped_tracks(spark, str(tmp_path)).first().dropped == 1
+    with pytest.raises(ValueError, match="genre_id"):
+        RD.read_fma_genres(spark, str(tmp_path))
+    with pytest.raises(ValueError, match="set"):
+        RD.read_fma_subset(spark, str(tmp_path))
+    (tmp_path / "g").mkdir()
+    (tmp_path / "g/1.csv").write_text("genre_id,title,top_level\n1,Rock,1\n")
+    (tmp_path / "g/2.csv").write_text('top_level,genre_id,title\n1,2,"Hard, Rock"\n')
+    assert rows(RD.read_fma_genres(spark, str(tmp_path / "g")), "genre_id", "title", "top_level") == [
+        (1, "Rock", 1), (2, "Hard, Rock", 1)]
+
+
 def test_tag_and_meta_lines(spark, tmp_path):
     (tmp_path / "g.tsv").write_text(
         "TRACK_ID\tARTIST_ID\tALBUM_ID\tPATH\tDURATION\tTAGS\n"
