@@ -25,3 +25,22 @@ def register(spark: SparkSession) -> None:
     spark.sql(f"""
         CREATE OR REPLACE TEMPORARY FUNCTION camelot(key STRING) RETURNS STRING
         RETURN try_element_at(map({wheel}), key)""")
+
+
+def register_search(spark: SparkSession, songs: str = "songs") -> None:
+    """``find_similar_songs(query, match_count, exclude_id, min_bpm, max_bpm)`` over the view ``songs``.
+
+    A table function: the songs of highest cosine similarity in the tempo range that have not failed, ties by id.
+    The catalogue is scanned once; ranks are cut in each task before the narrow rows meet.
+    """
+    register(spark)
+    spark.sql(f"""
+        CREATE OR REPLACE TEMPORARY FUNCTION find_similar_songs(query ARRAY<DOUBLE>, match_count INT DEFAULT 20,
+          exclude_id BIGINT DEFAULT NULL, min_bpm DOUBLE DEFAULT 0, max_bpm DOUBLE DEFAULT 999)
+        RETURNS TABLE (id BIGINT, title STRING, artist STRING, bpm DOUBLE, similarity DOUBLE, rank BIGINT)
+        RETURN SELECT id, title, artist, bpm, similarity, CAST(rank AS BIGINT) FROM (
+          SELECT *, row_number() OVER (ORDER BY similarity DESC, id) AS rank FROM (
+            SELECT s.id, s.title, s.artist, s.bpm, round(cosine_similarity(s.learned, query), 12) AS similarity
+            FROM {songs} s WHERE s.bpm BETWEEN min_bpm AND max_bpm AND s.metadata_status <> 'failed'
+              AND size(s.learned) = size(query) AND (exclude_id IS NULL OR s.id <> exclude_id)))
+        WHERE rank <= match_count""")

@@ -156,39 +156,46 @@ def pair_similarities(pairs: DataFrame, columns: Sequence[str] = ("learned",)) -
 # ---------------------------------------------------------------------- description
 
 PROFILE = {"p5": 0.05, "p25": 0.25, "median": 0.5, "p75": 0.75, "p95": 0.95}
-PROFILE_BINS = 1 << 16
+#: Accuracy of the quantile sketch: ranks are off by one in so many rows at most.
+SKETCH = 10_000
 
 
 def percentiles(df: DataFrame, c: str, shares: Sequence[float]) -> list[float | None]:
-    """Exact, interpolated percentiles of any number of rows.
+    """Exact, interpolated percentiles of any number of rows, whatever their spread.
 
-    Rows are counted in ``PROFILE_BINS`` equal bins of their range, which is what the driver sees; only the bins
-    that hold a wanted rank are then sorted, each by itself.
+    A quantile sketch gives two values around each wanted rank, which lie a few ten-thousandths of the rows apart.
+    Exact counts up to these say whether they hold the rank (if not, they are moved apart); then only the
+    different values between them are sorted.
     """
-    low, high, n = df.agg(F.min(c), F.max(c), F.count(c)).first()
+    held = cut(df.where(F.col(c).isNotNull()).select(F.col(c).cast("double").alias("v")))
+    n = held.count()
     if not n:
         return [None] * len(shares)
-    if low == high:
-        return [float(low)] * len(shares)
     ranks = [(n - 1) * p for p in shares]
     wanted = sorted({int(k) for r in ranks for k in (np.floor(r), np.ceil(r))})
-    place = F.least(F.lit(PROFILE_BINS - 1), F.floor((F.col(c) - low) / (high - low) * PROFILE_BINS).cast("int"))
-    binned = df.where(F.col(c).isNotNull()).select(F.col(c).alias("v"), place.alias("bin"))
-    counts = dict(binned.groupBy("bin").count().collect())
-    bins = sorted(counts)
-    ends = np.cumsum([counts[b] for b in bins])
-    rows = []
-    for k in wanted:
-        i = int(np.searchsorted(ends, k, side="right"))
-        rows.append((bins[i], k - int(ends[i] - counts[bins[i]]), k))
-    asked = df.sparkSession.createDataFrame(rows, "bin int, nth long, k long")
-    ties = binned.join(F.broadcast(asked.select("bin").distinct()), "bin").groupBy("bin", "v").count()
-    upto = Window.partitionBy("bin").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = ties.withColumn("end", F.sum("count").over(upto))
-    hit = ranked.join(F.broadcast(asked), "bin").where(
-        (F.col("nth") < F.col("end")) & (F.col("nth") >= F.col("end") - F.col("count")))
-    value = {r["k"]: float(r["v"]) for r in hit.select("k", "v").collect()}
-    return [value[int(np.floor(r))] + (r - np.floor(r)) * (value[int(np.ceil(r))] - value[int(np.floor(r))])
+    found: dict[int, tuple[float, float, int]] = {}
+    slack = 2 / SKETCH
+    while len(found) < len(wanted):
+        open_ = [k for k in wanted if k not in found]
+        places = [min(1.0, max(0.0, (k + 0.5) / n + d)) for k in open_ for d in (-slack, slack)]
+        edge = held.agg(F.percentile_approx("v", places, SKETCH)).first()[0]
+        sides = [(k, edge[2 * i], edge[2 * i + 1]) for i, k in enumerate(open_)]
+        counts = held.agg(*[x for _, low, high in sides for x in (
+            F.count(F.when(F.col("v") < low, 1)), F.count(F.when(F.col("v") <= high, 1)))]).first()
+        for i, (k, low, high) in enumerate(sides):
+            if counts[2 * i] <= k < counts[2 * i + 1]:
+                found[k] = (low, high, counts[2 * i])
+        slack *= 4
+    asked = F.array(*[F.struct(F.lit(k).cast("long").alias("k"), F.lit(low).alias("low"), F.lit(high).alias("high"),
+                               F.lit(below).cast("long").alias("below")) for k, (low, high, below) in found.items()])
+    near = held.select("v", F.explode(F.filter(asked, lambda x: F.col("v").between(x["low"], x["high"]))).alias("x")).select(
+        "v", "x.k", "x.below")
+    ties = near.groupBy("k", "below", "v").count()
+    upto = Window.partitionBy("k").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = ties.withColumn("end", F.col("below") + F.sum("count").over(upto))
+    hit = ranked.where((F.col("k") < F.col("end")) & (F.col("k") >= F.col("end") - F.col("count")))
+    value = {r["k"]: r["v"] for r in hit.select("k", "v").collect()}
+    return [float(value[int(np.floor(r))] + (r - np.floor(r)) * (value[int(np.ceil(r))] - value[int(np.floor(r))]))
             for r in ranks]
 
 
@@ -237,6 +244,16 @@ def pca_ratios(songs: DataFrame, vec: str = "learned", k: int | None = None) ->
     return out.withColumn("cumulative", F.sum("ratio").over(running))
 
 
+def axis_ratios(songs: DataFrame, vec: str = "learned") -> DataFrame:
+    """Share of the variance that each axis of the vectors has, the largest first (``pc, ratio, cumulative``)."""
+    spread = songs.where(F.col(vec).isNotNull()).select(F.posexplode(vec).alias("axis", "v")).groupBy("axis").agg(
+        F.var_pop("v").alias("v"))  # one row per axis
+    order = Window.orderBy(F.desc("v"), "axis")
+    total = F.sum("v").over(Window.partitionBy())
+    return spread.select(F.row_number().over(order).alias("pc"), (F.col("v") / total).alias("ratio")).withColumn(
+        "cumulative", F.sum("ratio").over(Window.orderBy("pc")))
+
+
 def pca_profile(ratios: DataFrame) -> DataFrame:
     """First components, components for 90 and 95 %, effective dimension."""
     def reach(t: float) -> Column:

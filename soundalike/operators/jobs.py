@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from soundalike.session import cut
 
-STALL_AFTER_SEC = 300
-ORPHAN_MAX_AGE_SEC = 24 * 3600
-VOLUME_CAP_BYTES = 5 * 1024**3
-STALLED = "Analysis stalled (no progress for 5 minutes)"
+# A job is silent too long after 300 s, a file without a job goes after a day, a folder holds 5 GiB.
+SILENT_SECONDS = 300
+LEFTOVER_SECONDS = 86_400
+FOLDER_BYTES = 5 << 30
+SILENT_NOTE = "no update within the time allowed"
 TERMINAL = ("completed", "failed")
 FIELDS = ("progress", "audio_path", "duration_sec", "result", "last_error")
 
@@ -35,7 +36,7 @@ def _age(now: Column, since: str) -> Column:
     return F.unix_micros(now.cast("timestamp")) - F.unix_micros(F.col(since).cast("timestamp"))
 
 
-def stalled_jobs(state: DataFrame, now: Column, after_sec: int = STALL_AFTER_SEC) -> DataFrame:
+def stalled_jobs(state: DataFrame, now: Column, after_sec: int = SILENT_SECONDS) -> DataFrame:
     """K5, batch: jobs ``processing`` without an update for longer than ``after_sec``.
 
     Reported as failed; the ledger is left alone, so a later update wins.
@@ -44,12 +45,12 @@ def stalled_jobs(state: DataFrame, now: Column, after_sec: int = STALL_AFTER_SEC
     stale = F.coalesce(stale, F.lit(False))
     out = state.withColumn("_stale", stale)
     return (out.withColumn("status", F.when(F.col("_stale"), "failed").otherwise(F.col("status")))
-            .withColumn("error", F.when(F.col("_stale"), STALLED).otherwise(F.col("last_error")))
+            .withColumn("error", F.when(F.col("_stale"), SILENT_NOTE).otherwise(F.col("last_error")))
             .withColumnRenamed("_stale", "stalled"))
 
 
 def retention_plan(files: DataFrame, jobs: DataFrame, now: Column,
-                   max_age_sec: int = ORPHAN_MAX_AGE_SEC, cap_bytes: int = VOLUME_CAP_BYTES,
+                   max_age_sec: int = LEFTOVER_SECONDS, cap_bytes: int = FOLDER_BYTES,
                    slices: int | None = None) -> DataFrame:
     """Every file with ``action`` keep / finished / orphan / over_cap.
 

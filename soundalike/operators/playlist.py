@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from soundalike.functions.harmonic import round_half_up
 
 PAD, WIDTH, HEIGHT = 20.0, 400.0, 80.0
+#: Positions of one piece of a playlist's text.
+CHUNK = 500
 
 
 def recent_per_session(clicks: DataFrame, n: int = 20) -> DataFrame:
@@ -58,9 +60,13 @@ def playlist_lines(entries: DataFrame) -> DataFrame:
     return entries.select("playlist_id", "position", F.concat_ws(" | ", head, bpm, key).alias("line"))
 
 
-def playlist_text(entries: DataFrame) -> DataFrame:
-    """The lines of a playlist, joined in order (one text per playlist by nature)."""
-    lines = playlist_lines(entries)
-    return lines.groupBy("playlist_id").agg(F.array_join(F.transform(
+def playlist_text(entries: DataFrame, size: int = CHUNK) -> DataFrame:
+    """The lines of a playlist, joined in order, in numbered pieces of ``size`` positions.
+
+    ``playlist_id, chunk, text``.  A playlist with a third of all entries is many groups of bounded size; a list of
+    up to ``size`` entries is one piece.
+    """
+    lines = playlist_lines(entries).withColumn("chunk", F.floor((F.col("position") - 1) / size).cast("long"))
+    return lines.groupBy("playlist_id", "chunk").agg(F.array_join(F.transform(
         F.sort_array(F.collect_list(F.struct("position", "line"))), lambda e: e["line"]),
         "\n").alias("text"))

@@ -717,6 +717,18 @@ def e14(spark, sf):
     return p.select(*[F.round(c, 6).alias(c) for c in ("p5", "p25", "p75", "p95")])
 
 
+@query("e14_percentiles_with_outlier", "WITH " + PAIR_SQL.format(where="true") + """,
+w AS (SELECT s FROM sims UNION ALL SELECT 1e9)
+SELECT round(quantile_cont(s, 0.05), 6) AS p5, round(quantile_cont(s, 0.5), 6) AS p50,
+  round(quantile_cont(s, 0.95), 6) AS p95 FROM w""")
+def e14_outlier(spark, sf):
+    """One value far from all others leaves the work spread."""
+    sims = E.pair_similarities(E.song_pairs(V.vectors(spark, sf))).select("sim_learned")
+    far = spark.createDataFrame([(1e9,)], "sim_learned double")
+    p = E.percentiles(sims.unionByName(far), "sim_learned", (0.05, 0.5, 0.95))
+    return spark.createDataFrame([tuple(round(x, 6) for x in p)], "p5 double, p50 double, p95 double")
+
+
 EDGES = (-0.3, -0.15, -0.05, 0.0, 0.02, 0.05, 0.15, 0.3)
 
 
@@ -737,6 +749,21 @@ def e16(spark, sf):
     return E.pca_profile(E.pca_ratios(V.vectors(spark, sf)))
 
 
+@query("g8_axis_profile", """
+WITH v AS (SELECT i, var_pop(v) AS v FROM (
+    SELECT unnest(learned) AS v, unnest(range(len(learned))) AS i FROM songs) GROUP BY i),
+r AS (SELECT row_number() OVER (ORDER BY v DESC, i) AS pc, v / (SELECT sum(v) FROM v) AS ratio FROM v),
+c AS (SELECT *, sum(ratio) OVER (ORDER BY pc) AS cumulative FROM r)
+SELECT round(max(cumulative) FILTER (pc = 1), 6) AS pc1, round(max(cumulative) FILTER (pc = 2), 6) AS pc1_2,
+  min(pc) FILTER (cumulative >= 0.9) AS pcs_90, min(pc) FILTER (cumulative >= 0.95) AS pcs_95,
+  round(exp(-sum(ratio * ln(ratio + 1e-10))), 6) AS effective_dim FROM c""")
+def g8(spark, sf):
+    """The profile of the vectors' own axes, which says what components add to it."""
+    p = E.pca_profile(E.axis_ratios(V.vectors(spark, sf)))
+    return p.select(*[F.round(c, 6).alias(c) for c in ("pc1", "pc1_2")], "pcs_90", "pcs_95",
+                    F.round("effective_dim", 6).alias("effective_dim"))
+
+
 @query("e17_variance_ratios")
 def e17(spark, sf):
     return E.pca_ratios(V.vectors(spark, sf))
@@ -1211,7 +1238,7 @@ NOW = "2001-06-01 00:00:00"
 
 @query("k5_stalled_jobs", "WITH " + STATE_SQL + f"""
 SELECT job_id, CASE WHEN stale THEN 'failed' ELSE status END AS status, stale AS stalled,
-  CASE WHEN stale THEN 'Analysis stalled (no progress for 5 minutes)' ELSE last_error END AS error
+  CASE WHEN stale THEN 'no update within the time allowed' ELSE last_error END AS error
 FROM (SELECT *, status = 'processing' AND updated_at < TIMESTAMP '{NOW}' - INTERVAL 300 SECOND AS stale
       FROM state)""")
 def k5(spark, sf):

@@ -11,6 +11,7 @@ from soundalike.functions import sql as SQL
 from soundalike.functions import text as X
 from soundalike.functions import vectors as C
 from soundalike.operators import feedback as FB
+from soundalike.operators import names
 from soundalike.operators import playlist as PL
 from soundalike.operators import rank as R
 from soundalike.operators import stats as ST
@@ -536,8 +537,8 @@ LINE_SQL = """position || '. ' || artist || ' — ' || title ||
 
 
 @query("i25_playlist_text", f"""
-SELECT playlist_id, string_agg({LINE_SQL}, chr(10) ORDER BY position) AS text
-FROM playlists GROUP BY playlist_id""")
+SELECT playlist_id, ((position - 1) // 500)::BIGINT AS chunk, string_agg({LINE_SQL}, chr(10) ORDER BY position) AS text
+FROM playlists GROUP BY ALL""")
 def i25(spark, sf):
     return PL.playlist_text(V.playlists(spark, sf))
 
@@ -574,3 +575,36 @@ def l_sql(spark, sf):
         SELECT a.id, round(cosine_similarity(a.learned, b.learned), 6) AS cosine,
           base_title(a.title) AS base, camelot(a.musical_key) AS code
         FROM {a} a JOIN {b} b ON b.id = a.id + 1""", a=a, b=b)
+
+
+@query("l_find_similar_songs", """
+WITH q AS (SELECT id, learned FROM songs WHERE id = (SELECT min(id) FROM songs)),
+pairs AS (SELECT s.id, s.title, s.bpm, round(list_cosine_similarity(s.learned, q.learned), 12) AS similarity
+  FROM songs s, q WHERE s.id <> q.id AND s.bpm BETWEEN 60 AND 160 AND s.metadata_status <> 'failed')
+SELECT id, title, bpm, round(similarity, 6) AS similarity, row_number() OVER (ORDER BY similarity DESC, id) AS rank
+FROM pairs QUALIFY rank <= 25""")
+def l_find(spark, sf):
+    V.songs(spark, sf).createOrReplaceTempView("songs")
+    SQL.register_search(spark)
+    return spark.sql("""
+        SELECT id, title, bpm, round(similarity, 6) AS similarity, rank
+        FROM find_similar_songs((SELECT min_by(learned, id) FROM songs), 25, (SELECT min(id) FROM songs), 60, 160)""")
+
+
+GRAMS_SQL = r"""list_distinct(flatten(list_transform(regexp_extract_all(lower({c}), '[\p{{L}}\p{{N}}]+'),
+    lambda w: list_transform(generate_series(1, len(w) + 1), lambda i: substring('  ' || w || ' ', i, 3)))))"""
+
+
+@query("f9_similar_names", "WITH n AS (SELECT DISTINCT lower(title) AS needle FROM songs WHERE title IS NOT NULL), "
+       "h AS (SELECT DISTINCT title || ' ' || coalesce(artist, '') AS hay FROM songs WHERE title IS NOT NULL), "
+       "a AS (SELECT needle, " + GRAMS_SQL.format(c="needle") + " AS g FROM n), "
+       "b AS (SELECT hay, " + GRAMS_SQL.format(c="hay") + """ AS g FROM h),
+p AS (SELECT needle, hay, len(list_intersect(a.g, b.g)) AS shared, len(a.g) + len(b.g) AS total FROM a, b)
+SELECT needle, hay, shared, round(shared / (total - shared), 6) AS similarity FROM p
+WHERE shared > 0 AND 100 * shared >= 50 * (total - shared)""")
+def f9_names(spark, sf):
+    """Titles against the full names of songs, half of the trigrams in common."""
+    songs = V.songs(spark, sf).where("title IS NOT NULL")
+    full = F.concat("title", F.lit(" "), F.coalesce("artist", F.lit("")))
+    found = names.similar_names(songs.select(F.lower("title").alias("needle")), songs.select(full.alias("hay")))
+    return found.withColumn("similarity", F.round("similarity", 6))

@@ -20,7 +20,7 @@ from soundalike.functions.text import pseudonym
 from soundalike.operators import feedback as FB
 from soundalike.operators import rules as RU
 from soundalike.operators.catalog import feed
-from soundalike.operators.jobs import STALL_AFTER_SEC, job_state
+from soundalike.operators.jobs import SILENT_SECONDS, job_state
 from soundalike.operators.search import nearest_for_new
 from soundalike.session import cut
 
@@ -166,7 +166,7 @@ NOTHING = -(1 << 62)
 STALL_OUT = "job_id string, status string, updated_at timestamp, stalled boolean"
 
 
-def stream_stalled_jobs(events: DataFrame, after_sec: int = STALL_AFTER_SEC,
+def stream_stalled_jobs(events: DataFrame, after_sec: int = SILENT_SECONDS,
                         clock: str = "processing", watermark: str | None = None) -> DataFrame:
     """K5: status changes, plus a ``stalled`` report once a job has been silent too long.
 

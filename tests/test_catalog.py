@@ -339,6 +339,31 @@ def test_percentiles(spark, values):
     assert E.percentiles(df, "v", shares) == pytest.approx([float(np.quantile(values, p)) for p in shares])
 
 
+def test_percentiles_of_many_rows_with_an_outlier(spark):
+    """The outlier takes no part in how the work is spread: only values near the wanted ranks are sorted."""
+    n = 60_000
+    df = spark.range(n).select((F.xxhash64("id") % 1_000_003 / 1e6).alias("v")).unionByName(
+        spark.createDataFrame([(1e9,)], "v double")).cache()
+    values = [r.v for r in df.collect()]
+    assert E.percentiles(df, "v", [0.05, 0.5, 0.999]) == pytest.approx([float(np.quantile(values, p)) for p in (0.05, 0.5, 0.999)])
+
+
+def test_axis_ratios(spark):
+    v = np.random.default_rng(2).normal(size=(200, 5)) * [1, 3, 2, 0.5, 1]
+    df = spark.createDataFrame([(x.tolist(),) for x in v] + [(None,)], "learned array<double>")
+    want = np.sort(v.var(axis=0))[::-1] / v.var(axis=0).sum()
+    got = E.axis_ratios(df).orderBy("pc").collect()
+    assert [r.ratio for r in got] == pytest.approx(want.tolist()) and got[-1].cumulative == pytest.approx(1)
+
+
+def test_playlist_text_in_pieces(spark):
+    e = spark.createDataFrame([(p, i, "A", f"T{i}", None, None) for p in (1, 2) for i in range(1, 8 * p)],
+                              "playlist_id long, position long, artist string, title string, bpm double, musical_key string")
+    got = PL.playlist_text(e, 5).orderBy("playlist_id", "chunk").collect()
+    assert [(r.playlist_id, r.chunk) for r in got] == [(1, 0), (1, 1), (2, 0), (2, 1), (2, 2)]
+    assert "\n".join(r.text for r in got[2:]) == "\n".join(f"{i}. A — T{i}" for i in range(1, 16))
+
+
 def test_song_pairs_cover_all_songs(spark):
     df = spark.range(300).select("id", F.array(F.col("id").cast("double"), F.lit(1.0)).alias("learned"))
     pairs = E.song_pairs(df, rounds=3, buckets=8).collect()

@@ -202,3 +202,48 @@ def test_grouped_similarity_of_itself(spark):
     v = [math.sin(i) for i in range(44)]
     got = values(spark, [(v, v)], "a array<double>, b array<double>", C.grouped_similarity("a", "b"))
     assert got[0][0] == pytest.approx(1.0)
+
+
+# ------------------------------------------------------------------- trigrams
+
+def plain_grams(name):
+    import re
+    out = set()
+    for w in re.findall(r"[^\W_]+", name.lower()):
+        padded = f"  {w} "
+        out |= {padded[i:i + 3] for i in range(len(w) + 1)}
+    return out
+
+
+@pytest.mark.parametrize("percent", [30, 50, 80])
+def test_similar_names_match_brute_force(spark, percent):
+    import random
+
+    from soundalike.operators import names as N
+    r = random.Random(percent)
+    words = ["a", "of", "the", "night", "nights", "light", "lights", "söng", "blue", "b", "c3"]
+    hay = [" ".join(r.choices(words, k=r.randint(1, 4))) for _ in range(120)] + ["", "?!", None, "a", "a"]
+    needles = hay[:40] + ["a", "the", "nigth", "blue söngs", "", None, "a a a"]
+    a = spark.createDataFrame([(x, i) for i, x in enumerate(needles)], "needle string, hay int")
+    b = spark.createDataFrame([(x, i) for i, x in enumerate(hay)], "hay string, gram int")
+    got = {(x.needle, x.hay): x.similarity for x in N.similar_names(a, b, percent).collect()}
+    want = {}
+    for x in {n for n in needles if n is not None}:
+        for y in {h for h in hay if h is not None}:
+            g, h = plain_grams(x), plain_grams(y)
+            if g and h and 100 * len(g & h) >= percent * len(g | h):
+                want[x, y] = len(g & h) / len(g | h)
+    assert got == pytest.approx(want) and len(want) > 40
+    with pytest.raises(ValueError):
+        N.similar_names(a, b, 0)
+
+
+def test_similar_names_meet_on_rare_trigrams_only(spark):
+    from pyspark.sql import functions as F
+
+    from soundalike.operators import names as N
+    many = spark.range(3000).select(F.concat(F.lit("the song of "), F.md5(F.col("id").cast("string"))).alias("hay"))
+    found = N.similar_names(many.select(F.col("hay").alias("needle")).limit(300), many, 80)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan and "Python" not in plan
+    assert found.count() == 300
