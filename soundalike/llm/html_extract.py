@@ -15,12 +15,16 @@ What elements say about themselves is the prior of a node's importance, whose od
 what the tree has seen; nodes below ``LEAST`` are removed from each page.  Text inside ``article`` or ``main``
 has the prior ``INSIDE``, so there a node goes if nearly all of ten pages or more share its text; text of pages
 without these has an even one, and the tree decides alone.  Blocks with a class or id of ``MAYBE_NAMES`` have the
-prior ``NAMED``: they go unless the tree finds other text on page after page.  Scripts, navigation, footers,
-forms and the like, elements with a role, class or id of ``NOISE_NAMES``, and what stands outside ``article`` or
-``main`` on a page that has one, have a prior that nothing within ``BOUNDS`` lifts above ``LEAST``.
+prior ``NAMED``: they go unless the tree finds other text on page after page.  Navigation, footers, forms and the
+like, elements with a role, class or id of ``NOISE_NAMES``, and what stands outside ``article`` or ``main`` on a page
+that has one, are nodes of the tree, too, with the prior ``DECLARED``, which nothing within ``BOUNDS`` lifts above
+``LEAST``.  Only text that is never shown (scripts, styles, templates) has no node.
 
-A name counts as a whole class or id, not as a part of one; never on ``article``, ``main`` or a heading, and not
-for an ``article`` or ``main`` inside the named element that is the page's own, not one within another.
+Names count as whole classes or ids.  Of compound ones the parts in ``NOISE_PARTS`` count as much, unless another part
+says that they are about the page (``comments-open``); parts in ``MAYBE_NAMES`` lower the prior to ``PART``, so they go
+if the tree has seen their text again and again.  Names never count on
+``article``, ``main`` or a heading, and not for an ``article`` or ``main`` inside the named element that is the page's
+own, not one within another.
 
 Defined results: null or empty html gives an empty text.  Pages without a host are not merged with others.
 Unclosed elements, stray end tags and truncated pages are read as far as they go.  Repeated rows are extracted
@@ -47,6 +51,10 @@ LEAST = 0.2
 CONTENT = 0.9
 #: Prior importance of text inside article or main, of text on pages without these, and of MAYBE_NAMES.
 INSIDE, OPEN, NAMED = 0.9, 0.5, 0.1
+#: Prior where a part of a compound name is one of these.
+PART = 0.3
+#: Prior of what an element's tag, role or name says is not the article.
+DECLARED = 0.01
 BOUNDS = (0.01, 0.95)
 DOUBT = 0.5
 
@@ -75,6 +83,11 @@ topbar""".split())
 #: Names that may also be part of an article.
 MAYBE_NAMES = frozenset("""alert banner copyright header notice notices notification overlay related replies share
 skip social widget""".split())
+#: Parts of compound names that say it as well, and parts that say that a name is about something else.
+NOISE_PARTS = frozenset("""ad ads advert advertisement advertising adverts breadcrumb breadcrumbs comment comments consent
+cookie cookies disqus gdpr newsletter sidebar sponsored""".split())
+STATES = frozenset("""allowed closed count disabled enabled free has hide link no number off on open post show state type
+with without""".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Elements that are closed by the start of any of these.
 CLOSED_BY = {
@@ -93,7 +106,7 @@ NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 class Element:
     tag: str
     path: int
-    noise: int  # 0, 1 by a name that may be wrong, 2 by a name or as a form, 3 by its tag, role or style
+    noise: float  # 0, 0.5 by a part of a name that may be wrong, 1 by one, 2 by a name or as a form, 3 by tag, role or style
     declared: bool
     block: bool
 
@@ -102,9 +115,13 @@ class Element:
 class Block:
     path: int
     declared: bool
-    named: bool
+    noise: float
     text: str
 
+    @property
+    def prior(self) -> float:
+        return {0: INSIDE if self.declared else OPEN, 0.5: PART, 1: NAMED}.get(self.noise, DECLARED)
+
 
 @dataclass
 class Page:
@@ -114,7 +131,7 @@ class Page:
     def text(self, seen: dict[int, float] | None = None) -> str:
         """Text of the blocks that stay, given what the tree has seen of the nodes of this host."""
         return "\n".join(b.text for b in self.blocks if (b.declared or not self.has_main) and importance(
-            NAMED if b.named else INSIDE if b.declared else OPEN, (seen or {}).get(b.path, 0.5)) >= LEAST)
+            b.prior, (seen or {}).get(b.path, 0.5)) >= LEAST)
 
 
 def importance(prior: float, seen: float) -> float:
@@ -127,7 +144,7 @@ def _names(value: str) -> set[str]:
     return {x.lower() for x in NAME.findall(value)}
 
 
-def _facts(tag: str, attributes: str, inside: bool) -> tuple[str, int, bool]:
+def _facts(tag: str, attributes: str, inside: bool) -> tuple[str, float, bool]:
     """Style label of an element, how far it names itself noise, and whether it is main content."""
     noise = 2 if tag == "form" else 3 if tag in NOISE_TAGS or tag == "header" and not inside else 0
     main = tag in ("article", "main")
@@ -142,8 +159,13 @@ def _facts(tag: str, attributes: str, inside: bool) -> tuple[str, int, bool]:
     if not main and tag not in HEADINGS and tag not in ("html", "body"):
         whole = {x.replace("-", "").replace("_", "").lower() for x in said.split()}
         # A name that may be wrong is for the tree to confirm, which knows blocks only.
-        maybe = tag in BLOCKS and whole & MAYBE_NAMES - ({"header"} if inside else set())
-        noise = max(noise, 2 if whole & NOISE_NAMES else 1 if maybe else 0)
+        maybe = MAYBE_NAMES - ({"header"} if inside else set())
+        parts = [_names(x) for x in said.split()]
+        compound = [x for x in parts if len(x) > 1 and tag in BLOCKS]
+        # A box of comments is "post-comments" and a page that may have some "comments-open".
+        sure = whole & NOISE_NAMES or any(x & NOISE_PARTS and not x & (STATES - {"post"}) for x in compound)
+        part = any(x & (maybe - {"header", "skip"}) and not x & STATES for x in compound)
+        noise = max(noise, 2 if sure else 1 if tag in BLOCKS and whole & maybe else 0.5 if part else 0)
     if ("hidden" in got or got.get("aria-hidden", "").lower() == "true"
             or "display:none" in got.get("style", "").replace(" ", "").lower()):
         noise = 3
@@ -151,7 +173,7 @@ def _facts(tag: str, attributes: str, inside: bool) -> tuple[str, int, bool]:
 
 
 def parse(source: str) -> Page:
-    """Blocks of text that no declared noise encloses, in page order, each with its place in the style tree."""
+    """Blocks of text in page order, each with its place in the style tree and what its elements say about it."""
     page = Page()
     stack = [Element("", 0, 0, False, True)]
     held: list[str] = []
@@ -162,7 +184,11 @@ def parse(source: str) -> Page:
             held.clear()
             if words:
                 around = next(e for e in reversed(stack) if e.block)
-                page.blocks.append(Block(around.path, around.declared, around.noise == 1, " ".join(words)))
+                page.blocks.append(Block(around.path, around.declared, around.noise, " ".join(words)))
+
+    def counts() -> bool:
+        """Whether text at this place belongs to a block; inline noise inside an article's block does not."""
+        return stack[-1].noise < 2 or next(e for e in reversed(stack) if e.block).noise >= 2
 
     def close(tag: str, fences: frozenset[str]) -> None:
         for i in range(len(stack) - 1, 0, -1):
@@ -178,14 +204,14 @@ def parse(source: str) -> Page:
     while at < n:
         m = TAG.search(source, at)
         upto = m.start() if m else n
-        if upto > at and stack[-1].noise < 2:
+        if upto > at and counts():
             held.append(html.unescape(source[at:upto]))
         if not m:
             break
         at = m.end()
         tag = (m[2] or m[5] or "").lower()
         if not tag:
-            if source.startswith("<![CDATA[", m.start()) and stack[-1].noise < 2:
+            if source.startswith("<![CDATA[", m.start()) and counts():
                 held.append(source[m.start() + 9:at].removesuffix("]]>"))
             continue
         block = tag in BLOCKS
@@ -232,7 +258,7 @@ def _signed(x: int) -> int:
 
 
 def style_tree(pages: DataFrame, html_col: str = "html", url_col: str = "url") -> DataFrame:
-    """(host, path, pages, named, seen) of all nodes with text, those inside article or main included."""
+    """(host, path, pages, noise, seen) of all nodes with text, whatever they say about themselves."""
     rows = pages.select(host_of(url_col).alias("host"), F.col(html_col).alias("html")).where(
         "host is not null and html is not null").withColumn("page", F.xxhash64("html"))
 
@@ -245,22 +271,22 @@ def style_tree(pages: DataFrame, html_col: str = "html", url_col: str = "url") -
                     nodes: dict[int, list[str]] = {}
                     for b in parsed.blocks:
                         nodes.setdefault(b.path, []).append(b.text)
-                    named = {b.path for b in parsed.blocks if b.named}
+                    noise = {b.path: b.noise for b in parsed.blocks}
                     for path, held in nodes.items():
                         for text in set(held):
                             out.append((host, _signed(path), page, len(held),
-                                        _signed(xxhash.xxh64_intdigest(text)), path in named))
+                                        _signed(xxhash.xxh64_intdigest(text)), noise[path]))
                 columns = zip(*out) if out else ((),) * 6
-                kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_())
+                kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)],
-                                                 names=["host", "path", "page", "n", "block", "named"])
+                                                 names=["host", "path", "page", "n", "block", "noise"])
     found = stored(rows.transform(bounded).mapInArrow(
-        run, "host string, path bigint, page bigint, n bigint, block bigint, named boolean").distinct(), "style-nodes")
+        run, "host string, path bigint, page bigint, n bigint, block bigint, noise double").distinct(), "style-nodes")
     node = ("host", "path")
-    per_page = found.select(*node, "page", "n", "named").distinct()
-    shapes = per_page.groupBy(*node, "n").agg(F.count(F.lit(1)).alias("k"), F.max("named").alias("named"))
+    per_page = found.select(*node, "page", "n", "noise").distinct()
+    shapes = per_page.groupBy(*node, "n").agg(F.count(F.lit(1)).alias("k"), F.min("noise").alias("noise"))
     shapes = shapes.groupBy(*node).agg(F.sum("k").alias("pages"), F.sum(F.col("k") * F.log("k")).alias("klogk"),
-                                       F.max("named").alias("named"))
+                                       F.min("noise").alias("noise"))
     blocks = found.groupBy(*node, "block").agg(F.count(F.lit(1)).alias("k"))
     blocks = blocks.groupBy(*node).agg(F.avg(F.log("k")).alias("shared"))
     m = F.log("pages")
@@ -270,7 +296,7 @@ def style_tree(pages: DataFrame, html_col: str = "html", url_col: str = "url") -
     more = F.col("pages") - 1
     found = F.when(more > 0, CONTENT * content + (1 - CONTENT) * presentation).otherwise(0.0)
     return shapes.join(blocks, list(node)).select(
-        *node, "pages", "named", ((found * more + 0.5 * DOUBT) / (more + DOUBT)).alias("seen"))
+        *node, "pages", "noise", ((found * more + 0.5 * DOUBT) / (more + DOUBT)).alias("seen"))
 
 
 def extract(pages: DataFrame, html_col: str = "html", url_col: str = "url", text_col: str = "text") -> DataFrame:
@@ -281,7 +307,9 @@ def extract(pages: DataFrame, html_col: str = "html", url_col: str = "url", text
     """
     need(pages, html_col, url_col)
     tree = style_tree(pages, html_col, url_col)
-    low = stored(tree.where((F.col("seen") < LEAST) | F.col("named") & (F.col("seen") > 0.5)).groupBy("host").agg(
+    # What its elements rule out goes whatever the tree has seen.
+    decided = (F.col("noise") < 2) & ((F.col("seen") < LEAST) | (F.col("noise") > 0) & (F.col("seen") != 0.5))
+    low = stored(tree.where(decided).groupBy("host").agg(
         F.map_from_entries(F.collect_list(F.struct("path", "seen"))).alias("low")), "style-low")
     host, paths = private("host"), private("low")
     base = pages.drop(text_col) if text_col != html_col else pages

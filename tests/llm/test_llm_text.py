@@ -395,6 +395,63 @@ def test_names_count_whole_and_spare_articles(source, want):
     assert H.parse(source).text() == want
 
 
+@pytest.mark.parametrize("name", ["post-comments", "comments-area", "user-comments", "reader-comments", "cookie-consent-banner",
+                                  "advert-box", "userComments", "article_comments", "top-ad"])
+def test_parts_of_names(name):
+    assert H.parse(f"<article><p>x</p><div class='{name}'>no <p>no</p></div><p>y</p></article>").text() == "x\ny"
+    assert H.parse(f"<div id='{name}'><article><p>x</p></article></div>").text() == "x"
+
+
+@pytest.mark.parametrize("name", ["comments-open", "no-comments", "has-ads", "with-sidebar", "adventure", "commentary", "consented"])
+def test_parts_of_names_that_say_something_else(name):
+    assert H.parse(f"<div class='{name}'><p>x</p></div>").text() == "x"
+
+
+def test_parts_of_names_that_may_be_wrong(spark):
+    """The tree removes a notice that all pages share and keeps one that differs."""
+    rows = [(i, "http://h.example/x", f"<article><p>Own {i}.</p><div class='site-notice'>We moved.</div>"
+             f"<div class='editor-notice'>Corrected {i} times.</div></article>") for i in range(6)]
+    got = H.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r.text for r in got} == {f"Own {i}.\nCorrected {i} times." for i in range(6)}
+
+
+def plain_tree(pages):
+    """The tree of one host without Spark: what was seen of each node."""
+    import math
+    from collections import Counter, defaultdict
+    nodes, blocks = defaultdict(list), defaultdict(Counter)
+    for source in set(pages):
+        held = defaultdict(list)
+        for b in H.parse(source).blocks:
+            held[b.path].append(b.text)
+        for path, texts in held.items():
+            nodes[path].append(len(texts))
+            blocks[path].update(set(texts))
+    seen = {}
+    for path, counts in nodes.items():
+        m = len(counts)
+        found = 0.0
+        if m > 1:
+            content = 1 - sum(math.log(k) for k in blocks[path].values()) / len(blocks[path]) / math.log(m)
+            entropy = -sum(k / m * math.log(k / m) for k in Counter(counts).values()) / math.log(m)
+            found = H.CONTENT * content + (1 - H.CONTENT) * entropy
+        seen[path] = (found * (m - 1) + 0.5 * H.DOUBT) / (m - 1 + H.DOUBT)
+    return seen
+
+
+def test_tree_equals_plain_and_sees_what_is_declared(spark):
+    """A menu without a telling name, one with, a form and a notice inside the article are all nodes."""
+    pages = [f"<div class='top'>Home News</div><nav>Menu</nav><div class='tail'>Text {i} of its own.</div>"
+             f"<form>Search {i % 3}</form><div class='post-comments'>Reply {i}.</div>" for i in range(12)]
+    rows = [(i, f"http://h.example/{i}", p) for i, p in enumerate(pages)] + [(99, "http://h.example/0", pages[0])]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.path % (1 << 64): (r.seen, r.noise) for r in H.style_tree(df).collect()}
+    want = plain_tree(pages)
+    assert {k: v[0] for k, v in got.items()} == pytest.approx(want) and len(got) == 5
+    assert sorted(n for _, n in got.values()) == [0, 0, 2, 2, 3]
+    assert {r.text for r in H.extract(df).collect()} == {f"Text {i} of its own." for i in range(12)}
+
+
 def test_small_hosts_and_names_by_the_tree(spark):
     rows = [(10 * m + i, f"http://h{m}.example/{i}", f"<div class='slot'>Home News About</div><div class='notice'>Same "
              f"notice.</div><div class='related'>Work {i} of others.</div><div class='story'>Only {i} has this.</div>")
