@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -133,6 +134,14 @@ def windows(hashes: np.ndarray, counts: np.ndarray, width: int) -> tuple[np.ndar
     return np.concatenate(parts), n
 
 
+def give_back() -> None:
+    """Return freed memory to the machine: workers stay, and other stages need it."""
+    pa.default_memory_pool().release_unused()
+    trim = per_process("malloc_trim", lambda: getattr(ctypes.CDLL(None), "malloc_trim", None))
+    if trim:
+        trim(0)
+
+
 def text_blocks(batch: pa.RecordBatch, column: str) -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
     """Slices of a batch with their texts; a slice is one text or up to BLOCK characters."""
     texts = batch.column(batch.schema.get_field_index(column))
@@ -147,6 +156,7 @@ def text_blocks(batch: pa.RecordBatch, column: str) -> Iterator[tuple[pa.RecordB
         size += length
     if held:
         yield batch.slice(start, len(held)), held
+    give_back()
 
 
 #: Places of a top-k that nothing has filled; null ids count as the largest.

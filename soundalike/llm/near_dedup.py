@@ -51,8 +51,9 @@ DF_BUCKETS = 1 << 18
 RAREST = 1 / 2048
 #: Entries of the table of random values that shingles draw from, one draw per sample.
 POOL = 1 << 16
-BLOCK_ROWS = 512
-COLUMNS = 8192
+#: Bounds of a block of vectors: rows and bytes.
+BLOCK_ROWS, BLOCK_BYTES = 512, 8 << 20
+COLUMNS = 4096
 
 ENTRY = np.dtype([("h", "<u8"), ("w", "<f4"), ("n", "<u4")])
 
@@ -181,8 +182,9 @@ def _vectors(batches: Iterator[pa.RecordBatch], weight_of) -> Iterator[pa.Record
             entries["w"] = weight_of()[(found % np.uint64(DF_BUCKETS)).astype("i8")]
             ends = np.cumsum(sizes)
             data = [entries[b - n:b].tobytes() for b, n in zip(ends, sizes)]
-            yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index("node")),
-                                              pa.array(data, pa.binary())], names=["node", "vec"])
+            yield pa.RecordBatch.from_arrays(
+                [part.column(part.schema.get_field_index("node")), pa.array([len(x) for x in data], pa.int64()),
+                 pa.array(data, pa.binary())], names=["node", "bytes", "vec"])
 
 
 def similar(a: np.ndarray, b: np.ndarray) -> float:
@@ -316,7 +318,7 @@ def links(keyed: DataFrame, signed: DataFrame, weight_of) -> DataFrame:
     bloom, blocks = repeat_filter(wanted.select("k1"), "k1", wanted.count(), 1)
     texts = maybe_repeated(keyed, "k1", bloom, blocks, "hit").where("hit").drop("hit")
     vectors = stored(texts.join(wanted, ["k1", "k2"]).dropDuplicates(["node"]).select("node", "text")
-                     .transform(bounded).mapInArrow(lambda b: _vectors(b, weight_of), "node bigint, vec binary"), "near-vectors")
+                     .transform(bounded).mapInArrow(lambda b: _vectors(b, weight_of), "node bigint, bytes bigint, vec binary"), "near-vectors")
 
     stars = shared.join(centers, "bucket").where("node <> center").select(
         F.col("center").alias("a"), F.col("node").alias("b")).distinct()
@@ -327,19 +329,20 @@ def links(keyed: DataFrame, signed: DataFrame, weight_of) -> DataFrame:
     labels = components(first)
     state = shared.select("bucket", "node").join(labels, "node", "left").select(
         "bucket", "node", F.coalesce("root", "node").alias("comp"))
-    state = stored(state, "near-state")
+    state = stored(state.join(vectors.select("node", "bytes"), "node"), "near-state")
     open_ = state.groupBy("bucket").agg(
         F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("n"),
-        F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("members")).where("low <> high")
+        F.sum("bytes").alias("bytes"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("members")).where("low <> high")
     # Bands often gather the same texts; one bucket of each kind is enough.
-    open_ = open_.groupBy("n", "members").agg(F.min("bucket").alias("bucket"))
-    placed = state.join(open_, "bucket").withColumn("blocks", F.ceil(F.col("n") / BLOCK_ROWS).cast("int"))
+    blocks = F.greatest(F.ceil(F.col("n") / BLOCK_ROWS), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int")
+    open_ = open_.groupBy("n", "members").agg(F.min("bucket").alias("bucket"), F.max(blocks).alias("blocks"))
+    placed = state.select("bucket", "node", "comp").join(open_, "bucket")
     placed = placed.withColumn("own", F.pmod(F.xxhash64("node", F.lit(3)), F.col("blocks")).cast("int"))
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     placed = placed.select(
         "bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "comp",
         (F.col("own") > F.col("other")).cast("int").alias("side"))
-    second = placed.join(vectors, "node").groupBy("bucket", "i", "j").applyInArrow(_block, "a bigint, b bigint")
+    second = placed.join(vectors.select("node", "vec"), "node").groupBy("bucket", "i", "j").applyInArrow(_block, "a bigint, b bigint")
     return first.unionByName(stored(second, "near-links"))
 
 
