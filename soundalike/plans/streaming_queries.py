@@ -37,7 +37,7 @@ def _paths(spark, name):
 
 def _versions(spark, df, name, keys, mode="update"):
     out, cp = _paths(spark, name)
-    ST.write_versions(df, out, cp, mode).awaitTermination()
+    ST.write_versions(df, out, cp, mode, keys).awaitTermination()
     return ST.current(spark, out, keys)
 
 
@@ -127,7 +127,7 @@ def j10_stream(spark, sf):
     """The ledger of a work list that is read to its end as a stream."""
     out, cp = _paths(spark, "j10")
     ST.stream_feed(work_list(_streams(spark), sf), V.vectors(spark, sf), out, out + "-ledger", cp).awaitTermination()
-    return spark.read.parquet(out + "-ledger").select("deezer_id", "outcome")
+    return ST.current(spark, out + "-ledger", ["deezer_id"]).select("deezer_id", "outcome")
 
 
 @query("k8_events_per_source", """
@@ -162,10 +162,17 @@ s AS (SELECT *, sum(fresh) OVER (PARTITION BY session_hash ORDER BY created_at
 SELECT session_hash, strftime(min(created_at), '%Y-%m-%d %H:%M:%S') AS started, count(*) AS events
 FROM s GROUP BY session_hash, n""")
 def k9_sessions(spark, sf):
+    """Visits come out as they close; a mark after the last event closes the rest."""
     out, cp = _paths(spark, "k9s")
-    ST.write_versions(ST.stream_sessions(V.clicks(_streams(spark), sf), "10 minutes"), out, cp,
-                      "complete").awaitTermination()
-    return ST.last_batch(spark, out).select(
+    ends = out + "-ends"
+
+    def run():
+        visits = ST.stream_sessions(V.clicks(_streams(spark), sf), "10 minutes", ends=ST.end_marks(spark, ends))
+        ST.write_versions(visits, out, cp, "append").awaitTermination()
+    run()
+    ST.mark_end(spark, ends)
+    run()
+    return spark.read.parquet(out).select(
         "session_hash", F.date_format("started", TIME).alias("started"), "events")
 
 

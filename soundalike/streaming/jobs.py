@@ -7,6 +7,9 @@ mode) are versions of a row; :func:`current` reads the newest one per key.
 
 from __future__ import annotations
 
+import datetime
+import functools
+import logging
 import time
 from collections.abc import Callable, Iterator, Sequence
 
@@ -25,6 +28,7 @@ from soundalike.operators.search import nearest_for_new
 from soundalike.session import cut
 
 WEIGHT_TTL_SEC = 300
+LOG = logging.getLogger(__name__)
 
 
 # ------------------------------------------------------------------------- sources
@@ -46,57 +50,99 @@ def _start(df: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: st
             .trigger(**(trigger or {"availableNow": True})).foreachBatch(each).start())
 
 
-def write_versions(df: DataFrame, path: str, checkpoint: str, mode: str = "update", **trigger
-                   ) -> StreamingQuery:
-    """Every micro-batch to its own folder ``batch_id=n``."""
+#: Micro-batches between two snapshots of a sink that folds its versions.
+FOLD_EVERY = 20
+SNAPSHOT = "upto"
+#: Written last by Spark's committer: a folder without it is not finished and is not read.
+MARKER = "_SUCCESS"
+
+
+def write_versions(df: DataFrame, path: str, checkpoint: str, mode: str = "update",
+                   keys: Sequence[str] | None = None, fold_every: int = FOLD_EVERY, **trigger) -> StreamingQuery:
+    """Every micro-batch to its own folder ``batch_id=n``.
+
+    With ``keys`` every ``fold_every`` micro-batches are folded into a snapshot (:func:`compact`), so readers of
+    :func:`current` never open more than one snapshot and ``fold_every`` folders, however long the stream runs.
+    """
     def each(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        if keys and (batch_id + 1) % fold_every == 0:
+            compact(batch.sparkSession, path, keys, batch_id)
     return _start(df, each, checkpoint, mode, **trigger)
 
 
-SNAPSHOT = "upto"
+def _files(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
 def _folders(spark: SparkSession, path: str, name: str) -> list[int]:
     """Numbers of the folders ``name=n`` below ``path``, read through Spark's file system."""
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    at, fs = _files(spark, path)
     if not fs.exists(at):
         return []
     names = [s.getPath().getName() for s in fs.listStatus(at)]
     return sorted(int(n.split("=")[1]) for n in names if n.startswith(f"{name}="))
 
 
-def current(spark: SparkSession, path: str, keys: Sequence[str]) -> DataFrame:
-    """Newest version of every key written by :func:`write_versions`.
+def _finished(spark: SparkSession, folder: str) -> bool:
+    at, fs = _files(spark, f"{folder}/{MARKER}")
+    return fs.exists(at)
+
+
+def parts_of(spark: SparkSession, path: str, before: int | None = None) -> tuple[int | None, list[int]]:
+    """What :func:`current` reads: the newest finished snapshot and the finished micro-batches after it.
+
+    With ``before`` only what was written by micro-batches of lower numbers, as a replayed batch has to see it.
+    """
+    def earlier(n: int) -> bool:
+        return before is None or n < before
+    snapshots = (n for n in reversed(_folders(spark, f"{path}_snapshots", SNAPSHOT)) if earlier(n))
+    upto = next((n for n in snapshots if _finished(spark, f"{path}_snapshots/{SNAPSHOT}={n}")), None)
+    tail = [n for n in _folders(spark, path, "batch_id") if earlier(n) and (upto is None or n > upto)]
+    return upto, [n for n in tail if _finished(spark, f"{path}/batch_id={n}")]
+
+
+def _versions(spark: SparkSession, path: str, before: int | None = None) -> DataFrame | None:
+    upto, tail = parts_of(spark, path, before)
+    found = []
+    if upto is not None:
+        found.append(spark.read.parquet(f"{path}_snapshots/{SNAPSHOT}={upto}").withColumn(
+            "batch_id", F.lit(upto).cast("long")))
+    if tail:
+        found.append(spark.read.option("basePath", path).parquet(*[f"{path}/batch_id={n}" for n in tail]).withColumn(
+            "batch_id", F.col("batch_id").cast("long")))
+    return functools.reduce(DataFrame.unionByName, found) if found else None
+
+
+def current(spark: SparkSession, path: str, keys: Sequence[str], before: int | None = None) -> DataFrame | None:
+    """Newest version of every key written by :func:`write_versions`; None if nothing has been written.
 
     Reads the newest snapshot of :func:`compact`, if there is one, and the micro-batches after it.
     """
-    folded = f"{path}_snapshots"
-    upto = max(_folders(spark, folded, SNAPSHOT), default=None)
-    if upto is None:
-        versions = spark.read.parquet(path)
-    else:
-        versions = spark.read.parquet(f"{folded}/{SNAPSHOT}={upto}").withColumn("batch_id", F.lit(upto))
-        newer = [f"{path}/batch_id={n}" for n in _folders(spark, path, "batch_id") if n > upto]
-        if newer:
-            versions = versions.unionByName(spark.read.option("basePath", path).parquet(*newer))
+    versions = _versions(spark, path, before)
+    if versions is None:
+        return None
     rest = [c for c in versions.columns if c not in (*keys, "batch_id")]
     return (versions.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch_id").alias("v"))
             .select(*keys, "v.*"))
 
 
-def compact(spark: SparkSession, path: str, keys: Sequence[str]) -> None:
-    """Fold all finished micro-batches into a snapshot, which :func:`current` then starts from.
+def compact(spark: SparkSession, path: str, keys: Sequence[str], upto: int | None = None) -> None:
+    """Fold the finished micro-batches (those up to ``upto``) into a snapshot, which :func:`current` then starts from.
 
-    The snapshot is a new folder named by the last micro-batch in it; nothing that is being read is touched,
-    and folders up to that number may be removed at any later time.
+    The snapshot is a new folder named by the last micro-batch in it and counts once its marker is there, so
+    readers see the former state or the new one; nothing that is being read is touched.  A snapshot that is there
+    already stays, so a replay changes nothing.  Folders up to that number may be removed at any later time.
     """
-    done = _folders(spark, path, "batch_id")
-    if done:
-        current(spark, path, keys).write.mode("overwrite").parquet(
-            f"{path}_snapshots/{SNAPSHOT}={done[-1]}")
+    done = [n for n in _folders(spark, path, "batch_id") if upto is None or n <= upto]
+    if not done:
+        return
+    folder = f"{path}_snapshots/{SNAPSHOT}={done[-1]}"
+    if not _finished(spark, folder):
+        state = current(spark, path, keys, done[-1] + 1)
+        if state is not None:
+            state.write.mode("overwrite").parquet(folder)
 
 
 def last_batch(spark: SparkSession, path: str) -> DataFrame:
@@ -231,7 +277,7 @@ class Refreshed:
 
     The value is materialised on reading, so a source that fails does so here: the
     previous value stays and the source is not tried again before the next interval.
-    Used inside ``foreachBatch``, i.e. on the driver.
+    ``failures`` counts such readings and ``error`` is the last one; each is logged.  Used inside ``foreachBatch``, i.e. on the driver.
     """
 
     def __init__(self, load: Callable[[], DataFrame], ttl_sec: float = WEIGHT_TTL_SEC,
@@ -239,6 +285,8 @@ class Refreshed:
         self._load, self._ttl, self._clock = load, ttl_sec, clock
         self._at: float | None = None
         self._value: DataFrame | None = None
+        self.failures = 0
+        self.error: Exception | None = None
 
     def get(self) -> DataFrame | None:
         now = self._clock()
@@ -246,8 +294,9 @@ class Refreshed:
             self._at = now
             try:
                 self._value = cut(self._load())
-            except Exception:  # noqa: BLE001 - any source error keeps the old value
-                pass
+            except Exception as error:  # noqa: BLE001 - any source error keeps the old value
+                self.failures, self.error = self.failures + 1, error
+                LOG.warning("side input not read, the former value stays: %s", error)
         return self._value
 
 
@@ -281,22 +330,25 @@ def stream_beside(stream: DataFrame, side: Refreshed, join: Callable[[DataFrame,
 # ------------------------------------------------------------------- J10: work feed
 
 def stream_feed(work: DataFrame, existing: DataFrame, path: str, ledger: str, checkpoint: str,
-                key: str = "deezer_id", **trigger) -> StreamingQuery:
+                key: str = "deezer_id", fold_every: int = FOLD_EVERY, **trigger) -> StreamingQuery:
     """Outcomes of a work list as it grows, and a ledger of what has been dealt with.
 
     An item of an earlier micro-batch is ``processed``.  The ledger is written after the outcomes, a folder per
-    micro-batch; a replayed batch reads the folders before it only, so it comes out the same.
+    micro-batch, and folded like the versions of :func:`write_versions`; :func:`current` reads it.  A replayed
+    batch reads what came before it only, so it comes out the same.
     """
     def each(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        earlier = [f"{ledger}/batch_id={n}" for n in _folders(spark, ledger, "batch_id") if n < batch_id]
-        done = spark.read.parquet(*earlier).select(key) if earlier else None
+        earlier = _versions(spark, ledger, batch_id)
+        done = None if earlier is None else earlier.select(key)
         batch.persist()
         out = feed(batch, existing, done, key=key)
         out.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
         out.where(F.col("outcome") != "processed").select(key, "outcome").distinct().write.mode(
             "overwrite").parquet(f"{ledger}/batch_id={batch_id}")
         batch.unpersist()
+        if (batch_id + 1) % fold_every == 0:
+            compact(spark, ledger, [key], batch_id)
     return _start(work, each, checkpoint, **trigger)
 
 
@@ -334,15 +386,37 @@ def ab_windows(sessions: DataFrame) -> DataFrame:
         F.to_date(F.min("first")).alias("first_event"), F.to_date(F.max("last")).alias("last_event"))
 
 
+#: Time of the mark that ends a stream of events for good.
+FOREVER = datetime.datetime(9999, 1, 1)
+
+
+def end_marks(spark: SparkSession, path: str, ts: str = "created_at") -> DataFrame:
+    """The marks of :func:`mark_end` as a stream; there may be none yet, the folder is made."""
+    at, fs = _files(spark, path)
+    fs.mkdirs(at)
+    return spark.readStream.schema(f"{ts} timestamp").parquet(path)
+
+
+def mark_end(spark: SparkSession, path: str, at: datetime.datetime = FOREVER, ts: str = "created_at") -> None:
+    """Say that all events before ``at`` have been sent: visits that ended by then (less the lateness) are closed."""
+    spark.createDataFrame([(at,)], f"{ts} timestamp").coalesce(1).write.mode("append").parquet(path)
+
+
 def stream_sessions(stream: DataFrame, watermark: str, gap: str = "30 minutes",
-                    ts: str = "created_at") -> DataFrame:
+                    ts: str = "created_at", ends: DataFrame | None = None) -> DataFrame:
     """K9: visits of a session hash, closed after ``gap`` without an event.
 
     A later event can change the start of a visit, so versions by start would leave stale visits.  In append
-    mode only closed visits come out; in complete mode :func:`last_batch` is the whole result.
+    mode a visit comes out once, when it is closed, and leaves the state; ``ends``, a stream of :func:`end_marks`,
+    closes those that are still open when the events stop.  In complete mode :func:`last_batch` is the whole result.
     """
-    return (stream.withWatermark(ts, watermark)
-            .groupBy(F.session_window(ts, gap).alias("w"), "session_hash")
-            .agg(F.count("*").alias("events"))
+    rows = stream.select(ts, "session_hash", F.lit(False).alias("_end"))
+    if ends is not None:
+        rows = rows.unionByName(ends.select(ts, F.lit(None).cast("string").alias("session_hash"),
+                                            F.lit(True).alias("_end")))
+    return (rows.withWatermark(ts, watermark)
+            .groupBy(F.session_window(ts, gap).alias("w"), "session_hash", "_end")
+            # A condition on ``_end`` itself would be pushed below the watermark, which then never sees the marks.
+            .agg(F.count_if(~F.col("_end")).alias("events")).where("events > 0")
             .select("session_hash", F.col("w.start").alias("started"),
                     F.col("w.end").alias("ended"), "events"))

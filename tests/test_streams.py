@@ -171,6 +171,44 @@ def test_sessions_have_no_stale_visits(spark, tmp_path, files):
     assert got == [(T0, 3), (T0 + timedelta(minutes=70), 1)]
 
 
+@pytest.mark.parametrize("files", [1, 4])
+def test_sessions_come_out_once_when_closed(spark, tmp_path, files):
+    rows = [("s", T0 + timedelta(minutes=m)) for m in (9, 0, 70, 20)] + [("t", T0 + timedelta(minutes=15)), (None, T0)]
+    write_in_files(spark, rows, "session_hash string, created_at timestamp", tmp_path / "in", files)
+    out, cp, ends = (str(tmp_path / x) for x in ("out", "cp", "ends"))
+
+    def run():
+        visits = ST.stream_sessions(ST.read_table_stream(spark, str(tmp_path / "in"), 1), "1 day",
+                                    ends=ST.end_marks(spark, ends))
+        ST.write_versions(visits, out, cp, "append").awaitTermination()
+        return sorted(((r.session_hash, r.started, r.events) for r in spark.read.parquet(out).collect()), key=repr)
+    assert run() == []  # a day late is in time, so every visit is open
+    ST.mark_end(spark, ends, T0 + timedelta(days=1, minutes=60))
+    want = [("s", T0, 3), ("t", T0 + timedelta(minutes=15), 1), (None, T0, 1)]
+    assert run() == sorted(want, key=repr)
+    ST.mark_end(spark, ends)
+    assert run() == sorted([*want, ("s", T0 + timedelta(minutes=70), 1)], key=repr)
+
+
+def test_sinks_fold_their_versions(spark, tmp_path):
+    """However many micro-batches, a bounded number of folders is read, and the rows are those of the batch twin."""
+    write_in_files(spark, VOTES, VOTE_SCHEMA, tmp_path / "in", 18)
+    stream = ST.read_table_stream(spark, str(tmp_path / "in"), 1)
+    out, keys = str(tmp_path / "out"), ["query_song_id", "result_song_id"]
+    ST.write_versions(ST.stream_feedback_stats(stream), out, str(tmp_path / "cp"), keys=keys,
+                      fold_every=4).awaitTermination()
+    assert len(list((tmp_path / "out").glob("batch_id=*"))) == 18
+    upto, tail = ST.parts_of(spark, out)
+    assert upto == 15 and tail == [16, 17]
+    want = as_set(FB.feedback_stats(spark.createDataFrame(VOTES, VOTE_SCHEMA)))
+    assert as_set(ST.current(spark, out, keys)) == want
+    (tmp_path / "out_snapshots" / "upto=15" / "_SUCCESS").rename(tmp_path / "marker")  # an unfinished snapshot
+    assert ST.parts_of(spark, out) == (11, list(range(12, 18)))
+    assert as_set(ST.current(spark, out, keys)) == want
+    assert ST.parts_of(spark, out, 8) == (7, [])
+    assert ST.current(spark, str(tmp_path / "nothing"), keys) is None
+
+
 @pytest.mark.parametrize("files", [1, 3])
 def test_ab_windows_count_sessions_exactly(spark, tmp_path, files):
     rows = [(f"s{i % 7}", "ab"[i % 2], "click", T0 + timedelta(hours=i)) for i in range(60)]
@@ -204,10 +242,11 @@ def test_refreshed_keeps_value_on_error(spark):
     assert second is not first
     now[0] = 700
     assert side.get() is second and side.get() is second and len(calls) == 3
+    assert side.failures == 1 and isinstance(side.error, IOError)
 
 
-@pytest.mark.parametrize("files", [1, 3])
-def test_feed_stream_keeps_a_ledger(spark, tmp_path, files):
+@pytest.mark.parametrize("files, fold_every", [(1, 20), (3, 20), (8, 2)])
+def test_feed_stream_keeps_a_ledger(spark, tmp_path, files, fold_every):
     rows = [(i, 10 + i % 8, "u" if i % 3 else None) for i in range(8)]
     schema = "pos long, deezer_id long, preview_url string"
     write_in_files(spark, rows, schema, tmp_path / "in", files)
@@ -215,10 +254,12 @@ def test_feed_stream_keeps_a_ledger(spark, tmp_path, files):
     out, ledger, cp = (str(tmp_path / x) for x in ("out", "ledger", "cp"))
 
     def run():
-        ST.stream_feed(ST.read_table_stream(spark, str(tmp_path / "in"), 1), known, out, ledger, cp).awaitTermination()
-        return sorted((r.deezer_id, r.outcome) for r in spark.read.parquet(ledger).collect())
+        ST.stream_feed(ST.read_table_stream(spark, str(tmp_path / "in"), 1), known, out, ledger, cp,
+                       fold_every=fold_every).awaitTermination()
+        return sorted((r.deezer_id, r.outcome) for r in ST.current(spark, ledger, ["deezer_id"]).collect())
     want = sorted((10 + i, "skipped" if i < 2 else "queued" if i % 3 else "failed") for i in range(8))
     assert run() == want
     spark.createDataFrame(rows[:4], schema).write.mode("append").parquet(str(tmp_path / "in"))
     assert run() == want  # known items are not dealt with again
     assert spark.read.parquet(out).where("outcome = 'processed'").count() == 4
+    assert len(ST.parts_of(spark, ledger)[1]) <= fold_every
