@@ -127,21 +127,35 @@ def pair_sample(songs: DataFrame, n_pairs: int = 5000, n_songs: int = 3000, seed
         *[f"{x}_b" for x in columns])
 
 
+#: Rows of one group when rings of songs are walked.
+RING_SLICE = 100_000
+
+
 def song_pairs(songs: DataFrame, rounds: int = 10, buckets: int = 64, seed: int = 42,
-               columns: Sequence[str] = ("learned",)) -> DataFrame:
+               columns: Sequence[str] = ("learned",), slice_rows: int = RING_SLICE) -> DataFrame:
     """E13 over all songs: every song meets ``rounds`` random others, whatever the size of the table.
 
-    In each round songs are dealt to ``buckets`` by hash, and each is paired with the next one of its bucket in
-    hash order, the last with the first.  Only ids and hashes are sorted; vectors are joined to the pairs.
+    In each round songs are dealt to ``buckets`` rings by hash, and each is paired with the next one of its ring in
+    hash order, the last with the first.  Rings are walked in slices of the hash range of about ``slice_rows``
+    songs, as many as the table needs; the last song of a slice meets the first of the next slice, found among
+    one narrow row per slice.  Only ids and hashes are sorted; vectors are joined to the pairs.
     """
     have = songs.where(F.col(columns[0]).isNotNull())
+    slices = -(-have.count() // (buckets * slice_rows)) or 1
     dealt = have.select("id", F.explode(F.sequence(F.lit(1), F.lit(rounds))).alias("r")).withColumn(
         "h", F.md5(F.concat_ws(":", F.col("id").cast("string"), F.lit(str(seed)), F.col("r").cast("string"))))
     bucket = F.conv(F.substring("h", 1, 4), 16, 10).cast("long") % buckets
-    w = Window.partitionBy("r", bucket).orderBy("h", "id")
-    whole = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    pairs = dealt.select(F.col("id").alias("id_a"), F.coalesce(
-        F.lead("id").over(w), F.first("id").over(whole)).alias("id_b")).where("id_a <> id_b")
+    part = F.shiftright(F.conv(F.substring("h", 1, 8), 16, 10).cast("long") * slices, 32)  # grows with the hash
+    dealt = dealt.select("id", "r", "h", bucket.alias("bucket"), part.alias("part"))
+    ring, place = ["r", "bucket"], ["r", "bucket", "part"]
+    inside = Window.partitionBy(*place).orderBy("h", "id")
+    walked = dealt.select(*place, F.col("id").alias("id_a"), F.lead("id").over(inside).alias("id_b"))
+    heads = dealt.groupBy(*place).agg(F.min_by("id", F.struct("h", "id")).alias("head"))
+    along = Window.partitionBy(*ring).orderBy("part")
+    first = F.first("head").over(along.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    follow = heads.select(*place, F.coalesce(F.lead("head").over(along), first).alias("id_b"))
+    ends = walked.where(F.col("id_b").isNull()).drop("id_b").join(follow, place)
+    pairs = walked.where(F.col("id_b").isNotNull()).unionByName(ends).select("id_a", "id_b").where("id_a <> id_b")
     for side in "ab":
         pairs = pairs.join(have.select(F.col("id").alias(f"id_{side}"), *[
             F.col(x).alias(f"{x}_{side}") for x in columns]), f"id_{side}")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from soundalike.functions import text as X
@@ -148,21 +149,44 @@ def a7(spark, sf):
     return longs(RD.read_jamendo_meta(spark, _written(V.meta_lines(spark, sf), "meta")), "release_year")
 
 
-@query("a8_track_list_json", """
+TRACK_LIST_SQL = """
 SELECT p_partkey AS deezer_id, p_name AS title, p_brand AS artist, p_size::DOUBLE AS duration,
-  CASE WHEN p_partkey % 4 <> 0 THEN 'http://p/' || p_partkey END AS preview_url FROM part""")
-def a8(spark, sf):
-    path = scratch_path(spark, "track_list")
+  CASE WHEN p_partkey % 4 <> 0 THEN 'http://p/' || p_partkey END AS preview_url FROM part"""
+
+
+def _track_list(spark, sf):
     n = F.col("p_partkey")
     row = F.struct(
         n.alias("deezer_id"), F.col("p_name").alias("title"), F.col("p_brand").alias("artist"),
         F.col("p_size").cast("double").alias("duration"),
         F.when(n % 4 != 0, F.concat(F.lit("http://p/"), n.cast("string"))).alias("preview_url"))
-    V.table(spark, sf, "part").select(F.to_json(F.array(row)).alias("value")).write.text(path)
-    return RD.read_track_list(spark, path, lines=True).select(
+    return V.table(spark, sf, "part").select(n.alias("n"), row.alias("row"))
+
+
+def _read_track_list(spark, path, lines):
+    return RD.read_track_list(spark, path, lines=lines).select(
         "deezer_id", "title", "artist", "duration", "preview_url")
 
 
+@query("a8_track_list_json", TRACK_LIST_SQL)
+def a8(spark, sf):
+    path = scratch_path(spark, "track_list")
+    _track_list(spark, sf).select(F.to_json(F.array("row")).alias("value")).write.text(path)
+    return _read_track_list(spark, path, lines=True)
+
+
+@query("a8_track_array_json", TRACK_LIST_SQL)
+def a8_array(spark, sf):
+    """Files that are one array each, a track per line."""
+    path = scratch_path(spark, "track_arrays")
+    w = Window.partitionBy("shelf").orderBy("n")
+    tracks = _track_list(spark, sf).withColumn("shelf", F.col("n") % 8)
+    comma = F.when(F.row_number().over(w) == 1, "[").otherwise(",")
+    end = F.when(F.lead("n").over(w).isNull(), "]").otherwise("")
+    tracks.select("shelf", F.concat(comma, F.to_json("row"), end).alias("value")).write.partitionBy("shelf").text(path)
+    return _read_track_list(spark, path, lines=False)
+
+
 def _audio_files(spark, sf):
     n = F.col("doc_id")
     stem = F.when(n % 11 == 0, F.concat(F.lit("cover"), n.cast("string"))).otherwise(

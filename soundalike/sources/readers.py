@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from soundalike import schemas
 from soundalike.functions.text import nonempty, strip
 from soundalike.functions.vectors import parse_vector, valid_vector
-from soundalike.sources import csv_records
+from soundalike.sources import csv_records, json_records
 
 TAG_PREFIX = "genre---"
 RAW_TRACK_FIELDS = ("track_title", "artist_name", "album_title", "track_duration",
@@ -129,8 +129,10 @@ def read_jamendo_meta(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_track_list(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
-    """JSON arrays of crawled tracks: one per file, or one per line with ``lines``."""
-    return spark.read.schema(schemas.TRACK_LIST).option("multiLine", not lines).json(path)
+    """JSON arrays of crawled tracks: files of any size and layout, or one array per line with ``lines``."""
+    if lines:
+        return spark.read.schema(schemas.TRACK_LIST).json(path)
+    return json_records.read(spark, path, schemas.TRACK_LIST)
 
 
 def list_audio(spark: SparkSession, path: str, pattern: str = "*.mp3") -> DataFrame:

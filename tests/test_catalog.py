@@ -119,6 +119,24 @@ def test_tag_and_meta_lines(spark, tmp_path):
 def test_track_list_and_audio(spark, tmp_path):
     (tmp_path / "tracks.json").write_text(json.dumps([{"deezer_id": 1, "title": "a"}, {"deezer_id": 2}]))
     assert rows(RD.read_track_list(spark, str(tmp_path / "tracks.json")), "deezer_id") == [(1,), (2,)]
+    odd = [{"deezer_id": i, "title": t, "album": "x" * (i % 50)} for i, t in enumerate([
+        'a } b', '{"', '\\"}{', '\\\\', '}}{{', '', 'line\n}', '\u00e9}', '[{"deezer_id": 99}]'] * 40)]
+    for n, (layout, many) in enumerate([(None, False), (2, False), (None, True)]):
+        text = "\n".join(json.dumps([o]) for o in odd) if many else json.dumps(odd, indent=layout)
+        path = tmp_path / f"odd{n}.json"
+        path.write_text(text)
+        spark.conf.set("spark.sql.files.maxPartitionBytes", 1 << 10)  # many ranges, cut anywhere
+        try:
+            read = RD.read_track_list(spark, str(path))
+            assert read.rdd.getNumPartitions() > 4
+            assert rows(read, "deezer_id", "title", "album") == sorted(
+                ((o["deezer_id"], o["title"], o["album"]) for o in odd), key=repr)
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    (tmp_path / "none.json").write_text("[]\n")
+    assert RD.read_track_list(spark, str(tmp_path / "none.json")).count() == 0
+    (tmp_path / "deep.json").write_text('[{"a": {"b": {}}, "deezer_id": 7}, 5, null, {"deezer_id": "x"}, {}]')
+    assert rows(RD.read_track_list(spark, str(tmp_path / "deep.json")), "deezer_id") == [(7,), (None,), (None,)]
     for name in ("000/000002.mp3", "000/cover.mp3", "14/5.low.mp3"):
         f = tmp_path / "audio" / name
         f.parent.mkdir(parents=True, exist_ok=True)
@@ -370,6 +388,10 @@ def test_song_pairs_cover_all_songs(spark):
     assert len(pairs) == 900 and all(p.id_a != p.id_b for p in pairs)
     assert len({p.id_a for p in pairs}) == 300 and all(p.learned_b[0] == p.id_b for p in pairs)
     assert E.song_pairs(df.limit(0)).count() == 0
+    sliced = E.song_pairs(df, rounds=3, buckets=8, slice_rows=3).collect()  # some slices are empty
+    assert {(p.id_a, p.id_b) for p in sliced} == {(p.id_a, p.id_b) for p in pairs} and len(sliced) == 900
+    one = E.song_pairs(df.limit(2), rounds=2, buckets=1, slice_rows=1).collect()
+    assert sorted((p.id_a, p.id_b) for p in one) == [(0, 1), (0, 1), (1, 0), (1, 0)]
 
 
 def test_pca_of_nothing(spark):
