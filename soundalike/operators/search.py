@@ -124,10 +124,10 @@ def _hits_schema(query_type: T.DataType, id_type: T.DataType, extra_type: T.Data
         T.StructField("similarity", T.DoubleType()), T.StructField("extra", extra_type)])
 
 
-def _emit(schema: pa.Schema, qids, ids, scores, extra) -> pa.RecordBatch:
+def _emit(schema: pa.Schema, qids, ids, scores, extra, signal=None) -> pa.RecordBatch:
+    columns = (qids, ids, scores, extra) if signal is None else (qids, ids, scores, extra, signal)
     return pa.RecordBatch.from_arrays(
-        [pa.array(c, type=f.type, from_pandas=True)
-         for c, f in zip((qids, ids, scores, extra), schema)], schema=schema)
+        [pa.array(c, type=f.type, from_pandas=True) for c, f in zip(columns, schema)], schema=schema)
 
 
 # -------------------------------------------------------------------- strategies
@@ -375,11 +375,80 @@ def nearest(queries: DataFrame, songs: DataFrame, k: int, *, vec: str = "learned
     return best_per_query(_cells(q, cat, k, out, n_pivots=n_pivots, block_rows=block_rows), k)
 
 
-def _of_length(head: pa.Table, dim: int | None) -> tuple[pa.Table, int]:
+def _scan_signals(blocks: dict[str, tuple[np.ndarray, np.ndarray]], cat: DataFrame, k: int,
+                  out: T.StructType) -> DataFrame:
+    """As :func:`_scan` for several vector columns: ``blocks`` has the queries of each, rows are read once."""
+    shared = cat.sparkSession.sparkContext.broadcast(blocks)
+    arrow = to_arrow_schema(out)
+
+    def run(batches):
+        states = {name: _Running(q, k) for name, (_, q) in shared.value.items()}
+        held, n_held = [], 0
+
+        def flush():
+            table = pa.Table.from_batches(held)
+            for name, state in states.items():
+                have = table.filter(table.column(name).is_valid())
+                v, ok = _units(_matrix(have.column(name)))
+                if len(v):
+                    state.add(_values(have.column("id"))[ok], _values(have.column("extra"))[ok], v)
+
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+                n_held += batch.num_rows
+            if n_held >= BLOCK_ROWS:
+                flush()
+                held, n_held = [], 0
+        if held:
+            flush()
+        for name, state in states.items():
+            if state.scores is None:
+                continue
+            ids, width = shared.value[name][0], state.scores.shape[1]
+            step = max(1, 65536 // width)
+            for lo in range(0, len(ids), step):
+                hi = min(lo + step, len(ids))
+                columns = (np.repeat(ids[lo:hi], width), state.ids[lo:hi].ravel(), state.scores[lo:hi].ravel(),
+                           state.extra[lo:hi].ravel(), np.repeat(name, (hi - lo) * width))
+                yield _emit(arrow, *columns[:4], signal=columns[4])
+
+    return cat.mapInArrow(run, out)
+
+
+def nearest_by_signal(rows: DataFrame, k: int, signals: list[str], extra: str = "bpm") -> DataFrame:
+    """The ``k`` rows nearest to every row by each of several vector columns: as :func:`nearest`, with ``signal``.
+
+    If the queries fit the scan for all signals together, the table is read once for all of them.  Larger
+    tables are copied once in narrow form, which then serves a search per signal.
+    """
+    cat = rows.select("id", F.col(extra).alias("extra"), *signals)
+    hits = _hits_schema(cat.schema["id"].dataType, cat.schema["id"].dataType, cat.schema["extra"].dataType)
+    out = T.StructType([*hits, T.StructField("signal", T.StringType())])
+    head = cat.drop("extra").limit(MAX_SCAN_QUERIES + 1).toArrow()
+    if head.num_rows <= MAX_SCAN_QUERIES and head.nbytes <= MAX_SCAN_BYTES:
+        blocks, whole = {}, []
+        for name in signals:
+            some, dim = _of_length(head.select(["id", name]).filter(head.column(name).is_valid()).combine_chunks(), None, name)
+            m, ok = _units(_matrix(some.column(name)))
+            if len(m):
+                blocks[name] = (_values(some.column("id"))[ok], m)
+            whole.append(F.when(valid_vector(name, dim), F.col(name)).alias(name))
+        found = _scan_signals(blocks, cat.select("id", "extra", *whole), k, out)
+    else:
+        cat = cut(cat)
+        parts = [nearest(cat.select(F.col("id").alias("query_id"), F.col(name).alias("vector")), cat, k, vec=name,
+                         extra="extra").drop("rank").withColumn("signal", F.lit(name)) for name in signals]
+        found = functools.reduce(DataFrame.unionByName, parts)
+    w = Window.partitionBy("signal", "query_id").orderBy(F.desc("similarity"), "id")
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def _of_length(head: pa.Table, dim: int | None, name: str = "vec") -> tuple[pa.Table, int]:
     """Rows of a bounded query block whose vectors are whole and have ``dim`` (the most) elements."""
     if not head.num_rows:
         return head, dim or 0
-    vec = head.column("vec").combine_chunks()
+    vec = head.column(name).combine_chunks()
     sizes = vec.value_lengths().to_numpy(zero_copy_only=False)
     dim = int(sizes.max()) if dim is None else dim
     flat = vec.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False)

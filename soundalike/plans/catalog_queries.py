@@ -605,9 +605,7 @@ hits AS (SELECT signal, q, own, count(*) FILTER (genre = own) / 10 AS p
 @query("e7_precision_at_10", "WITH " + HITS_SQL + """
 SELECT signal, round(avg(p), 6) AS precision, count(*) AS count FROM hits GROUP BY ALL""")
 def e7(spark, sf):
-    songs = V.vectors(spark, sf)
-    parts = [E.precision_at_k(songs, s) for s in ("learned", "handcrafted", "fused")]
-    return K.unify(*parts).withColumn("precision", F.round("precision", 6))
+    return E.precision_of_signals(V.vectors(spark, sf)).withColumn("precision", F.round("precision", 6))
 
 
 @query("e8_precision_by_genre", "WITH " + HITS_SQL + """

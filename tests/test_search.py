@@ -338,3 +338,27 @@ def test_vectors_of_other_lengths_are_not_searched(spark, strategy):
     got = S.nearest(queries, songs, 5, strategy=strategy).collect()
     assert sorted((r.query_id, r.id) for r in got) == [(1, 1), (1, 5)]
     assert {r.reason: r["count"] for r in S.rejected(songs, 2).collect()} == {"length": 2, "element": 1, "missing": 1}
+
+
+def test_signals_of_one_scan(spark, monkeypatch):
+    """Precision of several signals at once: rows of the searches one by one, from one read or a narrow copy."""
+    import random
+
+    from soundalike.operators import evaluate as E
+    from soundalike.operators import search as SE
+    rng = random.Random(5)
+    rows = [(i, f"g{i % 3}" if i % 11 else None, [rng.gauss(0, 1) for _ in range(4)] if i % 7 else None,
+             [rng.gauss(i % 3, 1) for _ in range(3 if i % 13 else 2)]) for i in range(120)]
+    df = spark.createDataFrame(rows, "id long, genre string, learned array<double>, handcrafted_norm array<double>")
+    signals = ("learned", "handcrafted")
+    want = [E.precision_at_k(df, s, 5).first() for s in signals]
+    want = sorted((r["signal"], round(r["precision"], 9), r["count"]) for r in want)
+
+    def got():
+        out = E.precision_of_signals(df, signals, 5).collect()
+        return sorted((r["signal"], round(r["precision"], 9), r["count"]) for r in out)
+    assert got() == want
+    monkeypatch.setattr(SE, "MAX_SCAN_QUERIES", 10)
+    assert got() == want
+    none = E.precision_of_signals(df.limit(0), signals, 5).collect()
+    assert sorted((r["signal"], r["precision"], r["count"]) for r in none) == [("handcrafted", None, 0), ("learned", None, 0)]
