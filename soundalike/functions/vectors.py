@@ -71,6 +71,22 @@ def unit(v: ColumnOrName, floor: float | None = None) -> Column:
         F.transform(F.array(scale), lambda s: F.transform(col(v), lambda x: x / s)), F.lit(0))
 
 
+def exact_in_float(v: ColumnOrName) -> Column:
+    """Whether every element keeps its value in four bytes."""
+    return F.forall(col(v), lambda x: x.isNull() | (x == x.cast("float").cast("double")))
+
+
+def packed(v: ColumnOrName) -> Column:
+    """A vector to be moved: four bytes an element if that is exact, else as it is.  See :func:`unpacked`."""
+    exact = F.coalesce(exact_in_float(v), F.lit(False))
+    return F.struct(F.when(exact, col(v).cast("array<float>")).alias("narrow"), F.when(~exact, col(v)).alias("wide"))
+
+
+def unpacked(p: ColumnOrName) -> Column:
+    """The vector that :func:`packed` packed, the same in every element."""
+    return F.coalesce(col(p)["narrow"].cast("array<double>"), col(p)["wide"])
+
+
 def fold_chroma(h36: ColumnOrName, bins: int = 12, per_bin: int = 3) -> Column:
     """Sum groups of consecutive sub-bins."""
     return F.transform(

@@ -14,7 +14,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from soundalike.functions.layout import FOCUS
 from soundalike.functions.text import base_title
 from soundalike.functions.vectors import (
-    category_units, dot, has_weights, normalised_weights, unit)
+    category_units, dot, has_weights, normalised_weights, packed, unit, unpacked)
 
 MIN_SIMILARITY = 0.3
 MMR_LAMBDA = 0.7
@@ -103,21 +103,21 @@ def fuse(candidates: DataFrame, queries: DataFrame, songs: DataFrame,
     vectors = songs.select(
         "id", F.col(hc).alias("_hc"),
         (F.col(mert) if mert else F.lit(None).cast("array<double>")).alias("_mert"), *carry)
-    # Per-song work is done once per song, before the join multiplies the rows.
     per_category = focus is not None or genre_weights is not None or "focus" in queries.columns
     r_cat = category_units("_hc", layout) if per_category else F.lit(None).cast("array<double>")
-    vectors = vectors.select(
-        "id", *carry,
-        F.when(F.size("_hc") > 0, unit("_hc")).alias("r_hc"),
-        F.when(F.size("_hc") > 0, r_cat).alias("r_cat"),
-        F.when(F.size("_mert") > 0, unit("_mert")).alias("r_mert"))
+    # They travel as they came, in four bytes an element where that is exact; units are made where they meet.
+    vectors = vectors.select("id", *carry, packed("_hc").alias("_hc"), packed("_mert").alias("_mert"))
     q = _prepared_queries(queries, genre_weights, focus, layout)
     both = candidates.join(vectors, "id", "left").join(q, "query_id", "left")
+    both = both.withColumns({"_hc": unpacked("_hc"), "_mert": unpacked("_mert")})
+    both = both.withColumns({
+        "r_hc": F.when(F.size("_hc") > 0, F.when(F.col("by_category"), r_cat).otherwise(unit("_hc"))),
+        "r_mert": F.when(F.size("_mert") > 0, unit("_mert"))})
 
     # The vectors end here: what the window below buffers per query is a few numbers per candidate.
     both = both.select(
         "query_id", "id", "similarity", "rank", *carry, "w_mert", "w_plain", "q_has_hc",
-        F.when(F.col("by_category"), dot("q_hc", "r_cat")).otherwise(dot("q_hc", "r_hc")).alias("hc_sim"),
+        dot("q_hc", "r_hc").alias("hc_sim"),
         dot("q_mert", "r_mert").alias("mert_sim"), F.col("r_hc").isNotNull().alias("r_has_hc"),
         F.col("r_mert").isNotNull().alias("r_has_mert"), F.col("q_mert").isNotNull().alias("q_has_mert"))
     pool = Window.partitionBy("query_id")

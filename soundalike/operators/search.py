@@ -9,13 +9,14 @@ Two physical strategies give the same rows:
 
 ``cells``
     Both sides are large.  Catalogue rows are assigned to the nearest of a
-    bounded number of pivots.  A query first visits the cells that hold its
-    ``k`` closest pivots' rows, which gives a lower bound on its k-th score;
-    then only cells that can still beat the bound by the triangle inequality on
-    angles are visited.  Cells and their visitors are cut into blocks of a fixed
-    size, so a cell that holds a third of all rows is many bounded groups.  Pairs
-    are scored block against block as matrix products and never emitted; exact
-    copies of a vector are searched once.
+    bounded number of pivots.  Queries near each other form blocks, as large as
+    ``k`` hits a query allow.  A block first reads the cells that hold its queries'
+    ``k`` closest pivots' rows, which gives a lower bound on the k-th scores;
+    then only cells that can still beat a bound by the triangle inequality on
+    angles.  One task answers one block: the rows of the cells stream through it,
+    ``block_rows`` at most at a time, are scored as matrix products, and of a query
+    only its k best are kept and leave the task, once.  Exact copies of a vector
+    are searched once.
 
 Scores are rounded to 12 digits and ties go to the smaller id, so that the
 strategies and an SQL oracle agree.  Vectors of length zero have no direction and
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from soundalike.functions.vectors import valid_vector
+from soundalike.functions.vectors import exact_in_float, valid_vector
 from soundalike.session import cut
 
 DIGITS = 12
@@ -42,6 +43,10 @@ MAX_SCAN_BYTES = 32 << 20
 MAX_PIVOTS = 16384
 ANGLE_ROWS = 1024
 BLOCK_ROWS = 16384
+PIECE = 1 << 19  # scores that a task holds at a time
+BLOCK_VALUES = 2 << 20  # of a block of queries: hits that are kept, elements of vectors
+LEAST_QUERIES = 256
+BROADCAST_PAIRS = 1 << 20
 ANGLE_SLACK = 1e-6
 
 
@@ -204,8 +209,51 @@ def _without_surplus_copies(cat: DataFrame, k: int) -> DataFrame:
     return cat.join(crowded, "_h", "left_anti").unionByName(first).drop("_h")
 
 
+class _Best:
+    """The k best rows of each query of a block, from catalogue rows that come in pieces.
+
+    Only scores that reach a query's floor are kept; floors rise whenever what is kept is cut to k a query.
+    """
+
+    def __init__(self, q: np.ndarray, floor: np.ndarray, k: int):
+        self.q, self.k = q, k
+        self.floor = np.where(np.isnan(floor), -np.inf, floor)
+        self.kept, self.fresh, self.n_fresh = None, [], 0
+
+    def add(self, ids: np.ndarray, extra: np.ndarray, v: np.ndarray, asked: np.ndarray) -> None:
+        step = max(1, PIECE // max(1, len(v)))
+        for lo in range(0, len(asked), step):
+            rows = asked[lo:lo + step]
+            scores = self.q[rows] @ v.T
+            new = np.isneginf(self.floor[rows])
+            if len(v) >= self.k and new.any():  # the k-th best of a piece is a floor
+                kth = np.partition(scores[new], len(v) - self.k, axis=1)[:, len(v) - self.k]
+                self.floor[rows[new]] = np.round(kth, DIGITS)
+            row, col = np.nonzero(scores >= self.floor[rows, None] - 1e-11)
+            self.fresh.append((rows[row].astype("i4"), np.round(scores[row, col], DIGITS), ids[col], extra[col]))
+            self.n_fresh += len(row)
+            if self.n_fresh > max(PIECE, 0 if self.kept is None else len(self.kept[0]) // 4):
+                self.cut()
+
+    def cut(self) -> None:
+        parts = ([] if self.kept is None else [self.kept]) + self.fresh
+        self.fresh, self.n_fresh = [], 0
+        if not parts:
+            return
+        row, score, ids, extra = (np.concatenate(x) for x in zip(*parts))
+        del parts
+        self.kept = None
+        order = np.lexsort((ids if ids.dtype.kind in "iuf" else _rank_of(ids), -score, row))
+        row = row[order]
+        nth = np.arange(len(row)) - np.searchsorted(row, row)
+        order, row, nth = order[nth < self.k], row[nth < self.k], nth[nth < self.k]
+        self.kept = row, score[order], ids[order], extra[order]
+        last = nth == self.k - 1
+        self.floor[row[last]] = np.maximum(self.floor[row[last]], self.kept[1][last])
+
+
 def _cells(queries: DataFrame, cat: DataFrame, k: int, out: T.StructType, *,
-           n_pivots: int, block_rows: int) -> DataFrame:
+           n_pivots: int, block_rows: int, dim: int) -> DataFrame:
     spark = cat.sparkSession
     q_type, id_type, x_type = (out[c].dataType for c in ("query_id", "id", "extra"))
     vec_type = cat.schema["vec"].dataType  # float vectors travel as float
@@ -217,6 +265,10 @@ def _cells(queries: DataFrame, cat: DataFrame, k: int, out: T.StructType, *,
         return spark.createDataFrame([], out)
     pivot_ref = spark.sparkContext.broadcast(pivots)
 
+    def nearest_pivot(v):
+        return np.concatenate([(v[a:a + ANGLE_ROWS] @ pivot_ref.value.T).argmax(axis=1)
+                               for a in range(0, len(v), ANGLE_ROWS)]).astype("i4")
+
     assigned = T.StructType([
         T.StructField("id", id_type), T.StructField("extra", x_type),
         T.StructField("vec", vec_type), T.StructField("cell", T.IntegerType()),
@@ -228,13 +280,12 @@ def _cells(queries: DataFrame, cat: DataFrame, k: int, out: T.StructType, *,
             v, ok = _units(_matrix(batch.column("vec")))
             if not len(v):
                 continue
-            cell = np.concatenate([(v[a:a + ANGLE_ROWS] @ pivot_ref.value.T).argmax(axis=1)
-                                   for a in range(0, len(v), ANGLE_ROWS)])
+            cell = nearest_pivot(v)
             angle = np.arccos(np.clip(np.einsum("ij,ij->i", v, pivot_ref.value[cell]), -1.0, 1.0))
             kept = batch.filter(pa.array(ok))
             yield pa.RecordBatch.from_arrays([
                 kept.column("id"), kept.column("extra"), kept.column("vec"),
-                pa.array(cell, type=pa.int32()), pa.array(angle)], schema=assigned_arrow)
+                pa.array(cell), pa.array(angle)], schema=assigned_arrow)
 
     members = cut(cat.mapInArrow(assign, assigned))
     stats = members.groupBy("cell").agg(
@@ -245,84 +296,138 @@ def _cells(queries: DataFrame, cat: DataFrame, k: int, out: T.StructType, *,
     cell_ref = spark.sparkContext.broadcast((counts, radius))
 
     # Copies of a query vector are searched once.
-    reps = cut(queries.groupBy("_h", "vec").agg(F.min("query_id").alias("rep")))
+    reps = queries.groupBy("_h", "vec").agg(F.min("query_id").alias("rep"))
     q_vec_type = queries.schema["vec"].dataType
-    probe_schema = T.StructType([
-        T.StructField("rep", q_type), T.StructField("vec", q_vec_type),
-        T.StructField("floor", T.DoubleType()),
-        T.StructField("cells", T.ArrayType(T.IntegerType()))])
-    probe_arrow = to_arrow_schema(probe_schema)
+    probe = T.StructType([T.StructField("rep", q_type), T.StructField("vec", q_vec_type),
+                          T.StructField("home", T.IntegerType())])
+    probe_arrow = to_arrow_schema(probe)
+
+    def at_home(batches):
+        for batch in batches:
+            v, ok = _units(_matrix(batch.column("vec")))
+            if len(v):
+                kept = batch.filter(pa.array(ok))
+                yield pa.RecordBatch.from_arrays(
+                    [kept.column("rep"), kept.column("vec"), pa.array(nearest_pivot(v))], schema=probe_arrow)
+
+    probes = cut(reps.select("rep", "vec").mapInArrow(at_home, probe))
+    asked, total = [], 0
+    for row in probes.groupBy("home").agg(F.count("*").alias("n")).orderBy("home").collect():
+        asked.append((row.home, total, row.n))  # <= MAX_PIVOTS rows
+        total += row.n
+    if not total:
+        return spark.createDataFrame([], out)
+    # Blocks of queries of the same or following cells: what a task keeps (k hits a query) is bounded.
+    most = max(1, BLOCK_VALUES // max(k, dim))
+    size = min(most, max(LEAST_QUERIES, -(-total // (2 * spark.sparkContext.defaultParallelism))))
+    n_blocks = -(-total // size)
+    at = F.pmod(F.xxhash64("vec"), F.lit(1 << 30)) / float(1 << 30) * F.col("n") + F.col("before")
+    block = F.least(F.floor(at / size), F.lit(n_blocks - 1)).cast("int")
+    left = probes.join(F.broadcast(spark.createDataFrame(asked, "home int, before long, n long")), "home").select(
+        block.alias("block"), "rep", "vec", F.lit(None).cast("double").alias("floor"))
+    left_arrow = to_arrow_schema(left.schema)
+
+    def reached(v, floor, cells=slice(None)):
+        reach = np.arccos(np.clip(floor, -1.0, 1.0)) + ANGLE_SLACK
+        reach[~np.isfinite(floor)] = np.inf
+        return _angles(v, pivot_ref.value[cells]) - cell_ref.value[1][cells][None, :] <= reach[:, None]
 
     def visits(second: bool):
+        """(block, cell): the cells that some query of a block has to read."""
         def run(batches):
-            counts_, radius_ = cell_ref.value
+            counts_ = cell_ref.value[0]
             for batch in (b.slice(a, ANGLE_ROWS) for b in batches for a in range(0, b.num_rows, ANGLE_ROWS)):
-                v, ok = _units(_matrix(batch.column("vec")))
-                if not len(v):
+                v = _units(_matrix(batch.column("vec")))[0]
+                blocks = _values(batch.column("block"))
+                chosen = (reached(v, _values(batch.column("floor"))) if second
+                          else _home_cells(_angles(v, pivot_ref.value), counts_, k)) & (counts_[None, :] > 0)
+                for b in np.unique(blocks):
+                    cells = np.flatnonzero(chosen[blocks == b].any(axis=0))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.repeat(b, len(cells)).astype("i4")), pa.array(cells.astype("i4"))],
+                        names=["block", "cell"])
+        return run
+
+    hit = T.StructType([T.StructField("id", id_type), T.StructField("similarity", T.DoubleType()),
+                        T.StructField("extra", x_type)])
+    hits = T.StructType([T.StructField("rep", q_type), T.StructField("hits", T.ArrayType(hit))])
+    hits_arrow, hit_arrow = to_arrow_schema(hits), to_arrow_schema(hit)
+
+    def search_block(second: bool):
+        """One task, one block: its queries come first, then the rows of the cells that it reads."""
+        def run(batches):
+            asked, best = [], None
+
+            def begin():
+                table = pa.Table.from_batches(asked)
+                v = _units(_matrix(table.column("vec")))[0]
+                return table, _Best(v, _values(table.column("floor")), k)
+
+            for batch in batches:
+                cells = _values(batch.column("cell"))
+                n_asked = int(np.searchsorted(cells, 0))
+                if n_asked:
+                    asked.append(batch.slice(0, n_asked))
+                if n_asked == batch.num_rows:
                     continue
-                kept = batch.filter(pa.array(ok))
-                angles = _angles(v, pivot_ref.value)
-                chosen = _home_cells(angles, counts_, k)
-                if second:
-                    floor = _values(kept.column("floor"))
-                    reach = np.arccos(np.clip(floor, -1.0, 1.0)) + ANGLE_SLACK
-                    reach[np.isnan(floor)] = np.inf
-                    chosen = ~chosen & (angles - radius_[None, :] <= reach[:, None])
-                chosen &= counts_[None, :] > 0
-                lists = [np.nonzero(row)[0].astype(np.int32) for row in chosen]
-                yield pa.RecordBatch.from_arrays([
-                    kept.column("rep"), kept.column("vec"), kept.column("floor"),
-                    pa.array(lists, type=probe_arrow.field("cells").type)], schema=probe_arrow)
+                if best is None:
+                    table, best = begin()
+                batch, cells = batch.slice(n_asked), cells[n_asked:]
+                v, ids, extra = (_units(_matrix(batch.column("vec")))[0], _values(batch.column("id")),
+                                 _values(batch.column("extra")))
+                found, first = np.unique(cells, return_index=True)
+                for cell, a, b in zip(found, first, [*first[1:], len(cells)]):
+                    rows = (np.flatnonzero(reached(best.q, best.floor, [cell])[:, 0]) if second
+                            else np.arange(len(best.q)))
+                    for lo in range(a, b, block_rows):
+                        part = slice(lo, min(b, lo + block_rows))
+                        best.add(ids[part], extra[part], v[part], rows)
+            if best is None:
+                if not asked:
+                    return
+                table, best = begin()
+            best.cut()
+            if not second:  # the queries again, with the floors that their home cells give
+                n = np.zeros(len(best.q), "i8") if best.kept is None else np.bincount(best.kept[0], minlength=len(best.q))
+                table = table.select(left_arrow.names).set_column(
+                    left_arrow.get_field_index("floor"), "floor", pa.array(best.floor, mask=n < k))
+                yield from table.cast(left_arrow).combine_chunks().to_batches(max_chunksize=10000)
+            elif best.kept is not None:
+                row, score, ids, extra = best.kept
+                ends = np.searchsorted(row, np.arange(len(best.q) + 1))
+                reps_ = table.column("rep").combine_chunks()
+                step = max(1, 65536 // k)
+                for lo in range(0, len(best.q), step):
+                    hi = min(lo + step, len(best.q))
+                    part = slice(ends[lo], ends[hi])
+                    flat = [pa.array(c[part], type=f.type, from_pandas=True) for c, f in zip((ids, score, extra), hit_arrow)]
+                    lists = pa.ListArray.from_arrays(pa.array((ends[lo:hi + 1] - ends[lo]).astype("i4")),
+                                                     pa.StructArray.from_arrays(flat, fields=list(hit_arrow)))
+                    yield pa.RecordBatch.from_arrays([reps_.slice(lo, hi - lo), lists.cast(hits_arrow.field("hits").type)],
+                                                     schema=hits_arrow)
         return run
 
-    hits = T.StructType([T.StructField("query_id", q_type)] + list(out.fields[1:]))
-    hits_arrow = to_arrow_schema(hits)
-
-    def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows or not right.num_rows:
-            return hits_arrow.empty_table()
-        q, v = _units(_matrix(left.column("vec")))[0], _units(_matrix(right.column("vec")))[0]
-        ids, extra = _values(right.column("id")), _values(right.column("extra"))
-        q_ids, floor = _values(left.column("rep")), _values(left.column("floor"))
-        floor = np.where(np.isnan(floor), -np.inf, floor)
-        state = _Running(q, k)
-        state.add(ids, extra, v)
-        keep = state.scores >= floor[:, None]
-        row = np.nonzero(keep)[0]
-        return pa.Table.from_batches([_emit(
-            hits_arrow, q_ids[row], state.ids[keep], state.scores[keep], state.extra[keep])])
-
-    def visit(probed: DataFrame) -> DataFrame:
-        """Score visitors against members, block against block."""
-        plan = (probed.select(F.explode("cells").alias("cell")).groupBy("cell")
-                .agg(F.ceil(F.count("*") / block_rows).cast("int").alias("q_blocks")))
-        sizes = spark.createDataFrame(
-            [(r.cell, max(1, -(-r.n // block_rows))) for r in stats], "cell int, blocks int")
-        plan = F.broadcast(cut(plan.join(F.broadcast(sizes), "cell")))  # <= MAX_PIVOTS rows
-        left = (probed.select("rep", "vec", "floor", F.explode("cells").alias("cell"))
-                .join(plan, "cell")
-                .withColumn("q_block", F.pmod(F.xxhash64("rep"), "q_blocks").cast("int"))
-                .withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-                .select("cell", "block", "q_block", "rep", "vec", "floor"))
-        right = (members.join(plan, "cell")
-                 .withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
-                 .withColumn("q_block", F.explode(F.sequence(F.lit(0), F.col("q_blocks") - 1)))
-                 .select("cell", "block", "q_block", "id", "extra", "vec"))
-        keys = ("cell", "block", "q_block")
-        return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(score, hits)
-
-    no_floor = reps.select("rep", "vec", F.lit(None).cast("double").alias("floor"))
-    first = visit(cut(no_floor.mapInArrow(visits(False), probe_schema)))
-    found = cut(best_per_query(first, k))
-    floors = (found.groupBy("query_id").agg(
-        F.when(F.count("*") >= k, F.min("similarity")).alias("floor"))
-        .withColumnRenamed("query_id", "rep"))
-    rest = reps.join(floors, "rep", "left").select("vec", "rep", "floor")
-    second = visit(cut(rest.mapInArrow(visits(True), probe_schema)))
-    found = best_per_query(found.drop("rank").unionByName(second), k)
-    by_rep = found.drop("rank").withColumnRenamed("query_id", "rep")
-    owners = queries.join(reps, ["_h", "vec"]).select("query_id", "rep")
-    return owners.join(by_rep, "rep").select("query_id", "id", "similarity", "extra")
+    same = vec_type if vec_type == q_vec_type else T.ArrayType(T.DoubleType())
+
+    def visit(left: DataFrame, second: bool) -> DataFrame:
+        pairs = cut(left.mapInArrow(visits(second), "block int, cell int").distinct())
+        if pairs.count() <= BROADCAST_PAIRS:
+            pairs = F.broadcast(pairs)
+        none = F.lit(None)
+        rows = left.select("block", F.lit(-1).alias("cell"), "rep", "floor", none.cast(id_type).alias("id"),
+                           none.cast(x_type).alias("extra"), F.col("vec").cast(same).alias("vec"))
+        rows = rows.unionByName(members.join(pairs, "cell").select(
+            "block", "cell", none.cast(q_type).alias("rep"), none.cast("double").alias("floor"), "id", "extra",
+            F.col("vec").cast(same).alias("vec")))
+        rows = rows.repartitionById(n_blocks, F.col("block")).sortWithinPartitions("cell")
+        return rows.mapInArrow(search_block(second), hits if second else left.schema)
+
+    floored = cut(visit(left, False)) if len(pivots) > 1 else left
+    by_rep = visit(floored, True)
+    owners = queries.join(queries.groupBy("_h", "vec").agg(F.min("query_id").alias("rep")), ["_h", "vec"]).select(
+        "query_id", "rep")
+    return owners.join(by_rep, "rep").select("query_id", F.explode("hits").alias("h")).select(
+        "query_id", "h.id", "h.similarity", "h.extra")
 
 
 # ------------------------------------------------------------------- public API
@@ -370,9 +475,13 @@ def nearest(queries: DataFrame, songs: DataFrame, k: int, *, vec: str = "learned
         dim = q.agg(F.max(F.size("vec"))).first()[0] or 0
     # The catalogue is read once; all steps of the search start from its narrow copy.
     q, cat = q.where(valid_vector("vec", dim)), cut(cat.where(valid_vector("vec", dim)))
+    n, short = cat.agg(F.count("*"), F.min(exact_in_float("vec"))).first()
+    if short and q.agg(F.min(exact_in_float("vec"))).first()[0]:
+        # Vectors that are whole in four bytes an element travel so, and are scored as doubles all the same.
+        q, cat = (df.withColumn("vec", F.col("vec").cast("array<float>")) for df in (q, cat))
     if n_pivots is None:
-        n_pivots = int(min(MAX_PIVOTS, max(1, cat.count() // BLOCK_ROWS)))
-    return best_per_query(_cells(q, cat, k, out, n_pivots=n_pivots, block_rows=block_rows), k)
+        n_pivots = int(min(MAX_PIVOTS, max(1, n // BLOCK_ROWS)))
+    return best_per_query(_cells(q, cat, k, out, n_pivots=n_pivots, block_rows=block_rows, dim=dim), k)
 
 
 def _scan_signals(blocks: dict[str, tuple[np.ndarray, np.ndarray]], cat: DataFrame, k: int,
