@@ -33,7 +33,6 @@ PARTS = 16
 WORDS = 256
 CHECKED = 128
 QUERY_BLOCK = 2048
-KEPT = 1 << 20
 
 
 @dataclass
@@ -51,6 +50,10 @@ class Codebook:
             codes[:, m] = np.concatenate([((w * w).sum(axis=1) - 2 * p @ w.T).argmin(axis=1) for p in _pieces(part)])
         return cell.astype("i4"), codes
 
+    def decoded(self, cell: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """What codes stand for: a query's product with it is the sum of its look-ups."""
+        return (self.centroids[cell] + np.concatenate([w[codes[:, m]] for m, w in enumerate(self.words)], axis=1)).astype("f4")
+
     def tables(self, units: np.ndarray) -> np.ndarray:
         """Per query, part and word the product of the query's part with the word."""
         return np.stack([_padded(units[:, self.cuts[m]:self.cuts[m + 1]] @ w.T) for m, w in enumerate(self.words)], axis=1)
@@ -98,7 +101,7 @@ def encode(cat: DataFrame, book) -> DataFrame:
         for batch in batches:
             units, ok = search._units(search._matrix(batch.column("vec")))
             if len(units):
-                cell, codes = book.value.code(units)
+                cell, codes = Codebook(*book.value).code(units)
                 yield pa.RecordBatch.from_arrays([batch.filter(pa.array(ok)).column("id"), pa.array(cell), pa.array(
                     [c.tobytes() for c in codes], pa.binary())], schema=arrow)
     return cat.select("id", "vec").mapInArrow(run, out)
@@ -152,7 +155,7 @@ def calibrate(units: np.ndarray, hits: list[np.ndarray], coded: DataFrame, book_
 
     Two bounded jobs: cells and codes of the hits, and how many codes score better than each hit's.
     """
-    book, spark = book_ref.value, coded.sparkSession
+    book, spark = Codebook(*book_ref.value), coded.sparkSession
     wanted = sorted({i for h in hits for i in h.tolist()})
     if not wanted:
         return Plan(1, k, 1.0)
@@ -197,43 +200,25 @@ def calibrate(units: np.ndarray, hits: list[np.ndarray], coded: DataFrame, book_
 def _short_lists(coded: DataFrame, book_ref, units: np.ndarray, plan: Plan) -> DataFrame:
     """(query, id) of the best codes of each query; a task returns ``plan.short`` rows a query at most."""
     spark, id_type = coded.sparkSession, coded.schema["id"].dataType
-    shared = spark.sparkContext.broadcast((units, _nearest_cells(units, book_ref.value) < plan.probes))
+    shared = spark.sparkContext.broadcast((units, _nearest_cells(units, Codebook(*book_ref.value)) < plan.probes))
     out = T.StructType([T.StructField("query", T.IntegerType()), T.StructField("id", id_type),
                         T.StructField("score", T.FloatType())])
     arrow, short = to_arrow_schema(out), plan.short
 
     def run(batches):
         units_, reads = shared.value
-        book = book_ref.value
-        tables = book.tables(units_).astype("f4")
-        base = units_ @ book.centroids.T
-        held, size = [], 0
-
-        def best():
-            q, s, ids = (np.concatenate(x) for x in zip(*held))
-            order = np.lexsort((-s, q))
-            q = q[order]
-            nth = np.arange(len(q)) - np.searchsorted(q, q)
-            order = order[nth < short]
-            return [(q[nth < short], s[order], ids[order])]
-
+        book = Codebook(*book_ref.value)
+        best = search._Best(units_.astype("f4"), np.full(len(units_), np.nan), short)
         for batch in batches:
             ids = search._values(batch.column("id"))
-            for c, asked, rows, codes in _by_cell(batch, reads, tables.shape[1]):
-                scores = _scores(tables[asked], codes) + base[asked, c].astype("f4")[:, None]
-                take = np.argpartition(-scores, short - 1, axis=1)[:, :short] if len(rows) > short else np.broadcast_to(
-                    np.arange(len(rows)), scores.shape)
-                held.append((np.repeat(asked, take.shape[1]), np.take_along_axis(scores, take, 1).ravel(),
-                             ids[rows][take].ravel()))
-                size += take.size
-                if size > KEPT:
-                    held = best()
-                    size = len(held[0][0]) // 2  # what stays is bounded by queries x short
-        if held:
-            q, s, i = best()[0]
+            for c, asked, rows, codes in _by_cell(batch, reads, len(book.words)):
+                best.add(ids[rows], np.zeros(len(rows), "i1"), book.decoded(np.full(len(rows), c), codes), asked)
+        best.cut()
+        if best.kept is not None:
+            q, s, i, _ = best.kept
             for at in range(0, len(q), 65536):
                 part = slice(at, at + 65536)
-                yield pa.RecordBatch.from_arrays([pa.array(q[part].astype("i4")), pa.array(i[part], arrow.field("id").type),
+                yield pa.RecordBatch.from_arrays([pa.array(q[part]), pa.array(i[part], arrow.field("id").type, from_pandas=True),
                                                   pa.array(s[part], pa.float32())], schema=arrow)
     order = Window.partitionBy("query").orderBy(F.desc("score"), "id")
     return (coded.mapInArrow(run, out).withColumn("n", F.row_number().over(order)).where(F.col("n") <= short)
@@ -278,7 +263,7 @@ def nearest(queries: DataFrame, songs: DataFrame, k: int, *, target: float = 0.9
     book = fit(cat, int(min(MAX_CELLS, max(1, n ** 0.5)))) if n and n_queries else None
     if book is None:
         return search.best_per_query(spark.createDataFrame([], out), k)
-    book_ref = spark.sparkContext.broadcast(book)
+    book_ref = spark.sparkContext.broadcast((book.centroids, book.words, book.cuts))  # arrays: executors know no class of ours
     coded = cut(encode(cat, book_ref))
 
     by_hash = F.md5(F.col("query_id").cast("string"))
