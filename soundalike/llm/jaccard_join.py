@@ -10,7 +10,7 @@ Regions are made around pivots twice, and all filters are triangle inequalities:
 2. *Documents* as pivots, where a region is still large: members go to the nearest of up to ``PIVOTS`` pivots, and
    into a later region ``q`` also if ``d(x, q) <= d(x, own) + 2e`` and ``d(x, q) <= radius(q) + e`` with
    ``e = 1 - t``.  Every pair is together in the later one of its two regions.  Regions are split on until they
-   are small or a split no longer helps; those are joined block against block.
+   are small, or until a split would leave half of their pairs; those are joined block against block.
 
 Before any set travels, 64 pivot sets (all shingles of one hash class; 1,024 for long texts) give each document a
 short vector of intersection sizes, whose distance the symmetric difference bounds: members without a possible
@@ -379,8 +379,12 @@ def _distances(group_key, members: pa.Table, pivots: pa.Table) -> pa.Table:
                      "home": pa.array(apart.argmin(axis=1).astype("i4") if apart.size else np.zeros(len(sets), "i4"))})
 
 
-def split(members: DataFrame, sets: DataFrame, percent: int, depth: int) -> DataFrame:
-    """Members (region, node, size, comp, n) of large regions, in the regions of document pivots."""
+def split(members: DataFrame, sets: DataFrame, percent: int, depth: int) -> tuple[DataFrame, DataFrame]:
+    """Members (region, node, size, comp, n) of large regions, in the regions of document pivots; those that stay.
+
+    Where members are at like distances from each other, most go into most regions.  New regions are counted before
+    members are written out to them, and a region stays whole if they would leave half of its pairs or more.
+    """
     by_hash = Window.partitionBy("region").orderBy(F.xxhash64("node", F.lit(depth)))
     pivots = stored(members.withColumn("p", F.row_number().over(by_hash)).where(F.col("p") <= PIVOTS).select(
         "region", "node"), "jaccard-pivots")
@@ -400,14 +404,26 @@ def split(members: DataFrame, sets: DataFrame, percent: int, depth: int) -> Data
         (F.col("q") == F.col("home")) | (
             (F.col("q") > F.col("home")) & (F.col("dq") <= F.element_at("d", F.col("home") + 1) + 2 * e + tiny)
             & (F.col("dq") <= F.element_at("radius", F.col("q")) + e + tiny)))
-    return far.select(F.xxhash64("region", "q", F.lit(depth)).alias("region"), "node", "size", "comp",
-                      F.col("n").alias("before"))
-
-
-def _open(members: DataFrame, *more: str) -> DataFrame:
+    # Regions of two components or more, as in _open.
+    made = stored(far.groupBy("region", "q").agg(
+        F.count(F.lit(1)).alias("n"), F.first("n").alias("before"), F.min("comp").alias("low"),
+        F.max("comp").alias("high")).where("low <> high").select("region", "q", "n", "before"), "jaccard-made")
+    pairs = made.groupBy("region").agg(
+        F.sum(F.col("n").cast("double") * F.col("n")).alias("left"),
+        F.first("before").cast("double").alias("all"))
+    stays = stored(pairs.where(2 * F.col("left") > F.col("all") * F.col("all")).select("region"), "jaccard-whole")
+    made = made.join(stays, "region", "left_anti").select("region", "q", F.col("n").alias("now"))
+    # Members of regions that stay are dropped before they are written out.
+    apart = far.join(stays, "region", "left_anti").join(made, ["region", "q"])
+    return (apart.select(F.xxhash64("region", "q", F.lit(depth)).alias("region"), "node", "size", "comp",
+                         F.col("now").alias("n")),
+            members.join(stays, "region", "left_semi"))
+
+
+def _open(members: DataFrame) -> DataFrame:
     """Members of regions with two components or more, and their number ``n``."""
-    sizes = members.groupBy("region", *more).agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("low"),
-                                                 F.max("comp").alias("high")).where("low <> high")
+    sizes = members.groupBy("region").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("low"),
+                                          F.max("comp").alias("high")).where("low <> high")
     return members.join(sizes.select("region", "n"), "region")
 
 
@@ -478,11 +494,10 @@ def linked_nodes(keyed: DataFrame, signed: DataFrame, percent: int, leaf: int =
         large = rest.where(~small)
         while not large.isEmpty():
             depth += 1
-            made = stored(_open(split(large, sets, percent, depth)), "jaccard-split")
-            # A split that hardly helps is the last one: blocks against blocks.
-            last = small | (F.col("n") > 0.8 * F.col("before"))
-            done.append(_joined(made.where(last), sets, percent))
-            large = made.where(~last).drop("before")
+            made, whole = split(large, sets, percent, depth)
+            made = stored(made, "jaccard-split")
+            done.append(_joined(made.where(small).unionByName(whole.select(*made.columns)), sets, percent))
+            large = made.where(~small)
     out = done[0]
     for part in done[1:]:
         out = out.unionByName(part)

@@ -293,6 +293,30 @@ def test_join_matches_brute_force(spark, leaf, monkeypatch):
     assert (len(calls) >= 1) == (leaf < 10)
 
 
+def test_split_of_members_at_like_distances(spark, monkeypatch):
+    """Near copies that are mostly not linked: most would go into the regions of most pivots, so regions stay whole."""
+    monkeypatch.setattr(J, "PIVOTS", 8)
+    stored, rows_of = J.stored, {}
+
+    def counting(df, name):
+        out = stored(df, name)
+        rows_of.setdefault(name, []).append(out.count())
+        return out
+    monkeypatch.setattr(J, "stored", counting)
+    r = random.Random(3)
+    body, rows = [f"w{r.randrange(900)}" for _ in range(150)], []
+    for i in range(80):
+        words = list(body)
+        for _ in range(r.choice([1, 2, 2, 3])):
+            words[r.randrange(150)] = f"w{r.randrange(900)}"
+        rows.append((i, " ".join(words)))
+    got = joined(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), leaf=6)
+    assert got == plain_components(rows)
+    assert 1 < len({r[2] for r in got}) < len(rows)
+    members = rows_of["jaccard-rest"][0]
+    assert members > 6 and rows_of["jaccard-split"] and sum(rows_of["jaccard-split"]) <= 2 * members
+
+
 def test_join_on_registered_table(spark, documents):
     rows = [tuple(r) for r in documents.select("doc_id", "text").collect()]
     assert joined(documents) == plain_components(rows)
