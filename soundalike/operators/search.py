@@ -253,8 +253,12 @@ class _Best:
 
 
 def _cells(queries: DataFrame, cat: DataFrame, k: int, out: T.StructType, *,
-           n_pivots: int, block_rows: int, dim: int) -> DataFrame:
+           n_pivots: int, block_rows: int, dim: int, in_order: bool = False, alone: bool = False) -> DataFrame:
+    """The k best hits with their rank.  A task leaves them in order: if query ids do not repeat and no id is null
+    (``in_order``) that order is the rank, and nothing is shuffled for it.  ``alone``: nor do the queries' vectors repeat.
+    """
     spark = cat.sparkSession
+    nothing = best_per_query(spark.createDataFrame([], out), k)
     q_type, id_type, x_type = (out[c].dataType for c in ("query_id", "id", "extra"))
     vec_type = cat.schema["vec"].dataType  # float vectors travel as float
     queries = queries.withColumn("_h", F.xxhash64("vec"))
@@ -262,7 +266,7 @@ def _cells(queries: DataFrame, cat: DataFrame, k: int, out: T.StructType, *,
     cat = _without_surplus_copies(cat, k)
     pivots = _pivots(cat, n_pivots)
     if not len(pivots):
-        return spark.createDataFrame([], out)
+        return nothing
     pivot_ref = spark.sparkContext.broadcast(pivots)
 
     def nearest_pivot(v):
@@ -316,7 +320,7 @@ def _cells(queries: DataFrame, cat: DataFrame, k: int, out: T.StructType, *,
         asked.append((row.home, total, row.n))  # <= MAX_PIVOTS rows
         total += row.n
     if not total:
-        return spark.createDataFrame([], out)
+        return nothing
     # Blocks of queries of the same or following cells: what a task keeps (k hits a query) is bounded.
     most = max(1, BLOCK_VALUES // max(k, dim))
     size = min(most, max(LEAST_QUERIES, -(-total // (2 * spark.sparkContext.defaultParallelism))))
@@ -424,10 +428,15 @@ def _cells(queries: DataFrame, cat: DataFrame, k: int, out: T.StructType, *,
 
     floored = cut(visit(left, False)) if len(pivots) > 1 else left
     by_rep = visit(floored, True)
-    owners = queries.join(queries.groupBy("_h", "vec").agg(F.min("query_id").alias("rep")), ["_h", "vec"]).select(
-        "query_id", "rep")
-    return owners.join(by_rep, "rep").select("query_id", F.explode("hits").alias("h")).select(
-        "query_id", "h.id", "h.similarity", "h.extra")
+    if alone:
+        found = by_rep.withColumnRenamed("rep", "query_id")
+    else:
+        owners = queries.join(queries.groupBy("_h", "vec").agg(F.min("query_id").alias("rep")), ["_h", "vec"]).select(
+            "query_id", "rep")
+        found = owners.join(by_rep, "rep")
+    hits = found.select("query_id", F.posexplode("hits").alias("n", "h")).select(
+        "query_id", "h.id", "h.similarity", "h.extra", (F.col("n") + 1).alias("rank"))
+    return hits if in_order else best_per_query(hits.drop("rank"), k)
 
 
 # ------------------------------------------------------------------- public API
@@ -475,13 +484,17 @@ def nearest(queries: DataFrame, songs: DataFrame, k: int, *, vec: str = "learned
         dim = q.agg(F.max(F.size("vec"))).first()[0] or 0
     # The catalogue is read once; all steps of the search start from its narrow copy.
     q, cat = q.where(valid_vector("vec", dim)), cut(cat.where(valid_vector("vec", dim)))
-    n, short = cat.agg(F.count("*"), F.min(exact_in_float("vec"))).first()
+    n, short, no_id = cat.agg(F.count("*"), F.min(exact_in_float("vec")), F.max(F.col("id").isNull())).first()
     if short and q.agg(F.min(exact_in_float("vec"))).first()[0]:
         # Vectors that are whole in four bytes an element travel so, and are scored as doubles all the same.
         q, cat = (df.withColumn("vec", F.col("vec").cast("array<float>")) for df in (q, cat))
     if n_pivots is None:
         n_pivots = int(min(MAX_PIVOTS, max(1, n // BLOCK_ROWS)))
-    return best_per_query(_cells(q, cat, k, out, n_pivots=n_pivots, block_rows=block_rows, dim=dim), k)
+    # A repeated or null id, or two vectors of one hash, only cost the longer way.
+    rows, ids, vecs = q.agg(F.count("*"), F.count_distinct("query_id"), F.count_distinct(F.xxhash64("vec"))).first()
+    in_order = not no_id and rows == ids
+    return _cells(q, cat, k, out, n_pivots=n_pivots, block_rows=block_rows, dim=dim, in_order=in_order,
+                  alone=in_order and vecs == rows)
 
 
 def _scan_signals(blocks: dict[str, tuple[np.ndarray, np.ndarray]], cat: DataFrame, k: int,
