@@ -13,6 +13,7 @@ import logging
 import time
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -209,14 +210,40 @@ def stream_job_state(events: DataFrame) -> DataFrame:
 
 #: An absent time or number; it is before every other, as in :func:`job_state`.
 NOTHING = -(1 << 62)
+#: Due time of a job whose silence cannot be measured.
+NEVER = 1 << 62
 STALL_OUT = "job_id string, status string, updated_at timestamp, stalled boolean"
+STALL_STATE = "job array<string>, at array<long>, seq array<long>, due array<long>"
+#: Groups that :func:`stream_stalled_jobs` keeps its jobs in.
+JOB_GROUPS = 1 << 14
+
+
+def _newest_events(pdf: pd.DataFrame) -> Iterator[tuple]:
+    """``job, status, time, seq`` of the newest event of every job; of equal ones the last."""
+    def or_none(x):
+        return None if pd.isna(x) else x
+    absent = pdf["updated_at"].isna().to_numpy()
+    times = pd.to_datetime(pdf["updated_at"]).to_numpy("datetime64[us]").astype("i8")
+    times[absent] = NOTHING
+    if "seq" not in pdf:
+        seqs = np.zeros(len(pdf), "i8")
+    elif pdf["seq"].dtype.kind in "iu":
+        seqs = pdf["seq"].to_numpy("i8")
+    else:
+        seqs = np.array([NOTHING if pd.isna(x) else int(x) for x in pdf["seq"]], "i8")
+    codes, jobs = pd.factorize(pdf["job_id"], use_na_sentinel=False)
+    order = np.lexsort((seqs, times, codes))
+    newest = order[np.append(codes[order][1:] != codes[order][:-1], True)]
+    for job, status, at, seq in zip(jobs, pdf["status"].to_numpy()[newest], times[newest].tolist(), seqs[newest].tolist()):
+        yield or_none(job), or_none(status), at, seq
 
 
 def stream_stalled_jobs(events: DataFrame, after_sec: int = SILENT_SECONDS,
-                        clock: str = "processing", watermark: str | None = None) -> DataFrame:
+                        clock: str = "processing", watermark: str | None = None,
+                        groups: int = JOB_GROUPS) -> DataFrame:
     """K5: status changes, plus a ``stalled`` report once a job has been silent too long.
 
-    State per job is its last status and time.  A later real update is reported as
+    State per job that is being processed is its last time.  A later real update is reported as
     it comes and so replaces the stall.  ``clock="event"`` measures silence on event
     time behind ``watermark`` instead of the wall clock; the caller says how late events
     may be, and :func:`late_rows` counts what came later.  Events of one instant are
@@ -224,50 +251,58 @@ def stream_stalled_jobs(events: DataFrame, after_sec: int = SILENT_SECONDS,
     or ``seq`` is before every event that has one.  The wall clock needs a
     running query (``processingTime`` trigger): it always has one more batch to run,
     so ``availableNow`` would not end.
+
+    Jobs share the state of one of ``groups`` hash groups, so that a call of Python answers many of them; every
+    job has its own due time in it, and the group wakes up at the first.  ``groups`` stays fixed over a checkpoint.
     """
     on_event = clock == "event"
     if on_event and watermark is None:
         raise ValueError("event time needs a watermark: how late may events be?")
     source = events.withWatermark("updated_at", watermark) if on_event else events
+    job = F.col("job_id").cast("string")
+    source = source.select(job.alias("job_id"), "status", "updated_at", *[c for c in events.columns if c == "seq"],
+                           F.pmod(F.xxhash64(job), F.lit(groups)).alias("_group"))
     wait_ms = after_sec * 1000
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState
              ) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            status, at, _ = state.get
-            state.remove()
-            yield pd.DataFrame({
-                "job_id": [str(key[0])], "status": ["failed"],
-                "updated_at": [pd.Timestamp(at, unit="us")], "stalled": [True]})
-            return
-        last = tuple(state.get) if state.exists else None
-        for pdf in batches:
-            times = [NOTHING if pd.isna(t) else pd.Timestamp(t).value // 1000 for t in pdf["updated_at"]]
-            seqs = [NOTHING if pd.isna(x) else int(x) for x in pdf["seq"]] if "seq" in pdf else [0] * len(pdf)
-            for status, at, seq in zip(pdf["status"], times, seqs):
-                if last is None or (at, seq) >= last[1:]:
-                    last = (None if pd.isna(status) else status, at, seq)
-        if last is None:
-            return
-        if last[0] == "processing":
-            state.update(last)
-            if last[1] == NOTHING:
-                pass  # without a time there is no silence to measure
-            elif on_event:
-                due = last[1] // 1000 + wait_ms
-                state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
+        now = state.getCurrentWatermarkMs() if on_event else state.getCurrentProcessingTimeMs()
+        waiting = {j: rest for j, *rest in zip(*state.get)} if state.exists else {}
+        last = {}
+        for pdf in () if state.hasTimedOut else batches:
+            for job, status, at, seq in _newest_events(pdf):
+                if job not in last and job in waiting:
+                    last[job] = ("processing", *waiting[job][:2])
+                if job not in last or (at, seq) >= last[job][1:]:
+                    last[job] = (status, at, seq)
+        out = [(str(job), status, at, False) for job, (status, at, _) in last.items()]
+        for job in [j for j, (_, _, due) in waiting.items() if j not in last and due < now]:
+            out.append((str(job), "failed", waiting.pop(job)[0], True))
+        for job, (status, at, seq) in last.items():
+            if status != "processing":
+                waiting.pop(job, None)
+            elif at == NOTHING:  # without a time there is no silence to measure
+                waiting[job] = [at, seq, NEVER]
             else:
-                state.setTimeoutDuration(wait_ms)
+                waiting[job] = [at, seq, max(at // 1000 + wait_ms, now + 1) if on_event else now + wait_ms]
+        if waiting:
+            state.update(([*waiting], *map(list, zip(*waiting.values()))))
+            due = min(due for _, _, due in waiting.values())
+            if due < NEVER and on_event:
+                state.setTimeoutTimestamp(max(due, now + 1))
+            elif due < NEVER:
+                state.setTimeoutDuration(max(due - now, 1))
         elif state.exists:
             state.remove()
-        time_ = pd.NaT if last[1] == NOTHING else pd.Timestamp(last[1], unit="us")
-        yield pd.DataFrame({"job_id": [str(key[0])], "status": [last[0]],
-                            "updated_at": pd.Series([time_], dtype="datetime64[ns]"), "stalled": [False]})
+        if out:
+            jobs, statuses, times, stalled = zip(*out)
+            times = np.array([np.iinfo("i8").min if t == NOTHING else t for t in times], "datetime64[us]")
+            yield pd.DataFrame({"job_id": jobs, "status": pd.Series(statuses, dtype=object),
+                                "updated_at": times.astype("datetime64[ns]"), "stalled": stalled})
 
     timeout = (GroupStateTimeout.EventTimeTimeout if on_event
                else GroupStateTimeout.ProcessingTimeTimeout)
-    return source.groupBy("job_id").applyInPandasWithState(
-        step, STALL_OUT, "status string, at long, seq long", "update", timeout)
+    return source.groupBy("_group").applyInPandasWithState(step, STALL_OUT, STALL_STATE, "update", timeout)
 
 
 # ------------------------------------------------------- K6, K7: serving side inputs
