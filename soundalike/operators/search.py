@@ -44,7 +44,7 @@ MAX_PIVOTS = 16384
 ANGLE_ROWS = 1024
 BLOCK_ROWS = 16384
 PIECE = 1 << 19  # scores that a task holds at a time
-BLOCK_VALUES = 2 << 20  # of a block of queries: hits that are kept, elements of vectors
+BLOCK_VALUES = 8 << 20  # of a block of queries: hits that are kept, elements of vectors
 LEAST_QUERIES = 256
 BROADCAST_PAIRS = 1 << 20
 ANGLE_SLACK = 1e-6
@@ -209,47 +209,124 @@ def _without_surplus_copies(cat: DataFrame, k: int) -> DataFrame:
     return cat.join(crowded, "_h", "left_anti").unionByName(first).drop("_h")
 
 
+def _block_size(total: int, k: int, dim: int, tasks: int) -> int:
+    """Queries of a block: two blocks a task, unless they are too small or what is kept of them (24 bytes a value) too large."""
+    return min(max(1, BLOCK_VALUES // max(k, dim)), max(LEAST_QUERIES, -(-total // (2 * tasks))))
+
+
 class _Best:
     """The k best rows of each query of a block, from catalogue rows that come in pieces.
 
-    Only scores that reach a query's floor are kept; floors rise whenever what is kept is cut to k a query.
+    Products in single precision leave out rows that cannot reach a query's floor whatever their rounding; the
+    others are scored in double precision.  Floors rise whenever what is kept is cut to k a query.
     """
 
     def __init__(self, q: np.ndarray, floor: np.ndarray, k: int):
         self.q, self.k = q, k
+        self.single = q.dtype == np.float32  # then the products are the scores
+        self.q4 = q if self.single else q.astype("f4")
+        self.length = np.sqrt((q * q).sum(axis=1).max(initial=0.0))
         self.floor = np.where(np.isnan(floor), -np.inf, floor)
-        self.kept, self.fresh, self.n_fresh = None, [], 0
+        self.score = np.empty((len(q), 0), q.dtype)  # as wide as the longest list so far; with -inf, nothing is kept there
+        self.ids = self.extra = None
+        self.fresh, self.n_fresh = [], 0
 
     def add(self, ids: np.ndarray, extra: np.ndarray, v: np.ndarray, asked: np.ndarray) -> None:
+        v4, slack = v.astype("f4", copy=False), 0.0
+        if not self.single:  # above what rounding makes of a product of two such vectors
+            slack = (v.shape[1] + 16) * 1.2e-7 * self.length * np.sqrt((v * v).sum(axis=1).max(initial=0.0))
         step = max(1, PIECE // max(1, len(v)))
+        part = max(1, PIECE // max(1, v.shape[1]))
         for lo in range(0, len(asked), step):
             rows = asked[lo:lo + step]
-            scores = self.q[rows] @ v.T
+            rough = self.q4[rows] @ v4.T
             new = np.isneginf(self.floor[rows])
             if len(v) >= self.k and new.any():  # the k-th best of a piece is a floor
-                kth = np.partition(scores[new], len(v) - self.k, axis=1)[:, len(v) - self.k]
-                self.floor[rows[new]] = np.round(kth, DIGITS)
-            row, col = np.nonzero(scores >= self.floor[rows, None] - 1e-11)
-            self.fresh.append((rows[row].astype("i4"), np.round(scores[row, col], DIGITS), ids[col], extra[col]))
-            self.n_fresh += len(row)
-            if self.n_fresh > max(PIECE, 0 if self.kept is None else len(self.kept[0]) // 4):
+                kth = np.partition(rough[new], len(v) - self.k, axis=1)[:, len(v) - self.k]
+                self.floor[rows[new]] = kth - 2 * slack
+            at = np.flatnonzero(rough >= (self.floor[rows] - 2 * slack).astype("f4")[:, None])
+            row, col = np.divmod(at, max(1, len(v)))
+            if self.single:
+                self.fresh.append((rows[row].astype("i4"), np.round(rough.ravel()[at], DIGITS), ids[col], extra[col]))
+                self.n_fresh += len(row)
+                row = row[:0]
+            del rough, at
+            for a in range(0, len(row), part):
+                r, c = rows[row[a:a + part]], col[a:a + part]
+                score = np.round(np.einsum("ij,ij->i", self.q[r], v[c]), DIGITS)
+                good = score >= self.floor[r] - 1e-11
+                r, c = r[good], c[good]
+                self.fresh.append((r.astype("i4"), score[good], ids[c], extra[c]))
+                self.n_fresh += len(r)
+            if self.n_fresh > PIECE:
                 self.cut()
 
     def cut(self) -> None:
-        parts = ([] if self.kept is None else [self.kept]) + self.fresh
-        self.fresh, self.n_fresh = [], 0
-        if not parts:
+        if not self.n_fresh:
+            self.fresh = []
             return
-        row, score, ids, extra = (np.concatenate(x) for x in zip(*parts))
-        del parts
-        self.kept = None
-        order = np.lexsort((ids if ids.dtype.kind in "iuf" else _rank_of(ids), -score, row))
-        row = row[order]
-        nth = np.arange(len(row)) - np.searchsorted(row, row)
-        order, row, nth = order[nth < self.k], row[nth < self.k], nth[nth < self.k]
-        self.kept = row, score[order], ids[order], extra[order]
-        last = nth == self.k - 1
-        self.floor[row[last]] = np.maximum(self.floor[row[last]], self.kept[1][last])
+        row, *new = (np.concatenate(x) for x in zip(*self.fresh))
+        self.fresh, self.n_fresh = [], 0
+        order = np.argsort(row, kind="stable")
+        counts = np.bincount(row, minlength=len(self.q))
+        ends, had = np.cumsum(counts), self.score.shape[1]
+        if self.ids is None:
+            self.ids, self.extra = (np.empty(self.score.shape, x.dtype) for x in new[1:])
+        wide = min(self.k, had + int(counts.max()))
+        kept = []
+        for old, x, nothing in zip((self.score, self.ids, self.extra), new, (-np.inf, 0, 0)):
+            kind = old.dtype if old.dtype == x.dtype else np.result_type(old, x)  # another piece may hold nulls
+            if wide > had or kind != old.dtype:
+                more = np.full((len(self.q), wide), nothing, kind)
+                more[:, :had] = old
+                old = more
+            kept.append(old)
+        self.score, self.ids, self.extra = kept
+        queries = np.flatnonzero(counts)
+        queries = queries[np.argsort(-counts[queries], kind="stable")]  # queries of like counts share a table
+        lo = 0
+        while lo < len(queries):
+            width = int(counts[queries[lo]])
+            some = queries[lo:lo + max(1, PIECE // (wide + width))]
+            lo += len(some)
+            there = np.arange(width)[None, :] < counts[some][:, None]
+            at = order[np.where(there, (ends - counts)[some][:, None] + np.arange(width), 0)]
+            score, ids, extra = (np.concatenate([old[some], x[at]], axis=1) for old, x in zip(kept, new))
+            score[:, wide:][~there] = -np.inf
+            pos = np.argpartition(-score, wide - 1, axis=1)[:, :wide]
+            edge = np.take_along_axis(score, pos, 1).min(axis=1)
+            tied = np.flatnonzero(((score >= edge[:, None]).sum(axis=1) > wide) & np.isfinite(edge))
+            for i in tied:
+                cand = np.flatnonzero(score[i] >= edge[i])
+                pos[i] = cand[np.lexsort((_in_order(ids[i, cand]), -score[i, cand]))[:wide]]
+            for old, x in zip(kept, (score, ids, extra)):
+                old[some] = np.take_along_axis(x, pos, 1)
+            if wide == self.k:
+                self.floor[some] = np.maximum(self.floor[some], edge)
+
+    @property
+    def few(self) -> np.ndarray:
+        """Which queries have fewer than k hits."""
+        return np.isfinite(self.score).sum(axis=1) < self.k
+
+    @property
+    def kept(self) -> tuple[np.ndarray, ...] | None:
+        """Places of the queries, and scores, ids and extra values of what they keep, best first; None if there is nothing."""
+        if self.ids is None:
+            return None
+        ends, *rest = self.ranked(0, len(self.q))
+        return np.repeat(np.arange(len(self.q), dtype="i4"), np.diff(ends)), *rest
+
+    def ranked(self, lo: int, hi: int) -> tuple[np.ndarray, ...]:
+        """Ends of the lists of queries ``lo`` to ``hi``, and their scores, ids and extra values, best first."""
+        row, col = np.nonzero(np.isfinite(self.score[lo:hi]))
+        score, ids, extra = (x[lo:hi][row, col] for x in (self.score, self.ids, self.extra))
+        order = np.lexsort((_in_order(ids), -score, row))
+        return np.searchsorted(row, np.arange(hi - lo + 1)), score[order], ids[order], extra[order]
+
+
+def _in_order(ids: np.ndarray) -> np.ndarray:
+    return ids if ids.dtype.kind in "iuf" else _rank_of(ids)
 
 
 def _cells(queries: DataFrame, cat: DataFrame, k: int, out: T.StructType, *,
@@ -322,8 +399,7 @@ def _cells(queries: DataFrame, cat: DataFrame, k: int, out: T.StructType, *,
     if not total:
         return nothing
     # Blocks of queries of the same or following cells: what a task keeps (k hits a query) is bounded.
-    most = max(1, BLOCK_VALUES // max(k, dim))
-    size = min(most, max(LEAST_QUERIES, -(-total // (2 * spark.sparkContext.defaultParallelism))))
+    size = _block_size(total, k, dim, spark.sparkContext.defaultParallelism)
     n_blocks = -(-total // size)
     at = F.pmod(F.xxhash64("vec"), F.lit(1 << 30)) / float(1 << 30) * F.col("n") + F.col("before")
     block = F.least(F.floor(at / size), F.lit(n_blocks - 1)).cast("int")
@@ -392,20 +468,17 @@ def _cells(queries: DataFrame, cat: DataFrame, k: int, out: T.StructType, *,
                 table, best = begin()
             best.cut()
             if not second:  # the queries again, with the floors that their home cells give
-                n = np.zeros(len(best.q), "i8") if best.kept is None else np.bincount(best.kept[0], minlength=len(best.q))
                 table = table.select(left_arrow.names).set_column(
-                    left_arrow.get_field_index("floor"), "floor", pa.array(best.floor, mask=n < k))
+                    left_arrow.get_field_index("floor"), "floor", pa.array(best.floor, mask=best.few))
                 yield from table.cast(left_arrow).combine_chunks().to_batches(max_chunksize=10000)
-            elif best.kept is not None:
-                row, score, ids, extra = best.kept
-                ends = np.searchsorted(row, np.arange(len(best.q) + 1))
+            elif best.ids is not None:
                 reps_ = table.column("rep").combine_chunks()
                 step = max(1, 65536 // k)
                 for lo in range(0, len(best.q), step):
                     hi = min(lo + step, len(best.q))
-                    part = slice(ends[lo], ends[hi])
-                    flat = [pa.array(c[part], type=f.type, from_pandas=True) for c, f in zip((ids, score, extra), hit_arrow)]
-                    lists = pa.ListArray.from_arrays(pa.array((ends[lo:hi + 1] - ends[lo]).astype("i4")),
+                    ends, score, ids, extra = best.ranked(lo, hi)
+                    flat = [pa.array(c, type=f.type, from_pandas=True) for c, f in zip((ids, score, extra), hit_arrow)]
+                    lists = pa.ListArray.from_arrays(pa.array(ends.astype("i4")),
                                                      pa.StructArray.from_arrays(flat, fields=list(hit_arrow)))
                     yield pa.RecordBatch.from_arrays([reps_.slice(lo, hi - lo), lists.cast(hits_arrow.field("hits").type)],
                                                      schema=hits_arrow)
