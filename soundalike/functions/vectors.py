@@ -152,6 +152,23 @@ def category_units(v: ColumnOrName, layout: Mapping[str, Sequence[int]] = FOCUS,
     return F.get(F.transform(F.array(factors), scaled), F.lit(0))
 
 
+def category_part(v: ColumnOrName, name: str, layout: Mapping[str, Sequence[int]] = FOCUS) -> Column:
+    """What the units of one category are made of: as many elements of ``v`` as the category has, NULL if ``v`` has none.
+
+    With ``{name: range(n)}`` as its layout the part has the units that ``v`` has there.  Positions past the end
+    are 0, and so are missing elements where :func:`gather` skips them.  If a unit of any category of ``v`` is
+    NaN, all of the part is, as is a sum over all categories.  Elements past the layout's end follow as zeros.
+    """
+    v, dims = col(v), list(layout[name])
+    skips = dims != list(range(dims[0], dims[0] + len(dims)))
+    elements = [F.when(F.size(v) > i, F.coalesce(F.get(v, F.lit(i)), F.lit(0.0)) if skips else F.get(v, F.lit(i)))
+                .otherwise(0.0) for i in dims]
+    nan = F.array_repeat(F.lit(float("nan")), len(dims))
+    part = F.when(F.exists(category_units(v, layout), F.isnan), nan).otherwise(F.array(*elements))
+    width = 1 + max(i for own in layout.values() for i in own)
+    return F.when(F.size(v) > 0, F.concat(part, F.array_repeat(F.lit(0.0), F.greatest(F.size(v) - width, F.lit(0)))))
+
+
 def feature_similarity(q: ColumnOrName, r: ColumnOrName,
                        layout: Mapping[str, Sequence[int]] = FOCUS,
                        focus: str | None = None,

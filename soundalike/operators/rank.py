@@ -14,7 +14,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from soundalike.functions.layout import FOCUS
 from soundalike.functions.text import base_title
 from soundalike.functions.vectors import (
-    category_units, dot, has_weights, normalised_weights, packed, unit, unpacked)
+    category_part, category_units, dot, has_weights, normalised_weights, packed, unit, unpacked)
 
 MIN_SIMILARITY = 0.3
 MMR_LAMBDA = 0.7
@@ -98,10 +98,16 @@ def fuse(candidates: DataFrame, queries: DataFrame, songs: DataFrame,
     similarity it came with.
 
     The wide song vectors move once: candidates meet songs on ``id``, and the
-    result stays partitioned by ``query_id`` for all later steps.
+    result stays partitioned by ``query_id`` for all later steps.  If all queries have one ``focus``,
+    only its elements of the handcrafted vectors move.
     """
+    handcrafted = F.col(hc)
+    if focus in layout:
+        handcrafted = category_part(hc, focus, layout)
+        queries = queries.withColumn("handcrafted", category_part("handcrafted", focus, layout))
+        layout = {focus: range(len(layout[focus]))}
     vectors = songs.select(
-        "id", F.col(hc).alias("_hc"),
+        "id", handcrafted.alias("_hc"),
         (F.col(mert) if mert else F.lit(None).cast("array<double>")).alias("_mert"), *carry)
     per_category = focus is not None or genre_weights is not None or "focus" in queries.columns
     r_cat = category_units("_hc", layout) if per_category else F.lit(None).cast("array<double>")
