@@ -10,10 +10,15 @@ For ``CHECKED`` of the queries the exact hits are found by brute force.  The cel
 cells to read, and the number of codes that score better than a hit's code gives the length of the list: both are
 read off the measured ranks of the hits, at the smallest values that reach the target among them with a margin.
 Centroids and words are fitted on a bounded sample; every vector is coded.
+
+Queries near each other form blocks, as large as their short lists allow.  One task answers one block: its queries come
+first, then the vectors of the cells that they read, with their codes.  What gets into a short list is scored exactly
+as it comes, so vectors move once a block, whatever the length of the lists.  No query is read by the driver.
 """
 
 from __future__ import annotations
 
+import functools
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from soundalike.functions.vectors import valid_vector
+from soundalike.functions.vectors import exact_in_float, norm, valid_vector
 from soundalike.operators import search
 from soundalike.session import cut
 
@@ -32,7 +37,8 @@ MAX_CELLS = 1024
 PARTS = 16
 WORDS = 256
 CHECKED = 128
-QUERY_BLOCK = 2048
+QUERY_BLOCK = 16384
+DENSE = 128  # from one pair in so many on, a product of all pairs is cheaper than one by one
 
 
 @dataclass
@@ -93,8 +99,8 @@ def fit(cat: DataFrame, cells: int) -> Codebook | None:
 
 
 def encode(cat: DataFrame, book) -> DataFrame:
-    """``id, cell, codes`` of every vector that has a direction."""
-    out = T.StructType([cat.schema["id"], T.StructField("cell", T.IntegerType()), T.StructField("codes", T.BinaryType())])
+    """The rows whose ``vec`` has a direction, with ``cell`` and ``codes``."""
+    out = T.StructType([*cat.schema, T.StructField("cell", T.IntegerType()), T.StructField("codes", T.BinaryType())])
     arrow = to_arrow_schema(out)
 
     def run(batches):
@@ -102,9 +108,9 @@ def encode(cat: DataFrame, book) -> DataFrame:
             units, ok = search._units(search._matrix(batch.column("vec")))
             if len(units):
                 cell, codes = Codebook(*book.value).code(units)
-                yield pa.RecordBatch.from_arrays([batch.filter(pa.array(ok)).column("id"), pa.array(cell), pa.array(
+                yield pa.RecordBatch.from_arrays([*batch.filter(pa.array(ok)).columns, pa.array(cell), pa.array(
                     [c.tobytes() for c in codes], pa.binary())], schema=arrow)
-    return cat.select("id", "vec").mapInArrow(run, out)
+    return cat.mapInArrow(run, out)
 
 
 def _codes(column: pa.Array, parts: int) -> np.ndarray:
@@ -197,51 +203,140 @@ def calibrate(units: np.ndarray, hits: list[np.ndarray], coded: DataFrame, book_
     return Plan(probes, short, float((rank <= short).mean()))
 
 
-def _short_lists(coded: DataFrame, book_ref, units: np.ndarray, plan: Plan) -> DataFrame:
-    """(query, id) of the best codes of each query; a task returns ``plan.short`` rows a query at most."""
-    spark, id_type = coded.sparkSession, coded.schema["id"].dataType
-    shared = spark.sparkContext.broadcast((units, _nearest_cells(units, Codebook(*book_ref.value)) < plan.probes))
-    out = T.StructType([T.StructField("query", T.IntegerType()), T.StructField("id", id_type),
-                        T.StructField("score", T.FloatType())])
-    arrow, short = to_arrow_schema(out), plan.short
+def _reads(units: np.ndarray, book: Codebook, probes: int) -> np.ndarray:
+    """Per query which cells it reads."""
+    out = np.empty((len(units), len(book.centroids)), bool)
+    for a in range(0, len(units), search.ANGLE_ROWS):
+        out[a:a + search.ANGLE_ROWS] = _nearest_cells(units[a:a + search.ANGLE_ROWS], book) < probes
+    return out
 
-    def run(batches):
-        units_, reads = shared.value
+
+def _pair_scores(a: np.ndarray, b: np.ndarray, rows: np.ndarray, row: np.ndarray, col: np.ndarray) -> np.ndarray:
+    """Exact products of ``a[rows[row]]`` and ``b[col]``."""
+    if len(row) * DENSE > len(rows) * len(b):
+        return np.round((a[rows] @ b.T)[row, col], search.DIGITS)
+    step = max(1, search.PIECE // max(1, b.shape[1]))
+    return np.round(np.concatenate([np.empty(0), *(np.einsum("ij,ij->i", a[rows[row[at:at + step]]], b[col[at:at + step]])
+                                                   for at in range(0, len(row), step))]), search.DIGITS)
+
+
+def _of_short(best: search._Best, lo: int, hi: int, k: int) -> tuple[np.ndarray, ...]:
+    """Ends of the lists of queries ``lo`` to ``hi``, and exact scores, ids and extra values of their ``k`` best, best first."""
+    there = np.isfinite(best.score[lo:hi])
+    rank = np.zeros(there.shape)
+    rank[there] = search._rank_of(best.ids[lo:hi][there])
+    score = np.where(there, best.more[0][lo:hi], -np.inf)
+    pos = search._best(score, rank, k)
+    score, rank, ids, extra = (np.take_along_axis(x, pos, 1) for x in (score, rank, best.ids[lo:hi], best.extra[lo:hi]))
+    row, col = np.nonzero(np.isfinite(score))
+    order = np.lexsort((rank[row, col], -score[row, col], row))
+    row, col = row[order], col[order]
+    return np.searchsorted(row, np.arange(hi - lo + 1)), score[row, col], ids[row, col], extra[row, col]
+
+
+def _answers(asked: DataFrame, coded: DataFrame, book_ref, plan: Plan, k: int) -> DataFrame:
+    """``n, query_id, id, similarity, extra, rank``: the ``k`` best of the short list of each row of ``asked``, in one job.
+
+    ``asked``: ``n`` (which does not repeat), ``query_id, vec, home``, its nearest cell.
+    """
+    spark = coded.sparkSession
+    homes, total = [], 0
+    for row in asked.groupBy("home").agg(F.count("*").alias("m")).orderBy("home").collect():  # <= MAX_CELLS rows
+        homes.append((row.home, total, row.m))
+        total += row.m
+    dim = len(book_ref.value[0][0])
+    # As in the exact search; a third more is kept of a hit, its exact score.
+    size = min(QUERY_BLOCK, search._block_size(total, max(k, plan.short) * 4 // 3, dim, spark.sparkContext.defaultParallelism))
+    n_blocks = -(-total // size)
+    at = F.pmod(F.xxhash64("n"), F.lit(1 << 30)) / float(1 << 30) * F.col("m") + F.col("before")
+    block = F.least(F.floor(at / size), F.lit(n_blocks - 1)).cast("int")
+    left = asked.join(F.broadcast(spark.createDataFrame(homes, "home int, before long, m long")), "home").select(
+        block.alias("block"), "n", "query_id", "vec")
+
+    def visits(batches):
         book = Codebook(*book_ref.value)
-        best = search._Best(units_.astype("f4"), np.full(len(units_), np.nan), short)
+        for batch in (b.slice(a, search.ANGLE_ROWS) for b in batches for a in range(0, b.num_rows, search.ANGLE_ROWS)):
+            reads = _reads(search._units(search._matrix(batch.column("vec")))[0], book, plan.probes)
+            blocks = batch.column("block").to_numpy()
+            for b in np.unique(blocks):
+                cells = np.flatnonzero(reads[blocks == b].any(axis=0)).astype("i4")
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(cells), b, "i4")), pa.array(cells)], names=["block", "cell"])
+
+    kind = {f.name: f.dataType for f in [*left.schema, *coded.schema]}
+    hit = T.StructType([T.StructField("id", kind["id"]), T.StructField("similarity", T.DoubleType()),
+                        T.StructField("extra", kind["extra"])])
+    lists = T.StructType([*left.select("n", "query_id").schema, T.StructField("hits", T.ArrayType(hit))])
+    lists_arrow, hit_arrow = to_arrow_schema(lists), to_arrow_schema(hit)
+
+    def run(batches):
+        book, asked_, best = Codebook(*book_ref.value), [], None
+
+        def begin():
+            table = pa.Table.from_batches(asked_)
+            units = search._units(search._matrix(table.column("vec")))[0]
+            return table, units, _reads(units, book, plan.probes), search._Best(
+                units.astype("f4"), np.full(len(units), np.nan), plan.short, len(units) * plan.short // 4)
+
         for batch in batches:
-            ids = search._values(batch.column("id"))
-            for c, asked, rows, codes in _by_cell(batch, reads, len(book.words)):
-                best.add(ids[rows], np.zeros(len(rows), "i1"), book.decoded(np.full(len(rows), c), codes), asked)
+            cells = batch.column("cell").to_numpy()
+            n_asked = int(np.searchsorted(cells, 0))
+            if n_asked:
+                asked_.append(batch.slice(0, n_asked).select(["n", "query_id", "vec"]))
+            if n_asked == batch.num_rows:
+                continue
+            if best is None:
+                table, units, reads, best = begin()
+            batch, cells = batch.slice(n_asked), cells[n_asked:]
+            v, ids, extra = (search._units(search._matrix(batch.column("vec")))[0], search._values(batch.column("id")),
+                             search._values(batch.column("extra")))
+            codes = _codes(batch.column("codes"), len(book.words))
+            found, first = np.unique(cells, return_index=True)
+            for cell, a, b in zip(found, first, [*first[1:], len(cells)]):
+                who = np.flatnonzero(reads[:, cell])
+                if len(who):
+                    best.add(ids[a:b], extra[a:b], book.decoded(cells[a:b], codes[a:b]), who,
+                             functools.partial(_pair_scores, units, v[a:b]))
+        if best is None:
+            return
         best.cut()
-        if best.kept is not None:
-            q, s, i, _ = best.kept
-            for at in range(0, len(q), 65536):
-                part = slice(at, at + 65536)
-                yield pa.RecordBatch.from_arrays([pa.array(q[part]), pa.array(i[part], arrow.field("id").type, from_pandas=True),
-                                                  pa.array(s[part], pa.float32())], schema=arrow)
-    order = Window.partitionBy("query").orderBy(F.desc("score"), "id")
-    return (coded.mapInArrow(run, out).withColumn("n", F.row_number().over(order)).where(F.col("n") <= short)
-            .select("query", "id"))
-
-
-def _exact(short: DataFrame, cat: DataFrame, ids: np.ndarray, units: np.ndarray, out: T.StructType) -> DataFrame:
-    """Exact scores of the short lists: narrow pairs meet the vectors once, on ``id``."""
-    shared = cat.sparkSession.sparkContext.broadcast((ids, units))
+        if best.ids is None:
+            return
+        step = max(1, 65536 // k)
+        for lo in range(0, len(units), step):
+            hi = min(lo + step, len(units))
+            ends, score, ids, extra = _of_short(best, lo, hi, k)
+            flat = [pa.array(c, type=f.type, from_pandas=True) for c, f in zip((ids, score, extra), hit_arrow)]
+            hits = pa.ListArray.from_arrays(pa.array(ends.astype("i4")), pa.StructArray.from_arrays(flat, fields=list(hit_arrow)))
+            some = table.slice(lo, hi - lo).combine_chunks()
+            yield pa.RecordBatch.from_arrays([*(some.column(c).combine_chunks() for c in ("n", "query_id")),
+                                              hits.cast(lists_arrow.field("hits").type)], schema=lists_arrow)
+
+    pairs = cut(left.mapInArrow(visits, "block int, cell int").distinct())
+    if pairs.count() <= search.BROADCAST_PAIRS:
+        pairs = F.broadcast(pairs)
+    none, same = F.lit(None), T.ArrayType(T.DoubleType()) if kind["vec"] != left.schema["vec"].dataType else kind["vec"]
+    rows = left.select("block", F.lit(-1).alias("cell"), "n", "query_id", *(none.cast(kind[c]).alias(c) for c in ("id", "extra")),
+                       F.col("vec").cast(same).alias("vec"), none.cast("binary").alias("codes"))
+    rows = rows.unionByName(coded.join(pairs, "cell").select(
+        "block", "cell", none.cast("long").alias("n"), none.cast(kind["query_id"]).alias("query_id"), "id", "extra",
+        F.col("vec").cast(same).alias("vec"), "codes"))
+    found = rows.repartitionById(n_blocks, F.col("block")).sortWithinPartitions("cell").mapInArrow(run, lists)
+    return found.select("n", "query_id", F.posexplode("hits").alias("at", "h")).select(
+        "n", "query_id", "h.id", "h.similarity", "h.extra", (F.col("at") + 1).alias("rank"))
+
+
+def _exact(pairs: DataFrame, out: T.StructType) -> DataFrame:
+    """Exact scores of pairs of ``asked`` and ``vec``."""
     arrow = to_arrow_schema(out)
 
     def run(batches):
-        ids_, units_ = shared.value
         for batch in batches:
-            v, ok = search._units(search._matrix(batch.column("vec")))
+            v, q = (search._units(search._matrix(batch.column(c)))[0] for c in ("vec", "asked"))
             if len(v):
-                kept = batch.filter(pa.array(ok))
-                q = kept.column("query").to_numpy()
-                s = np.concatenate([np.einsum("ij,ij->i", units_[a], b) for a, b in zip(
-                    np.array_split(q, max(1, -(-len(q) // 4096))), np.array_split(v, max(1, -(-len(v) // 4096))))])
-                yield search._emit(arrow, ids_[q], search._values(kept.column("id")), np.round(s, search.DIGITS),
-                                   search._values(kept.column("extra")))
-    return short.join(cat, "id").select("query", "id", "extra", "vec").mapInArrow(run, out)
+                every = np.arange(len(v))
+                yield search._emit(arrow, batch.column("query_id"), batch.column("id"), _pair_scores(q, v, every, every, every),
+                                   batch.column("extra"))
+    return pairs.select("query_id", "id", "extra", "vec", "asked").mapInArrow(run, out)
 
 
 def nearest(queries: DataFrame, songs: DataFrame, k: int, *, target: float = 0.9, vec: str = "learned",
@@ -250,21 +345,24 @@ def nearest(queries: DataFrame, songs: DataFrame, k: int, *, target: float = 0.9
     """About the ``k`` nearest songs of each query: ``target`` of the exact hits or more, as measured.
 
     Same columns as :func:`search.nearest`, and exact scores.  Plans that were used are appended to ``plans``.
+    Songs without an id are not found; all songs of an id are that one of them is short-listed.
     """
     q = queries.where(F.col(query_vec).isNotNull()).select("query_id", F.col(query_vec).alias("vec"))
     if dim is None:
         dim = q.agg(F.max(F.size("vec"))).first()[0] or 0
     q = cut(q.where(valid_vector("vec", dim)))
     cat = cut(songs.select("id", F.col(extra).alias("extra"), F.col(vec).alias("vec")).where(
-        F.col("vec").isNotNull() & valid_vector("vec", dim)))
+        F.col("id").isNotNull() & F.col("vec").isNotNull() & valid_vector("vec", dim)))
     out = search._hits_schema(q.schema["query_id"].dataType, cat.schema["id"].dataType, cat.schema["extra"].dataType)
     spark = songs.sparkSession
-    n_queries, n = q.count(), cat.count()
+    n_queries, n_asked, short_q = q.agg(F.count("*"), F.count_distinct("query_id"), F.min(exact_in_float("vec"))).first()
+    n, n_ids, short = cat.agg(F.count("*"), F.count_distinct("id"), F.min(exact_in_float("vec"))).first()
     book = fit(cat, int(min(MAX_CELLS, max(1, n ** 0.5)))) if n and n_queries else None
     if book is None:
         return search.best_per_query(spark.createDataFrame([], out), k)
     book_ref = spark.sparkContext.broadcast((book.centroids, book.words, book.cuts))  # arrays: executors know no class of ours
-    coded = cut(encode(cat, book_ref))
+    narrow = T.ArrayType(T.FloatType() if short and short_q else T.DoubleType())  # where that is exact
+    coded = cut(encode(cat.withColumn("vec", F.col("vec").cast(narrow)), book_ref))
 
     by_hash = F.md5(F.col("query_id").cast("string"))
     some = q.orderBy(by_hash, "query_id").limit(CHECKED).toArrow()
@@ -274,22 +372,31 @@ def nearest(queries: DataFrame, songs: DataFrame, k: int, *, target: float = 0.9
     hits: list[list] = [[] for _ in units]
     for r in exact.select("query_id", "id").collect():  # CHECKED * k rows
         hits[r.query_id].append(r.id)
-    plan = calibrate(units, [np.array(h) for h in hits], coded, book_ref, target, k)
+    plan = calibrate(units, [np.array(h) for h in hits], coded.select("id", "cell", "codes"), book_ref, target, k)
     if plans is not None:
         plans.append(plan)
 
-    blocks = max(1, -(-n_queries // QUERY_BLOCK))
-    while blocks > 1 and q.groupBy(F.pmod(F.xxhash64("query_id", "vec"), F.lit(blocks)).alias("b")).count().agg(
-            F.max("count")).first()[0] > 2 * QUERY_BLOCK:
-        blocks *= 2
-    found = None
-    for b in range(blocks):
-        block = q.where(F.pmod(F.xxhash64("query_id", "vec"), F.lit(blocks)) == b).toArrow()
-        units, ok = search._units(search._matrix(block.column("vec")))
-        if len(units):
-            ids = search._values(block.column("query_id"))[ok]
-            hit = _exact(_short_lists(coded, book_ref, units, plan), cat, ids, units, out)
-            hit = search.best_per_query(hit, k).drop("rank")
-            hit = cut(hit) if blocks > 1 else hit
-            found = hit if found is None else found.unionByName(hit)
-    return search.best_per_query(spark.createDataFrame([], out) if found is None else found, k)
+    home = T.StructType([T.StructField("n", T.LongType()), q.schema["query_id"], T.StructField("vec", narrow),
+                         T.StructField("home", T.IntegerType())])
+    home_arrow = to_arrow_schema(home)
+
+    def at_home(batches):
+        centroids = book_ref.value[0]
+        for batch in batches:
+            v, ok_ = search._units(search._matrix(batch.column("vec")))
+            if len(v):
+                cell = np.concatenate([(part @ centroids.T).argmax(axis=1) for part in _pieces(v)]).astype("i4")
+                yield pa.RecordBatch.from_arrays([*batch.filter(pa.array(ok_)).columns, pa.array(cell)], schema=home_arrow)
+
+    asked = cut(q.select(F.monotonically_increasing_id().alias("n"), "query_id", F.col("vec").cast(narrow).alias("vec"))
+                .mapInArrow(at_home, home))
+    if asked.isEmpty():
+        return search.best_per_query(spark.createDataFrame([], out), k)
+    once = n_ids == n
+    found = _answers(asked, coded, book_ref, plan, k if once else plan.short)
+    if not once:  # the short lists are ids: all songs of an id are scored
+        found = _exact(found.select("n", "id").join(cat, "id").join(
+            asked.select("n", "query_id", F.col("vec").alias("asked")), "n").where(norm("vec") > 0), out)
+    if once and n_asked == n_queries:
+        return found.drop("n")
+    return search.best_per_query(found.select(*out.names), k)

@@ -221,17 +221,19 @@ class _Best:
     others are scored in double precision.  Floors rise whenever what is kept is cut to k a query.
     """
 
-    def __init__(self, q: np.ndarray, floor: np.ndarray, k: int):
-        self.q, self.k = q, k
+    def __init__(self, q: np.ndarray, floor: np.ndarray, k: int, hold: int = 0):
+        self.q, self.k, self.hold = q, k, max(hold, PIECE)  # rows held before they are cut
         self.single = q.dtype == np.float32  # then the products are the scores
         self.q4 = q if self.single else q.astype("f4")
         self.length = np.sqrt((q * q).sum(axis=1).max(initial=0.0))
         self.floor = np.where(np.isnan(floor), -np.inf, floor)
         self.score = np.empty((len(q), 0), q.dtype)  # as wide as the longest list so far; with -inf, nothing is kept there
         self.ids = self.extra = None
+        self.more = []  # further values of what is kept
         self.fresh, self.n_fresh = [], 0
 
-    def add(self, ids: np.ndarray, extra: np.ndarray, v: np.ndarray, asked: np.ndarray) -> None:
+    def add(self, ids: np.ndarray, extra: np.ndarray, v: np.ndarray, asked: np.ndarray, value=None) -> None:
+        """``value``: with products that are the scores, what else is kept of the pairs of ``rows[row]`` and ``v[col]``."""
         v4, slack = v.astype("f4", copy=False), 0.0
         if not self.single:  # above what rounding makes of a product of two such vectors
             slack = (v.shape[1] + 16) * 1.2e-7 * self.length * np.sqrt((v * v).sum(axis=1).max(initial=0.0))
@@ -247,7 +249,8 @@ class _Best:
             at = np.flatnonzero(rough >= (self.floor[rows] - 2 * slack).astype("f4")[:, None])
             row, col = np.divmod(at, max(1, len(v)))
             if self.single:
-                self.fresh.append((rows[row].astype("i4"), np.round(rough.ravel()[at], DIGITS), ids[col], extra[col]))
+                self.fresh.append((rows[row].astype("i4"), np.round(rough.ravel()[at], DIGITS), ids[col], extra[col],
+                                   *([value(rows, row, col)] if value else [])))
                 self.n_fresh += len(row)
                 row = row[:0]
             del rough, at
@@ -258,7 +261,7 @@ class _Best:
                 r, c = r[good], c[good]
                 self.fresh.append((r.astype("i4"), score[good], ids[c], extra[c]))
                 self.n_fresh += len(r)
-            if self.n_fresh > PIECE:
+            if self.n_fresh > self.hold:
                 self.cut()
 
     def cut(self) -> None:
@@ -271,17 +274,17 @@ class _Best:
         counts = np.bincount(row, minlength=len(self.q))
         ends, had = np.cumsum(counts), self.score.shape[1]
         if self.ids is None:
-            self.ids, self.extra = (np.empty(self.score.shape, x.dtype) for x in new[1:])
+            self.ids, self.extra, *self.more = (np.empty(self.score.shape, x.dtype) for x in new[1:])
         wide = min(self.k, had + int(counts.max()))
         kept = []
-        for old, x, nothing in zip((self.score, self.ids, self.extra), new, (-np.inf, 0, 0)):
+        for old, x, nothing in zip((self.score, self.ids, self.extra, *self.more), new, (-np.inf, *[0] * (len(new) - 1))):
             kind = old.dtype if old.dtype == x.dtype else np.result_type(old, x)  # another piece may hold nulls
             if wide > had or kind != old.dtype:
                 more = np.full((len(self.q), wide), nothing, kind)
                 more[:, :had] = old
                 old = more
             kept.append(old)
-        self.score, self.ids, self.extra = kept
+        self.score, self.ids, self.extra, *self.more = kept
         queries = np.flatnonzero(counts)
         queries = queries[np.argsort(-counts[queries], kind="stable")]  # queries of like counts share a table
         lo = 0
@@ -291,7 +294,7 @@ class _Best:
             lo += len(some)
             there = np.arange(width)[None, :] < counts[some][:, None]
             at = order[np.where(there, (ends - counts)[some][:, None] + np.arange(width), 0)]
-            score, ids, extra = (np.concatenate([old[some], x[at]], axis=1) for old, x in zip(kept, new))
+            score, ids, *rest = (np.concatenate([old[some], x[at]], axis=1) for old, x in zip(kept, new))
             score[:, wide:][~there] = -np.inf
             pos = np.argpartition(-score, wide - 1, axis=1)[:, :wide]
             edge = np.take_along_axis(score, pos, 1).min(axis=1)
@@ -299,7 +302,7 @@ class _Best:
             for i in tied:
                 cand = np.flatnonzero(score[i] >= edge[i])
                 pos[i] = cand[np.lexsort((_in_order(ids[i, cand]), -score[i, cand]))[:wide]]
-            for old, x in zip(kept, (score, ids, extra)):
+            for old, x in zip(kept, (score, ids, *rest)):
                 old[some] = np.take_along_axis(x, pos, 1)
             if wide == self.k:
                 self.floor[some] = np.maximum(self.floor[some], edge)
