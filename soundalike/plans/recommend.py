@@ -115,15 +115,20 @@ def vibe(seed_sets: DataFrame, songs: DataFrame, limit: int = 20, *, per_seed: i
 
     Sets of fewer than two or more than five ids are not valid and give no rows;
     :func:`invalid_sets` returns them with the reason.
+
+    Seed sets, narrow songs, the queries of both searches and the common songs are worked out once each, so no plan
+    holds more than one search, and none of them is planned, broadcast or run again for each step of a search.
     """
-    seed_sets = seed_sets.where(F.size("song_ids").between(MIN_SEEDS, MAX_SEEDS))
+    seed_sets = cut(seed_sets.where(F.size("song_ids").between(MIN_SEEDS, MAX_SEEDS)).select("query_id", "song_ids"))
+    named, needed = songs, {"id", "learned", "bpm", "metadata_status", search.get("vec"), search.get("extra")}
+    songs = cut(songs.select(*[c for c in songs.columns if c in needed]))
     seeds = seed_sets.select(
         "query_id", F.size("song_ids").alias("n"),
         F.posexplode("song_ids").alias("pos", "song_id"))
     vectors = songs.select(F.col("id").alias("song_id"), F.col("learned").alias("vector"))
     # A song that seeds many sets is searched once.
-    distinct = (seeds.select("song_id").distinct().join(vectors, "song_id")
-                .select(F.col("song_id").alias("query_id"), "vector"))
+    distinct = cut(vectors.join(seeds.select("song_id"), "song_id", "left_semi")
+                   .select(F.col("song_id").alias("query_id"), "vector"))
     lists = top_k(distinct, songs, per_seed, **search).withColumnRenamed("query_id", "song_id")
     not_seed = ~F.array_contains("song_ids", F.col("id"))
     per_set = (seeds.join(lists, "song_id")
@@ -132,8 +137,8 @@ def vibe(seed_sets: DataFrame, songs: DataFrame, limit: int = 20, *, per_seed: i
                .where(not_seed))
     common = intersect_lists(per_set)
     order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "first", "id")
-    common = (common.withColumn("rank", F.row_number().over(order))
-              .select("query_id", "id", "similarity", "rank"))
+    common = cut(common.withColumn("rank", F.row_number().over(order))
+                 .select("query_id", "id", "similarity", "rank"))
 
     # At most five vectors per set, so averaging them is a row-wise expression.
     total = F.aggregate(
@@ -144,10 +149,11 @@ def vibe(seed_sets: DataFrame, songs: DataFrame, limit: int = 20, *, per_seed: i
                .select("query_id", F.transform(total, lambda x: x / F.size("vs")).alias("vector"))
                .join(seed_sets, "query_id")
                .withColumn("fetch", F.lit(limit) + F.size(F.array_distinct("song_ids"))))
+    centres = cut(centres.select("query_id", "vector", "fetch"))
     fallback = (top_k(centres, songs, limit + MAX_SEEDS, match_count="fetch", **search)
                 .join(seed_sets, "query_id").where(not_seed).drop("song_ids"))
     merged = append_missing(common, fallback, limit)
-    ranked = R.head(R.dedup_versions(merged, songs), limit)
+    ranked = R.head(R.dedup_versions(merged, named), limit)
     return R.min_similarity(ranked.select("query_id", "id", "similarity", "rank"), min_sim)
 
 

@@ -307,10 +307,13 @@ def d8(spark, sf):
 
 def _seed_sets(songs):
     """Sets of three neighbouring ids that all exist."""
+    # Each id votes for the sets that it is in: one shuffle of ids, and none of them is broadcast.
     n = F.col("id")
-    return (songs.select(n.alias("query_id"))
-            .join(songs.select((n - 1).alias("query_id")), "query_id", "left_semi")
-            .join(songs.select((n - 2).alias("query_id")), "query_id", "left_semi")
+    spots = songs.where(n.isNotNull()).select(
+        F.explode(F.array(*[F.struct((n - i).alias("query_id"), F.lit(i).alias("at")) for i in range(3)])).alias("s"))
+    votes = spots.groupBy("s.query_id").agg(*[F.count(F.when(F.col("s.at") == i, 1)).alias(f"n{i}") for i in range(3)])
+    return (votes.where("n0 > 0 AND n1 > 0 AND n2 > 0")
+            .select("query_id", F.explode(F.array_repeat("query_id", F.col("n0").cast("int"))))
             .select("query_id", F.array(F.col("query_id"), F.col("query_id") + 1,
                                         F.col("query_id") + 2).alias("song_ids")))
 
